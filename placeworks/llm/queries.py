@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dedup, secrets, sharding
+from . import decontaminate, near_dedup, secrets, sharding, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,11 +31,23 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def tokenizer_path() -> str:
+    """The public byte-level BPE vocabulary, from the package that the box provides."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_output(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES: dict[str, Query] = {
     "op1_histogram_sharding": op1_histogram_sharding,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_secret_scan": op7_secret_scan,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_token_output": op9_token_output,
 }
 
 ORACLES: dict[str, str] = {}
