@@ -1,10 +1,14 @@
 """MinHash near-dedup: universal hash minima, banding, signature and exact verification, star components.
 
 Copies of one shingle set are one class before any search, so a group of any
-number of copies costs one row per document. Within a bucket the classes are
-first compared with the bucket's smallest one; only pairs of classes that are
-then still in different components are compared with each other, so no link
-between components is lost and no group is expanded into its pairs.
+number of copies costs one row per document. Candidates are then searched in
+three rounds, each over what the rounds before have left in different
+components: every class against the most central class of each of its buckets;
+every class outside a bucket's largest component against the member whose
+signature is nearest; and last, without any bound on their number, against all
+members of other components. Buckets are compared in blocks of rows, and only
+pairs whose signatures agree leave a block, so no group is expanded into its
+pairs and no link between components is lost.
 
 With 32 bands of 4 minima a pair of similarity 0.8 shares no bucket with
 probability (1 - 0.8**4)**32 = 5e-8.
@@ -23,17 +27,19 @@ from . import textops as T
 from .graph import components
 from .scratch import written
 
-BANDS, ROWS = 32, 4
-#: Signature bytes that must agree: a pair of similarity 0.8 has 128 * 0.8 = 102
-#: on average, deviation 4.5; fewer than 75 has a probability under 1e-8.
-AGREE_LEAST = 75
+BANDS, ROWS, MINIMA = 32, 4, 256
+#: Signature bytes that must agree: a pair of similarity 0.8 has 256 * 0.8 = 205
+#: on average, deviation 6.4; fewer than 177 has a probability of 6e-6.
+AGREE_LEAST = 177
+#: Rows of a bucket that one block holds of either side.
+BLOCK = 256
 
 _rng = np.random.default_rng(20240801)
-_A = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_A = _rng.integers(1, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _rng.integers(0, 1 << 63, MINIMA, dtype=np.uint64)
 _PIECE = 1024
 
-SKETCH = "doc_id long, n_shingles long, fp1 long, fp2 long, buckets array<long>, signature binary"
+SKETCH = "doc_id long, n_shingles long, fp1 long, fp2 long, buckets array<long>, signature binary, bands binary"
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -66,13 +72,13 @@ def _sketch(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, fp1, fp2, mins = [], [], [], []
-            none = np.zeros(BANDS * ROWS, np.uint64)
+            none = np.zeros(MINIMA, np.uint64)
             for s in shingle_sets(batch["text"], k):
                 n.append(len(s))
                 fp1.append(s.sum(dtype=np.uint64))
                 fp2.append(T.mix(s).sum(dtype=np.uint64) if len(s) else np.uint64(0))
                 mins.append(minima(s) if len(s) else none)
-            m = np.array(mins, dtype=np.uint64).reshape(len(n), BANDS * ROWS)
+            m = np.array(mins, dtype=np.uint64).reshape(len(n), MINIMA)
             keys = np.zeros((len(n), BANDS), dtype=np.uint64)
             for b in range(BANDS):
                 key = np.full(len(n), b + 1, dtype=np.uint64)
@@ -89,19 +95,68 @@ def _sketch(k: int):
                     pa.array(np.array(fp2, np.uint64).view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1).view(np.int64))),
                     pa.array([row.tobytes() for row in low], pa.binary()),
+                    pa.array([row.astype(np.uint32).tobytes() for row in keys & np.uint64(0xFFFFFFFF)], pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "fp1", "fp2", "buckets", "signature"],
+                names=["doc_id", "n_shingles", "fp1", "fp2", "buckets", "signature", "bands"],
             )
 
     return run
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key, from batches in which they are neighbours."""
+    held: list[pa.RecordBatch] = []
+    last = None
     for batch in batches:
-        if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
-            keep = (x == y).sum(axis=1) >= AGREE_LEAST
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+        if not batch.num_rows:
+            continue
+        columns = [batch[k].to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(batch.num_rows, dtype=bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            key = tuple(c[a] for c in columns)
+            if key != last and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _matrix(table: pa.Table, column: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(table[column].to_pylist()), kind).reshape(table.num_rows, -1)
+
+
+def _compared(percent: int, nearest: bool):
+    """Pairs (a, b) of a block's asking rows and its other rows, of different components, whose signatures agree.
+
+    A pair that shares several buckets is told in the first of them. nearest:
+    only the best partner of each asking row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _blocks(batches, ["bucket", "ask_block", "block"]):
+            asks = table["asks"].to_numpy()
+            rep, comp, n = (table[c].to_numpy() for c in ("rep", "component", "n_shingles"))
+            signature, bands = _matrix(table, "signature", np.uint8), _matrix(table, "bands", np.uint32)
+            band = table["band"][0].as_py()
+            q, d = np.flatnonzero(asks), np.flatnonzero(~asks)
+            for i in q.tolist():
+                j = d[(comp[d] != comp[i]) & (100 * np.minimum(n[d], n[i]) >= percent * np.maximum(n[d], n[i]))]
+                if not nearest:
+                    j = j[~(bands[j, :band] == bands[i, :band]).any(axis=1)]
+                agree = (signature[j] == signature[i]).sum(axis=1)
+                j, agree = j[agree >= AGREE_LEAST], agree[agree >= AGREE_LEAST]
+                if nearest and len(j):
+                    j = j[[np.lexsort((rep[j], -agree))[0]]]
+                if len(j):
+                    lo, hi = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
+                    yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], names=["a", "b"])
+
+    return run
 
 
 def _confirmed(k: int, percent: int):
@@ -116,6 +171,13 @@ def _confirmed(k: int, percent: int):
     return run
 
 
+def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            x, y = (_matrix(pa.Table.from_batches([batch]), c, np.uint8) for c in ("sig_a", "sig_b"))
+            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= AGREE_LEAST))
+
+
 def _signed(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """Pairs (a, b) whose signatures agree."""
     a = reps.select(F.col("rep").alias("a"), F.col("signature").alias("sig_a"))
@@ -123,6 +185,25 @@ def _signed(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return written(pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_agreeing, "a long, b long"), "signed")
 
 
+def _across(placed: DataFrame, reps: DataFrame, links: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Candidate pairs of different components among the rows of each bucket (bucket, band, rep)."""
+    found = written(components(links, "a", "b"), "components").withColumnRenamed("node", "rep")
+    rows = written(placed.join(found, "rep", "left").select("bucket", "band", "rep", F.coalesce("component", "rep").alias("component")), "labelled")
+    sizes = rows.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("rest"))
+    mixed = written(mixed.where("rest > 0"), "mixed")
+    open_ = rows.join(mixed, "bucket").withColumn("asking", F.col("component") != F.col("most"))
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("rep"), blocks(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), blocks(n) - 1)
+    kept = ("bucket", "band", "rep", "component")
+    asks = open_.where("asking").select(*kept, own("rest").alias("ask_block"), F.explode(every("all")).alias("block"), F.lit(True).alias("asks"))
+    rest = open_.select(*kept, F.explode(every("rest")).alias("ask_block"), own("all").alias("block"), F.lit(False).alias("asks"))
+    full = written(asks.unionByName(rest), "asked").join(reps.select("rep", "n_shingles", "signature", "bands"), "rep")
+    dealt = full.repartition("bucket", "ask_block", "block").sortWithinPartitions("bucket", "ask_block", "block")
+    return written(dealt.mapInArrow(_compared(percent, nearest), "a long, b long").distinct(), "across")
+
+
 def _links(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs whose whole shingle sets are as similar as asked."""
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
@@ -151,28 +232,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     linkable = sketch.where("n_shingles > 0 and doc_id is not null")
     classes = written(linkable.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     members = written(linkable.join(classes, ["fp1", "fp2", "n_shingles"]), "members")
-    reps = members.where("doc_id = rep").select("rep", "n_shingles", "signature", "buckets")
-
-    rows = reps.select("rep", "n_shingles", F.explode("buckets").alias("bucket"))
-    shared = written(rows.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub"), "buckets")
-    placed = written(rows.join(shared, "bucket"), "placed")
-
-    stars = written(placed.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    near = _links(_signed(stars, reps), docs, words, percent)
-    found = written(components(near, "a", "b"), "components")
-
-    labelled = placed.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    labelled = written(labelled.select("bucket", "rep", "n_shingles", F.coalesce("component", "rep").alias("component")), "labelled")
-    mixed = written(labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket"), "mixed")
-    open_ = written(labelled.join(mixed, "bucket"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    across = x.join(
-        y,
-        F.expr(f"x.bucket = y.bucket and x.component < y.component and 100 * least(x.n_shingles, y.n_shingles) >= {percent} * greatest(x.n_shingles, y.n_shingles)"),
-    ).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
-    across = across.distinct().join(stars, ["a", "b"], "left_anti")
-    more = _links(_signed(written(across, "across"), reps), docs, words, percent)
-    joined = written(components(near.unionByName(more), "a", "b"), "components")
+    reps = members.where("doc_id = rep").select("rep", "n_shingles", "signature", "bands", "buckets")
+
+    rows = reps.select("rep", F.posexplode("buckets").alias("band", "bucket"))
+    shared = written(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    placed = written(rows.join(shared, "bucket").select("bucket", "band", "rep", "n"), "placed")
+    # The class that meets most others is the likeliest centre of a family of copies.
+    central = written(placed.groupBy("rep").agg(F.sum("n").alias("met")), "central")
+    ranked = written(placed.join(central, "rep").select("bucket", "rep", "met"), "ranked")
+    hubs = written(ranked.groupBy("bucket").agg(F.max_by("rep", F.struct("met", -F.col("rep"))).alias("hub")), "hubs")
+    stars = ranked.select("bucket", "rep").join(hubs, "bucket").where("rep != hub").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
+    links = _links(_signed(stars.distinct(), reps), docs, words, percent)
+    placed = placed.select("bucket", "band", "rep")
+    for nearest in (True, False):
+        more = _links(_across(placed, reps, links, percent, nearest), docs, words, percent)
+        links = links.unionByName(more)
+    joined = written(components(links, "a", "b"), "components")
 
     grouped = members.select("doc_id", "n_shingles", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
     grouped = grouped.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
