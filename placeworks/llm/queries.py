@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dedup, secrets, sharding, tokens
+from . import decontaminate, near_dedup, secret_scan, sharding, tokens, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,12 +19,16 @@ def op1_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +48,7 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_histogram_sharding": op1_histogram_sharding,
+    "op5_toxicity": op5_toxicity,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_secret_scan": op7_secret_scan,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
