@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dedup, secret_scan, sharding, tokens, toxicity
+from . import decontaminate, embedding_dedup, near_dedup, secret_scan, sharding, tokens, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,10 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_output(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 QUERIES: dict[str, Query] = {
     "op1_histogram_sharding": op1_histogram_sharding,
     "op5_toxicity": op5_toxicity,
@@ -53,6 +57,7 @@ QUERIES: dict[str, Query] = {
     "op7_secret_scan": op7_secret_scan,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_token_output": op9_token_output,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
 ORACLES: dict[str, str] = {}
