@@ -19,6 +19,7 @@ import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +30,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .scratch import new_path
+from .scratch import new_path, written
 
 BLOCK_DOCS, BLOCK_BYTES = 1024, 4 << 20
 #: The dictionary is trained on about this many documents, taken by a hash of
 #: their doc_id, and on this many ids of each at most.
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 1000, 4096, 1 << 16
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES, JOINED = 300_000, 512
 LEVEL = 3
 
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
@@ -45,18 +46,31 @@ _SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028
 _ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 
+_UNKNOWN = 255
+
+
 @cache
-def _classes() -> np.ndarray:
-    kinds = {"L": _LETTER, "N": _NUMBER}
-    out = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], _OTHER) for c in range(0x110000)), np.uint8, 0x110000)
+def _table() -> np.ndarray:
+    out = np.full(0x110000, _UNKNOWN, np.uint8)
     out[_SPACES] = _SPACE
     return out
 
 
+def _kinds(points: np.ndarray) -> np.ndarray:
+    """The class of each code point; the table fills with what occurs."""
+    table = _table()
+    kind = table[points]
+    if (kind == _UNKNOWN).any():
+        for c in np.unique(points[kind == _UNKNOWN]).tolist():
+            table[c] = {"L": _LETTER, "N": _NUMBER}.get(unicodedata.category(chr(c))[0], _OTHER)
+        kind = table[points]
+    return kind
+
+
 def pretoken_starts(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where the pretokens of code points begin; offsets: of each document, and the end."""
     n = len(points)
-    kind = _classes()[points]
+    kind = _kinds(points)
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
     begins = edge[:n].copy()
@@ -94,19 +108,39 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # Byte-level pieces that begin with a space: where words with a leading space begin.
+        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for piece, i in self.tokenizer.get_vocab().items():
+            self.spaced[i] = piece.startswith("\u0120")
         self.forget()
 
     def forget(self) -> None:
         self.index: dict[int, int] = {}
         self.first, self.count, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _learn(self, keys: list[int], strings: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
-        first = np.cumsum(count) - count + len(self.flat)
-        self.index.update(zip(keys, range(len(self.first), len(self.first) + len(keys)), strict=True))
-        self.first, self.count = np.concatenate([self.first, first]), np.concatenate([self.count, count])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(count.sum()))])
+    def _learn(self, keys: list[int], strings: list[str]) -> np.ndarray:
+        """Encodes new pretokens; the entries of the keys."""
+        # Words with a leading space are told apart in a joined text by the pieces that hold it.
+        words = [i for i, x in enumerate(strings) if x[0] == " " and len(x) > 1 and x[1].isalpha()]
+        chosen = set(words)
+        others = [i for i in range(len(strings)) if i not in chosen]
+        joined = ["".join(strings[i] for i in words[j : j + JOINED]) for j in range(0, len(words), JOINED)]
+        entries = np.zeros(len(keys), np.int64)
+        for texts, rows in ((joined, words), ([strings[i] for i in others], others)):
+            encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            count = np.fromiter((len(e) for e in encoded), np.int64, len(encoded))
+            flat = np.fromiter((i for e in encoded for i in e.ids), np.uint32, int(count.sum()))
+            del encoded
+            if texts is joined:
+                count = np.diff(np.append(np.flatnonzero(self.spaced[flat]), len(flat)))
+            first = np.cumsum(count) - count + len(self.flat)
+            entries[rows] = np.arange(len(self.first), len(self.first) + len(rows))
+            self.first, self.count = np.concatenate([self.first, first]), np.concatenate([self.count, count])
+            self.flat = np.concatenate([self.flat, flat])
+            if len(self.first) != len(self.count) or len(count) != len(rows):
+                raise ValueError("the tokenizer does not keep words apart as a byte-level BPE does")
+        self.index.update(zip(keys, entries.tolist(), strict=True))
+        return entries
 
     def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text (null: none), in order."""
@@ -137,12 +171,10 @@ class Encoder:
         if len(self.index) + len(unique) > MEMO_ENTRIES:
             self.forget()
         listed = unique.tolist()
-        known = np.fromiter((self.index.get(k, -1) for k in listed), np.int64, len(listed))
+        known = np.array(list(map(self.index.get, listed, repeat(-1))), np.int64)
         if len(new := np.flatnonzero(known < 0)):
-            begun = len(self.first)
             spans = zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)
-            self._learn([listed[i] for i in new.tolist()], [text[a:b] for a, b in spans])
-            known[new] = np.arange(begun, begun + len(new))
+            known[new] = self._learn([listed[i] for i in new.tolist()], [text[a:b] for a, b in spans])
         entry = known[back.reshape(-1)]
         count = self.count[entry]
         done = np.cumsum(count)
@@ -222,7 +254,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
             yield block(rows)
 
     schema = "shard long, block long, start long, doc_ids array<long>, n_tokens array<long>, offsets array<long>, payload binary, dictionary_hash string"
-    framed = docs.mapInArrow(frames, "doc_id long, n_tokens long, frame binary")
+    # Written first: the range exchange samples its input, and would encode everything twice.
+    framed = written(docs.mapInArrow(frames, "doc_id long, n_tokens long, frame binary"), "frames")
     ordered = framed.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n_tokens", "frame")
     ordered.mapInArrow(blocks, schema).write.parquet(f"{path}/blocks")
     totals = spark.read.parquet(f"{path}/blocks").select("shard", F.expr("aggregate(n_tokens, 0L, (a, x) -> a + x)").alias("n"))
