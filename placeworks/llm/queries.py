@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, html_extract, near_dedup, secret_scan, sharding, tokens, toxicity
+from . import decontaminate, embedding_dedup, html_extract, mixing, near_dedup, repeats, secret_scan, sharding, tokens, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +20,16 @@ def op1_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its cell's probability and whether it is in the sample."""
+    out = mixing.mixed(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "source", "lang", "topic", F.col("tokens").alias("n_tokens"), F.round("probability", 6).alias("probability"), "sampled")
+
+
+def op3_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), kept_bytes=False)
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -56,6 +67,8 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_histogram_sharding": op1_histogram_sharding,
+    "op2_source_mixing": op2_source_mixing,
+    "op3_repeat_removal": op3_repeat_removal,
     "op4_html_extraction": op4_html_extraction,
     "op5_toxicity": op5_toxicity,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
