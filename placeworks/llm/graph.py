@@ -32,13 +32,23 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str, rounds: int | None = None) -> DataFrame:
     """(node, component) for every node of an edge; component is the smallest node reachable.
 
-    Null ends and loops are left out; an empty table gives an empty table.
+    Null ends and loops are left out; an empty table gives an empty table. With
+    `rounds` it stops after so many: equal components are then reachable from
+    each other, but a component may still be in several parts.
     """
     now = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     now = written(now.distinct(), "edges")
+    if rounds is not None:
+        for _ in range(rounds):
+            now = written(_large_star(now).distinct(), "edges")
+            now = written(_small_star(now).distinct(), "edges")
+        # A node can still point at several; the least of them is its label.
+        labels = now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+        tops = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+        return labels.unionByName(tops.join(labels.select("node"), "node", "left_anti"))
     before = _state(now)
     for _ in range(MAX_ROUNDS):
         if before[0] == 0:

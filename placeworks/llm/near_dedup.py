@@ -27,10 +27,10 @@ from . import textops as T
 from .graph import components
 from .scratch import written
 
-BANDS, ROWS, MINIMA = 32, 4, 256
-#: Signature bytes that must agree: a pair of similarity 0.8 has 256 * 0.8 = 205
-#: on average, deviation 6.4; fewer than 177 has a probability of 6e-6.
-AGREE_LEAST = 177
+BANDS, ROWS, MINIMA = 32, 4, 512
+#: Signature bytes that must agree: a pair of similarity 0.8 has 512 * 0.8 = 410
+#: on average, deviation 9.1; fewer than 373 has a probability of 3e-5.
+AGREE_LEAST = 373
 #: Rows of a bucket that one block holds of either side.
 BLOCK = 256
 
@@ -187,7 +187,7 @@ def _signed(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 def _across(placed: DataFrame, reps: DataFrame, links: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """Candidate pairs of different components among the rows of each bucket (bucket, band, rep)."""
-    found = written(components(links, "a", "b"), "components").withColumnRenamed("node", "rep")
+    found = written(components(links, "a", "b", rounds=1), "components").withColumnRenamed("node", "rep")
     rows = written(placed.join(found, "rep", "left").select("bucket", "band", "rep", F.coalesce("component", "rep").alias("component")), "labelled")
     sizes = rows.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("rest"))
@@ -204,10 +204,8 @@ def _across(placed: DataFrame, reps: DataFrame, links: DataFrame, percent: int,
     return written(dealt.mapInArrow(_compared(percent, nearest), "a long, b long").distinct(), "across")
 
 
-def _links(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs whose whole shingle sets are as similar as asked."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = written(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), "texts")
     a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
@@ -237,15 +235,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     rows = reps.select("rep", F.posexplode("buckets").alias("band", "bucket"))
     shared = written(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     placed = written(rows.join(shared, "bucket").select("bucket", "band", "rep", "n"), "placed")
+    # Texts that any pair can need; the ids grow with the corpus, so they are not broadcast.
+    wanted = placed.select(F.col("rep").alias("doc_id")).distinct()
+    texts = written(docs.join(wanted.hint("merge"), "doc_id", "left_semi"), "texts")
     # The class that meets most others is the likeliest centre of a family of copies.
     central = written(placed.groupBy("rep").agg(F.sum("n").alias("met")), "central")
     ranked = written(placed.join(central, "rep").select("bucket", "rep", "met"), "ranked")
     hubs = written(ranked.groupBy("bucket").agg(F.max_by("rep", F.struct("met", -F.col("rep"))).alias("hub")), "hubs")
     stars = ranked.select("bucket", "rep").join(hubs, "bucket").where("rep != hub").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
-    links = _links(_signed(stars.distinct(), reps), docs, words, percent)
+    links = _links(_signed(stars.distinct(), reps), texts, words, percent)
     placed = placed.select("bucket", "band", "rep")
     for nearest in (True, False):
-        more = _links(_across(placed, reps, links, percent, nearest), docs, words, percent)
+        more = _links(_across(placed, reps, links, percent, nearest), texts, words, percent)
         links = links.unionByName(more)
     joined = written(components(links, "a", "b"), "components")
 
