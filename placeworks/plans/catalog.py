@@ -1,4 +1,6 @@
 """The registered queries over the star-schema tables, each with its SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import demographics, exposure, network, proximity, records  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
