@@ -59,7 +59,7 @@ ENTITIES: dict[str, tuple[str, list[str], str]] = {
     ], "true"),
     "road": ("part", [
         "p_partkey AS road", f"{_pick('p_partkey % 14', ROAD_CLASSES)} AS class", f"{_pick('p_partkey % 4', SERVICES)} AS service",
-        f"{_x('p_partkey', 3)} AS ax", f"{_y('p_partkey', 4)} AS ay", f"{_x('p_partkey', 3)} + 40 + p_size * 4 AS bx", f"{_y('p_partkey', 4)} + 30 AS by",
+        f"{_x('p_partkey', 3)} AS ax", f"{_y('p_partkey', 4)} AS ay", f"{_x('p_partkey', 3)} + 40 + p_size * 4 AS ex", f"{_y('p_partkey', 4)} + 30 AS ey",
     ], "true"),
     "station": ("supplier", [
         "s_suppkey AS station", f"{_x('s_suppkey', 19)} AS x", f"{_y('s_suppkey', 23)} AS y",

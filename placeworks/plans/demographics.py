@@ -1 +1,230 @@
-"""Queries."""
+"""Queries on zones: points in them, parts of block groups, blocks, pixels and dots."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions.clean import flood_class
+from ..operators import interpolate as I
+from ..operators import spatial, tables
+from .adapters import entity, sql
+from .registry import query
+
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+CELL = 1000.0
+
+COUNTED = sql("block_group", "zone", "parcel") + """, census AS (SELECT CAST(c_nationkey AS BIGINT) AS bg, count(*) AS population, CAST(count_if(c_mktsegment = 'AUTOMOBILE') AS BIGINT) AS a, CAST(count_if(c_mktsegment = 'BUILDING') AS BIGINT) AS b,
+  round(avg(c_acctbal), 4) AS income FROM customer GROUP BY 1),
+res AS (SELECT * FROM parcel WHERE coalesce(luc, '') SIMILAR TO '(100|110|120|630|EXHA|EXED).*'),
+frag AS (SELECT zone, bg, greatest(z.x1, g.x1) AS x1, greatest(z.y1, g.y1) AS y1, least(z.x2, g.x2) AS x2, least(z.y2, g.y2) AS y2, (g.x2 - g.x1) * (g.y2 - g.y1) AS whole FROM zone z, block_group g
+  WHERE least(z.x2, g.x2) > greatest(z.x1, g.x1) AND least(z.y2, g.y2) > greatest(z.y1, g.y1)),
+fr AS (SELECT f.zone, f.bg, any_value((f.x2 - f.x1) * (f.y2 - f.y1)) AS area, any_value(whole) AS whole, coalesce(sum((least(f.x2, p.x2) - greatest(f.x1, p.x1)) * (least(f.y2, p.y2) - greatest(f.y1, p.y1))) FILTER (p.parcel IS NOT NULL), 0) AS r
+  FROM frag f LEFT JOIN res p ON least(f.x2, p.x2) > greatest(f.x1, p.x1) AND least(f.y2, p.y2) > greatest(f.y1, p.y1) GROUP BY ALL),
+gr AS (SELECT g.bg, coalesce(sum((least(g.x2, p.x2) - greatest(g.x1, p.x1)) * (least(g.y2, p.y2) - greatest(g.y1, p.y1))) FILTER (p.parcel IS NOT NULL), 0) AS t
+  FROM block_group g LEFT JOIN res p ON least(g.x2, p.x2) > greatest(g.x1, p.x1) AND least(g.y2, p.y2) > greatest(g.y1, p.y1) GROUP BY ALL),
+parts AS (SELECT zone, bg, area, least(area / whole, 1e0) AS weight_area, CASE WHEN t > 0 THEN least(r / t, 1e0) ELSE least(area / whole, 1e0) END AS weight FROM fr JOIN gr USING (bg))
+"""
+
+
+def census(spark, sf_dir):
+    by = spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy(F.col("c_nationkey").cast("long").alias("bg"))
+    return by.agg(
+        F.count("*").alias("population"), F.count_if(F.col("c_mktsegment") == "AUTOMOBILE").alias("a"), F.count_if(F.col("c_mktsegment") == "BUILDING").alias("b"),
+        F.round(F.avg("c_acctbal"), 4).alias("income"),
+    )
+
+
+def homes(spark, sf_dir):
+    return entity(spark, sf_dir, "parcel").where(F.coalesce("luc", F.lit("")).rlike("^(100|110|120|630|EXHA|EXED)"))
+
+
+def fragments(spark, sf_dir):
+    return I.fragments(entity(spark, sf_dir, "zone"), entity(spark, sf_dir, "block_group"), homes(spark, sf_dir), CELL)
+
+
+@query("rect_overlay", sql("block_group", "zone") + """SELECT zone, bg, round((least(z.x2, g.x2) - greatest(z.x1, g.x1)) * (least(z.y2, g.y2) - greatest(z.y1, g.y1)), 4) AS area FROM zone z, block_group g
+WHERE least(z.x2, g.x2) > greatest(z.x1, g.x1) AND least(z.y2, g.y2) > greatest(z.y1, g.y1)""")
+def rect_overlay(spark, sf_dir):
+    a, b = I._corners(entity(spark, sf_dir, "zone"), "a"), I._corners(entity(spark, sf_dir, "block_group"), "b")
+    return spatial.overlay(a, b, CELL).select("zone", "bg", F.round("area", 4).alias("area"))
+
+
+@query("residential_area", COUNTED + "SELECT bg, round(t, 4) AS residential FROM gr")
+def residential_area(spark, sf_dir):
+    out = I.residential_area(entity(spark, sf_dir, "block_group"), "bg", homes(spark, sf_dir), CELL)
+    return out.withColumn("residential", F.round("residential", 4))
+
+
+@query("fragment_weights", COUNTED + "SELECT zone, bg, round(weight_area, 6) AS weight_area, round(weight, 6) AS weight FROM parts")
+def fragment_weights(spark, sf_dir):
+    return fragments(spark, sf_dir).select("zone", "bg", F.round("weight_area", 6).alias("weight_area"), F.round("weight", 6).alias("weight"))
+
+
+@query("zone_demographics", COUNTED + """SELECT zone, round(sum(population * weight), 4) AS population, round(sum(a * weight), 4) AS a, round(sum(b * weight), 4) AS b,
+round(sum(CASE WHEN income > 0 THEN weight * population * income END) / sum(CASE WHEN income > 0 THEN weight * population END), 4) AS income,
+round(CASE WHEN sum(population * weight) > 0 THEN sum(a * weight) / sum(population * weight) * 100 ELSE 0 END, 4) AS pct_a FROM parts JOIN census USING (bg) GROUP BY zone""")
+def zone_demographics(spark, sf_dir):
+    sums = I.zone_sums(fragments(spark, sf_dir), census(spark, sf_dir), ["population", "a", "b"], "income")
+    out = I.derived_metrics(sums, {"pct_a": (F.col("a"), F.col("population"))})
+    return out.select("zone", *[F.round(c, 4).alias(c) for c in ("population", "a", "b", "income", "pct_a")])
+
+
+@query("conservation", COUNTED + """SELECT round(abs(s - t) / t, 6) AS error, abs(s - t) / t > 0.01 AS broken FROM (SELECT (SELECT sum(population * weight) FROM parts JOIN census USING (bg)) AS s, (SELECT CAST(sum(population) AS DOUBLE) FROM census) AS t)""")
+def conservation(spark, sf_dir):
+    """How far the zones' population is from the source's."""
+    c = census(spark, sf_dir)
+    placed = fragments(spark, sf_dir).join(c, "bg").agg(F.sum(F.col("population") * F.col("weight")).alias("s"))
+    both = placed.crossJoin(F.broadcast(c.agg(F.sum("population").alias("t"))))  # a row each
+    error = F.abs(F.col("s") - F.col("t")) / F.col("t")
+    return both.select(F.round(error, 6).alias("error"), (error > 0.01).alias("broken"))
+
+
+@query("derived_metrics", """SELECT c_nationkey, round(CASE WHEN count_if(c_acctbal > 5000) > 0 THEN count_if(c_acctbal > 5000 AND c_mktsegment = 'BUILDING') / CAST(count_if(c_acctbal > 5000) AS DOUBLE) * 100 ELSE 0 END, 4) AS pct_building,
+round((1 - count_if(c_mktsegment = 'MACHINERY') / CAST(count(*) AS DOUBLE)) * 100, 4) AS pct_other FROM customer GROUP BY 1""")
+def derived_metrics(spark, sf_dir):
+    rich = F.col("c_acctbal") > 5000
+    by = spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy("c_nationkey")
+    rows = by.agg(F.count_if(rich).alias("n"), F.count_if(rich & (F.col("c_mktsegment") == "BUILDING")).alias("b"), F.count("*").alias("total"), F.count_if(F.col("c_mktsegment") == "MACHINERY").alias("m"))
+    out = I.derived_metrics(rows, {"pct_building": (F.col("b"), F.col("n")), "pct_other": (F.col("total") - F.col("m"), F.col("total"))})
+    return out.select("c_nationkey", F.round("pct_building", 4).alias("pct_building"), F.round("pct_other", 4).alias("pct_other"))
+
+
+BLOCKS = """, block AS (SELECT bg, q, bg * 4 + q AS block, x1 + (q % 2) * 1000 AS x1, y1 + CAST(floor(q / 2e0) AS BIGINT) * 1000 AS y1, x1 + (q % 2) * 1000 + 1000 AS x2, y1 + CAST(floor(q / 2e0) AS BIGINT) * 1000 + 1000 AS y2 FROM block_group, range(4) r(q)),
+br AS (SELECT b.block, b.bg, coalesce(sum((least(b.x2, p.x2) - greatest(b.x1, p.x1)) * (least(b.y2, p.y2) - greatest(b.y1, p.y1))) FILTER (p.parcel IS NOT NULL), 0) AS r
+  FROM block b LEFT JOIN res p ON least(b.x2, p.x2) > greatest(b.x1, p.x1) AND least(b.y2, p.y2) > greatest(b.y1, p.y1) GROUP BY ALL),
+shares AS (SELECT block, bg, CASE WHEN sum(r) OVER w > 0 THEN least(r / sum(r) OVER w, 1) ELSE 0.25 END AS share FROM br WINDOW w AS (PARTITION BY bg))
+"""
+
+
+def blocks(spark, sf_dir):
+    q = F.explode(F.sequence(F.lit(0), F.lit(3)))
+    rows = entity(spark, sf_dir, "block_group").select("bg", "x1", "y1", q.alias("q"))
+    x, y = F.col("x1") + F.col("q") % 2 * 1000, F.col("y1") + F.floor(F.col("q") / 2) * 1000
+    return rows.select("bg", (F.col("bg") * 4 + F.col("q")).alias("block"), x.alias("x1"), y.alias("y1"), (x + 1000).alias("x2"), (y + 1000).alias("y2"))
+
+
+def downscaled(spark, sf_dir):
+    b = blocks(spark, sf_dir)
+    rows = b.join(I.residential_area(b, "block", homes(spark, sf_dir), CELL), "block").withColumn("area", F.lit(1e6))
+    return I.downscale(rows, census(spark, sf_dir), "bg", ["population", "a", "b"])
+
+
+@query("downscale_blocks", COUNTED + BLOCKS + "SELECT block, bg, round(coalesce(population, 0) * share, 4) AS population, round(coalesce(a, 0) * share, 4) AS a FROM shares LEFT JOIN census USING (bg)")
+def downscale_blocks(spark, sf_dir):
+    return downscaled(spark, sf_dir).select("block", "bg", F.round("population", 4).alias("population"), F.round("a", 4).alias("a"))
+
+
+@query("pixel_children", COUNTED + BLOCKS + """, pixel AS (SELECT px * 25 + py AS pixel, px * 400 + 150 AS x1, py * 400 + 150 AS y1, px * 400 + 550 AS x2, py * 400 + 550 AS y2 FROM range(24) a(px), range(24) b(py))
+SELECT pixel, round(sum(coalesce(a, 0) * share * (least(p.x2, k.x2) - greatest(p.x1, k.x1)) * (least(p.y2, k.y2) - greatest(p.y1, k.y1)) / 1e6), 4) AS children
+FROM pixel p JOIN block k ON least(p.x2, k.x2) > greatest(p.x1, k.x1) AND least(p.y2, k.y2) > greatest(p.y1, k.y1) JOIN shares s USING (block) LEFT JOIN census c ON c.bg = s.bg GROUP BY pixel""")
+def pixel_children(spark, sf_dir):
+    """Children of blocks spread over 400 m pixels by area."""
+    n = lambda name: spark.range(24).withColumnRenamed("id", name)
+    grid = n("px").withColumn("py", F.explode(F.sequence(F.lit(0), F.lit(23))))
+    side = lambda c, d: (F.col(c) * 400 + d).cast("double")
+    pixels = grid.select((F.col("px") * 25 + F.col("py")).alias("pixel"), side("px", 150).alias("ax1"), side("py", 150).alias("ay1"), side("px", 550).alias("ax2"), side("py", 550).alias("ay2"))
+    met = spatial.overlay(pixels, I._corners(downscaled(spark, sf_dir).select("a", "x1", "y1", "x2", "y2"), "b"), CELL)
+    return met.groupBy("pixel").agg(F.round(F.sum(F.col("a") * F.col("area") / 1e6), 4).alias("children"))
+
+
+@query("income_distribution", COUNTED + """, t AS (SELECT zone, unnest(['a', 'b']) AS bracket, unnest([sum(a * weight), sum(b * weight)]) AS n FROM parts JOIN census USING (bg) GROUP BY zone)
+SELECT zone, bracket, round(n / sum(n) OVER (PARTITION BY zone) * 100, 4) AS pct FROM t""")
+def income_distribution(spark, sf_dir):
+    sums = I.zone_sums(fragments(spark, sf_dir), census(spark, sf_dir), ["population", "a", "b"], "income")
+    long = sums.unpivot(["zone"], ["a", "b"], "bracket", "n")
+    return long.select("zone", "bracket", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("zone")) * 100, 4).alias("pct"))
+
+
+POINTS = sql("zone", "sale", "development", "facility", "parcel")
+
+
+def in_zones(spark, sf_dir, name: str, key: str):
+    """Rows of an entity with the first zone around them; zones are polygons here, given by their edges."""
+    rows = entity(spark, sf_dir, name)
+    xy = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    ring = F.array(xy("x1", "y1"), xy("x2", "y1"), xy("x2", "y2"), xy("x1", "y2"))
+    edges = spatial.rings_to_edges(entity(spark, sf_dir, "zone").select("zone", F.array(ring).alias("rings")), "zone")
+    found = spatial.point_in_polygon(rows.select(key, "x", "y"), edges, key, "zone")
+    return rows.join(spatial.first_match(found, key, "zone"), key)
+
+
+INSIDE = "x >= x1 AND x < x2 AND y >= y1 AND y < y2"
+
+
+@query("pip_attribution", POINTS + f"SELECT facility, min(zone) AS zone FROM facility JOIN zone ON {INSIDE} GROUP BY facility")
+def pip_attribution(spark, sf_dir):
+    return in_zones(spark, sf_dir, "facility", "facility").select("facility", "zone")
+
+
+@query("zone_sales_stats", POINTS + f"SELECT zone, count(*) AS n, round(median(price), 4) AS median_price, round(median(price / 100), 4) AS median_unit FROM (SELECT sale, price, min(zone) AS zone FROM sale JOIN zone ON {INSIDE} GROUP BY ALL) GROUP BY zone")
+def zone_sales_stats(spark, sf_dir):
+    by = in_zones(spark, sf_dir, "sale", "sale").groupBy("zone")
+    return by.agg(F.count("*").alias("n"), F.round(F.median("price"), 4).alias("median_price"), F.round(F.median(F.col("price") / 100), 4).alias("median_unit"))
+
+
+@query("zone_dev_sums", POINTS + f"SELECT zone, count(*) AS n, CAST(sum(units) AS BIGINT) AS units, CAST(sum(students) AS BIGINT) AS students FROM (SELECT development, units, students, min(zone) AS zone FROM development JOIN zone ON {INSIDE} GROUP BY ALL) GROUP BY zone")
+def zone_dev_sums(spark, sf_dir):
+    by = in_zones(spark, sf_dir, "development", "development").groupBy("zone")
+    return by.agg(F.count("*").alias("n"), F.sum("units").alias("units"), F.sum("students").alias("students"))
+
+
+@query("zone_bedrooms", POINTS + f"SELECT zone, string_agg(CAST(students AS VARCHAR), ',' ORDER BY students) AS bedrooms FROM (SELECT development, students, min(zone) AS zone FROM development JOIN zone ON {INSIDE} WHERE development % 50 = 0 GROUP BY ALL) GROUP BY zone")
+def zone_bedrooms(spark, sf_dir):
+    by = in_zones(spark, sf_dir, "development", "development").where("development % 50 = 0").groupBy("zone")
+    return by.agg(F.array_join(F.transform(F.sort_array(F.collect_list("students")), lambda s: s.cast("string")), ",").alias("bedrooms"))
+
+
+@query("contains_or_nearest", sql("site", "zone") + """SELECT site, coalesce(min(CASE WHEN site_x >= x1 AND site_x < x2 AND site_y >= y1 AND site_y < y2 THEN zone END), arg_min(zone, sqrt((site_x - (x1 + x2) / 2) ** 2 + (site_y - (y1 + y2) / 2) ** 2))) AS zone,
+bool_or(site_x >= x1 AND site_x < x2 AND site_y >= y1 AND site_y < y2) AS inside FROM site, zone GROUP BY site""")
+def contains_or_nearest(spark, sf_dir):
+    """The zone around a site, or the one of the nearest centre."""
+    packed = entity(spark, sf_dir, "zone").agg(F.sort_array(F.collect_list(F.struct("zone", "x1", "y1", "x2", "y2"))).alias("z"))
+    rows = entity(spark, sf_dir, "site").crossJoin(F.broadcast(packed))  # a few zones in one row
+    x, y = F.col("site_x"), F.col("site_y")
+    holds = lambda z: (x >= z["x1"]) & (x < z["x2"]) & (y >= z["y1"]) & (y < z["y2"])
+    far = lambda z: F.struct(F.sqrt(F.pow(x - (z["x1"] + z["x2"]) / 2, 2) + F.pow(y - (z["y1"] + z["y2"]) / 2, 2)).alias("d"), z["zone"].alias("zone"))
+    held = F.filter("z", holds)
+    return rows.select("site", F.coalesce(F.get(held, F.lit(0))["zone"], F.array_min(F.transform("z", far))["zone"]).alias("zone"), (F.size(held) > 0).alias("inside"))
+
+
+@query("flood_overlap", sql("parcel") + """, flood AS (SELECT CAST(x * 500 AS DOUBLE) AS fx1, CAST(y * 500 AS DOUBLE) AS fy1, x * 500e0 + 200 AS fx2, y * 500e0 + 200 AS fy2, CASE WHEN (x + y) % 3 = 0 THEN 'AE' ELSE 'X' END AS z, CASE WHEN (x + y) % 3 = 1 THEN '0.2 PCT ANNUAL' END AS s FROM range(20) a(x), range(20) b(y))
+SELECT parcel, class, round(sum((least(x2, fx2) - greatest(x1, fx1)) * (least(y2, fy2) - greatest(y1, fy1))) / 4046.86, 2) AS acres, round(sum((least(x2, fx2) - greatest(x1, fx1)) * (least(y2, fy2) - greatest(y1, fy1))) / any_value((x2 - x1) * (y2 - y1)) * 100, 1) AS pct
+FROM (SELECT *, CASE WHEN z IN ('A', 'AE', 'AO', 'AH') THEN 100 WHEN s ILIKE '%0.2 PCT%' THEN 500 END::INTEGER AS class FROM flood) JOIN parcel ON least(x2, fx2) > greatest(x1, fx1) AND least(y2, fy2) > greatest(y1, fy1) WHERE class IS NOT NULL GROUP BY ALL""")
+def flood_overlap(spark, sf_dir):
+    """Area and percent of parcels in flood zones of either class; the zones of a class do not overlap."""
+    grid = spark.range(20).withColumnRenamed("id", "x").withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    zone, subtype = F.when((F.col("x") + F.col("y")) % 3 == 0, "AE").otherwise("X"), F.when((F.col("x") + F.col("y")) % 3 == 1, "0.2 PCT ANNUAL")
+    side = lambda c, d: (F.col(c) * 500 + d).cast("double")
+    flood = grid.select(flood_class(zone, subtype).alias("class"), side("x", 0).alias("bx1"), side("y", 0).alias("by1"), side("x", 200).alias("bx2"), side("y", 200).alias("by2")).where("class IS NOT NULL")
+    met = spatial.overlay(I._corners(entity(spark, sf_dir, "parcel").select("parcel", "x1", "y1", "x2", "y2"), "a"), flood, 500.0)
+    whole = (F.col("ax2") - F.col("ax1")) * (F.col("ay2") - F.col("ay1"))
+    return met.groupBy("parcel", "class").agg(F.round(F.sum("area") / 4046.86, 2).alias("acres"), F.round(F.sum("area") / F.first(whole) * 100, 1).alias("pct"))
+
+
+DOTTED = COUNTED + BLOCKS + ", counts AS (SELECT block, bg, unnest(['a', 'b']) AS category, CAST(floor(unnest([coalesce(a, 0) * share, coalesce(b, 0) * share]) / 2) AS BIGINT) AS n FROM shares LEFT JOIN census USING (bg)) "
+
+
+@query("dot_counts", DOTTED + "SELECT block, category, n, n AS inside FROM counts WHERE n > 0")
+def dot_counts(spark, sf_dir):
+    """Dots of two people each by block, and how many of them lie inside it."""
+    b = downscaled(spark, sf_dir)
+    d = I.dots(b, ["a", "b"], 2, 10.0).join(b.select("block", "x1", "y1", "x2", "y2"), "block")
+    return d.groupBy("block", "category").agg(F.count("*").alias("n"), F.count_if(F.expr("x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2")).alias("inside"))
+
+
+@query("dot_zone_demo", DOTTED + """SELECT bg, CAST(sum(n) AS BIGINT) AS n_dots, CAST(sum(CASE WHEN category = 'a' THEN n ELSE 0 END) AS BIGINT) AS n_a, round(sum(n * income) / sum(n), 4) AS mean_income, CAST(floor(sum(n) / 2) AS BIGINT) AS young, CAST(sum(n) - floor(sum(n) / 2) AS BIGINT) AS old
+FROM counts JOIN census USING (bg) WHERE n > 0 GROUP BY bg""")
+def dot_zone_demo(spark, sf_dir):
+    """Aggregates over dots by block group: counts, the mean of block values over dots, a split in halves."""
+    b = downscaled(spark, sf_dir)
+    d = I.dots(b, ["a", "b"], 2, 10.0).join(b.select("block", "bg"), "block").join(census(spark, sf_dir).select("bg", "income"), "bg")
+    out = d.groupBy("bg").agg(F.count("*").alias("n_dots"), F.count_if(F.col("category") == "a").alias("n_a"), F.round(F.avg("income"), 4).alias("mean_income"))
+    return out.withColumn("young", F.floor(F.col("n_dots") / 2)).withColumn("old", F.col("n_dots") - F.col("young"))
+
+
+@query("distinct_zone_columns", COUNTED + "SELECT bg, population, a, b, income, t AS residential FROM census JOIN gr USING (bg)".replace("t AS residential", "round(t, 4) AS residential"))
+def distinct_zone_columns(spark, sf_dir):
+    """A profile supplemented with the columns it lacks."""
+    more = I.residential_area(entity(spark, sf_dir, "block_group"), "bg", homes(spark, sf_dir), CELL).withColumn("residential", F.round("residential", 4))
+    return tables.supplement(census(spark, sf_dir), more.withColumn("population", F.lit(0)), "bg")

@@ -1 +1,209 @@
-"""Queries."""
+"""Queries on roads, exposure around sites, and rasters."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import geo
+from ..operators import exposure as E
+from ..operators import spatial, tables
+from .adapters import entity, sql
+from .registry import query
+
+
+def _case(column: str, values: dict, kind: str = "") -> str:
+    return f"CASE {column} " + " ".join(f"WHEN {k!r} THEN {float(v)!r}::DOUBLE" for k, v in values.items()) + " END"
+
+
+WEIGHT = f"CASE WHEN class = 'service' THEN coalesce({_case('service', E.SERVICE_WEIGHTS)}, 0.02e0) ELSE {_case('class', E.ROAD_WEIGHTS)} END"
+SPEED = f"coalesce({_case('class', E.SPEEDS_MPH)}, 20e0) * 0.44704e0"
+WEIGHTED = sql("road", "site") + f", weighted AS (SELECT *, {WEIGHT} AS weight, sqrt((ex - ax) * (ex - ax) + (ey - ay) * (ey - ay)) AS len FROM road)"
+POINTS = WEIGHTED + """, pieces AS (SELECT *, greatest(CAST(floor(len / 50e0) AS BIGINT), 1) AS n FROM weighted WHERE weight IS NOT NULL AND len > 0),
+point AS (SELECT road, i AS piece, ax + (i + 0.5e0) / n * (ex - ax) AS x, ay + (i + 0.5e0) / n * (ey - ay) AS y, weight FROM pieces, LATERAL (SELECT unnest(range(n)) AS i))
+"""
+
+
+def weighted(spark, sf_dir):
+    roads = entity(spark, sf_dir, "road").withColumn("weight", E.road_weight(F.col("class"), F.col("service")))
+    return roads.withColumn("len", geo.planar(F.col("ax"), F.col("ay"), F.col("ex"), F.col("ey")))
+
+
+def points(spark, sf_dir):
+    return E.discretized(weighted(spark, sf_dir).where("weight IS NOT NULL"), 50.0)
+
+
+@query("road_weights", WEIGHTED + "SELECT road, class, weight FROM weighted WHERE weight IS NOT NULL")
+def road_weights(spark, sf_dir):
+    return weighted(spark, sf_dir).where("weight IS NOT NULL").select("road", "class", "weight")
+
+
+@query("road_class_summary", WEIGHTED + "SELECT class, count(*) AS n, round(avg(len), 4) AS mean_length, count(weight) AS n_weighted FROM weighted GROUP BY class")
+def road_class_summary(spark, sf_dir):
+    return weighted(spark, sf_dir).groupBy("class").agg(F.count("*").alias("n"), F.round(F.avg("len"), 4).alias("mean_length"), F.count("weight").alias("n_weighted"))
+
+
+@query("edge_travel_time", WEIGHTED + f"""SELECT road, round(len / 1.12e0 + road % 3 * 11, 6) AS walk, round(len / 5.36e0 + road % 3 * 11, 6) AS bike, round(len / ({SPEED}) + road % 3 * 11, 6) AS drive FROM weighted""")
+def edge_travel_time(spark, sf_dir):
+    penalty = F.col("road") % 3 * 11
+    return weighted(spark, sf_dir).select("road", *[F.round(E.travel_seconds(m, F.col("len"), F.col("class"), penalty), 6).alias(m) for m in ("walk", "bike", "drive")])
+
+
+@query("discretize", POINTS + "SELECT road, piece, round(x, 4) AS x, round(y, 4) AS y, weight FROM point")
+def discretize(spark, sf_dir):
+    return points(spark, sf_dir).select("road", "piece", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), "weight")
+
+
+DISTANCE = "sqrt((x - site_x) * (x - site_x) + (y - site_y) * (y - site_y))"
+RAW = POINTS + f""", raw AS (SELECT site, coalesce(sum(weight * exp(-0.003e0 * {DISTANCE})) FILTER ({DISTANCE} <= 500), 0) AS r500, coalesce(sum(weight * exp(-0.003e0 * {DISTANCE})) FILTER ({DISTANCE} <= 1000), 0) AS r1000 FROM site, point GROUP BY site)
+"""
+
+
+@query("radius_decay", RAW + "SELECT site, round(r500, 6) AS raw_500, round(r1000, 6) AS raw_1000 FROM raw")
+def radius_decay(spark, sf_dir):
+    out = E.decay_sums(entity(spark, sf_dir, "site"), points(spark, sf_dir), (500, 1000))
+    return out.select("site", F.round("raw_500", 6).alias("raw_500"), F.round("raw_1000", 6).alias("raw_1000"))
+
+
+@query("site_exposure", RAW + """SELECT site, round(r1000, 6) AS raw, round(r1000 / max(r1000) OVER () * 100, 4) AS raw_norm, rank() OVER (ORDER BY round(r1000, 6) DESC) AS rank_raw,
+round(r1000 * (1 - least(0.56e0 * (site % 4) / 4e0, 0.8e0)), 6) AS net FROM raw""")
+def site_exposure(spark, sf_dir):
+    """Exposure by site: raw, as percent of the largest, ranked, and net of canopy. A row for each site: one partition for the ranks."""
+    out = E.decay_sums(entity(spark, sf_dir, "site"), points(spark, sf_dir), (1000,)).withColumn("raw", F.round("raw_1000", 6))
+    out = out.withColumn("raw_norm", F.round(F.col("raw_1000") / F.max("raw_1000").over(Window.partitionBy()) * 100, 4))
+    out = tables.rank_min(out, "raw", "rank_raw")
+    return out.select("site", "raw", "raw_norm", "rank_raw", F.round(E.mitigated(F.col("raw_1000"), F.col("site") % 4 / 4.0), 6).alias("net"))
+
+
+GRID = ", cell AS (SELECT gx * 10 + gy AS site, gx * 1000e0 + 500 AS site_x, gy * 1000e0 + 500 AS site_y FROM range(10) a(gx), range(10) b(gy))"
+
+
+@query("decay_grid", POINTS + GRID + f"SELECT site AS cell, round(coalesce(sum(weight * exp(-0.003e0 * {DISTANCE})), 0), 6) AS raw FROM cell LEFT JOIN point ON {DISTANCE} <= 1000 GROUP BY site")
+def decay_grid(spark, sf_dir):
+    grid = spark.range(10).withColumnRenamed("id", "gx").withColumn("gy", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    cells = grid.select((F.col("gx") * 10 + F.col("gy")).alias("site"), (F.col("gx") * 1000 + 500).cast("double").alias("site_x"), (F.col("gy") * 1000 + 500).cast("double").alias("site_y"))
+    return E.decay_sums(cells, points(spark, sf_dir), (1000,)).select(F.col("site").alias("cell"), F.round("raw_1000", 6).alias("raw"))
+
+
+@query("top8_contributors", POINTS + f"""SELECT site, road, piece, rank, round(c, 6) AS contribution, round(c / total * 100, 4) AS share, rest FROM (
+SELECT *, row_number() OVER (PARTITION BY site ORDER BY round(c, 9) DESC, road, piece) AS rank, sum(c) OVER (PARTITION BY site) AS total, greatest(count(*) OVER (PARTITION BY site) - 8, 0) AS rest
+FROM (SELECT site, road, piece, weight * exp(-0.003e0 * {DISTANCE}) AS c FROM site, point WHERE {DISTANCE} <= 1000) WHERE c > 1e-4) WHERE rank <= 8""")
+def top8_contributors(spark, sf_dir):
+    """The eight points that contribute most at each site, their share, and how many others there are."""
+    d = geo.planar(F.col("x"), F.col("y"), F.col("site_x"), F.col("site_y"))
+    x = lambda df: F.col("site_x") if "site_x" in df.columns else F.col("x")
+    y = lambda df: F.col("site_y") if "site_y" in df.columns else F.col("y")
+    near = spatial.within(points(spark, sf_dir), entity(spark, sf_dir, "site"), x, y, (1000.0, 1000.0), d, 1000.0)
+    near = near.withColumn("c", F.col("weight") * F.exp(-E.DECAY * F.col("distance"))).where("c > 1e-4")
+    w = Window.partitionBy("site")
+    near = near.withColumn("rank", F.row_number().over(w.orderBy(F.round("c", 9).desc(), "road", "piece"))).withColumn("total", F.sum("c").over(w))
+    near = near.withColumn("rest", F.greatest(F.count("*").over(w) - 8, F.lit(0))).where("rank <= 8")
+    return near.select("site", "road", "piece", F.col("rank").cast("long").alias("rank"), F.round("c", 6).alias("contribution"), F.round(F.col("c") / F.col("total") * 100, 4).alias("share"), "rest")
+
+
+SNAP = """t, sqrt((x - (ax + t * (ex - ax))) ** 2 + (y - (ay + t * (ey - ay))) ** 2) AS d FROM (SELECT *, CASE WHEN len > 0 THEN greatest(0e0, least(1e0, ((x - ax) * (ex - ax) + (y - ay) * (ey - ay)) / (len * len))) ELSE 0 END AS t FROM """
+
+
+@query("station_snap", sql("station") + ", " + WEIGHTED.removeprefix("WITH ") + f"""SELECT station, road, round(d, 6) AS distance, round(greatest(0.001e0, least(2e0, (station * 37 + 400) / 50000e0)), 6) AS weight FROM (SELECT station, road, {SNAP} station, weighted)) WHERE d <= 50
+QUALIFY row_number() OVER (PARTITION BY road ORDER BY station DESC) = 1""")
+def station_snap(spark, sf_dir):
+    """Roads with a traffic station within 50 m, the last station of each, and the weight that it gives."""
+    near = snapped(spark, sf_dir, entity(spark, sf_dir, "station"), "station", 50.0)
+    last = tables.first_row(near, ["road"], [F.col("station").desc()])
+    return last.select("station", "road", F.round("distance", 6).alias("distance"), F.round(geo.clamp((F.col("station") * 37 + 400) / 50000.0, 0.001, 2.0), 6).alias("weight"))
+
+
+def snapped(spark, sf_dir, rows, key: str, reach: float):
+    """Pairs of points and the road segments within reach. Segments are spread over the cells of their box, widened by the reach."""
+    size = 500.0
+    spread = lambda a, b: F.explode(F.sequence(geo.cell(F.least(a, b) - reach, size), geo.cell(F.greatest(a, b) + reach, size)))
+    roads = weighted(spark, sf_dir).withColumn("_cx", spread("ax", "ex")).withColumn("_cy", spread("ay", "ey"))
+    met = rows.select(key, "x", "y").withColumn("_cx", geo.cell(F.col("x"), size)).withColumn("_cy", geo.cell(F.col("y"), size)).join(roads, ["_cx", "_cy"])
+    ends = [F.col(c) for c in ("x", "y", "ax", "ay", "ex", "ey")]
+    return met.withColumn("t", geo.along_segment(*ends)).withColumn("distance", geo.to_segment(*ends)).where(F.col("distance") <= reach)
+
+
+@query("edge_snap", sql("facility") + ", " + WEIGHTED.removeprefix("WITH ") + f"""SELECT facility, road, round(d, 6) AS distance, round(t, 6) AS fraction FROM (SELECT facility, road, {SNAP} facility, weighted)) WHERE d <= 200
+QUALIFY row_number() OVER (PARTITION BY facility ORDER BY round(d, 6), road) = 1""")
+def edge_snap(spark, sf_dir):
+    """The nearest road of each facility within 200 m and where along it."""
+    near = snapped(spark, sf_dir, entity(spark, sf_dir, "facility"), "facility", 200.0).withColumn("distance", F.round("distance", 6))
+    return tables.first_row(near, ["facility"], [F.col("distance"), F.col("road")]).select("facility", "road", "distance", F.round("t", 6).alias("fraction"))
+
+
+CODES = (0, 10, 20, 30, 40, 50, 60, 80, 90, 95, 10)
+LAND = sql("site", "facility") + ", land AS (SELECT r AS row, c AS col, [0, 10, 20, 30, 40, 50, 60, 80, 90, 95, 10][CAST((r * 31 + c * 17) % 11 AS BIGINT) + 1] AS class FROM range(100) a(r), range(100) b(c)), win AS (SELECT site, class FROM site, land WHERE abs(row - floor(site_y / 101e0)) <= 4 AND abs(col - floor(site_x / 101e0)) <= 4)"
+
+
+def land(spark):
+    rows = spark.range(100).withColumnRenamed("id", "row").withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(99))))
+    code = F.element_at(F.array(*[F.lit(c) for c in CODES]), ((F.col("row") * 31 + F.col("col") * 17) % 11 + 1).cast("int"))
+    return rows.select("row", F.col("col").cast("long").alias("col"), code.alias("class"))
+
+
+def window(spark, sf_dir):
+    sites = entity(spark, sf_dir, "site").select("site", F.floor(F.col("site_y") / 101).alias("row0"), F.floor(F.col("site_x") / 101).alias("col0"))
+    return E.window_cells(sites, land(spark), 4)
+
+
+@query("canopy_fraction", LAND + "SELECT site, round(count_if(class = 10) / CAST(count_if(class > 0) AS DOUBLE), 6) AS canopy FROM win GROUP BY site")
+def canopy_fraction(spark, sf_dir):
+    return E.canopy_fraction(window(spark, sf_dir)).select("site", F.round("canopy", 6).alias("canopy"))
+
+
+@query("uhi_score", LAND + f"SELECT site, round(greatest(0, least(100, (avg(CASE WHEN class > 0 THEN {_case('class', E.LAND_WEIGHTS)} END) + 1) / 2 * 100)), 4) AS uhi FROM win GROUP BY site")
+def uhi_score(spark, sf_dir):
+    return E.heat_score(window(spark, sf_dir)).select("site", F.round("uhi", 4).alias("uhi"))
+
+
+CELLS = sql("facility") + ", cells AS (SELECT CAST(least(greatest(floor(y / (10009e0 / 40)), 0), 39) AS BIGINT) AS row, CAST(least(greatest(floor(x / (10007e0 / 40)), 0), 39) AS BIGINT) AS col, min(capacity) AS value FROM facility GROUP BY ALL)"
+
+
+def raster(spark, sf_dir):
+    return E.rasterized_least(entity(spark, sf_dir, "facility"), "capacity", (0.0, 0.0, 10007.0, 10009.0), 40, 40)
+
+
+@query("rasterize_min", CELLS + "SELECT * FROM cells")
+def rasterize_min(spark, sf_dir):
+    return raster(spark, sf_dir)
+
+
+@query("focal_fill", CELLS + """SELECT row, col, round(value, 6) AS value FROM cells UNION ALL SELECT r, c, round(avg(value), 6) FROM range(40) a(r), range(40) b(c), cells
+WHERE abs(row - r) <= 1 AND abs(col - c) <= 1 AND NOT EXISTS (SELECT 1 FROM cells k WHERE k.row = r AND k.col = c) GROUP BY r, c""")
+def focal_fill(spark, sf_dir):
+    return E.filled(raster(spark, sf_dir), 40, 40).withColumn("value", F.round("value", 6))
+
+
+@query("cell_lookup", CELLS + ", p AS (SELECT site, s.site_x, s.site_y FROM (" + sql("site") + """ SELECT * FROM site) s) SELECT site, value FROM p JOIN cells ON row = CAST(floor(site_y / (10009e0 / 40)) AS BIGINT) AND col = CAST(floor(site_x / (10007e0 / 40)) AS BIGINT)""")
+def cell_lookup(spark, sf_dir):
+    sites = entity(spark, sf_dir, "site").select("site", F.floor(F.col("site_y") / (10009 / 40)).alias("row"), F.floor(F.col("site_x") / (10007 / 40)).alias("col"))
+    return sites.join(raster(spark, sf_dir), ["row", "col"]).select("site", "value")
+
+
+@query("crop_grid", CELLS + "SELECT row - 10 AS row, col - 5 AS col, value FROM cells WHERE row BETWEEN 10 AND 20 AND col BETWEEN 5 AND 30")
+def crop_grid(spark, sf_dir):
+    return raster(spark, sf_dir).where("row BETWEEN 10 AND 20 AND col BETWEEN 5 AND 30").select((F.col("row") - 10).alias("row"), (F.col("col") - 5).alias("col"), "value")
+
+
+@query("grid_points", sql("zone") + """SELECT row_number() OVER (ORDER BY i, j) - 1 AS grid_id, i * 250e0 AS x, j * 250e0 AS y FROM range(41) a(i), range(41) b(j) WHERE EXISTS (SELECT 1 FROM zone WHERE i * 250 >= x1 AND i * 250 < x2 AND j * 250 >= y1 AND j * 250 < y2)""")
+def grid_points(spark, sf_dir):
+    """A regular grid's points inside the zones, numbered column by column; the grid bounds the one partition of numbers."""
+    steps = F.explode(F.sequence(F.lit(0), F.lit(40)))
+    grid = spark.range(41).withColumnRenamed("id", "i").withColumn("j", steps).select("i", "j", (F.col("i") * 250).cast("double").alias("x"), (F.col("j") * 250).cast("double").alias("y"), (F.col("i") * 41 + F.col("j")).alias("k"))
+    z = entity(spark, sf_dir, "zone")
+    xy = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    edges = spatial.rings_to_edges(z.select("zone", F.array(F.array(xy("x1", "y1"), xy("x2", "y1"), xy("x2", "y2"), xy("x1", "y2"))).alias("rings")), "zone")
+    inside = spatial.point_in_polygon(grid.select("k", "x", "y"), edges, "k", "zone").select("k").distinct()
+    w = Window.orderBy("i", "j")
+    return grid.join(inside, "k").select((F.row_number().over(w) - 1).cast("long").alias("grid_id"), "x", "y")
+
+
+@query("road_diagnostic", POINTS + f"SELECT site, class, count(DISTINCT road) AS n, round(sum(0.01e0 * exp(-0.003e0 * {DISTANCE})), 6) AS s FROM site, point JOIN road USING (road) WHERE {DISTANCE} <= 1000 GROUP BY ALL")
+def road_diagnostic(spark, sf_dir):
+    """Classes of roads near each site: how many, and what a minor road of each point would add."""
+    d = geo.planar(F.col("x"), F.col("y"), F.col("site_x"), F.col("site_y"))
+    x = lambda df: F.col("site_x") if "site_x" in df.columns else F.col("x")
+    y = lambda df: F.col("site_y") if "site_y" in df.columns else F.col("y")
+    near = spatial.within(points(spark, sf_dir), entity(spark, sf_dir, "site"), x, y, (1000.0, 1000.0), d, 1000.0)
+    near = near.join(entity(spark, sf_dir, "road").select("road", "class"), "road")
+    return near.groupBy("site", "class").agg(F.countDistinct("road").alias("n"), F.round(F.sum(F.lit(0.01) * F.exp(-E.DECAY * F.col("distance"))), 6).alias("s"))
