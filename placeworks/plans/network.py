@@ -1 +1,177 @@
-"""Queries."""
+"""Queries on travel times, closures, traffic and the choice model."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import choice as C
+from ..operators import network as N
+from .registry import query, table
+
+#: The graph of parts: each is tied to the next and to a far one; rounds of the SQL's chain, checked in the tests.
+CHAIN = 40
+
+EDGES = """, n AS (SELECT count(*) AS n FROM part), e AS (SELECT p_partkey AS u, (p_partkey + 1) % n AS v, CAST(p_size AS BIGINT) AS w FROM part, n UNION ALL SELECT p_partkey, (p_partkey * 7 + 3) % n, CAST(p_size AS BIGINT) + 5 FROM part, n),
+edge AS MATERIALIZED (SELECT u, v, min(w) AS w FROM (SELECT u, v, w FROM e UNION ALL SELECT v, u, w FROM e) WHERE u != v GROUP BY u, v)
+"""
+SOURCES = "WITH site AS (SELECT s_suppkey AS site, (s_suppkey * 37) % (SELECT count(*) FROM part) AS node FROM supplier WHERE s_suppkey < 11)"
+PATHS = SOURCES + EDGES + ", d0 AS (SELECT site, node, 0::BIGINT AS dist FROM site)" + "".join(
+    f", d{i + 1} AS MATERIALIZED (SELECT site, node, min(dist) AS dist FROM (SELECT * FROM d{i} UNION ALL SELECT site, v, dist + w FROM d{i} JOIN edge ON node = u) GROUP BY ALL)" for i in range(CHAIN)
+) + f", path AS (SELECT * FROM d{CHAIN})\n"
+
+
+def edges(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    n = part.count()
+    e = part.selectExpr("p_partkey AS u", f"(p_partkey + 1) % {n}L AS v", "CAST(p_size AS BIGINT) AS w")
+    e = e.unionByName(part.selectExpr("p_partkey AS u", f"(p_partkey * 7 + 3) % {n}L AS v", "CAST(p_size AS BIGINT) + 5 AS w"))
+    both = e.unionByName(e.selectExpr("v AS u", "u AS v", "w")).where("u != v")
+    return both.groupBy("u", "v").agg(F.min("w").alias("w"))
+
+
+def paths(spark, sf_dir):
+    n = table(spark, sf_dir, "part").count()
+    sources = table(spark, sf_dir, "supplier").where("s_suppkey < 11").selectExpr("s_suppkey AS site", f"(s_suppkey * 37) % {n}L AS node")
+    return N.shortest_paths(sources, edges(spark, sf_dir))
+
+
+@query("sssp", PATHS + "SELECT site, node, dist FROM path")
+def sssp(spark, sf_dir):
+    return paths(spark, sf_dir)
+
+
+SNAPS = """, snap AS (SELECT c_custkey AS pixel, c_custkey % n AS start, (c_custkey + 1) % n AS "end", (c_custkey % 5) / 4e0 AS part, 40e0 AS seconds, CAST(c_custkey % 7 AS DOUBLE) AS access FROM customer, n),
+times AS (SELECT pixel, a.site, least(a.dist + part * seconds, b.dist + (1 - part) * seconds) + access AS time, CASE WHEN b.dist + (1 - part) * seconds < a.dist + part * seconds THEN "end" ELSE start END AS entry
+FROM snap JOIN path a ON a.node = start JOIN path b ON b.node = "end" AND b.site = a.site)
+"""
+
+
+def times(spark, sf_dir, reached=None):
+    n = table(spark, sf_dir, "part").count()
+    snaps = table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS pixel", f"c_custkey % {n}L AS start", f"(c_custkey + 1) % {n}L AS end", "(c_custkey % 5) / 4D AS part", "40D AS seconds", "CAST(c_custkey % 7 AS DOUBLE) AS access"
+    )
+    return N.pixel_times(snaps, paths(spark, sf_dir) if reached is None else reached)
+
+
+SCENARIOS = {"baseline": [None], "close_0": [0], "close_3_4": [3, 4]}
+OPEN = PATHS + SNAPS + """, scenario(scenario, site) AS (SELECT 'baseline', site FROM site UNION ALL SELECT 'close_0', site FROM site WHERE site != 0 UNION ALL SELECT 'close_3_4', site FROM site WHERE site NOT IN (3, 4)),
+chosen AS (SELECT scenario, pixel, site, time, entry FROM times JOIN scenario USING (site) QUALIFY row_number() OVER (PARTITION BY scenario, pixel ORDER BY time, site) = 1)
+"""
+
+
+def assigned(spark, sf_dir, reached=None):
+    rows = [(name, c) for name, closed in SCENARIOS.items() for c in closed]
+    return N.nearest_open(times(spark, sf_dir, reached), spark.createDataFrame(rows, "scenario string, closed long"))
+
+
+@query("assign_open", OPEN + "SELECT scenario, pixel, site, round(time, 6) AS time, entry, round(time - max(CASE WHEN scenario = 'baseline' THEN time END) OVER (PARTITION BY pixel), 6) AS delta FROM chosen")
+def assign_open(spark, sf_dir):
+    from ..operators.tables import against_baseline
+
+    out = against_baseline(assigned(spark, sf_dir), ["pixel"], "scenario", "time")
+    return out.select("scenario", "pixel", "site", F.round("time", 6).alias("time"), "entry", F.round("delta", 6).alias("delta"))
+
+
+@query("closure_adhoc", PATHS + SNAPS + "SELECT pixel, site, round(time, 6) AS time FROM times WHERE site NOT IN (1, 2, 5) QUALIFY row_number() OVER (PARTITION BY pixel ORDER BY time, site) = 1")
+def closure_adhoc(spark, sf_dir):
+    return N.closure(times(spark, sf_dir), [1, 2, 5]).withColumn("time", F.round("time", 6))
+
+
+@query("anchored_times", PATHS + SNAPS + """SELECT pixel, site, round(CASE WHEN pixel = site * 3 THEN 0e0 ELSE time END, 6) AS time FROM times""")
+def anchored_times(spark, sf_dir):
+    """Times with 0 at each open site's own pixel."""
+    anchor = F.when(F.col("pixel") == F.col("site") * 3, F.lit(0.0)).otherwise(F.col("time"))
+    return times(spark, sf_dir).select("pixel", "site", F.round(anchor, 6).alias("time"))
+
+
+def traffic(spark, sf_dir, scenario: str):
+    reached = paths(spark, sf_dir)
+    demand = assigned(spark, sf_dir, reached).where(F.col("scenario") == scenario).groupBy("site", F.col("entry").alias("node")).agg(F.count("*").alias("amount"))
+    return N.edge_traffic(demand, N.predecessors(reached, edges(spark, sf_dir)))
+
+
+FLOWS = OPEN.replace("WITH site", "WITH RECURSIVE site", 1) + """, pred AS MATERIALIZED (SELECT b.site, b.node, min(u) AS pred FROM path a JOIN edge ON a.node = u JOIN path b ON b.node = v AND b.site = a.site AND a.dist + w = b.dist AND b.dist > 0 GROUP BY ALL),
+walk AS (SELECT scenario, site, entry AS node, count(*) AS amount FROM chosen GROUP BY ALL UNION ALL SELECT scenario, walk.site, pred, amount FROM walk JOIN pred ON pred.site = walk.site AND pred.node = walk.node),
+flow AS (SELECT scenario, walk.node AS u, pred AS v, CAST(sum(amount) AS BIGINT) AS amount FROM walk JOIN pred ON pred.site = walk.site AND pred.node = walk.node GROUP BY ALL)
+"""
+
+
+@query("edge_traffic", FLOWS + "SELECT u, v, amount FROM flow WHERE scenario = 'baseline'")
+def edge_traffic(spark, sf_dir):
+    return traffic(spark, sf_dir, "baseline")
+
+
+@query("traffic_diff", FLOWS + """SELECT u, v, CAST(coalesce(b.amount, 0) - coalesce(a.amount, 0) AS BIGINT) AS diff FROM (SELECT * FROM flow WHERE scenario = 'baseline') a FULL JOIN (SELECT * FROM flow WHERE scenario = 'close_3_4') b USING (u, v) WHERE abs(coalesce(b.amount, 0) - coalesce(a.amount, 0)) >= 3""")
+def traffic_diff(spark, sf_dir):
+    """Edges whose traffic a closure changes by three or more."""
+    a, b = traffic(spark, sf_dir, "baseline"), traffic(spark, sf_dir, "close_3_4")
+    both = a.select("u", "v", (-F.col("amount")).alias("x")).unionByName(b.select("u", "v", F.col("amount").alias("x")))
+    return both.groupBy("u", "v").agg(F.sum("x").alias("diff")).where(F.abs("diff") >= 3)
+
+
+KIDS = """WITH k AS (SELECT c_nationkey AS zone, c_mktsegment AS race, CAST(count(*) AS DOUBLE) AS kids, 1 + (c_nationkey % 5) / 10e0 AS weight FROM customer GROUP BY ALL), base AS (SELECT 0.1e0 * sum(kids) / sum(kids * weight) AS b FROM k),
+s AS (SELECT zone, race, kids, b * weight AS rate, kids * (1 - b * weight) AS stay FROM k, base)
+"""
+
+
+def stays(spark, sf_dir):
+    kids = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("zone"), F.col("c_mktsegment").alias("race")).agg(F.count("*").cast("double").alias("kids"))
+    return C.retained(kids, 1 + F.col("zone") % 5 / 10.0)
+
+
+@query("optout_solve", KIDS + "SELECT zone, race, kids, round(rate, 6) AS rate, round(stay, 6) AS stay FROM s")
+def optout_solve(spark, sf_dir):
+    return stays(spark, sf_dir).select("zone", "race", "kids", F.round("rate", 6).alias("rate"), F.round("stay", 6).alias("stay"))
+
+
+CHOICES = KIDS + """, c AS (SELECT s.*, d.site, CASE WHEN d.site = zone % 11 THEN 2e0 ELSE 0 END - ((zone * 3 + d.site * 5) % 7) / 4e0 AS u FROM s, (SELECT s_suppkey AS site FROM supplier WHERE s_suppkey < 11) d WHERE (zone + d.site) % 4 != 1),
+f AS (SELECT zone, race, site, stay * exp(u - max(u) OVER w) / sum(exp(u - m)) OVER w AS flow FROM (SELECT *, max(u) OVER (PARTITION BY zone, race) AS m FROM c) WINDOW w AS (PARTITION BY zone, race))
+"""
+
+
+def flows(spark, sf_dir):
+    sites = table(spark, sf_dir, "supplier").where("s_suppkey < 11").select(F.col("s_suppkey").alias("site"))
+    # Sites are a dimension of eleven rows: each zone and race gets its open ones.
+    choices = stays(spark, sf_dir).crossJoin(F.broadcast(sites)).where("(zone + site) % 4 != 1")
+    own = F.when(F.col("site") == F.col("zone") % 11, F.lit(2.0)).otherwise(F.lit(0.0))
+    choices = choices.withColumn("u", own - (F.col("zone") * 3 + F.col("site") * 5) % 7 / 4.0)
+    return C.softmax_flows(choices, ["zone", "race"], "u", "stay")
+
+
+@query("softmax_flows", CHOICES + "SELECT zone, race, site, round(flow, 6) AS flow FROM f WHERE flow >= 1e-9")
+def softmax_flows(spark, sf_dir):
+    return flows(spark, sf_dir).select("zone", "race", "site", F.round("flow", 6).alias("flow"))
+
+
+@query("naive_baseline", KIDS + "SELECT zone % 11 AS site, round(sum(stay), 4) AS students FROM s GROUP BY 1")
+def naive_baseline(spark, sf_dir):
+    """Everyone who stays goes to the zone's own site."""
+    return stays(spark, sf_dir).groupBy((F.col("zone") % 11).alias("site")).agg(F.round(F.sum("stay"), 4).alias("students"))
+
+
+@query("fit_metrics", CHOICES + """, t AS (SELECT site, sum(flow) AS students FROM f GROUP BY site) SELECT round(avg(abs(students - s_acctbal / 50)), 4) AS mae, round(sqrt(avg((students - s_acctbal / 50) ** 2)), 4) AS rmse FROM t JOIN supplier ON site = s_suppkey""")
+def fit_metrics(spark, sf_dir):
+    totals = flows(spark, sf_dir).groupBy("site").agg(F.sum("flow").alias("students"))
+    actual = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("site"), (F.col("s_acctbal") / 50).alias("actual"))
+    return C.fit(totals.join(actual, "site"), "students", "actual").select(F.round("mae", 4).alias("mae"), F.round("rmse", 4).alias("rmse"))
+
+
+@query("calibration")
+def calibration(spark, sf_dir):
+    """The pull of the own site and the cost of distance that fit the sites best; no SQL: a seeded search over eleven sites' totals."""
+    import numpy as np
+
+    k = stays(spark, sf_dir).groupBy("zone").agg(F.sum("stay").alias("stay")).orderBy("zone").toPandas()  # a row for each zone
+    sites = table(spark, sf_dir, "supplier").where("s_suppkey < 11").orderBy("s_suppkey").selectExpr("s_suppkey AS site", "s_acctbal / 50 AS actual").toPandas()
+    z, s = k.zone.to_numpy()[:, None], sites.site.to_numpy()[None]
+    own, far, shut = (s == z % 11) * 1.0, (z * 3 + s * 5) % 7 / 4.0, (z + s) % 4 == 1
+    stay, actual = k.stay.to_numpy(float), sites.actual.to_numpy(float)
+
+    def objective(p):
+        u = np.where(shut, -np.inf, p[0] * own - p[1] * far)
+        e = np.exp(u - u.max(axis=1, keepdims=True))
+        return float(np.abs(stay @ (e / e.sum(axis=1, keepdims=True)) - actual).mean())
+
+    best, mae = C.calibrate(objective, np.array([0.0, 0.0]), np.array([6.0, 4.0]))
+    return spark.createDataFrame([(float(best[0]), float(best[1]), mae)], "own double, distance double, mae double")
