@@ -36,7 +36,7 @@ BLOCK_DOCS, BLOCK_BYTES = 1024, 4 << 20
 #: The dictionary is trained on about this many documents, taken by a hash of
 #: their doc_id, and on this many ids of each at most.
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 1000, 4096, 1 << 16
-MEMO_ENTRIES, JOINED = 300_000, 512
+MEMO_ENTRIES, JOINED, CHUNK_BYTES = 200_000, 512, 1 << 18
 LEVEL = 3
 
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
@@ -145,7 +145,7 @@ class Encoder:
     def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text (null: none), in order."""
         buf, offsets = T.text_bytes(column)
-        for first, last, part, offs in T.chunks(buf, offsets):
+        for first, last, part, offs in T.chunks(buf, offsets, CHUNK_BYTES):
             text = part.tobytes().decode("utf-8")
             if any(a in text for a in self.added):
                 # Strings of added tokens are cut out before pretokens are, so such texts go whole.
@@ -183,6 +183,12 @@ class Encoder:
         yield from (ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
 
 
+@cache
+def _encoder(path: str) -> Encoder:
+    """One encoder for each Python worker, whose memo lasts over its tasks."""
+    return Encoder(path)
+
+
 def _width(vocabulary: int) -> np.dtype:
     return np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
 
@@ -193,7 +199,7 @@ def train_dictionary(docs: DataFrame, path: str, width: np.dtype) -> bytes:
     sample = docs.where(F.expr(f"pmod(xxhash64(doc_id), {max(n, 1)}L) < {SAMPLE_DOCS}")).select("text").limit(2 * SAMPLE_DOCS)
 
     def serialized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = _encoder(path)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([ids[:SAMPLE_IDS].astype(width).tobytes() for ids in encoder.encode(batch["text"])], pa.binary())], names=["b"])
 
@@ -220,7 +226,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
     spark.createDataFrame([(mark, width.str, bytearray(raw))], "hash string, width string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, pack = Encoder(tokenizer_path), zstandard.ZstdCompressor(level=LEVEL, **_dictionary(raw)).compress
+        encoder, pack = _encoder(tokenizer_path), zstandard.ZstdCompressor(level=LEVEL, **_dictionary(raw)).compress
         for batch in batches:
             counts, packed = [], []
             for ids in encoder.encode(batch["text"]):
