@@ -93,11 +93,11 @@ def mixed(docs: DataFrame) -> DataFrame:
     A null source or language is the value "" of its marginal; null and empty
     texts are prose of one token. Rows that repeat a doc_id are taken or left
     together where their cells are the same. An empty table gives an empty one.
-    Columns of docs with the names topic, tokens, probability and sampled are
-    replaced.
+    Columns of docs with the names topic, tokens, probability, sampled and _cell
+    are replaced.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    docs = docs.drop("probability", "sampled").withColumn("topic", topic(text)).withColumn("tokens", n_tokens(text))
+    docs = docs.drop("probability", "sampled", "_cell").withColumn("topic", topic(text)).withColumn("tokens", n_tokens(text))
     told = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     cells = calibrate(docs.select(told("source").alias("source"), told("lang").alias("lang"), "topic", "tokens"))
     key = lambda s, l, t: F.concat_ws("\x1f", s, l, t)  # noqa: E731, E741

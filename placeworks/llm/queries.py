@@ -39,7 +39,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
+    out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
+    return out.withColumn("items", F.array_join("items", ","))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,4 +79,44 @@ QUERIES: dict[str, Query] = {
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+_PATTERNS = {name: pattern.replace("'", "''") for name, pattern in mixing.TOPICS}
+
+
+def _raking(rounds: int) -> str:
+    """The chain of scalings that the mixing operator goes through, for the SQL."""
+    names, last = ("source", "lang", "topic"), "start"
+    out = ""
+    for i in range(rounds):
+        for m in names:
+            out += f", r{i}_{m} AS MATERIALIZED (SELECT * REPLACE (fitted * target_{m} / sum(fitted) OVER (PARTITION BY {m}) AS fitted) FROM {last})"
+            last = f"r{i}_{m}"
+    return out + f", fitted AS (SELECT * FROM {last})"
+
+
+_WORD = r"[^ \t\n\r\f]+"
+MIXING_SQL = (
+    f"""WITH doc AS (SELECT doc_id, source AS own_source, lang AS own_lang, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+CASE WHEN regexp_matches(t, '{_PATTERNS["code"]}') THEN 'code' WHEN regexp_matches(t, '{_PATTERNS["legal"]}') THEN 'legal' WHEN regexp_matches(t, '{_PATTERNS["contact"]}') THEN 'contact' ELSE 'prose' END AS topic,
+CAST(greatest(len(regexp_extract_all(t, '{_WORD}')), 1) AS BIGINT) AS tokens FROM (SELECT *, coalesce(text, '') AS t FROM documents)),
+cell AS (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS tokens FROM doc GROUP BY ALL), total AS (SELECT sum(tokens) AS n FROM cell)"""
+    + "".join(f", w_{m} AS (SELECT {m}, pow(sum(tokens) / (SELECT n FROM total), {p}e0) AS raised FROM cell GROUP BY {m}), t_{m} AS (SELECT {m}, raised / sum(raised) OVER () AS target_{m} FROM w_{m})" for m, p in mixing.POWERS.items())
+    + ", start AS (SELECT *, tokens / (SELECT n FROM total) AS fitted FROM cell JOIN t_source USING (source) JOIN t_lang USING (lang) JOIN t_topic USING (topic))"
+    + _raking(24)
+    + """, p AS (SELECT source, lang, topic, fitted / tokens / max(fitted / tokens) OVER () AS probability FROM fitted)
+SELECT doc_id, own_source AS source, own_lang AS lang, topic, tokens AS n_tokens, round(probability, 6) AS probability,
+CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12)) AS BIGINT) / 281474976710656e0 < probability AS sampled FROM doc JOIN p USING (source, lang, topic)"""
+)
+
+CONTAMINATION_SQL = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item, least(len(w), 10) AS m, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g FROM b, LATERAL (SELECT unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i) WHERE len(w) > 0),
+spot AS (SELECT r, i, m, array_to_string(w[i:i + m - 1], ' ') AS g FROM d, (SELECT DISTINCT m FROM win), LATERAL (SELECT unnest(range(1, len(w) - m + 2)) AS i)),
+hit AS (SELECT r, i, spot.m, item FROM spot JOIN win ON spot.g = win.g AND spot.m = win.m),
+n AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT r, i, m FROM hit), LATERAL (SELECT unnest(range(i, i + m)) AS p) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(list, '') AS items, sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN n USING (r) LEFT JOIN items USING (r)"""
+
+ORACLES: dict[str, str] = {
+    "op2_source_mixing": MIXING_SQL,
+    "op6_benchmark_decontamination": CONTAMINATION_SQL,
+}
