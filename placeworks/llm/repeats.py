@@ -2,18 +2,19 @@
 
 Every string of LENGTH bytes contains windows of K bytes; the one of least
 hash (the leftmost of equals) is its anchor. Equal strings have equal anchors
-at equal offsets, so a string can only repeat where its anchor does, and all
-that a string may share lies in the region around its anchor. Regions that
-are equal as a whole are counted, not compared. The others go to shards in
-which all regions of an anchor are together: a shard's suffix array is induced
-(induced.py), and runs of suffixes whose permuted common prefixes reach LENGTH
-mark what repeats.
-
-An anchor of more than MOST different regions is split by where strings begin:
-strings that begin in the same part of the region all contain its core, so
-they are grouped by the core's hash, counted where they are equal and split
-again, down to single strings. A passage in any number of documents therefore
-never meets in one task.
+at equal offsets, so a string can only repeat where its anchor does, and the
+strings of an anchor make up one region around it. Regions that are equal as a
+whole are counted, not compared. Others are split by where strings begin: the
+strings that begin in one part of the region all contain its core, so parts
+are grouped by the core's hash, and parts that no other region shares, or that
+are equal as a whole, are done. What is left are the parts in which a repeat
+begins or ends. They go to shards in which all parts of a core are together: a
+shard's suffix array is induced (induced.py), and runs of suffixes whose
+permuted common prefixes reach LENGTH mark what repeats.
+
+A core of more than MOST different parts is split further, down to single
+strings. A passage in any number of documents therefore never meets in one
+task.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from .scratch import written
 LENGTH, K = 400, 64
 #: A string begins at most this many bytes before its anchor.
 REACH = LENGTH - K
-#: Different regions of an anchor that share a shard, and bytes of a shard.
+#: Different parts of a core that share a shard, and bytes of a shard.
 MOST, SHARD_BYTES = 64, 1 << 19
 #: Into how many parts the beginnings are split at each level: 337 are 43, 6 and 1.
 PARTS = 8
@@ -68,15 +69,14 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places, anchor hashes, region hashes) of all anchors of some documents."""
+def anchors(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(places, begins, ends, anchor hashes, region hashes) of all anchors of some documents; the region is [begin, end)."""
     if len(buf) < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return tuple(np.zeros(0, np.int64) for _ in range(3)) + tuple(np.zeros(0, np.uint64) for _ in range(2))
     sums, inverse = _prefix(buf)
-    at = np.arange(len(buf) - K + 1)
-    hashes = T.mix((sums[K:] - sums[:-K]) * inverse[: len(at)])
-    marked = np.zeros(len(buf), bool)
-    ends = offsets[1:]
+    hashes = T.mix((sums[K:] - sums[:-K]) * inverse[: len(buf) - K + 1])
+    first, last = np.full(len(buf), len(buf), np.int64), np.full(len(buf), -1, np.int64)
+    stops = offsets[1:]
     for begin in range(0, len(buf) - LENGTH + 1, SEGMENT - LENGTH):
         part = hashes[begin : begin + SEGMENT - K + 1]
         if len(part) < REACH + 1:
@@ -84,47 +84,74 @@ def anchors(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         # Hash first, then place: the leftmost of equals is the least.
         least = _least((part & ~_U(SEGMENT - 1)) | np.arange(len(part), dtype=np.uint64), REACH + 1)
         starts = begin + np.arange(len(least))
-        whole = starts + LENGTH <= ends[np.searchsorted(ends, starts, side="right")]
-        marked[begin + np.unique(least[whole] & _U(SEGMENT - 1)).astype(np.int64)] = True
-    places = np.flatnonzero(marked)
-    doc = np.searchsorted(ends, places, side="right")
-    lo, hi = np.maximum(offsets[doc], places - REACH), np.minimum(ends[doc], places + LENGTH)
+        whole = starts + LENGTH <= stops[np.searchsorted(stops, starts, side="right")]
+        starts, chosen = starts[whole], begin + (least[whole] & _U(SEGMENT - 1)).astype(np.int64)
+        # The strings of an anchor begin in one run of places.
+        new = np.flatnonzero(np.append(True, chosen[1:] != chosen[:-1])) if len(chosen) else chosen
+        at = chosen[new]
+        np.minimum.at(first, at, starts[new])
+        np.maximum.at(last, at, starts[np.append(new[1:], len(chosen)) - 1])
+    places = np.flatnonzero(last >= 0)
+    lo, hi = first[places], last[places] + LENGTH
     region = T.mix(_range_hash(sums, inverse, lo, hi) + (places - lo).astype(np.uint64))
-    return places, hashes[places], region
+    return places, lo, hi, hashes[places], region
 
 
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    longs = pa.list_(pa.int64())
+    names = ["places", "begins", "ends", "anchors", "regions"]
     for batch in batches:
         buf, offsets = T.text_bytes(batch["text"])
         shas = [hashlib.sha256(buf[a:b]).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        lists: list[list[np.ndarray]] = [[], [], []]
+        counts, lists = [np.zeros(1, np.int64)], [[np.zeros(0, np.int64)] for _ in names]
         for _, _, part, offs in T.chunks(buf, offsets):
-            places, anchor, region = anchors(part, offs)
-            first = np.searchsorted(places, offs)
-            for i in range(len(offs) - 1):
-                own = slice(first[i], first[i + 1])
-                for out, values in zip(lists, (places[own] - offs[i], anchor[own].view(np.int64), region[own].view(np.int64)), strict=True):
-                    out.append(values)
-        columns = []
-        for values in lists:
-            counts = np.append(0, np.cumsum([len(v) for v in values])).astype(np.int32)
-            columns.append(pa.ListArray.from_arrays(pa.array(counts), pa.array(np.concatenate([np.zeros(0, np.int64), *values]))).cast(longs))
-        yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], batch["rid"], pa.array(np.diff(offsets)), pa.array(shas, pa.string()), *columns],
-            names=["doc_id", "rid", "n_bytes", "sha256", "places", "anchors", "regions"],
-        )
+            places, lo, hi, anchor, region = anchors(part, offs)
+            own = np.searchsorted(places, offs)
+            base = np.repeat(offs[:-1], np.diff(own))
+            counts.append(np.diff(own))
+            for out, values in zip(lists, (places - base, lo - base, hi - base, anchor.view(np.int64), region.view(np.int64)), strict=True):
+                out.append(values)
+        cuts = pa.array(np.cumsum(np.concatenate(counts)).astype(np.int32))
+        columns = [pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(values))) for values in lists]
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["rid"], pa.array(np.diff(offsets)), pa.array(shas, pa.string()), *columns], names=["doc_id", "rid", "n_bytes", "sha256", *names])
+
+
+CHILD = "key long, region long, rid long, pos long, n long, i0 int, i1 int, lo long, hi long"
+
+
+def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The parts of the wanted regions of each document, by where strings begin: strings that begin i bytes before the anchor, i0 <= i < i1."""
+    width = -(-(REACH + 1) // PARTS)
+    for batch in batches:
+        buf, offsets = T.text_bytes(batch["text"])
+        lists = batch["wanted"]
+        flat, cuts = lists.flatten(), np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))).astype(np.int64)
+        pos_, lo_, hi_, n_, anchor_ = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("pos", "lo", "hi", "n", "anchor"))
+        rid_ = np.repeat(batch["rid"].to_numpy(), np.diff(cuts))
+        for row, last, part, offs in T.chunks(buf, offsets):
+            own = slice(cuts[row], cuts[last])
+            base = np.repeat(offs[:-1], np.diff(cuts[row : last + 1]))
+            pos, lo, hi = pos_[own] + base, lo_[own] + base, hi_[own] + base
+            sums, inverse = _prefix(part)
+            for i0 in range(0, REACH + 1, width):
+                i1 = min(i0 + width, REACH + 1)
+                # The least and the last place at which the region's strings of this part begin.
+                begin, stop = np.maximum(lo, pos - (i1 - 1)), np.minimum(hi - LENGTH, pos - i0)
+                use = np.flatnonzero(begin <= stop)
+                core = _range_hash(sums, inverse, pos[use] - i0, pos[use] - (i1 - 1) + LENGTH)
+                key = T.mix(core + anchor_[own][use].view(np.uint64) * _U(2 * i0 + 3))
+                a, b = begin[use], stop[use] + LENGTH
+                region = T.mix(_range_hash(sums, inverse, a, b) + (pos[use] - a).astype(np.uint64))
+                many = [np.full(len(use), x, np.int32) for x in (i0, i1)]
+                columns = [key.view(np.int64), region.view(np.int64), rid_[own][use], pos[use] - base[use], n_[own][use], *many, a - base[use], b - base[use]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "region", "rid", "pos", "n", "i0", "i1", "lo", "hi"])
 
 
 def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the listed regions of each document."""
+    """The bytes of the listed parts of each document."""
     for batch in batches:
         for text, rid, wanted in zip(batch["text"].to_pylist(), batch["rid"].to_pylist(), batch["wanted"].to_pylist(), strict=True):
-            raw, rows = (text or "").encode(), []
-            for w in wanted:
-                lo = max(0, w["pos"] - REACH)
-                rows.append((w["anchor"], rid, w["pos"], w["n"], w["m"], 0, REACH + 1, lo, raw[lo : w["pos"] + LENGTH]))
-            yield _rows(rows)
+            raw = (text or "").encode()
+            yield _rows([(w["key"], rid, w["pos"], w["n"], w["m"], w["i0"], w["i1"], w["lo"], raw[w["lo"] : w["hi"]]) for w in wanted])
 
 
 ROW = "key long, rid long, pos long, n long, m long, i0 int, i1 int, lo long, bytes binary"
@@ -193,7 +220,7 @@ def _sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield intervals(held)
 
 
-CHILD = "key long, region long, rid long, pos long, n long, i0 int, i1 int, lo long, bytes binary"
+CHILD_BYTES = "key long, region long, rid long, pos long, n long, i0 int, i1 int, lo long, bytes binary"
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,38 +251,46 @@ def _several(regions: DataFrame, key: str, name: str) -> DataFrame:
     return written(counted.where("m > 1 and open > 0").select(key, "m"), name)
 
 
+def _settled(parts: DataFrame, end: str) -> tuple[DataFrame, DataFrame]:
+    """Of parts (key, region, rid, pos, n, lo): the intervals of those that are equal to another, and one of each different one that shares its core (n, m: occurrences, different ones)."""
+    merged = written(parts.groupBy("key", "region").agg(F.sum("n").alias("n"), F.min(F.struct("rid", "pos")).alias("rep")), "merged")
+    same = parts.where("n = 1").join(merged.where("n > 1").select("key", "region"), ["key", "region"])
+    left = merged.join(_several(merged, "key", "several"), "key").select("key", "region", F.col("n").alias("n_all"), "m", "rep.rid", "rep.pos")
+    rows = parts.join(written(left, "left"), ["key", "region", "rid", "pos"]).drop("n").withColumnRenamed("n_all", "n")
+    return same.select("rid", F.col("lo").alias("a"), F.expr(end).cast("long").alias("b")), rows
+
+
 def _intervals(docs: DataFrame, seen: DataFrame) -> DataFrame:
     """Intervals (rid, a, b) whose union is what repeats."""
-    exploded = seen.select("rid", "n_bytes", F.explode(F.arrays_zip("places", "anchors", "regions")).alias("x"))
-    every = exploded.select("rid", "n_bytes", F.col("x.places").alias("pos"), F.col("x.anchors").alias("anchor"), F.col("x.regions").alias("region"))
+    x = F.explode(F.arrays_zip("places", "begins", "ends", "anchors", "regions")).alias("x")
+    names = {"places": "pos", "begins": "lo", "ends": "hi", "anchors": "anchor", "regions": "region"}
+    every = seen.select("rid", x).select("rid", *[F.col(f"x.{k}").alias(v) for k, v in names.items()])
     repeated = written(every.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "repeated")
     every = written(every.join(repeated, "anchor"), "occurrences")
-    regions = every.groupBy("anchor", "region").agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos")).alias("rep"))
+    regions = every.groupBy("anchor", "region").agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos", "lo", "hi")).alias("rep"))
     regions = written(regions, "regions")
-
     equal = every.join(regions.where("n > 1").select("anchor", "region"), ["anchor", "region"])
-    equal = equal.select("rid", F.greatest(F.col("pos") - REACH, F.lit(0)).alias("a"), F.least(F.col("pos") + LENGTH, "n_bytes").alias("b"))
-    out = [equal.where(F.col("b") - F.col("a") >= LENGTH)]
-
-    multi = regions.join(_several(regions, "anchor", "several"), "anchor")
-    wanted = multi.select("anchor", "n", "m", "rep.rid", "rep.pos")
-    wanted = written(wanted.groupBy("rid").agg(F.collect_list(F.struct("anchor", "n", "m", "pos")).alias("wanted")), "wanted")
-    # Rows that repeat both doc_id and text share a rid: one of them is enough.
-    texts = docs.join(wanted, "rid").dropDuplicates(["rid"])
-    rows = written(texts.select("rid", "text", "wanted").mapInArrow(_fetched, ROW), "rows")
-    for level in range(4):
+    out = [equal.select("rid", F.col("lo").alias("a"), F.col("hi").alias("b"))]
+
+    wanted = regions.join(_several(regions, "anchor", "several"), "anchor").select("anchor", "n", "rep.*")
+    wanted = written(wanted.groupBy("rid").agg(F.collect_list(F.struct("anchor", "n", "pos", "lo", "hi")).alias("wanted")), "wanted")
+    # Rows that repeat both doc_id and text share a rid: one of them is enough. The
+    # ids grow with the corpus, so they are not broadcast.
+    texts = written(docs.join(wanted.hint("merge"), "rid").groupBy("rid").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted")), "texts")
+    parts = written(texts.mapInArrow(_parted, CHILD), "parts")
+    same, rows = _settled(parts, "hi")
+    out.append(same)
+    wanted = rows.groupBy("rid").agg(F.collect_list(F.struct("key", "n", "m", "pos", "i0", "i1", "lo", "hi")).alias("wanted"))
+    rows = written(texts.drop("wanted").join(wanted, "rid").select("rid", "text", "wanted").mapInArrow(_fetched, ROW), "rows")
+    for level in range(3):
         small = rows.where(F.col("m") <= MOST).select("key", "n", "rid", "lo", "bytes")
         out.append(small.repartition("key").sortWithinPartitions("key").mapInArrow(_sharded, INTERVAL))
         hot = rows.where(F.col("m") > MOST)
-        if level == 3 or hot.isEmpty():
+        if level == 2 or hot.isEmpty():
             break
-        parts = written(hot.drop("m").mapInArrow(_split, CHILD), "parts")
-        merged = parts.groupBy("key", "region").agg(F.sum("n").alias("n"), F.min(F.struct("rid", "pos")).alias("rep"))
-        merged = written(merged, "merged")
-        same = parts.where("n = 1").join(merged.where("n > 1").select("key", "region"), ["key", "region"])
-        out.append(same.select("rid", F.col("lo").alias("a"), (F.col("lo") + F.octet_length("bytes")).cast("long").alias("b")).where(F.col("b") - F.col("a") >= LENGTH))
-        left = written(merged.join(_several(merged, "key", "several"), "key").select("key", "region", F.col("n").alias("n_all"), "m", "rep.rid", "rep.pos"), "left")
-        rows = written(parts.join(left, ["key", "region", "rid", "pos"]).select("key", "rid", "pos", F.col("n_all").alias("n"), "m", "i0", "i1", "lo", "bytes"), "rows")
+        same, rows = _settled(written(hot.drop("m").mapInArrow(_split, CHILD_BYTES), "parts"), "lo + octet_length(bytes)")
+        out.append(same)
+        rows = written(rows.select("key", "rid", "pos", "n", "m", "i0", "i1", "lo", "bytes"), "rows")
     found = out[0]
     for more in out[1:]:
         found = found.unionByName(more)
@@ -301,7 +336,7 @@ def remove_repeats(docs: DataFrame, kept_bytes: bool = True) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
-    seen = docs.mapInArrow(_anchored, "doc_id long, rid long, n_bytes long, sha256 string, places array<long>, anchors array<long>, regions array<long>")
+    seen = docs.mapInArrow(_anchored, "doc_id long, rid long, n_bytes long, sha256 string, places array<long>, begins array<long>, ends array<long>, anchors array<long>, regions array<long>")
     seen = written(seen, "anchors")
     runs = written(_intervals(docs, seen).groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("runs")), "runs")
     columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * kept_bytes]
