@@ -248,7 +248,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     for nearest in (True, False):
         more = _links(_across(placed, reps, links, percent, nearest), texts, words, percent)
         links = links.unionByName(more)
-    joined = written(components(links, "a", "b"), "components")
+    # A doc_id that repeats with different texts ties their classes.
+    ties = written(members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a != last").select("doc_id", "a"), "ties")
+    tied = members.select("doc_id", F.col("rep").alias("b")).join(ties, "doc_id").select("a", "b")
+    joined = written(components(links.unionByName(tied), "a", "b"), "components")
 
     grouped = members.select("doc_id", "n_shingles", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
     grouped = grouped.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))

@@ -1,0 +1,323 @@
+"""Each operator against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import collections
+import hashlib
+import json
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from placeworks.llm import decontaminate, embedding_dedup, graph, html_extract, induced, mixing, near_dedup, queries, repeats, secret_scan, sharding, tokens, toxicity
+
+LOWER = {c: c + 32 for c in range(65, 91)}
+#: Columns whose names the operators use inside.
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, rid long, h long, score double, toxic int, topic string, probability double, bucket long, _cell string"
+
+
+def rows_of(texts):
+    return [(i, t, "en", "s", 1, 1, 1, 0.5, 1, "x", 0.1, 1, "c") for i, t in texts]
+
+
+def words(rng, n):
+    return " ".join("".join(rng.choice("abcdef") for _ in range(rng.randint(2, 7))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    rng = random.Random(5)
+    base, passage = words(rng, 120), words(rng, 90)
+    texts = [(None, None), (None, "lost id " + base), (1, None), (2, ""), (3, "   \n"), (4, "One Two"), (5, "one  two"), (6, base), (7, base.upper()), (8, base), (8, base), (8, words(rng, 30))]
+    for i in range(9, 60):
+        w = base.split()
+        for _ in range(rng.randint(0, 6)):
+            w[rng.randrange(len(w))] = words(rng, 1)
+        texts.append((i, rng.choice([" ".join(w), words(rng, 40) + " " + passage + " " + words(rng, 20), words(rng, 60)])))
+    texts.append((60, words(rng, 30000)))
+    return texts
+
+
+@pytest.fixture(scope="module")
+def docs(spark, corpus):
+    return spark.createDataFrame(rows_of(corpus), CLASH)
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], CLASH)
+
+
+def test_sharding(docs, nothing, corpus):
+    out = sharding.shard_documents(docs, 8).collect()
+    assert len(out) == len(corpus) and {r.law for r in out} == {"bytes"} and all(r.grown_shard is None for r in out)
+    sizes = collections.Counter((r.doc_id, r.size, r.text_crc32) for r in out)
+    assert sizes == collections.Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in corpus)
+    for shard in {r.shard for r in out}:
+        slots = sorted(r.slot for r in out if r.shard == shard)
+        assert slots == list(range(len(slots)))
+    assert sharding.shard_documents(nothing, 8).count() == 0
+
+
+def test_sharding_is_even(spark):
+    many = spark.range(20000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("same text")).otherwise(F.concat(F.lit("t"), F.col("id"))).alias("text"))
+    sums = [r.s for r in sharding.shard_documents(many, 8).groupBy("shard").agg(F.sum("size").alias("s")).collect()]
+    assert len(sums) == 8 and max(sums) <= 1.01 * sum(sums) / 8
+
+
+def test_mixing(docs, nothing, corpus):
+    out = mixing.mixed(docs).collect()
+    assert len(out) == len(corpus) and all(0 < r.probability <= 1 for r in out)
+    assert mixing.mixed(nothing).count() == 0
+
+
+def test_mixing_meets_its_targets(spark):
+    rng = random.Random(2)
+    rows = [(i, words(rng, rng.randint(1, 30)), rng.choice(["en", "de", None]), "hot" if rng.random() < 0.5 else f"s{rng.randint(0, 3)}") for i in range(600)]
+    out = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).toPandas()
+    out["w"] = out.tokens * out.probability
+    for m in ("source", "lang", "topic"):
+        key = out[m].fillna("")
+        natural = out.tokens.groupby(key).sum() / out.tokens.sum()
+        target = natural ** mixing.POWERS[m]
+        got = out.w.groupby(key).sum() / out.w.sum()
+        assert np.allclose(got, target / target.sum(), atol=1e-6)
+
+
+def brute_repeats(texts, size=400):
+    seen = collections.Counter()
+    raws = [(t or "").encode() for _, t in texts]
+    for b in raws:
+        seen.update(b[i : i + size] for i in range(len(b) - size + 1))
+    out = []
+    for (d, _), b in zip(texts, raws, strict=True):
+        gone = bytearray(len(b))
+        for i in range(len(b) - size + 1):
+            if seen[b[i : i + size]] > 1:
+                gone[i : i + size] = b"\1" * size
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        out.append((d, len(b), sum(gone), sum(g and (not i or not gone[i - 1]) for i, g in enumerate(gone)), hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("most", [64, 2])
+def test_repeats(docs, nothing, corpus, most, monkeypatch):
+    monkeypatch.setattr(repeats, "MOST", most)
+    out = repeats.remove_repeats(docs, kept_bytes=False).collect()
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out), key=str)
+    assert got == brute_repeats(corpus) and sum(r.n_removed for r in out) > 0
+    assert repeats.remove_repeats(nothing).count() == 0
+
+
+def test_repeats_inside_one_text(spark):
+    texts = [(1, "ab" * 500), (2, "x" * 399), (3, "y" * 401), (4, "é" * 300)]
+    out = repeats.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out), key=str) == brute_repeats(texts)
+    assert {r.doc_id: bytes(r.kept) for r in out}[2] == b"x" * 399
+
+
+def test_suffix_arrays():
+    rng = np.random.default_rng(1)
+    for t in range(150):
+        s = rng.integers(1, rng.integers(2, 6), rng.integers(1, 50))
+        s = np.append(np.tile(s[: max(1, len(s) // 4)], 5) if t % 3 == 0 else s, 0)
+        sa = induced.suffix_array(s)
+        assert sa.tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+        shared = induced.common_prefixes(s, sa, 1000)
+        for a, b in zip(sa[:-1].tolist(), sa[1:].tolist(), strict=True):
+            n = 0
+            while max(a, b) + n < len(s) and s[a + n] == s[b + n]:
+                n += 1
+            assert shared[b] == n
+
+
+PAGE = """<!doctype html><html><head><title>t</title><style>p{}</style><script>var t="</p>";</script></head><body class="no-sidebar"><header><h1>Site</h1></header>
+<nav><a href=/>home</a></nav><!-- ad --><div class="ad">Buy this now, it is really very cheap today.</div>%s<div id=comments><p>What a comment by a reader, and a long one at that.</p></div><footer>&copy; x</footer></body></html>"""
+
+
+def test_html():
+    article = "<article><h1>A &amp; B</h1><p><b>First   long paragraph of the text, with words.<br>More<p>Second <a href=x>linked</a> paragraph,\n with more words in it.</article>"
+    assert html_extract.main_text(PAGE % article) == "A & B First long paragraph of the text, with words. More Second linked paragraph, with more words in it."
+    plain = "<div id=m><h1>T</h1><div><p>First long paragraph of the text, with many words.<p>Second paragraph, with more words in it.</div><div class=share>Share</div></div>"
+    assert html_extract.main_text(PAGE % plain) == "T First long paragraph of the text, with many words. Second paragraph, with more words in it."
+    for odd in ("", "<", "<b", "<p", "<script>x", "<!-- x", "<a href='", "<p>" * 3000, "</p></div>"):
+        assert isinstance(html_extract.main_text(odd), str)
+    assert html_extract.main_text("plain words") == "plain words"
+
+
+def test_html_table(spark):
+    rows = [(1, "u", None, 1), (1, "u", None, 1), (None, None, "", 2), (2, "v", "<p>" + "long words " * 20000, 3)]
+    out = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")).collect()
+    assert len(out) == 4 and all(r.n_chars == len(r.text) for r in out)
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_toxicity(spark, nothing):
+    rng = random.Random(3)
+    rows, labels = [], []
+    for i in range(900):
+        bad = rng.random() < 0.3
+        text = words(rng, 25).split()
+        if bad:
+            text.insert(rng.randrange(25), rng.choice(["zzvile", "zzvilest", "qqrude"]))
+        rows.append((i, " ".join(text), rng.choice(["en", "de"]), 0.0, "x"))
+        labels.append((i, int(bad)))
+    docs = spark.createDataFrame([*rows, (None, None, None, 0.0, "x"), (5000, "", "en", 0.0, "x"), (5000, "", "en", 0.0, "x")], "doc_id long, text string, lang string, score double, toxic string")
+    table = spark.createDataFrame([*labels, (7, None), (None, 1)], "doc_id long, toxic int")
+    out = toxicity.toxicity(docs, table).collect()
+    assert len(out) == 903 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in out)
+    told = dict(labels)
+    held = [r for r in out if r.held_out]
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in out)
+    assert np.mean([r.predicted == told[r.doc_id] for r in held if r.doc_id in told]) > 0.9
+    assert toxicity.toxicity(nothing, table.limit(0)).count() == 0
+    model = toxicity.fit(docs, table)
+    assert toxicity.scored(docs, model).columns == ["doc_id", "text", "lang", "score", "toxic"]
+
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def test_contamination(spark, docs, nothing, corpus, monkeypatch):
+    cut = lambda t: WORD.findall((t or "").translate(LOWER))
+    items = [(1, " ".join(corpus[14][1].split()[:25])), (2, "one two"), (2, "one two"), (3, None), (4, "-- !"), (None, words(random.Random(9), 15)), (12, corpus[-1][1][500:700])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    windows = collections.defaultdict(set)
+    for i, t in items:
+        w = cut(t)
+        for g in [w[j : j + 10] for j in range(len(w) - 9)] if len(w) >= 10 else [w] if w else []:
+            windows[tuple(g)].add("null" if i is None else str(i))
+    expected = []
+    for d, t in corpus:
+        w, hit, found = cut(t), set(), set()
+        for size in {len(g) for g in windows}:
+            for j in range(len(w) - size + 1):
+                if (g := tuple(w[j : j + size])) in windows:
+                    hit |= set(range(j, j + size))
+                    found |= windows[g]
+        expected.append((d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+    for block in (decontaminate.BLOCK_WORDS, 60):
+        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+        out = decontaminate.contamination(docs, bench).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").distinct().collect()
+        assert sorted(map(tuple, out), key=str) == sorted(set(expected), key=str) and any(r.contaminated for r in out)
+    assert decontaminate.contamination(nothing, bench).count() == 0
+    assert not any(r.contaminated for r in decontaminate.contamination(docs, bench.limit(0)).collect())
+
+
+def test_secrets(spark, nothing):
+    texts = [
+        "x password = abcdef12 y", 'API_KEY: "k-12.3_4=5"', "token=abc", "password=token :abcdefgh", "AKIA" + "A1" * 9, "AKIA123", "ff" * 12, "ff" * 11, "paſſword = abcdef",
+        'the auth_header is Zk9qT2xRb0hWc3B4Q1d5TnJtRGd4 here', "", None, "é secret='longvalue' " * 2,
+    ]
+    out = secret_scan.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    spans = {r.doc_id: [s for s in r.spans.split(",") if s] for r in out}
+    base = {i: [s for s in v if not s.startswith("novel")] for i, v in spans.items()}
+    assert base[0] == ["assign:2:21"] and base[1] == ["assign:0:20"] and base[2] == [] and base[3] == [] and base[5] == [] and base[7] == [] and base[8] == []
+    assert base[4] == ["access:0:22"] and base[6] == ["hex:0:24"] and base[12] == ["assign:2:19", "assign:23:40"]
+    assert any(s.startswith("novel") for s in spans[9]) and spans[10] == spans[11] == []
+    assert all(r.base_sha256 == hashlib.sha256(",".join(base[r.doc_id]).encode()).hexdigest() for r in out)
+    assert secret_scan.scan_secrets(nothing).count() == 0
+
+
+def brute_near(texts, k, percent):
+    sets = {}
+    for i, (d, t) in enumerate(texts):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
+        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+    top = {d: d for d, _ in texts}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for i in sets:
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and None not in (texts[i][0], texts[j][0]) and 100 * both >= percent * len(sets[i] | sets[j]):
+                a, b = find(texts[i][0]), find(texts[j][0])
+                top[max(a, b)] = min(a, b)
+    return sorted(((d, len(sets[i]), find(d) if d is not None else None) for i, (d, _) in enumerate(texts)), key=str)
+
+
+@pytest.mark.parametrize("block", [256, 4])
+def test_near_duplicates(docs, nothing, corpus, block, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    out = near_dedup.near_duplicates(docs, 4, 80).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=str) == brute_near(corpus, 4, 80)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in out)
+    if block == 4:
+        assert near_dedup.near_duplicates(nothing).count() == 0
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (201, 200), (300, 300), (None, 1)]
+    found = dict(map(tuple, graph.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()))
+    assert found == {**{i: 0 for i in range(41)}, 100: 0, 200: 200, 201: 200}
+
+
+def test_tokens(spark, docs, nothing, corpus):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    tokenizer = Tokenizer.from_file(path)
+    out = sorted(map(tuple, tokens.token_output(docs, path).select("doc_id", "start", "n_tokens", "ids_crc32").collect()), key=lambda r: r[1])
+    ids = [(d, np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4")) for d, t in corpus]
+    assert collections.Counter((d, n, c) for d, _, n, c in out) == collections.Counter((d, len(x), zlib.crc32(x.tobytes())) for d, x in ids)
+    assert [r[0] for r in out] == sorted((r[0] for r in out), key=lambda d: (d is not None, d)) and [r[1] for r in out] == np.cumsum([0, *(r[2] for r in out)])[:-1].tolist()
+    assert tokens.token_output(nothing, path).count() == 0
+
+
+def test_pretokens_are_the_tokenizers():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    tokenizer, encoder = Tokenizer.from_file(path), tokens.Encoder(path)
+    rng = random.Random(4)
+    parts = ["'", "s", "re", "ll", " ", "  ", "\n", "\t", " ", "1", "½", "中", "!", "a", "B", "​", "'s", "don't", "ſ", "Ⅷ", "é"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(4000)] + ["a<|endoftext|>b", None, ""]
+    for text, ids in zip(texts, encoder.encode(pa.array(texts)), strict=True):
+        assert tokenizer.encode(text or "", add_special_tokens=False).ids == ids.tolist()
+
+
+def test_embeddings(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(300, 16))
+    x[100:220] = x[0] + rng.normal(size=(120, 16)) * 0.02
+    rows = [(i, v.tolist(), i % 2 if i % 7 else None) for i, v in enumerate(x)]
+    rows += [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903, [None] * 16, 1), (904, [], 1), (905, x[5].tolist(), 1), (None, x[5].tolist(), 1), (906, (x[5] * 3).tolist(), 1), (907, [1e300] * 16, 1)]
+    out = {r.vec_id: r for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    good = [(i, np.array(v), lab) for i, v, lab in rows if i is not None and lab is not None and v and None not in v and np.isfinite(v).all() and np.abs(v).max() > 0]
+    links, top = collections.Counter(), {i: i for i in out}
+
+    def find(a):
+        while top[a] != a:
+            a = top[a]
+        return a
+
+    unit = lambda v: (v / np.abs(v).max()) / np.linalg.norm(v / np.abs(v).max())
+    for a, (i, v, p) in enumerate(good):
+        for j, w, q in good[:a]:
+            if p == q and unit(v) @ unit(w) >= 0.98:
+                links[i] += 1
+                links[j] += 1
+                m, n = find(i), find(j)
+                top[max(m, n)] = min(m, n)
+    assert all((r.n_links, r.component_id) == (links[i], find(i)) for i, r in out.items())
+    assert embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_sql_of_operators(spark, sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+    for name, sql in queries.ORACLES.items():
+        df = queries.QUERIES[name](spark, sf_dir)
+        oracle = con.sql(sql)
+        told = lambda rows, names: sorted(json.dumps(dict(zip(names, r, strict=True)), sort_keys=True, default=str) for r in rows)
+        assert told([tuple(r) for r in df.collect()], df.columns) == told(oracle.fetchall(), oracle.columns), name

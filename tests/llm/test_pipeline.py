@@ -1,0 +1,41 @@
+"""The pipeline: every stage's decisions against plain code on its own input."""
+
+import corpus_pipeline
+from placeworks.llm import decontaminate, near_dedup
+
+
+def test_stages(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(120)
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "decontamination", "mixing", "token_output"]
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, sf_dir).write.parquet(str(tmp_path / str(k)))
+        out = spark.read.parquet(str(tmp_path / str(k)))
+        before, after = ({r.doc_id for r in d.select("doc_id").collect()} for d in (docs, out))
+        assert after <= before
+        if name == "near_dedup":
+            groups = near_dedup.near_duplicates(docs).collect()
+            assert after == {r.doc_id for r in groups if r.kept}
+        elif name == "decontamination":
+            bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+            assert after == {r.doc_id for r in decontaminate.contamination(docs, bench).collect() if not r.contaminated}
+        elif name == "token_output":
+            assert after == before
+        if name != "token_output":
+            assert out.columns == docs.columns
+            docs = out
+
+
+def test_odd_rows(spark, sf_dir, tmp_path):
+    """Nulls, empty texts, repeated rows, clashing columns and no rows at all."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, topic string, toxic int, score double"
+    rows = [(None, None, None, None, None, "t", 1, 0.0), (1, "", "en", "a", 0, "t", 1, 0.0), (2, "some words here", None, None, 3, None, None, None), (2, "some words here", None, None, 3, None, None, None), (2, "other words for the same id", "en", "b", 1, "t", 0, 0.0)]
+    for at, given in (("some", rows), ("none", [])):
+        docs = spark.createDataFrame(given, schema)
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            path = str(tmp_path / f"{at}{k}")
+            stage(spark, docs, sf_dir).write.parquet(path)
+            if name != "token_output":
+                docs = spark.read.schema(schema).parquet(path)
+                assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+                if name == "near_dedup" and given:
+                    assert docs.count() == 4
