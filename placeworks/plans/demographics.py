@@ -223,7 +223,7 @@ def dot_zone_demo(spark, sf_dir):
     return out.withColumn("young", F.floor(F.col("n_dots") / 2)).withColumn("old", F.col("n_dots") - F.col("young"))
 
 
-@query("distinct_zone_columns", COUNTED + "SELECT bg, population, a, b, income, t AS residential FROM census JOIN gr USING (bg)".replace("t AS residential", "round(t, 4) AS residential"))
+@query("distinct_zone_columns", COUNTED + "SELECT bg, population, a, b, income, round(t, 4) AS residential FROM census JOIN gr USING (bg)")
 def distinct_zone_columns(spark, sf_dir):
     """A profile supplemented with the columns it lacks."""
     more = I.residential_area(entity(spark, sf_dir, "block_group"), "bg", homes(spark, sf_dir), CELL).withColumn("residential", F.round("residential", 4))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import choice as C
 from ..operators import network as N
+from ..operators.tables import against_baseline
 from .registry import query, table
 
 #: The graph of parts: each is tied to the next and to a far one; rounds of the SQL's chain, checked in the tests.
@@ -67,8 +69,6 @@ def assigned(spark, sf_dir, reached=None):
 
 @query("assign_open", OPEN + "SELECT scenario, pixel, site, round(time, 6) AS time, entry, round(time - max(CASE WHEN scenario = 'baseline' THEN time END) OVER (PARTITION BY pixel), 6) AS delta FROM chosen")
 def assign_open(spark, sf_dir):
-    from ..operators.tables import against_baseline
-
     out = against_baseline(assigned(spark, sf_dir), ["pixel"], "scenario", "time")
     return out.select("scenario", "pixel", "site", F.round("time", 6).alias("time"), "entry", F.round("delta", 6).alias("delta"))
 
@@ -160,8 +160,6 @@ def fit_metrics(spark, sf_dir):
 @query("calibration")
 def calibration(spark, sf_dir):
     """The pull of the own site and the cost of distance that fit the sites best; no SQL: a seeded search over eleven sites' totals."""
-    import numpy as np
-
     k = stays(spark, sf_dir).groupBy("zone").agg(F.sum("stay").alias("stay")).orderBy("zone").toPandas()  # a row for each zone
     sites = table(spark, sf_dir, "supplier").where("s_suppkey < 11").orderBy("s_suppkey").selectExpr("s_suppkey AS site", "s_acctbal / 50 AS actual").toPandas()
     z, s = k.zone.to_numpy()[:, None], sites.site.to_numpy()[None]

@@ -48,7 +48,7 @@ def residential_filter(spark, sf_dir):
     return entity(spark, sf_dir, "parcel").where(kept).select("parcel", "value")
 
 
-@query("years_since_sale", """SELECT o_orderkey AS sale, 2026 - CAST(year(o_orderdate) AS INTEGER) AS years FROM orders WHERE o_orderkey % 10 = 0""".replace("WHERE o_orderkey % 10 = 0", ""))
+@query("years_since_sale", """SELECT o_orderkey AS sale, 2026 - CAST(year(o_orderdate) AS INTEGER) AS years FROM orders""")
 def years_since_sale(spark, sf_dir):
     return entity(spark, sf_dir, "sale").select("sale", (F.lit(2026) - F.year("sold")).alias("years"))
 
@@ -138,7 +138,7 @@ def census_chunk_merge(spark, sf_dir):
     return tables.merge_columns([base, one, two], ["n_nationkey"]).fillna(0)
 
 
-@query("geocode_cascade", """SELECT c.c_custkey, CASE WHEN c.c_custkey % 3 = 0 THEN c.c_acctbal WHEN c.c_custkey % 5 = 0 THEN -c.c_acctbal END AS lat, CASE WHEN c.c_custkey % 3 = 0 THEN 0 WHEN c.c_custkey % 5 = 0 THEN 1 END AS source FROM customer c""".replace("THEN 0 ", "THEN 0::BIGINT "))
+@query("geocode_cascade", """SELECT c.c_custkey, CASE WHEN c.c_custkey % 3 = 0 THEN c.c_acctbal WHEN c.c_custkey % 5 = 0 THEN -c.c_acctbal END AS lat, CASE WHEN c.c_custkey % 3 = 0 THEN 0::BIGINT WHEN c.c_custkey % 5 = 0 THEN 1 END AS source FROM customer c""")
 def geocode_cascade(spark, sf_dir):
     """The first geocoder that knows an address wins."""
     rows = table(spark, sf_dir, "customer").select("c_custkey")
@@ -223,7 +223,7 @@ def equity_score(spark, sf_dir):
     return rows.select("n_nationkey", F.round(F.lit(0.4) * zero("frl") + F.lit(0.3) * zero("minority") + zero("title_i") * 30, 4).alias("equity"))
 
 
-@query("cost_whatif", """SELECT s_suppkey, round(s_acctbal * 1000 + 15000000, 2) AS renovate, 10 * 1700000 - 10 * 200000 AS save FROM supplier""".replace("AS save", "AS saved"))
+@query("cost_whatif", """SELECT s_suppkey, round(s_acctbal * 1000 + 15000000, 2) AS renovate, 10 * 1700000 - 10 * 200000 AS saved FROM supplier""")
 def cost_whatif(spark, sf_dir):
     """Ten years of a site kept, against what closing it saves net of buses."""
     return table(spark, sf_dir, "supplier").select("s_suppkey", F.round(F.col("s_acctbal") * 1000 + 15000000, 2).alias("renovate"), (F.lit(10 * 1700000) - F.lit(10 * 200000)).alias("saved"))

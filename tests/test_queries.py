@@ -41,5 +41,5 @@ def test_entry(spark):
 def test_chain_of_the_sql_is_long_enough(spark, sf_dir, duck):
     from placeworks.plans import network
 
-    more = network.PATHS + f"SELECT count(*) FROM (SELECT site, v AS node, dist + w AS d FROM path JOIN edge ON node = u) x JOIN path p USING (site, node) WHERE x.d < p.dist"
+    more = network.PATHS + "SELECT count(*) FROM (SELECT site, v AS node, dist + w AS d FROM path JOIN edge ON node = u) x JOIN path p USING (site, node) WHERE x.d < p.dist"
     assert duck.sql(more).fetchall() == [(0,)]
