@@ -53,7 +53,7 @@ def _frequencies(vocabulary: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(vocabulary), np.int64)
-        for batch in batches:
+        for batch in T.sliced(batches):
             buf, offsets = T.text_bytes(batch["text"])
             for _, _, part, offs in T.chunks(buf, offsets):
                 starts, ends, _ = T.word_bounds(part, offs, T.ALNUM)
@@ -122,7 +122,7 @@ class Index:
 
 def _marked(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in T.sliced(batches):
             buf, offsets = T.text_bytes(batch["text"])
             n_words = np.zeros(batch.num_rows, np.int64)
             runs: list[list[int]] = [[] for _ in range(batch.num_rows)]

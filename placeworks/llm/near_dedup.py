@@ -70,7 +70,7 @@ def minima(hashes: np.ndarray) -> np.ndarray:
 
 def _sketch(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in T.sliced(batches):
             n, fp1, fp2, mins = [], [], [], []
             none = np.zeros(MINIMA, np.uint64)
             for s in shingle_sets(batch["text"], k):
@@ -161,7 +161,7 @@ def _compared(percent: int, nearest: bool):
 
 def _confirmed(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in T.sliced(batches):
             keep = []
             for x, y in zip(shingle_sets(batch["text_a"], k), shingle_sets(batch["text_b"], k), strict=True):
                 both = len(np.intersect1d(x, y, assume_unique=True))

@@ -99,7 +99,7 @@ def anchors(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["places", "begins", "ends", "anchors", "regions"]
-    for batch in batches:
+    for batch in T.sliced(batches):
         buf, offsets = T.text_bytes(batch["text"])
         shas = [hashlib.sha256(buf[a:b]).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
         counts, lists = [np.zeros(1, np.int64)], [[np.zeros(0, np.int64)] for _ in names]
@@ -121,7 +121,7 @@ CHILD = "key long, region long, rid long, pos long, n long, i0 int, i1 int, lo l
 def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The parts of the wanted regions of each document, by where strings begin: strings that begin i bytes before the anchor, i0 <= i < i1."""
     width = -(-(REACH + 1) // PARTS)
-    for batch in batches:
+    for batch in T.sliced(batches):
         buf, offsets = T.text_bytes(batch["text"])
         lists = batch["wanted"]
         flat, cuts = lists.flatten(), np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))).astype(np.int64)

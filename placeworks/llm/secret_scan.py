@@ -19,6 +19,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textops as T
+
 # The patterns of the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -100,7 +102,7 @@ SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, b
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     novelty = Novelty()
-    for batch in batches:
+    for batch in T.sliced(batches):
         rows = []
         for text in pc.fill_null(batch["text"], "").to_pylist():
             base = base_spans(text)

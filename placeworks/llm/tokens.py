@@ -200,7 +200,7 @@ def train_dictionary(docs: DataFrame, path: str, width: np.dtype) -> bytes:
 
     def serialized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
-        for batch in batches:
+        for batch in T.sliced(batches):
             yield pa.RecordBatch.from_arrays([pa.array([ids[:SAMPLE_IDS].astype(width).tobytes() for ids in encoder.encode(batch["text"])], pa.binary())], names=["b"])
 
     samples = sorted(bytes(r.b) for r in sample.mapInArrow(serialized, "b binary").collect())
@@ -227,7 +227,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, pack = _encoder(tokenizer_path), zstandard.ZstdCompressor(level=LEVEL, **_dictionary(raw)).compress
-        for batch in batches:
+        for batch in T.sliced(batches):
             counts, packed = [], []
             for ids in encoder.encode(batch["text"]):
                 counts.append(len(ids) + 1)
