@@ -2,16 +2,15 @@
 
 Copies of one shingle set are one class before any search, so a group of any
 number of copies costs one row per document. Candidates are then searched in
-three rounds, each over what the rounds before have left in different
-components: every class against the most central class of each of its buckets;
-every class outside a bucket's largest component against the member whose
-signature is nearest; and last, without any bound on their number, against all
-members of other components. Buckets are compared in blocks of rows, and only
-pairs whose signatures agree leave a block, so no group is expanded into its
-pairs and no link between components is lost.
-
-With 32 bands of 4 minima a pair of similarity 0.8 shares no bucket with
-probability (1 - 0.8**4)**32 = 5e-8.
+two rounds. First every class is compared with one hub, the central class that
+shares most of its buckets; then, without any bound on their number, all
+members of a bucket that are still in different components. Buckets are
+compared in blocks of rows, only pairs whose signatures agree leave a block,
+and a block's texts are fetched once for all its pairs, so no group is expanded
+into pairs of texts and no link between components is lost.
+
+With 40 bands of 6 minima a pair of similarity 0.8 shares no bucket with
+probability (1 - 0.8**6)**40 = 5e-6; one of 0.2 shares a bucket with 0.003.
 """
 
 from __future__ import annotations
@@ -27,7 +26,7 @@ from . import textops as T
 from .graph import components
 from .scratch import written
 
-BANDS, ROWS, MINIMA = 32, 4, 512
+BANDS, ROWS, MINIMA = 40, 6, 512
 #: Signature bytes that must agree: a pair of similarity 0.8 has 512 * 0.8 = 410
 #: on average, deviation 9.1; fewer than 373 has a probability of 3e-5.
 AGREE_LEAST = 373
@@ -39,7 +38,9 @@ _A = _rng.integers(1, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint
 _B = _rng.integers(0, 1 << 63, MINIMA, dtype=np.uint64)
 _PIECE = 1024
 
-SKETCH = "doc_id long, n_shingles long, fp1 long, fp2 long, buckets array<long>, signature binary, bands binary"
+SKETCH = "doc_id long, n_shingles long, fp1 long, fp2 long, buckets array<long>, signature binary"
+PAIRS = "bucket long, ask_block int, block int, a long, b long"
+KEY = ["bucket", "ask_block", "block"]
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -95,9 +96,8 @@ def _sketch(k: int):
                     pa.array(np.array(fp2, np.uint64).view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1).view(np.int64))),
                     pa.array([row.tobytes() for row in low], pa.binary()),
-                    pa.array([row.astype(np.uint32).tobytes() for row in keys & np.uint64(0xFFFFFFFF)], pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "fp1", "fp2", "buckets", "signature", "bands"],
+                names=["doc_id", "n_shingles", "fp1", "fp2", "buckets", "signature"],
             )
 
     return run
@@ -130,64 +130,79 @@ def _matrix(table: pa.Table, column: str, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(table[column].to_pylist()), kind).reshape(table.num_rows, -1)
 
 
-def _compared(percent: int, nearest: bool):
-    """Pairs (a, b) of a block's asking rows and its other rows, of different components, whose signatures agree.
+def _compared(percent: int):
+    """Of each block: pairs (a, b) of an asking and another row of different components whose signatures agree.
 
-    A pair that shares several buckets is told in the first of them. nearest:
-    only the best partner of each asking row.
+    A row (a, null) goes with every member of a pair. A pair that shares
+    several buckets is told in the first of them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _blocks(batches, ["bucket", "ask_block", "block"]):
-            asks = table["asks"].to_numpy()
+        for table in _blocks(batches, KEY):
+            asks, asking = table["asks"].to_numpy(), table["asking"].to_numpy()
             rep, comp, n = (table[c].to_numpy() for c in ("rep", "component", "n_shingles"))
-            signature, bands = _matrix(table, "signature", np.uint8), _matrix(table, "bands", np.uint32)
+            signature = _matrix(table, "signature", np.uint8)
+            bands = table["buckets"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
             band = table["band"][0].as_py()
             q, d = np.flatnonzero(asks), np.flatnonzero(~asks)
+            met = np.zeros(len(rep), dtype=bool)
             for i in q.tolist():
                 j = d[(comp[d] != comp[i]) & (100 * np.minimum(n[d], n[i]) >= percent * np.maximum(n[d], n[i]))]
-                if not nearest:
-                    j = j[~(bands[j, :band] == bands[i, :band]).any(axis=1)]
-                agree = (signature[j] == signature[i]).sum(axis=1)
-                j, agree = j[agree >= AGREE_LEAST], agree[agree >= AGREE_LEAST]
-                if nearest and len(j):
-                    j = j[[np.lexsort((rep[j], -agree))[0]]]
+                j = j[~(bands[j, :band] == bands[i, :band]).any(axis=1)]
+                j = j[(signature[j] == signature[i]).sum(axis=1) >= AGREE_LEAST]
+                # Of two asking rows each meets the other; one of the two tells.
+                j = j[~asking[j] | (rep[j] > rep[i])]
                 if len(j):
-                    lo, hi = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
-                    yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], names=["a", "b"])
+                    met[i] = met[j] = True
+                    yield _keyed(table, pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j])))
+            if met.any():
+                nodes = pa.array(np.unique(rep[met]))
+                yield _keyed(table, nodes, pa.nulls(len(nodes), pa.int64()))
 
     return run
 
 
-def _confirmed(k: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in T.sliced(batches):
-            keep = []
-            for x, y in zip(shingle_sets(batch["text_a"], k), shingle_sets(batch["text_b"], k), strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _keyed(block: pa.Table, a: pa.Array, b: pa.Array) -> pa.RecordBatch:
+    keys = [pa.repeat(block[k][0], len(a)) for k in KEY]
+    return pa.RecordBatch.from_arrays([*keys, a, b], names=[*KEY, "a", "b"])
 
-    return run
 
+def _similar(xs: list[np.ndarray], ys: list[np.ndarray], percent: int) -> bool:
+    for x in xs:
+        for y in ys:
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if both and 100 * both >= percent * (len(x) + len(y) - both):
+                return True
+    return False
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            x, y = (_matrix(pa.Table.from_batches([batch]), c, np.uint8) for c in ("sig_a", "sig_b"))
-            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= AGREE_LEAST))
 
+def _confirmed(k: int, percent: int):
+    """The linked pairs of each block; its texts, in rows without b, come before its pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, sets = None, {}
+        for batch in T.sliced(batches):
+            found = []
+            keys = zip(*(batch[c].to_pylist() for c in KEY), strict=True)
+            rows = zip(keys, batch["a"].to_pylist(), batch["b"].to_pylist(), shingle_sets(batch["text"], k), strict=True)
+            for key, a, b, s in rows:
+                if key != last:
+                    last, sets = key, {}
+                if b is None:
+                    of = sets.setdefault(a, [])
+                    if not any(np.array_equal(s, x) for x in of):
+                        of.append(s)
+                elif _similar(sets[a], sets[b], percent):
+                    found.append((a, b))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 
-def _signed(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose signatures agree."""
-    a = reps.select(F.col("rep").alias("a"), F.col("signature").alias("sig_a"))
-    b = reps.select(F.col("rep").alias("b"), F.col("signature").alias("sig_b"))
-    return written(pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_agreeing, "a long, b long"), "signed")
+    return run
 
 
-def _across(placed: DataFrame, reps: DataFrame, links: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """Candidate pairs of different components among the rows of each bucket (bucket, band, rep)."""
-    found = written(components(links, "a", "b", rounds=1), "components").withColumnRenamed("node", "rep")
+def _across(placed: DataFrame, reps: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of different components among the rows of each bucket (bucket, band, rep), by block."""
+    found = written(components(links, "a", "b"), "components").withColumnRenamed("node", "rep")
     rows = written(placed.join(found, "rep", "left").select("bucket", "band", "rep", F.coalesce("component", "rep").alias("component")), "labelled")
     sizes = rows.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("rest"))
@@ -196,20 +211,38 @@ def _across(placed: DataFrame, reps: DataFrame, links: DataFrame, percent: int,
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     own = lambda n: F.pmod(F.xxhash64("rep"), blocks(n)).cast("int")
     every = lambda n: F.sequence(F.lit(0), blocks(n) - 1)
-    kept = ("bucket", "band", "rep", "component")
+    kept = ("bucket", "band", "rep", "component", "asking")
     asks = open_.where("asking").select(*kept, own("rest").alias("ask_block"), F.explode(every("all")).alias("block"), F.lit(True).alias("asks"))
     rest = open_.select(*kept, F.explode(every("rest")).alias("ask_block"), own("all").alias("block"), F.lit(False).alias("asks"))
-    full = written(asks.unionByName(rest), "asked").join(reps.select("rep", "n_shingles", "signature", "bands"), "rep")
-    dealt = full.repartition("bucket", "ask_block", "block").sortWithinPartitions("bucket", "ask_block", "block")
-    return written(dealt.mapInArrow(_compared(percent, nearest), "a long, b long").distinct(), "across")
+    full = written(asks.unionByName(rest), "asked").join(reps.select("rep", "n_shingles", "signature", "buckets"), "rep")
+    dealt = full.repartition(*KEY).sortWithinPartitions(*KEY)
+    return written(dealt.mapInArrow(_compared(percent), PAIRS), "across")
 
 
 def _links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs whose whole shingle sets are as similar as asked."""
-    a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
-    return written(both.mapInArrow(_confirmed(k, percent), "a long, b long"), "links")
+    """The pairs of blocks (with a row (a, null) for each member) whose whole shingle sets are as similar as asked."""
+    told = pairs.where("b is null").join(texts.withColumnRenamed("doc_id", "a"), "a").select(*KEY, "a", "b", "text")
+    both = told.unionByName(pairs.where("b is not null").withColumn("text", F.lit(None).cast("string")))
+    both = both.repartition(*KEY).sortWithinPartitions(*KEY, F.col("b").asc_nulls_first())
+    return written(both.mapInArrow(_confirmed(k, percent), "a long, b long").distinct(), "links")
+
+
+def _stars(placed: DataFrame) -> DataFrame:
+    """A pair of each class and the hub that shares most buckets with it, in blocks by hub."""
+    # The class that meets most others is the likeliest centre of a family of copies.
+    central = written(placed.groupBy("rep").agg(F.sum("n").alias("met")), "central")
+    ranked = written(placed.join(central, "rep").select("bucket", "rep", "met"), "ranked")
+    hubs = written(ranked.groupBy("bucket").agg(F.max(F.struct("met", -F.col("rep"))).alias("top")).selectExpr("bucket", "-top.col2 AS hub", "top.met AS hub_met"), "hubs")
+    shared = ranked.select("bucket", "rep").join(hubs, "bucket").where("rep != hub").groupBy("rep", "hub").agg(F.count("*").alias("times"), F.first("hub_met").alias("met"))
+    best = written(shared.groupBy("rep").agg(F.max_by("hub", F.struct("times", "met", -F.col("hub"))).alias("hub")), "stars")
+    sizes = written(best.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
+    key = (F.col("hub").alias("bucket"), F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("ask_block"), F.lit(0).alias("block"))
+    dealt = best.join(sizes, "hub")
+    none = F.lit(None).cast("long").alias("b")
+    pairs = dealt.select(*key, F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
+    members = dealt.select(*key, F.col("rep").alias("a"), none)
+    centres = sizes.select(F.col("hub").alias("bucket"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("ask_block"), F.lit(0).alias("block"), F.col("hub").alias("a"), none)
+    return pairs.unionByName(members).unionByName(centres)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -228,26 +261,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = written(docs.mapInArrow(_sketch(words), SKETCH), "sketch")
     linkable = sketch.where("n_shingles > 0 and doc_id is not null")
-    classes = written(linkable.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    members = written(linkable.join(classes, ["fp1", "fp2", "n_shingles"]), "members")
-    reps = members.where("doc_id = rep").select("rep", "n_shingles", "signature", "bands", "buckets")
+    same = ["fp1", "fp2", "n_shingles"]
+    narrow = linkable.select("doc_id", *same)
+    classes = written(narrow.groupBy(*same).agg(F.min("doc_id").alias("rep")), "classes")
+    members = written(narrow.join(classes, same).select("doc_id", "n_shingles", "rep"), "members")
+    reps = written(linkable.withColumnRenamed("doc_id", "rep").join(classes.hint("merge"), ["rep", *same]).select("rep", "n_shingles", "buckets", "signature"), "reps")
 
     rows = reps.select("rep", F.posexplode("buckets").alias("band", "bucket"))
-    shared = written(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    placed = written(rows.join(shared, "bucket").select("bucket", "band", "rep", "n"), "placed")
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("first"), F.max("rep").alias("last"))
+    shared = written(shared.where("first < last").select("bucket", "n"), "buckets")
+    placed = written(rows.join(shared, "bucket").select("bucket", "band", "rep", "n").distinct(), "placed")
     # Texts that any pair can need; the ids grow with the corpus, so they are not broadcast.
     wanted = placed.select(F.col("rep").alias("doc_id")).distinct()
     texts = written(docs.join(wanted.hint("merge"), "doc_id", "left_semi"), "texts")
-    # The class that meets most others is the likeliest centre of a family of copies.
-    central = written(placed.groupBy("rep").agg(F.sum("n").alias("met")), "central")
-    ranked = written(placed.join(central, "rep").select("bucket", "rep", "met"), "ranked")
-    hubs = written(ranked.groupBy("bucket").agg(F.max_by("rep", F.struct("met", -F.col("rep"))).alias("hub")), "hubs")
-    stars = ranked.select("bucket", "rep").join(hubs, "bucket").where("rep != hub").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
-    links = _links(_signed(stars.distinct(), reps), texts, words, percent)
-    placed = placed.select("bucket", "band", "rep")
-    for nearest in (True, False):
-        more = _links(_across(placed, reps, links, percent, nearest), texts, words, percent)
-        links = links.unionByName(more)
+    links = _links(written(_stars(placed), "stars"), texts, words, percent)
+    more = _links(_across(placed.select("bucket", "band", "rep"), reps, links, percent), texts, words, percent)
+    links = links.unionByName(more)
     # A doc_id that repeats with different texts ties their classes.
     ties = written(members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a != last").select("doc_id", "a"), "ties")
     tied = members.select("doc_id", F.col("rep").alias("b")).join(ties, "doc_id").select("a", "b")
