@@ -178,6 +178,40 @@ def test_toxicity(spark, nothing):
     assert toxicity.scored(docs, model).columns == ["doc_id", "text", "lang", "score", "toxic"]
 
 
+def test_toxicity_keeps_the_natural_mixture(spark, monkeypatch):
+    """A sample of as many toxic as clean rows stands for all learnable labels, in training and in the thresholds."""
+    monkeypatch.setattr(toxicity, "SAMPLE_PER_CLASS", 40)
+    monkeypatch.setattr(toxicity, "LEAST_STEPS", 10)
+    rng = random.Random(8)
+    labels = [(i, int(rng.random() < 0.1)) for i in range(1500)]
+    seen, train, calibrated = collections.defaultdict(list), toxicity.train, toxicity.calibrated
+
+    def kept(y, w):
+        for label, weight in zip(y.tolist(), w.tolist(), strict=True):
+            seen[label].append(weight)
+
+    monkeypatch.setattr(toxicity, "train", lambda ids, y, w: (kept(y, w), train(ids, y, w))[1])
+    monkeypatch.setattr(toxicity, "calibrated", lambda s, y, langs, w: (kept(y, w), calibrated(s, y, langs, w))[1])
+    docs = spark.createDataFrame([(i, words(rng, 5), "en") for i, _ in labels], "doc_id long, text string, lang string")
+    toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    learnable = collections.Counter(y for i, y in labels if zlib.crc32(str(i).encode()) % 3 != 1)
+    assert {y: len(w) for y, w in seen.items()} == {0: 40, 1: 40} and all(np.isclose(sum(seen[y]), learnable[y]) for y in (0, 1))
+
+
+def test_toxicity_learns_by_weight():
+    texts, y = [np.full((2, toxicity.PARTS), 9, np.int32)] * 200, np.repeat([0, 1], 100)
+    model = toxicity.train(texts, y, np.where(y == 1, 1.0, 9.0))
+    assert abs(toxicity.scores(model, model.projected(), texts[0], np.array([0, 2]))[0] - 0.1) < 0.05
+
+
+def test_toxicity_thresholds():
+    scores, y = np.repeat([0.95, 0.9, 0.8, 0.2], [60, 40, 2, 58]), np.repeat([1, 1, 0, 0], [60, 40, 2, 58])
+    langs = ["en"] * 160
+    assert toxicity.calibrated(scores, y, langs, np.ones(160))["en"] == 0.8  # 100 of 102
+    assert toxicity.calibrated(scores, y, langs, np.where(y == 1, 1.0, 9.0))["en"] == 0.9  # 100 of 118
+    assert toxicity.calibrated(1 - scores, y, langs, np.ones(160)) == {"": float("inf"), "en": float("inf")}
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
