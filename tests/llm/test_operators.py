@@ -212,6 +212,31 @@ def test_toxicity_thresholds():
     assert toxicity.calibrated(1 - scores, y, langs, np.ones(160)) == {"": float("inf"), "en": float("inf")}
 
 
+def test_toxicity_reads_whole_texts(spark, monkeypatch):
+    """What tells a toxic text may stand after any number of words, in training and in the thresholds."""
+    monkeypatch.setattr(toxicity, "LEAST_STEPS", 10)
+    seen, train, scores = [], toxicity.train, toxicity.scores
+    monkeypatch.setattr(toxicity, "train", lambda ids, *rest: (seen.extend(ids), train(ids, *rest))[1])
+    monkeypatch.setattr(toxicity, "scores", lambda m, t, ids, first: (seen.append(ids), scores(m, t, ids, first))[1])
+    rng = random.Random(12)
+    rows = [(i, words(rng, 1500 + i), i % 2) for i in range(40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    toxicity.fit(table.drop("toxic"), table.select("doc_id", "toxic"))
+    assert sorted(map(len, seen)) == [1500 + i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1]
+
+
+def test_toxicity_learns_in_parts(monkeypatch):
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(toxicity, "LEAST_STEPS", 60)
+    texts = [rng.integers(1, 2000, (n, toxicity.PARTS)) for n in rng.integers(0, 60, 100)]
+    y = np.arange(100) % 2
+    whole = toxicity.train(texts, y, np.ones(100))
+    monkeypatch.setattr(toxicity, "PART_WORDS", 200)
+    parts = toxicity.train(texts, y, np.ones(100))
+    told = [[toxicity.scores(m, m.projected(), t, np.array([0, len(t)]))[0] for t in texts] for m in (whole, parts)]
+    assert np.allclose(*told, atol=0.05)
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
