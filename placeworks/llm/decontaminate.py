@@ -15,12 +15,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from . import textops as T
+from .scratch import written
 
 #: Words of benchmark items that one pass over the documents holds in a task;
 #: a longer benchmark takes several passes.
 BLOCK_WORDS = 500_000
+#: Columns that rows get: words, (first, end) of each hit run of words one after the other, sorted items.
+FOUND = [StructField("_n_words", LongType()), StructField("_runs", ArrayType(LongType())), StructField("_items", ArrayType(StringType()))]
 
 
 def _item_words(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -137,10 +141,8 @@ def _marked(index: Index):
                     begin = start[mine] - first[d]
                     runs[row + d] = np.stack([begin, begin + index.length[window[mine]]], 1).reshape(-1).tolist()
                     items[row + d] = sorted(set(index.items[window[mine]].tolist()))
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"].cast(pa.int64()), pa.array(n_words), pa.array(runs, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
-                names=["doc_id", "n_words", "runs", "items"],
-            )
+            found = [pa.array(n_words), pa.array(runs, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=[*batch.schema.names, *(f.name for f in FOUND)])
 
     return run
 
@@ -149,13 +151,13 @@ def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The number of words in the union of a document's runs."""
     for batch in batches:
         out = []
-        for runs in batch["runs"].to_pylist():
+        for runs in batch["_runs"].to_pylist():
             r, n, end = np.array(runs or [], np.int64).reshape(-1, 2), 0, 0
             for a, b in r[np.argsort(r[:, 0], kind="stable")].tolist():
                 n += max(0, b - max(a, end))
                 end = max(end, b)
             out.append(n)
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_words"], pa.array(out, pa.int64()), batch["items"]], names=["doc_id", "n_words", "n_hit", "items"])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["_n_words"], pa.array(out, pa.int64()), batch["_items"]], names=["doc_id", "n_words", "n_hit", "items"])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
@@ -170,23 +172,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     "null"; repeated items count once per id. An empty benchmark marks nothing.
     Rows that repeat a doc_id get a row each. Other columns are ignored.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("string").alias("text"))
-    windows = items.mapInArrow(_windows(size), "item string, words array<long>").distinct()
-    marked = None
-    blocks: list[list] = [[]]
-    held = 0
-    for item, words in windows.toLocalIterator():
-        if held + len(words) > BLOCK_WORDS:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((item, words))
-        held += len(words)
-        if len(blocks) == 2:
-            marked = _also(marked, _block(spark, docs, blocks.pop(0)), docs)
-    last = _block(spark, docs, blocks[0])
-    marked = last if marked is None else _also(marked, last, docs)
+    marked = _found(docs, benchmark, size).select("doc_id", *[f.name for f in FOUND])
     out = marked.mapInArrow(_covered, "doc_id long, n_words long, n_hit long, items array<string>")
     return out.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items",
@@ -194,18 +181,46 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     )
 
 
-def _block(spark, docs: DataFrame, windows: list) -> DataFrame:
-    vocabulary = np.unique(np.array([w for _, words in windows for w in words], np.int64).view(np.uint64))
-    counted = docs.select("text").mapInArrow(_frequencies(vocabulary), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    frequency = dict(counted.collect()) if len(vocabulary) else {}  # of words of the block only
-    return docs.mapInArrow(_marked(Index(windows, frequency)), "doc_id long, n_words long, runs array<long>, items array<string>")
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
+    """The rows of docs (text and any other columns) that are not contaminated, each by its own text whatever its doc_id."""
+    return _found(docs, benchmark, size).where(F.size("_runs") == 0).select(*docs.columns)
 
 
-def _also(one: DataFrame | None, two: DataFrame, docs: DataFrame) -> DataFrame:
-    """The hits of two blocks; rows that repeat a doc_id are told apart only by their words, so they share their hits' union."""
-    if one is None:
-        return two
-    both = one.unionByName(two)
-    return both.groupBy("doc_id", "n_words").agg(
-        F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+def _blocks(benchmark: DataFrame, size: int) -> Iterator[list]:
+    """Windows (item, words) of BLOCK_WORDS at a time; one block at least."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("string").alias("text"))
+    windows = items.mapInArrow(_windows(size), "item string, words array<long>").distinct()
+    block, held = [], 0
+    for item, words in windows.toLocalIterator():
+        if block and held + len(words) > BLOCK_WORDS:
+            yield block
+            block, held = [], 0
+        block.append((item, words))
+        held += len(words)
+    yield block
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
+    """docs with FOUND. Where there are several blocks, the rows get ids, which are written once, and a row's hits are merged by its id."""
+    docs, blocks = docs.drop("_row", *[f.name for f in FOUND]), _blocks(benchmark, size)
+    block, more = next(blocks), next(blocks, None)
+    if more is None:
+        return _block(docs, block)
+    docs = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    texts = docs.select("_row", "text")
+    both = _block(texts, block).drop("text")  # every row; of the other blocks, those with hits
+    while more is not None:
+        both = both.unionByName(_block(texts, more).drop("text").where(F.size("_runs") > 0))
+        more = next(blocks, None)
+    merged = both.groupBy("_row").agg(
+        F.max("_n_words").alias("_n_words"), F.flatten(F.collect_list("_runs")).alias("_runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items")
     )
+    return docs.join(merged, "_row").drop("_row")
+
+
+def _block(docs: DataFrame, windows: list) -> DataFrame:
+    """docs with FOUND by the windows alone."""
+    vocabulary = np.unique(np.array([w for _, words in windows for w in words], np.int64).view(np.uint64))
+    counted = docs.select("text").mapInArrow(_frequencies(vocabulary), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    frequency = dict(counted.collect()) if len(vocabulary) else {}  # of words of the block only
+    return docs.mapInArrow(_marked(Index(windows, frequency)), StructType([*docs.schema.fields, *FOUND]))

@@ -266,6 +266,21 @@ def test_contamination(spark, docs, nothing, corpus, monkeypatch):
     assert not any(r.contaminated for r in decontaminate.contamination(docs, bench.limit(0)).collect())
 
 
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_WORDS, 20])
+def test_contamination_of_rows_without_an_id_of_their_own(spark, block, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+    rng = random.Random(21)
+    leaked, ok = words(rng, 14), [words(rng, 14) for _ in range(3)]
+    rows = [(d, t, k) for d in (None, 1) for k, t in enumerate([leaked, leaked, *ok, ok[0]])] + [(2, None, 6), (2, "", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k int")
+    bench = spark.createDataFrame([(1, leaked), (2, words(rng, 30)), (3, leaked)], "item_id long, text string")
+    out = decontaminate.contamination(docs, bench).select("doc_id", "n_words", "n_hit", F.array_join("items", ",").alias("i"), "contaminated").collect()
+    expected = [(d, len((t or "").split()), 14 * (t == leaked), "1,3" if t == leaked else "", t == leaked) for d, t, _ in rows]
+    assert collections.Counter(map(tuple, out)) == collections.Counter(expected)
+    kept = decontaminate.clean(docs, bench)
+    assert kept.columns == docs.columns and collections.Counter(map(tuple, kept.collect())) == collections.Counter(r for r in rows if r[1] != leaked)
+
+
 def test_secrets(spark, nothing):
     texts = [
         "x password = abcdef12 y", 'API_KEY: "k-12.3_4=5"', "token=abc", "password=token :abcdefgh", "AKIA" + "A1" * 9, "AKIA123", "ff" * 12, "ff" * 11, "paſſword = abcdef",

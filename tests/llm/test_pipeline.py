@@ -39,3 +39,11 @@ def test_odd_rows(spark, sf_dir, tmp_path):
                 assert docs.columns == [c.split()[0] for c in schema.split(", ")]
                 if name == "near_dedup" and given:
                     assert docs.count() == 4
+
+
+def test_decontamination_goes_by_row(spark, sf_dir):
+    """A contaminated row without an id goes, a clean row with the id of a contaminated one stays."""
+    leak = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("text is not null and length(text) > 100").first().text
+    rows = [(None, leak), (None, "clean words"), (1, leak), (1, "other clean words"), (1, "other clean words")]
+    out = corpus_pipeline.drop_contaminated(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir).collect()
+    assert sorted(map(tuple, out), key=str) == sorted((r for r in rows if r[1] != leak), key=str)
