@@ -192,8 +192,11 @@ class Page:
             if up > body and any(self.tag[i] == "h1" and self.parent[i] == up and not self.out[i] for i in range(up + 1, best)):
                 best = up  # the heading stands before the part that holds the paragraphs
         if self.tag[best] not in ("article", "main") and best != body and least > 0:
-            # Every element dense enough, outside the one selected, whose children are denser still.
-            more = [i for i in usable if density[i] >= least and total[i] >= 0.5 * total[best] and i not in path]
+            # Every element dense enough, outside the one selected, and the parts beside it that hold paragraphs:
+            # density grows with length, so a short section of a page can miss a threshold set by a long one.
+            holds = lambda i: any(self.tag[j] == "p" and not self.out[j] for j in range(i + 1, self.last[i]))
+            beside = lambda i: self.parent[i] == self.parent[best] and self.tag[i] == self.tag[best] and holds(i)
+            more = [i for i in usable if i not in path and (density[i] >= least or beside(i))]
             picked = sorted({best, *more})
         else:
             picked = [best]

@@ -148,6 +148,15 @@ def test_html():
     assert html_extract.main_text("plain words") == "plain words"
 
 
+def test_html_sections_of_unequal_length():
+    """Without article or main, sections beside the longest one are content too."""
+    paragraph = lambda s, i: f"<p>Paragraph {i} of section {s}, which has a good number of plain words in it, as prose does.</p>"
+    parts = [(s, "".join(paragraph(s, i) for i in range(n))) for s, n in (("one", 10), ("two", 3), ("three", 1))]
+    page = PAGE % ("<div class=post>" + "".join(f"<section>{p}</section>" for _, p in parts) + "</div>")
+    expected = " ".join(p.replace("<p>", "").replace("</p>", " ").strip() for _, p in parts)
+    assert html_extract.main_text(page) == expected
+
+
 def test_html_table(spark):
     rows = [(1, "u", None, 1), (1, "u", None, 1), (None, None, "", 2), (2, "v", "<p>" + "long words " * 20000, 3)]
     out = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")).collect()
