@@ -13,6 +13,8 @@ that occurs, whatever the number of documents.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,7 +52,7 @@ def rake(cells: DataFrame, targets: dict[str, str]) -> DataFrame:
     """cells (marginal columns, tokens, and the target share of each marginal) with `fitted`, whose marginals are the targets.
 
     A step divides by the marginal's present sum and multiplies by its target.
-    The table is in one partition, so no step exchanges rows.
+    The table is in one partition, so no step exchanges rows. Targets that cannot be met together are met as far as MOST rounds go, with a warning.
     """
     cells = written(cells.withColumn("fitted", F.col("tokens") / _sum("tokens")).coalesce(1), "cells")
     for done in range(0, MOST, ROUNDS):
@@ -61,8 +63,11 @@ def rake(cells: DataFrame, targets: dict[str, str]) -> DataFrame:
         cells = written(now, "cells")
         errors = [F.max(F.abs(F.col(f"sum_{m}") - F.col(t))) for m, t in targets.items()]
         summed = cells.coalesce(1).select("*", *[_sum("fitted", m).alias(f"sum_{m}") for m in targets])
-        if (summed.agg(F.greatest(F.lit(0.0), *[F.coalesce(e, F.lit(0.0)) for e in errors])).first()[0]) <= TOLERANCE:
+        error = summed.agg(F.greatest(F.lit(0.0), *[F.coalesce(e, F.lit(0.0)) for e in errors])).first()[0]
+        if error <= TOLERANCE:
             break
+    else:
+        warnings.warn(f"after {MOST} rounds a marginal's share is still {error:.3g} from its target (tolerance {TOLERANCE:g})", stacklevel=2)
     return cells
 
 

@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import warnings
 import zlib
 
 import numpy as np
@@ -87,6 +88,18 @@ def test_mixing_meets_its_targets(spark):
         assert np.allclose(got, target / target.sum(), atol=1e-6)
 
 
+def test_mixing_tells_of_targets_it_cannot_meet(spark, monkeypatch):
+    """A value alone in two marginals has two targets."""
+    monkeypatch.setattr(mixing, "MOST", 12)
+    rows = [(i, "some plain words", "en" if i % 2 else "de", "a" if i % 3 else "b") for i in range(200)]
+    schema = "doc_id long, text string, lang string, source string"
+    with pytest.warns(UserWarning, match="from its target"):
+        mixing.mixed(spark.createDataFrame([*rows, (200, "some plain words", None, None)], schema))
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        mixing.mixed(spark.createDataFrame(rows, schema))
+
+
 def brute_repeats(texts, size=400):
     seen = collections.Counter()
     raws = [(t or "").encode() for _, t in texts]
