@@ -174,7 +174,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marked = _found(docs, benchmark, size).select("doc_id", *[f.name for f in FOUND])
-    out = marked.mapInArrow(_covered, "doc_id long, n_words long, n_hit long, items array<string>")
+    out = marked.mapInArrow(T.task(_covered), "doc_id long, n_words long, n_hit long, items array<string>")
     return out.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items",
         F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
@@ -189,7 +189,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
 def _blocks(benchmark: DataFrame, size: int) -> Iterator[list]:
     """Windows (item, words) of BLOCK_WORDS at a time; one block at least."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("string").alias("text"))
-    windows = items.mapInArrow(_windows(size), "item string, words array<long>").distinct()
+    windows = items.mapInArrow(T.task(_windows(size)), "item string, words array<long>").distinct()
     block, held = [], 0
     for item, words in windows.toLocalIterator():
         if block and held + len(words) > BLOCK_WORDS:
@@ -221,6 +221,6 @@ def _found(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
 def _block(docs: DataFrame, windows: list) -> DataFrame:
     """docs with FOUND by the windows alone."""
     vocabulary = np.unique(np.array([w for _, words in windows for w in words], np.int64).view(np.uint64))
-    counted = docs.select("text").mapInArrow(_frequencies(vocabulary), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(T.task(_frequencies(vocabulary)), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     frequency = dict(counted.collect()) if len(vocabulary) else {}  # of words of the block only
-    return docs.mapInArrow(_marked(Index(windows, frequency)), StructType([*docs.schema.fields, *FOUND]))
+    return docs.mapInArrow(T.task(_marked(Index(windows, frequency))), StructType([*docs.schema.fields, *FOUND]))

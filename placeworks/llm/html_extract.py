@@ -245,4 +245,4 @@ def extract(pages: DataFrame) -> DataFrame:
     ids and urls stay null. Other columns are ignored.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(T.task(_extracted), "page_id long, url string, text string, n_chars long")

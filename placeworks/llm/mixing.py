@@ -2,13 +2,16 @@
 
 The corpus is first summed into cells of source, language and topic. The
 cells' token weights are scaled to one marginal after the other until all
-three meet their targets; a cell's ratio of fitted to actual weight, divided
-by the largest such ratio, is the probability with which each of its documents
-is taken. So the expected tokens of the sample have the target marginals, and
-no document is repeated.
+three meet their targets. A cell's ratio of fitted to actual weight, times a
+factor that all cells share, is the probability with which each of its
+documents is taken, 1 at most; the factor is such that the sample holds the
+asked share of all tokens. So the expected tokens of the sample have the
+target marginals as far as the corpus has the tokens for them, the size of the
+sample does not hang on the rarest cell, and no document is repeated.
 
 All of it is DataFrame operations. The cells are one row for each combination
-that occurs, whatever the number of documents.
+that occurs, whatever the number of documents; those of a source are as many
+as languages and topics allow, so sources may be any number.
 """
 
 from __future__ import annotations
@@ -28,8 +31,13 @@ TOPICS = (
 )
 #: Targets are the natural shares to these powers: below 1 they lift what is rare.
 POWERS = {"source": 0.7, "lang": 0.85, "topic": 0.9}
-#: Rounds of the three scalings, and the largest error of a marginal's share that is left.
-ROUNDS, TOLERANCE, MOST = 6, 1e-9, 120
+#: Rounds of the three scalings in one job, how much a factor still moves when they end, and the most rounds.
+ROUNDS, TOLERANCE, MOST = 4, 1e-9, 120
+#: The share of all tokens that the sample holds, in expectation.
+RATE = 0.5
+#: Cells up to which the documents get them by broadcast, about 100 bytes each.
+FEW_CELLS = 100_000
+KEYS = ["source", "lang", "topic"]
 
 
 def topic(text: Column) -> Column:
@@ -44,47 +52,69 @@ def n_tokens(text: Column) -> Column:
     return F.greatest(F.regexp_count(text, F.lit("[^ \\t\\n\\r\\f]+")), F.lit(1)).cast("long")
 
 
-def _sum(column: str | Column, *by: str) -> Column:
-    return F.sum(column).over(Window.partitionBy(*by))
+def _over(column: str | Column, by: str) -> Column:
+    return F.sum(column).over(Window.partitionBy(by))
 
 
-def rake(cells: DataFrame, targets: dict[str, str]) -> DataFrame:
-    """cells (marginal columns, tokens, and the target share of each marginal) with `fitted`, whose marginals are the targets.
+def targets(cells: DataFrame, marginal: str, total: float) -> DataFrame:
+    """The target share of each value of a marginal: its natural share to the power of POWERS, of their sum."""
+    raised = written(cells.groupBy(marginal).agg(F.pow(F.sum("tokens") / F.lit(total), F.lit(POWERS[marginal])).alias("raised")), "raised")
+    return raised.select(marginal, (F.col("raised") / F.lit(raised.agg(F.sum("raised")).first()[0])).alias(f"target_{marginal}"))
 
-    A step divides by the marginal's present sum and multiplies by its target.
-    The table is in one partition, so no step exchanges rows. Targets that cannot be met together are met as far as MOST rounds go, with a warning.
+
+def _round(cells: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (lang, topic, their targets and factor) after a scaling to each marginal: sources over all cells, then languages and topics over the pairs' sums."""
+    weight = F.col("tokens") * F.col("factor")
+    scaled = cells.join(pairs, ["lang", "topic"]).withColumn("fitted", weight * F.col("target_source") / _over(weight, "source"))
+    same = [F.first(c).alias(c) for c in ("target_lang", "target_topic", "factor", "before")]
+    now = scaled.groupBy("lang", "topic").agg(F.sum("fitted").alias("fitted"), *same)
+    for m in ("lang", "topic"):
+        step = F.col(f"target_{m}") / _over("fitted", m)
+        now = now.withColumn("step", step).withColumn("fitted", F.col("fitted") * F.col("step")).withColumn("factor", F.col("factor") * F.col("step"))
+    return now.drop("fitted", "step")
+
+
+def rake(cells: DataFrame) -> DataFrame:
+    """cells (source, lang, topic, tokens, documents) with `ratio`, fitted over actual weight, such that the marginals meet their targets.
+
+    A factor of each pair of language and topic goes from round to round;
+    sources need none, since theirs follows from it. Targets that cannot be met
+    together are met as far as MOST rounds go, with a warning.
     """
-    cells = written(cells.withColumn("fitted", F.col("tokens") / _sum("tokens")).coalesce(1), "cells")
-    for done in range(0, MOST, ROUNDS):
-        now = cells.coalesce(1)
-        for _ in range(ROUNDS):
-            for marginal, target in targets.items():
-                now = now.withColumn("fitted", F.col("fitted") * F.col(target) / _sum("fitted", marginal))
-        cells = written(now, "cells")
-        errors = [F.max(F.abs(F.col(f"sum_{m}") - F.col(t))) for m, t in targets.items()]
-        summed = cells.coalesce(1).select("*", *[_sum("fitted", m).alias(f"sum_{m}") for m in targets])
-        error = summed.agg(F.greatest(F.lit(0.0), *[F.coalesce(e, F.lit(0.0)) for e in errors])).first()[0]
-        if error <= TOLERANCE:
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 1)
+    cells = written(cells.join(targets(cells, "source", total), "source"), "cells")
+    pairs = cells.select("lang", "topic").distinct().join(targets(cells, "lang", total), "lang").join(targets(cells, "topic", total), "topic")
+    pairs = written(pairs.withColumn("factor", F.lit(1 / total)), "pairs")
+    for _ in range(0, MOST, ROUNDS):
+        now = pairs.withColumn("before", F.col("factor"))
+        for _ in range(ROUNDS - 1):
+            now = _round(cells, now)
+        # What the last round of a job moves tells whether the rounds may end.
+        pairs = written(_round(cells, now.withColumn("before", F.col("factor"))), "pairs")
+        moved = pairs.agg(F.max(F.abs(F.col("factor") / F.col("before") - 1))).first()[0] or 0.0
+        pairs = pairs.drop("before")
+        if moved <= TOLERANCE:
             break
     else:
-        warnings.warn(f"after {MOST} rounds a marginal's share is still {error:.3g} from its target (tolerance {TOLERANCE:g})", stacklevel=2)
-    return cells
-
-
-def calibrate(docs: DataFrame) -> DataFrame:
-    """A row for each cell of docs (source, lang, topic, tokens): tokens, documents, fitted share and probability."""
-    keys = ["source", "lang", "topic"]
-    cells = docs.groupBy(*keys).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents")).coalesce(1)
-    for m in keys:
-        share = _sum("tokens", m) / _sum("tokens")
-        cells = cells.withColumn(f"raised_{m}", F.pow(share, F.lit(POWERS[m])))
-        # Each value of a marginal counts once in the sum, however many cells it has.
-        cells = cells.withColumn(f"of_{m}", F.count("*").over(Window.partitionBy(m)))
-        cells = cells.withColumn(f"target_{m}", F.col(f"raised_{m}") / _sum(F.col(f"raised_{m}") / F.col(f"of_{m}")))
-    cells = rake(cells.select(*keys, "tokens", "documents", *[f"target_{m}" for m in keys]), {m: f"target_{m}" for m in keys})
-    factor = F.col("fitted") / (F.col("tokens") / _sum("tokens"))
-    cells = cells.coalesce(1).withColumn("factor", factor)
-    return cells.withColumn("probability", F.col("factor") / F.max("factor").over(Window.partitionBy()))
+        warnings.warn(f"after {MOST} rounds a factor still moves by {moved:.3g} of itself (tolerance {TOLERANCE:g}): the targets cannot be met together", stacklevel=2)
+    weight = F.col("tokens") * F.col("factor")
+    ratio = F.col("factor") * F.col("target_source") / _over(weight, "source") * F.lit(total)
+    return cells.join(pairs.select("lang", "topic", "factor"), ["lang", "topic"]).select(*KEYS, "tokens", "documents", ratio.alias("ratio"))
+
+
+def calibrate(cells: DataFrame, rate: float = RATE) -> DataFrame:
+    """A row for each cell: tokens, documents, ratio and probability; the probabilities, 1 at most, take `rate` of all tokens."""
+    cells = written(rake(cells), "raked")
+    total = cells.agg(F.sum("tokens")).first()[0] or 0
+    common, full = rate, -1
+    while True:
+        # Cells that reach 1 are taken whole, and the others make up for them.
+        whole = F.col("ratio") * F.lit(common) >= 1
+        n, held, rest = cells.agg(F.count_if(whole), F.sum(F.when(whole, F.col("tokens"))), F.sum(F.when(~whole, F.col("tokens") * F.col("ratio")))).first()
+        if n == full or not rest:
+            break
+        full, common = n, (rate * total - (held or 0)) / rest
+    return cells.withColumn("probability", F.least(F.col("ratio") * F.lit(common), F.lit(1.0)))
 
 
 def uniform(doc_id: Column) -> Column:
@@ -92,20 +122,37 @@ def uniform(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, source, lang) with topic, tokens, probability and sampled.
+def _placed(docs: DataFrame, rate: float, text: bool) -> DataFrame:
+    """docs with _mix (source, lang, topic, tokens) and _probability. Texts are read once: what they tell is written beside them, or in their place."""
+    words = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    told = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    docs = docs.withColumn("_mix", F.struct(told("source"), told("lang"), topic(words).alias("topic"), n_tokens(words).alias("tokens")))
+    docs = written(docs if text else docs.drop("text"), "weighed")
+    cells = docs.select("_mix.*").groupBy(*KEYS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents"))
+    cells = written(calibrate(written(cells, "summed"), rate).select(F.struct(*KEYS).alias("_cell"), F.col("probability").alias("_probability")), "calibrated")
+    small = F.broadcast(cells) if cells.limit(FEW_CELLS + 1).count() <= FEW_CELLS else cells
+    return docs.join(small, [F.col(f"_mix.{k}") == F.col(f"_cell.{k}") for k in KEYS]).drop("_cell")
+
+
+def _sampled() -> Column:
+    return uniform(F.col("doc_id")) < F.col("_probability")
+
+
+def mixed(docs: DataFrame, rate: float = RATE, text: bool = True) -> DataFrame:
+    """docs (doc_id, text, source, lang) with topic, tokens, probability and sampled; without text, if so asked.
 
     A null source or language is the value "" of its marginal; null and empty
     texts are prose of one token. Rows that repeat a doc_id are taken or left
     together where their cells are the same. An empty table gives an empty one.
-    Columns of docs with the names topic, tokens, probability, sampled and _cell
-    are replaced.
+    Columns of docs with the names topic, tokens, probability, sampled, _mix,
+    _cell and _probability are replaced.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    docs = docs.drop("probability", "sampled", "_cell").withColumn("topic", topic(text)).withColumn("tokens", n_tokens(text))
-    told = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    cells = calibrate(docs.select(told("source").alias("source"), told("lang").alias("lang"), "topic", "tokens"))
-    key = lambda s, l, t: F.concat_ws("\x1f", s, l, t)  # noqa: E731, E741
-    placed = cells.select(key("source", "lang", "topic").alias("_cell"), "probability")
-    out = docs.withColumn("_cell", key(told("source"), told("lang"), F.col("topic")))
-    return out.join(placed, "_cell").drop("_cell").withColumn("sampled", uniform(F.col("doc_id")) < F.col("probability"))
+    added = {"topic": F.col("_mix.topic"), "tokens": F.col("_mix.tokens"), "probability": F.col("_probability"), "sampled": _sampled()}
+    out = _placed(docs.drop(*added, "_mix", "_cell", "_probability"), rate, text)
+    return out.withColumns(added).drop("_mix", "_probability")
+
+
+def sample(docs: DataFrame, rate: float = RATE) -> DataFrame:
+    """The sampled rows of docs, with docs' own columns; those with the names _mix, _cell and _probability are not kept."""
+    docs = docs.drop("_mix", "_cell", "_probability")
+    return _placed(docs, rate, True).where(_sampled()).select(*docs.columns)

@@ -216,7 +216,7 @@ def _across(placed: DataFrame, reps: DataFrame, links: DataFrame, percent: int)
     rest = open_.select(*kept, F.explode(every("rest")).alias("ask_block"), own("all").alias("block"), F.lit(False).alias("asks"))
     full = written(asks.unionByName(rest), "asked").join(reps.select("rep", "n_shingles", "signature", "buckets"), "rep")
     dealt = full.repartition(*KEY).sortWithinPartitions(*KEY)
-    return written(dealt.mapInArrow(_compared(percent), PAIRS), "across")
+    return written(dealt.mapInArrow(T.task(_compared(percent)), PAIRS), "across")
 
 
 def _links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -224,7 +224,7 @@ def _links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     told = pairs.where("b is null").join(texts.withColumnRenamed("doc_id", "a"), "a").select(*KEY, "a", "b", "text")
     both = told.unionByName(pairs.where("b is not null").withColumn("text", F.lit(None).cast("string")))
     both = both.repartition(*KEY).sortWithinPartitions(*KEY, F.col("b").asc_nulls_first())
-    return written(both.mapInArrow(_confirmed(k, percent), "a long, b long").distinct(), "links")
+    return written(both.mapInArrow(T.task(_confirmed(k, percent)), "a long, b long").distinct(), "links")
 
 
 def _stars(placed: DataFrame) -> DataFrame:
@@ -259,7 +259,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     table gives an empty table.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = written(docs.mapInArrow(_sketch(words), SKETCH), "sketch")
+    sketch = written(docs.mapInArrow(T.task(_sketch(words)), SKETCH), "sketch")
     linkable = sketch.where("n_shingles > 0 and doc_id is not null")
     same = ["fp1", "fp2", "n_shingles"]
     narrow = linkable.select("doc_id", *same)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, embedding_dedup, html_extract, mixing, near_dedup, repeats, secret_scan, sharding, tokens, toxicity
+from .scratch import bounded
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,7 +23,7 @@ def op1_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its cell's probability and whether it is in the sample."""
-    out = mixing.mixed(table(spark, sf_dir, "documents"))
+    out = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), text=False)
     return out.select("doc_id", "source", "lang", "topic", F.col("tokens").alias("n_tokens"), F.round("probability", 6).alias("probability"), "sampled")
 
 
@@ -67,16 +68,19 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "op1_histogram_sharding": op1_histogram_sharding,
-    "op2_source_mixing": op2_source_mixing,
-    "op3_repeat_removal": op3_repeat_removal,
-    "op4_html_extraction": op4_html_extraction,
-    "op5_toxicity": op5_toxicity,
-    "op6_benchmark_decontamination": op6_benchmark_decontamination,
-    "op7_secret_scan": op7_secret_scan,
-    "op8_minhash_near_dedup": op8_minhash_near_dedup,
-    "op9_token_output": op9_token_output,
-    "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    q.__name__: bounded(q)
+    for q in (
+        op1_histogram_sharding,
+        op2_source_mixing,
+        op3_repeat_removal,
+        op4_html_extraction,
+        op5_toxicity,
+        op6_benchmark_decontamination,
+        op7_secret_scan,
+        op8_minhash_near_dedup,
+        op9_token_output,
+        op10_embedding_near_dedup,
+    )
 }
 
 _PATTERNS = {name: pattern.replace("'", "''") for name, pattern in mixing.TOPICS}
@@ -102,7 +106,11 @@ cell AS (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS tokens FROM
     + "".join(f", w_{m} AS (SELECT {m}, pow(sum(tokens) / (SELECT n FROM total), {p}e0) AS raised FROM cell GROUP BY {m}), t_{m} AS (SELECT {m}, raised / sum(raised) OVER () AS target_{m} FROM w_{m})" for m, p in mixing.POWERS.items())
     + ", start AS (SELECT *, tokens / (SELECT n FROM total) AS fitted FROM cell JOIN t_source USING (source) JOIN t_lang USING (lang) JOIN t_topic USING (topic))"
     + _raking(24)
-    + """, p AS (SELECT source, lang, topic, fitted / tokens / max(fitted / tokens) OVER () AS probability FROM fitted)
+    + """, ratio AS (SELECT source, lang, topic, tokens, fitted / tokens * n AS ratio, n FROM fitted, total),
+-- Cells of the largest ratios are taken whole, as long as the others' common factor takes theirs to 1.
+taken AS (SELECT *, (0.5e0 * n - coalesce(sum(tokens) OVER (ORDER BY ratio DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(tokens * ratio) OVER (ORDER BY ratio DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS c FROM ratio),
+common AS (SELECT max_by(c, ratio) AS c FROM taken WHERE c * ratio < 1),
+p AS (SELECT source, lang, topic, least(ratio * common.c, 1) AS probability FROM ratio, common)
 SELECT doc_id, own_source AS source, own_lang AS lang, topic, tokens AS n_tokens, round(probability, 6) AS probability,
 CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12)) AS BIGINT) / 281474976710656e0 < probability AS sampled FROM doc JOIN p USING (source, lang, topic)"""
 )

@@ -277,18 +277,18 @@ def _intervals(docs: DataFrame, seen: DataFrame) -> DataFrame:
     # Rows that repeat both doc_id and text share a rid: one of them is enough. The
     # ids grow with the corpus, so they are not broadcast.
     texts = written(docs.join(wanted.hint("merge"), "rid").groupBy("rid").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted")), "texts")
-    parts = written(texts.mapInArrow(_parted, CHILD), "parts")
+    parts = written(texts.mapInArrow(T.task(_parted), CHILD), "parts")
     same, rows = _settled(parts, "hi")
     out.append(same)
     wanted = rows.groupBy("rid").agg(F.collect_list(F.struct("key", "n", "m", "pos", "i0", "i1", "lo", "hi")).alias("wanted"))
-    rows = written(texts.drop("wanted").join(wanted, "rid").select("rid", "text", "wanted").mapInArrow(_fetched, ROW), "rows")
+    rows = written(texts.drop("wanted").join(wanted, "rid").select("rid", "text", "wanted").mapInArrow(T.task(_fetched), ROW), "rows")
     for level in range(3):
         small = rows.where(F.col("m") <= MOST).select("key", "n", "rid", "lo", "bytes")
-        out.append(small.repartition("key").sortWithinPartitions("key").mapInArrow(_sharded, INTERVAL))
+        out.append(small.repartition("key").sortWithinPartitions("key").mapInArrow(T.task(_sharded), INTERVAL))
         hot = rows.where(F.col("m") > MOST)
         if level == 2 or hot.isEmpty():
             break
-        same, rows = _settled(written(hot.drop("m").mapInArrow(_split, CHILD_BYTES), "parts"), "lo + octet_length(bytes)")
+        same, rows = _settled(written(hot.drop("m").mapInArrow(T.task(_split), CHILD_BYTES), "parts"), "lo + octet_length(bytes)")
         out.append(same)
         rows = written(rows.select("key", "rid", "pos", "n", "m", "i0", "i1", "lo", "bytes"), "rows")
     found = out[0]
@@ -336,12 +336,12 @@ def remove_repeats(docs: DataFrame, kept_bytes: bool = True) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
-    seen = docs.mapInArrow(_anchored, "doc_id long, rid long, n_bytes long, sha256 string, places array<long>, begins array<long>, ends array<long>, anchors array<long>, regions array<long>")
+    seen = docs.mapInArrow(T.task(_anchored), "doc_id long, rid long, n_bytes long, sha256 string, places array<long>, begins array<long>, ends array<long>, anchors array<long>, regions array<long>")
     seen = written(seen, "anchors")
     runs = written(_intervals(docs, seen).groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("runs")), "runs")
     columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * kept_bytes]
     cut = docs.join(runs, "rid").select("doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes"), "runs")
-    cut = cut.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    cut = cut.mapInArrow(T.task(_cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     rest = (docs if kept_bytes else seen).join(runs.select("rid"), "rid", "left_anti")
     zero = F.lit(0).cast("long")
     if kept_bytes:

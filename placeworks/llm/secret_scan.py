@@ -124,4 +124,4 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     Null and empty texts have none. Rows that repeat a doc_id get a row each; a
     null doc_id stays null. Other columns are ignored.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scan, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(T.task(_scan), SCHEMA)

@@ -1,16 +1,21 @@
 """Arrow text columns as numpy bytes: documents, words, word hashes.
 
-Hashes are polynomials over bytes modulo 2**64, taken from prefix sums, so a
-chunk of documents costs a fixed number of numpy passes.
+A word's hash mixes its bytes eight at a time, each block into the hash of
+those before it, so a chunk of documents costs a few numpy passes. Sums of
+powers modulo 2**64 serve only short runs: they collide on complementary
+Thue-Morse strings, which needs 1,024 symbols or more.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 CHUNK_BYTES = 1 << 19
 _P = 0x9E3779B97F4A7C15 | 1
@@ -53,6 +58,23 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _tables["p"], _tables["i"]
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def task(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """run, giving back what a Python worker would else hold until its next task."""
+
+    @wraps(run)
+    def whole(batches: Batches) -> Batches:
+        yield from run(batches)
+        _tables.clear()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return whole
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """Batches of a bounded number of rows, so that what is made of one at a time stays small."""
     for batch in batches:
@@ -95,14 +117,35 @@ def word_bounds(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tupl
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+#: The first n bytes of a block of eight.
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+#: Bytes beyond which a span is hashed on its own.
+_LONG = 64
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A uint64 for the bytes of each span; spans of one length up to eight never share one."""
+    sizes = ends - starts
+    if not len(sizes):
+        return np.zeros(0, np.uint64)
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    blocks = np.ndarray((len(buf) + 1,), "<u8", padded.data, strides=(1,))  # the eight bytes from each place
+    out = mix((mix(sizes.astype(np.uint64) + _U(_P))) ^ (blocks[starts] & _KEEP[np.minimum(sizes, 8)]))
+    live, done = np.flatnonzero((sizes > 8) & (sizes <= _LONG)), 8
+    while len(live):
+        block = blocks[starts[live] + done] & _KEEP[np.minimum(sizes[live] - done, 8)]
+        out[live] = mix(out[live] ^ block)
+        done += 8
+        live = live[sizes[live] > done]
+    for i in np.flatnonzero(sizes > _LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(buf[starts[i] : ends[i]].tobytes())
+    return out
+
+
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A uint64 for each word, A-Z lower-cased."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    powers, inverse = _powers(len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum((LOWER[buf].astype(np.uint64) + _U(1)) * powers[: len(buf)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts])
+    return span_hashes(LOWER[buf], starts, ends)
 
 
 def grams(words: np.ndarray, k: int) -> np.ndarray:

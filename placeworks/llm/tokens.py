@@ -153,20 +153,16 @@ class Encoder:
                     yield np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
                 continue
             points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-            leads = np.zeros(len(part) + 1, np.int64)
-            np.cumsum((part & 0xC0) != 0x80, out=leads[1:])
-            yield from self._chunk(text, points, leads[offs])
+            places = np.append(np.flatnonzero((part & 0xC0) != 0x80), len(part))  # the byte at which each code point begins
+            yield from self._chunk(text, part, points, places, np.searchsorted(places, offs))
 
-    def _chunk(self, text: str, points: np.ndarray, offs: np.ndarray) -> Iterator[np.ndarray]:
+    def _chunk(self, text: str, part: np.ndarray, points: np.ndarray, places: np.ndarray, offs: np.ndarray) -> Iterator[np.ndarray]:
         starts = pretoken_starts(points, offs)
         ends = np.append(starts[1:], len(points))
         if not len(starts):
             yield from (np.zeros(0, np.uint32) for _ in offs[1:])
             return
-        powers, inverse = T._powers(len(points) + 1)
-        sums = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum((points.astype(np.uint64) + np.uint64(1)) * powers[: len(points)], out=sums[1:])
-        keys = T.mix((sums[ends] - sums[starts]) * inverse[starts])
+        keys = T.span_hashes(part, places[starts], places[ends])
         unique, at, back = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.index) + len(unique) > MEMO_ENTRIES:
             self.forget()
@@ -203,7 +199,7 @@ def train_dictionary(docs: DataFrame, path: str, width: np.dtype) -> bytes:
         for batch in T.sliced(batches):
             yield pa.RecordBatch.from_arrays([pa.array([ids[:SAMPLE_IDS].astype(width).tobytes() for ids in encoder.encode(batch["text"])], pa.binary())], names=["b"])
 
-    samples = sorted(bytes(r.b) for r in sample.mapInArrow(serialized, "b binary").collect())
+    samples = sorted(bytes(r.b) for r in sample.mapInArrow(T.task(serialized), "b binary").collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
@@ -261,9 +257,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
 
     schema = "shard long, block long, start long, doc_ids array<long>, n_tokens array<long>, offsets array<long>, payload binary, dictionary_hash string"
     # Written first: the range exchange samples its input, and would encode everything twice.
-    framed = written(docs.mapInArrow(frames, "doc_id long, n_tokens long, frame binary"), "frames")
+    framed = written(docs.mapInArrow(T.task(frames), "doc_id long, n_tokens long, frame binary"), "frames")
     ordered = framed.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n_tokens", "frame")
-    ordered.mapInArrow(blocks, schema).write.parquet(f"{path}/blocks")
+    ordered.mapInArrow(T.task(blocks), schema).write.parquet(f"{path}/blocks")
     totals = spark.read.parquet(f"{path}/blocks").select("shard", F.expr("aggregate(n_tokens, 0L, (a, x) -> a + x)").alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard: bounded by their number
     shards = totals.groupBy("shard").agg(F.sum("n").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
@@ -287,7 +283,7 @@ def read_tokens(spark: SparkSession, path: str, column: str, kind: str, of: Call
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(starts, pa.int64()), pa.array(row["n_tokens"], pa.int64()), pa.array(values)], names=["doc_id", "start", "n_tokens", column])
 
     blocks = spark.read.parquet(f"{path}/blocks").join(F.broadcast(spark.read.parquet(f"{path}/shards")), "shard")
-    return blocks.mapInArrow(unpacked, f"doc_id long, start long, n_tokens long, {column} {kind}")
+    return blocks.mapInArrow(T.task(unpacked), f"doc_id long, start long, n_tokens long, {column} {kind}")
 
 
 def token_output(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:

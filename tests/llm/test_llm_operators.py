@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from placeworks.llm import decontaminate, embedding_dedup, graph, html_extract, induced, mixing, near_dedup, queries, repeats, secret_scan, sharding, tokens, toxicity
+from placeworks.llm import decontaminate, embedding_dedup, graph, html_extract, induced, mixing, near_dedup, queries, repeats, secret_scan, sharding, textops, tokens, toxicity
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 #: Columns whose names the operators use inside.
@@ -52,6 +52,18 @@ def nothing(spark):
     return spark.createDataFrame([], CLASH)
 
 
+def thue_morse(n, a, b):
+    return "".join((a, b)[i.bit_count() & 1] for i in range(n))
+
+
+def test_word_hashes():
+    """No collision of complementary Thue-Morse strings, of lengths or of places; case does not count."""
+    told = [thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a"), *("x" * n for n in range(1, 80)), "abcdefgh", "abcdefghi", "ABCDEFGHI"]
+    buf = np.frombuffer(" ".join(told).encode(), np.uint8)
+    hashes = textops.word_hashes(buf, *textops.word_bounds(buf, np.array([0, len(buf)]), textops.NONSPACE)[:2]).tolist()
+    assert len(hashes) == len(told) and len(set(hashes)) == len(told) - 1 and hashes[-1] == hashes[-2]
+
+
 def test_sharding(docs, nothing, corpus):
     out = sharding.shard_documents(docs, 8).collect()
     assert len(out) == len(corpus) and {r.law for r in out} == {"bytes"} and all(r.grown_shard is None for r in out)
@@ -75,11 +87,18 @@ def test_mixing(docs, nothing, corpus):
     assert mixing.mixed(nothing).count() == 0
 
 
-def test_mixing_meets_its_targets(spark):
+def mixing_rows(n=600):
     rng = random.Random(2)
-    rows = [(i, words(rng, rng.randint(1, 30)), rng.choice(["en", "de", None]), "hot" if rng.random() < 0.5 else f"s{rng.randint(0, 3)}") for i in range(600)]
-    out = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).toPandas()
+    return [(i, words(rng, rng.randint(1, 30)), rng.choice(["en", "de", None]), "hot" if rng.random() < 0.5 else f"s{rng.randint(0, 3)}") for i in range(n)]
+
+
+MIXED = "doc_id long, text string, lang string, source string"
+
+
+def test_mixing_meets_its_targets(spark):
+    out = mixing.mixed(spark.createDataFrame(mixing_rows(), MIXED), rate=0.3).toPandas()
     out["w"] = out.tokens * out.probability
+    assert out.probability.max() < 1 and np.isclose(out.w.sum(), 0.3 * out.tokens.sum())
     for m in ("source", "lang", "topic"):
         key = out[m].fillna("")
         natural = out.tokens.groupby(key).sum() / out.tokens.sum()
@@ -88,16 +107,37 @@ def test_mixing_meets_its_targets(spark):
         assert np.allclose(got, target / target.sum(), atol=1e-6)
 
 
+def test_mixing_takes_rare_cells_whole(spark):
+    """A rare source is taken whole, and does not shrink the sample of the others."""
+    rows = [*mixing_rows(), (1000, "a rare one", "en", "rare")]
+    out = mixing.mixed(spark.createDataFrame(rows, MIXED)).toPandas()
+    assert out[out.source == "rare"].probability.tolist() == [1.0] and out.probability.max() == 1
+    assert np.isclose((out.tokens * out.probability).sum(), 0.5 * out.tokens.sum())
+    assert out[out.source != "rare"].probability.min() > 0.3
+
+
+def test_mixing_keeps_names_apart(spark):
+    rows = [(1, "x", "b\x1fc", "a"), (2, "x", "c", "a\x1fb")]
+    assert mixing.mixed(spark.createDataFrame(rows, MIXED)).count() == 2
+    assert mixing.sample(spark.createDataFrame(rows, MIXED)).columns == ["doc_id", "text", "lang", "source"]
+
+
+def test_mixing_joins_any_number_of_cells(spark, monkeypatch):
+    docs = spark.createDataFrame(mixing_rows(), MIXED)
+    one = sorted(map(tuple, mixing.mixed(docs).collect()))
+    monkeypatch.setattr(mixing, "FEW_CELLS", 1)
+    assert sorted(map(tuple, mixing.mixed(docs).collect())) == one
+
+
 def test_mixing_tells_of_targets_it_cannot_meet(spark, monkeypatch):
     """A value alone in two marginals has two targets."""
     monkeypatch.setattr(mixing, "MOST", 12)
     rows = [(i, "some plain words", "en" if i % 2 else "de", "a" if i % 3 else "b") for i in range(200)]
-    schema = "doc_id long, text string, lang string, source string"
-    with pytest.warns(UserWarning, match="from its target"):
-        mixing.mixed(spark.createDataFrame([*rows, (200, "some plain words", None, None)], schema))
+    with pytest.warns(UserWarning, match="cannot be met together"):
+        mixing.mixed(spark.createDataFrame([*rows, (200, "some plain words", None, None)], MIXED))
     with warnings.catch_warnings():
         warnings.simplefilter("error", UserWarning)
-        mixing.mixed(spark.createDataFrame(rows, schema))
+        mixing.mixed(spark.createDataFrame(rows, MIXED))
 
 
 def brute_repeats(texts, size=400):
@@ -349,6 +389,12 @@ def test_near_duplicates(docs, nothing, corpus, block, monkeypatch):
         assert near_dedup.near_duplicates(nothing).count() == 0
 
 
+def test_near_duplicates_of_long_complementary_words(spark):
+    rows = [(i, " ".join(["one two three four", w])) for i, w in enumerate([thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")])]
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == [(0, 1, 0), (1, 1, 1)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (201, 200), (300, 300), (None, 1)]
     found = dict(map(tuple, graph.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()))
@@ -367,6 +413,15 @@ def test_tokens(spark, docs, nothing, corpus):
     assert tokens.token_output(nothing, path).count() == 0
 
 
+def test_tokens_of_long_complementary_words(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    texts = [thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")]
+    got = {r.doc_id: r.ids_crc32 for r in tokens.token_output(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()}
+    assert got == {i: zlib.crc32(np.array([*Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()) for i, t in enumerate(texts)}
+
+
 def test_pretokens_are_the_tokenizers():
     from tokenizers import Tokenizer
 
