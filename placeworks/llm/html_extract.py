@@ -4,7 +4,9 @@ Every element gets the density of its text, in characters per tag, adjusted
 for links; the element whose children's densities have the largest sum is the
 content, and the least density on its way up to the body is the threshold that
 other elements must reach to count as content too. Elements that are never
-article text by their tag, role, name or visibility are left out before.
+article text by their tag, role or visibility are left out before. Names only
+weigh: what an element called like page furniture holds counts for a tenth in
+the choice, and it is left out unless the content is inside it.
 """
 
 from __future__ import annotations
@@ -12,7 +14,9 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -39,6 +43,8 @@ FURNITURE = frozenset(
     overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist
     reply replies respond disqus discussion toolbar pagination pager copyright banner skip outbrain taboola""".split()
 )
+#: What the density inside an element with such a name counts for.
+FURNITURE_WEIGHT = 0.1
 HEADERS = frozenset("header site-header page-header main-header top-header".split())
 NEGATIONS = frozenset("no has with without is not".split())
 SAFE = frozenset("html body article main".split())
@@ -54,28 +60,31 @@ TAG = re.compile(r"""<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<odd>[!?][^>]*+(?:>|\Z
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?(?=[\s/>]|$)""", re.I)
 
 
-def _furniture(rest: str, tag: str) -> bool:
+def _told(rest: str, tag: str) -> tuple[bool, bool]:
+    """Whether attributes say that an element is no article text, and whether its name is one of page furniture."""
+    named = False
     for name, value in ATTRIBUTE.findall(" " + rest.rstrip(">")):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return True, False
         if name == "role" and value in ROLES:
-            return True
+            return True, False
         if name in ("class", "id") and tag not in SAFE:
             for word in value.split():
                 parts = re.split(r"[-_:]+", word)
-                if word in HEADERS or parts[0] not in NEGATIONS and not FURNITURE.isdisjoint(parts):
-                    return True
-    return False
+                named |= word in HEADERS or parts[0] not in NEGATIONS and not FURNITURE.isdisjoint(parts)
+    return False, named
 
 
 class Page:
     """Elements in the order they open, and the text and block borders between them."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.out, self.last = ["#root"], [-1], [False], [0]
+        self.tag, self.parent, self.out, self.named, self.last = ["#root"], [-1], [False], [False], [0]
         self.events: list[tuple[int, str | None]] = []  # text of an element, or None where a block begins or ends
         self.stack = [0]
+        #: Where in the stack each tag is open, so that no tag walks the stack.
+        self.open: dict[str, list[int]] = defaultdict(list)
         at = 0
         for m in iter(lambda: TAG.search(source, at), None):
             if m.start() > at:
@@ -104,45 +113,49 @@ class Page:
     def _pop(self) -> None:
         i = self.stack.pop()
         self.last[i] = len(self.tag)
+        if i:
+            self.open[self.tag[i]].pop()
         if self.tag[i] in BLOCKS:
             self.events.append((i, None))
 
-    def _pop_to(self, names, limits) -> None:
-        for depth in range(len(self.stack) - 1, 0, -1):
-            tag = self.tag[self.stack[depth]]
-            if tag in names:
-                while len(self.stack) > depth:
-                    self._pop()
-                return
-            if tag in limits:
-                return
+    def _deepest(self, names: Iterable[str]) -> int:
+        return max((self.open[n][-1] for n in names if self.open.get(n)), default=0)
+
+    def _pop_to(self, names: Iterable[str], limits: Iterable[str]) -> None:
+        """Closes the nearest of names, and what is open inside it, unless one of limits is nearer."""
+        depth = self._deepest(names)
+        if depth and depth >= self._deepest(limits):
+            while len(self.stack) > depth:
+                self._pop()
 
     def _open(self, name: str, rest: str) -> None:
         if name in P_CLOSERS:
-            self._pop_to({"p"}, P_LIMITS)
+            self._pop_to(("p",), P_LIMITS)
         if name in CLOSES:
             self._pop_to(*CLOSES[name])
         top = self.stack[-1]
-        inside = any(self.tag[i] in ("article", "main") for i in self.stack) if name == "header" else True
-        out = self.out[top] or name in DROPPED or not inside or _furniture(rest, name)
+        outside = name == "header" and not (self.open.get("article") or self.open.get("main"))
+        never, named = _told(rest, name)
         i = len(self.tag)
         self.tag.append(name)
         self.parent.append(top)
-        self.out.append(out)
+        self.out.append(self.out[top] or name in DROPPED or outside or never)
+        self.named.append(named)
         self.last.append(i + 1)
         if name in BLOCKS:
             self.events.append((i, None))
-        if name not in VOID and not rest.endswith("/>") or name not in VOID and name in BLOCKS:
+        if name not in VOID and (not rest.endswith("/>") or name in BLOCKS):
+            self.open[name].append(len(self.stack))
             self.stack.append(i)
 
     def _close(self, name: str) -> None:
         if name == "br":
             self.events.append((self.stack[-1], None))
         # A stray end tag must not close the page around it.
-        self._pop_to({name}, {"body"} if name in ("p", "div", "span", "b", "i", "a", "li") else ())
+        self._pop_to((name,), ("body",) if name in ("p", "div", "span", "b", "i", "a", "li") else ())
 
     def densities(self) -> tuple[list[float], list[float]]:
-        """Of each element: its composite text density, and the sum of its children's."""
+        """Of each element: its composite text density, and the sum of its children's. Elements with names of page furniture count inside themselves alone."""
         n = len(self.tag)
         chars, links, tags, anchors = [0] * n, [0] * n, [0] * n, [0] * n
         linked = [False] * n
@@ -154,7 +167,7 @@ class Page:
                 chars[i] += size
                 links[i] += size * linked[i]
         for i in range(n - 1, 0, -1):
-            if not self.out[i]:
+            if not self.out[i] and not self.named[i]:
                 up = self.parent[i]
                 chars[up] += chars[i]
                 links[up] += links[i]
@@ -167,7 +180,7 @@ class Page:
                 c, lc, t, lt = chars[i], max(links[i], 1), max(tags[i], 1), max(anchors[i], 1)
                 base = math.log(c / max(c - links[i], 1) * links[i] + share * c + math.e)
                 density[i] = c / t * max(math.log(max(c / lc * t / lt, 1)) / math.log(max(base, 1 + 1e-9)) if base > 1 else math.log(max(c / lc * t / lt, 1)), 0)
-            if i:
+            if i and not self.named[i]:
                 total[self.parent[i]] += density[i]
         return density, total
 
@@ -175,13 +188,22 @@ class Page:
         """The elements whose whole text is content, in page order, none inside another."""
         density, total = self.densities()
         body = next((i for i, t in enumerate(self.tag) if t == "body"), 0)
+        weight = [1.0] * len(self.tag)
+        for i in range(1, len(self.tag)):
+            weight[i] = FURNITURE_WEIGHT if self.named[i] else weight[self.parent[i]]
         usable = [i for i in range(body, self.last[body]) if not self.out[i]]
         if not usable:
             return []
-        best = max(usable, key=lambda i: (total[i], density[i], -i))
+        best = max(usable, key=lambda i: (weight[i] * total[i], weight[i] * density[i], -i))
         path = [best]
         while path[-1] != body and self.parent[path[-1]] >= 0:
             path.append(self.parent[path[-1]])
+        # Names of furniture leave out what is not on the way to the content.
+        for i in set(range(1, len(self.tag))) - set(path) if any(self.named) else ():
+            self.out[i] = self.out[i] or self.named[i]
+        for i in range(1, len(self.tag)):
+            self.out[i] = self.out[i] or self.out[self.parent[i]]
+        usable = [i for i in usable if not self.out[i]]
         least = min(density[i] for i in path)
         for i in path:  # what stands beside the densest part in its article is article too
             if self.tag[i] == "article" or self.tag[i] == "main" and "article" not in (self.tag[j] for j in path):
@@ -196,7 +218,8 @@ class Page:
             # density grows with length, so a short section of a page can miss a threshold set by a long one.
             holds = lambda i: any(self.tag[j] == "p" and not self.out[j] for j in range(i + 1, self.last[i]))
             beside = lambda i: self.parent[i] == self.parent[best] and self.tag[i] == self.tag[best] and holds(i)
-            more = [i for i in usable if i not in path and (density[i] >= least or beside(i))]
+            above = set(path)
+            more = [i for i in usable if i not in above and (density[i] >= least or beside(i))]
             picked = sorted({best, *more})
         else:
             picked = [best]
@@ -208,6 +231,8 @@ class Page:
 
     def main_text(self) -> str:
         ranges = [(i, self.last[i]) for i in self.content()]
+        firsts = [a for a, _ in ranges]
+        inside = lambda i: (k := bisect_right(firsts, i) - 1) >= 0 and i < ranges[k][1]
         blocks: list[str] = []
         now: list[str] = []
 
@@ -219,7 +244,7 @@ class Page:
         for i, text in self.events:
             if text is None:
                 flush()
-            elif any(a <= i < b for a, b in ranges):
+            elif not self.out[i] and inside(i):
                 now.append(text)
         flush()
         return " ".join(blocks)

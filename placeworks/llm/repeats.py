@@ -15,6 +15,15 @@ permuted common prefixes reach LENGTH mark what repeats.
 A core of more than MOST different parts is split further, down to single
 strings. A passage in any number of documents therefore never meets in one
 task.
+
+Passages are told beside it: runs of PASSAGE words or more that another text
+has too, most of which are shorter than LENGTH bytes. They have anchors among
+the words in the same way; of the regions that differ, all strings are
+compared by their hashes.
+
+Equality of regions and cores is that of two 64-bit hashes at once, of the
+anchor and of the region. They are sums of powers modulo 2**64, which differ on
+complementary Thue-Morse strings of up to 512 bytes; a region has 736 at most.
 """
 
 from __future__ import annotations
@@ -41,6 +50,8 @@ MOST, SHARD_BYTES = 64, 1 << 19
 #: Into how many parts the beginnings are split at each level: 337 are 43, 6 and 1.
 PARTS = 8
 SEGMENT = 1 << 20
+#: Words of a passage, and of the windows that are its anchors.
+PASSAGE, PASSAGE_K = 51, 8
 
 _U = np.uint64
 INTERVAL = "rid long, a long, b long"
@@ -69,50 +80,65 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(places, begins, ends, anchor hashes, region hashes) of all anchors of some documents; the region is [begin, end)."""
-    if len(buf) < LENGTH:
+def anchors(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, ...]:
+    """(places, begins, ends, anchor hashes, region hashes) of all anchors of some documents, given as bytes or as hashes of words; the region is [begin, end)."""
+    if len(buf) < length:
         return tuple(np.zeros(0, np.int64) for _ in range(3)) + tuple(np.zeros(0, np.uint64) for _ in range(2))
     sums, inverse = _prefix(buf)
-    hashes = T.mix((sums[K:] - sums[:-K]) * inverse[: len(buf) - K + 1])
+    hashes = T.mix((sums[k:] - sums[:-k]) * inverse[: len(buf) - k + 1])
     first, last = np.full(len(buf), len(buf), np.int64), np.full(len(buf), -1, np.int64)
     stops = offsets[1:]
-    for begin in range(0, len(buf) - LENGTH + 1, SEGMENT - LENGTH):
-        part = hashes[begin : begin + SEGMENT - K + 1]
-        if len(part) < REACH + 1:
+    for begin in range(0, len(buf) - length + 1, SEGMENT - length):
+        part = hashes[begin : begin + SEGMENT - k + 1]
+        if len(part) < length - k + 1:
             break
         # Hash first, then place: the leftmost of equals is the least.
-        least = _least((part & ~_U(SEGMENT - 1)) | np.arange(len(part), dtype=np.uint64), REACH + 1)
+        least = _least((part & ~_U(SEGMENT - 1)) | np.arange(len(part), dtype=np.uint64), length - k + 1)
         starts = begin + np.arange(len(least))
-        whole = starts + LENGTH <= stops[np.searchsorted(stops, starts, side="right")]
+        whole = starts + length <= stops[np.searchsorted(stops, starts, side="right")]
         starts, chosen = starts[whole], begin + (least[whole] & _U(SEGMENT - 1)).astype(np.int64)
+        if not len(chosen):
+            continue
         # The strings of an anchor begin in one run of places.
-        new = np.flatnonzero(np.append(True, chosen[1:] != chosen[:-1])) if len(chosen) else chosen
+        new = np.flatnonzero(np.append(True, chosen[1:] != chosen[:-1]))
         at = chosen[new]
         np.minimum.at(first, at, starts[new])
         np.maximum.at(last, at, starts[np.append(new[1:], len(chosen)) - 1])
     places = np.flatnonzero(last >= 0)
-    lo, hi = first[places], last[places] + LENGTH
+    lo, hi = first[places], last[places] + length
     region = T.mix(_range_hash(sums, inverse, lo, hi) + (places - lo).astype(np.uint64))
     return places, lo, hi, hashes[places], region
 
 
+BYTES = ["places", "begins", "ends", "anchors", "regions"]
+WORDS = ["word_begins", "word_ends", "word_anchors", "word_regions"]
+ANCHORED = "doc_id long, rid long, n_bytes long, sha256 string, " + ", ".join(f"{c} array<long>" for c in BYTES + WORDS)
+
+
+def _words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of words, case kept, and of each document its first word (and the number of words)."""
+    starts, ends, first = T.word_bounds(buf, offsets, T.NONSPACE)
+    return T.span_hashes(buf, starts, ends), first
+
+
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["places", "begins", "ends", "anchors", "regions"]
     for batch in T.sliced(batches):
         buf, offsets = T.text_bytes(batch["text"])
         shas = [hashlib.sha256(buf[a:b]).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        counts, lists = [np.zeros(1, np.int64)], [[np.zeros(0, np.int64)] for _ in names]
+        lists = {c: [np.zeros(0, np.int64)] for c in BYTES + WORDS}
+        counts = {c: [np.zeros(1, np.int64)] for c in ("places", "word_begins")}
         for _, _, part, offs in T.chunks(buf, offsets):
-            places, lo, hi, anchor, region = anchors(part, offs)
-            own = np.searchsorted(places, offs)
-            base = np.repeat(offs[:-1], np.diff(own))
-            counts.append(np.diff(own))
-            for out, values in zip(lists, (places - base, lo - base, hi - base, anchor.view(np.int64), region.view(np.int64)), strict=True):
-                out.append(values)
-        cuts = pa.array(np.cumsum(np.concatenate(counts)).astype(np.int32))
-        columns = [pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(values))) for values in lists]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["rid"], pa.array(np.diff(offsets)), pa.array(shas, pa.string()), *columns], names=["doc_id", "rid", "n_bytes", "sha256", *names])
+            words, first = _words(part, offs)
+            for names, symbols, bounds, length, k in ((BYTES, part, offs, LENGTH, K), (WORDS, words, first, PASSAGE, PASSAGE_K)):
+                places, lo, hi, anchor, region = anchors(symbols, bounds, length, k)
+                own = np.diff(np.searchsorted(places, bounds))
+                base = np.repeat(bounds[:-1], own)
+                counts[names[0]].append(own)
+                for c, values in zip(names, [places - base, lo - base, hi - base, anchor.view(np.int64), region.view(np.int64)][-len(names) :], strict=True):
+                    lists[c].append(values)
+        cuts = {c: pa.array(np.cumsum(np.concatenate(n)).astype(np.int32)) for c, n in counts.items()}
+        columns = [pa.ListArray.from_arrays(cuts["places" if c in BYTES else "word_begins"], pa.array(np.concatenate(v))) for c, v in lists.items()]
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["rid"], pa.array(np.diff(offsets)), pa.array(shas, pa.string()), *columns], names=["doc_id", "rid", "n_bytes", "sha256", *lists])
 
 
 CHILD = "key long, region long, rid long, pos long, n long, i0 int, i1 int, lo long, hi long"
@@ -297,6 +323,50 @@ def _intervals(docs: DataFrame, seen: DataFrame) -> DataFrame:
     return written(found, "intervals")
 
 
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hash of each string of PASSAGE words in the wanted regions of each text, and where it begins."""
+    for batch in T.sliced(batches):
+        buf, offsets = T.text_bytes(batch["text"])
+        wanted, rids = batch["wanted"].to_pylist(), batch["rid"].to_pylist()
+        for row, last, part, offs in T.chunks(buf, offsets):
+            words, first = _words(part, offs)
+            if len(words) < PASSAGE:
+                continue
+            sums, inverse = _prefix(words)
+            out = [(rids[d], w["a"], w["b"], w["many"], int(first[d - row])) for d in range(row, last) for w in wanted[d]]
+            rid, a, b, many, base = (np.array(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 5
+            n = b - a - PASSAGE + 1
+            at = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            begin = at + np.repeat(base, n)
+            keys = _range_hash(sums, inverse, begin, begin + PASSAGE)
+            columns = [pa.array(keys.view(np.int64)), pa.array(np.repeat(rid, n)), pa.array(at), pa.array(np.repeat(many, n).astype(bool))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "rid", "a", "many"])
+
+
+def _passages(docs: DataFrame, seen: DataFrame) -> DataFrame:
+    """rid and n_passages, the number of maximal runs of words of which each is in a string of PASSAGE words that another text has too; texts without any are left out."""
+    x = F.explode(F.arrays_zip(*WORDS)).alias("x")
+    names = {"word_begins": "a", "word_ends": "b", "word_anchors": "anchor", "word_regions": "region"}
+    every = seen.select("rid", x).select("rid", *[F.col(f"x.{k}").alias(v) for k, v in names.items()])
+    several = (F.min("rid").alias("least"), F.max("rid").alias("most"))
+    met = written(every.groupBy("anchor").agg(*several).where("least < most").select("anchor"), "met")
+    every = written(every.join(met, "anchor"), "met_regions")
+    regions = every.groupBy("anchor", "region").agg(*several, F.min(F.struct("rid", "a", "b")).alias("rep"))
+    regions = written(regions.withColumn("many", F.col("least") < F.col("most")), "regions")
+    # A region that several texts have is a passage as a whole; of others, strings decide.
+    whole = every.join(regions.where("many").select("anchor", "region"), ["anchor", "region"]).select("rid", "a", "b")
+    open_ = written(regions.groupBy("anchor").agg(F.count("*").alias("m"), F.count_if(~F.col("many")).alias("alone")).where("m > 1 and alone > 0").select("anchor"), "open")
+    wanted = regions.join(open_, "anchor").groupBy("rep.rid").agg(F.collect_list(F.struct("rep.a", "rep.b", "many")).alias("wanted"))
+    # The ids grow with the corpus, so they are not broadcast; rows that repeat both doc_id and text share one.
+    texts = docs.join(written(wanted, "wanted").hint("merge"), "rid").dropDuplicates(["rid"]).select("rid", "text", "wanted")
+    strings = written(texts.mapInArrow(T.task(_strings), "key long, rid long, a long, many boolean"), "strings")
+    shared = strings.groupBy("key").agg(*several, F.max("many").alias("any")).where("least < most or any").select("key")
+    part = strings.where("not many").join(shared, "key").select("rid", "a", (F.col("a") + PASSAGE).alias("b"))
+    runs = whole.unionByName(part).groupBy("rid").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("runs"))
+    counted = "aggregate(runs, named_struct('n', 0L, 'end', -1L), (s, x) -> named_struct('n', s.n + IF(x.a > s.end, 1L, 0L), 'end', greatest(s.end, x.b)), s -> s.n)"
+    return written(runs.select("rid", F.expr(counted).alias("n_passages")), "passages")
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, removed, spans, shas = [], [], [], []
@@ -317,35 +387,43 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans.append(len(a))
             shas.append(hashlib.sha256(left).hexdigest())
         yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], batch["n_bytes"], pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.binary())],
-            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+            [batch["doc_id"], batch["rid"], batch["n_bytes"], pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.binary())],
+            names=["doc_id", "rid", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
         )
 
 
 def remove_repeats(docs: DataFrame, kept_bytes: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with kept_bytes the bytes kept, of every row of docs (doc_id, text).
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, and with kept_bytes the bytes kept, of every row of docs (doc_id, text).
 
     A byte is removed when a string of 400 bytes that also starts at another
     place of the corpus covers it, in the same document or another; matches
     never cross documents, and strings are judged on the input. n_spans counts
     the maximal removed runs.
 
+    n_passages counts the runs of words (any bytes but ASCII white space, case
+    kept) that are covered by strings of 51 words which a row of another
+    doc_id or text has too, however long they are in bytes. They are told, not
+    removed.
+
     Null and empty texts have no bytes. Rows that repeat a doc_id get a row
     each, and remove what they share from each other. A null doc_id stays null.
     Other columns are ignored.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
-    seen = docs.mapInArrow(T.task(_anchored), "doc_id long, rid long, n_bytes long, sha256 string, places array<long>, begins array<long>, ends array<long>, anchors array<long>, regions array<long>")
-    seen = written(seen, "anchors")
+    seen = written(docs.mapInArrow(T.task(_anchored), ANCHORED), "anchors")
+    passages = _passages(docs, seen)
     runs = written(_intervals(docs, seen).groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("runs")), "runs")
-    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * kept_bytes]
-    cut = docs.join(runs, "rid").select("doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes"), "runs")
-    cut = cut.mapInArrow(T.task(_cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    columns = ["doc_id", "rid", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * kept_bytes]
+    cut = docs.join(runs, "rid").select("doc_id", "rid", "text", F.octet_length("text").cast("long").alias("n_bytes"), "runs")
+    cut = cut.mapInArrow(T.task(_cut), "doc_id long, rid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     rest = (docs if kept_bytes else seen).join(runs.select("rid"), "rid", "left_anti")
     zero = F.lit(0).cast("long")
+    told = {"n_removed": zero, "n_spans": zero}
     if kept_bytes:
-        rest = rest.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), F.col("text").cast("binary").alias("kept"))
+        raw = F.col("text").cast("binary")
+        rest = rest.withColumns(told | {"n_bytes": F.octet_length("text").cast("long"), "kept_sha256": F.sha2(raw, 256), "kept": raw})
     else:
-        rest = rest.select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha256").alias("kept_sha256"))
-    return cut.select(*columns).unionByName(rest.select(*columns))
+        rest = rest.withColumns(told).withColumnRenamed("sha256", "kept_sha256")
+    out = cut.select(*columns).unionByName(rest.select(*columns)).join(passages, "rid", "left")
+    return out.drop("rid").fillna(0, ["n_passages"])

@@ -27,8 +27,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a shorter maximal run fails anyway
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: A mixed run; = only pads its end, so a name and its value are apart in name=value.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+LEAST_CHARS = 16
 CONTEXT = re.compile(r"(?:password|passwd|secret|token|api_?key|access_?key|private_?key|credential|auth|bearer|signature)", re.I | re.A)
+NAME = re.compile(CONTEXT.pattern + r"[A-Za-z]*[_/-]+", re.I | re.A)
+JOINS = re.compile(r"[_/-]")
 CONTEXT_CHARS, AROUND = 48, 400
 #: Compressed bytes added per character from which a string counts as novel:
 #: random base64 costs 0.75 to 0.9, hexadecimal 0.5 to 0.6, identifiers under 0.4.
@@ -88,11 +92,17 @@ class Novelty:
             return []
         out = []
         for m in CANDIDATE.finditer(text):
-            s = m[0]
-            if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
-                continue
-            if CONTEXT.search(text, max(0, m.start() - CONTEXT_CHARS), m.start()) and self.of(text, m.start(), m.end()) >= NOVELTY:
-                out.append((m.start(), m.end()))
+            start, end = m.span()
+            told = CONTEXT.search(text, max(0, start - CONTEXT_CHARS), start)
+            # A name in front of its value, joined to it by a character of both: no digit stands before the name's end,
+            # and no such character in the value, or it would be a longer name.
+            for name in NAME.finditer(text, start, end):
+                if not any(c.isdigit() for c in text[start : name.end()]) and not JOINS.search(text, name.end(), end):
+                    told, start = name, name.end()
+                    break
+            s = text[start:end]
+            if told and len(s) >= LEAST_CHARS and any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and self.of(text, start, end) >= NOVELTY:
+                out.append((start, end))
         return out
 
 

@@ -33,8 +33,8 @@ from . import textops as T
 from .scratch import new_path, written
 
 BLOCK_DOCS, BLOCK_BYTES = 1024, 4 << 20
-#: The dictionary is trained on about this many documents, taken by a hash of
-#: their doc_id, and on this many ids of each at most.
+#: The dictionary is trained on about this many documents, the first by a hash of
+#: their doc_id, and on this many neighbouring ids of each at most, from a place that a hash picks.
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 1000, 4096, 1 << 16
 MEMO_ENTRIES, JOINED, CHUNK_BYTES = 200_000, 512, 1 << 18
 LEVEL = 3
@@ -190,24 +190,30 @@ def _width(vocabulary: int) -> np.dtype:
 
 
 def train_dictionary(docs: DataFrame, path: str, width: np.dtype) -> bytes:
-    """A zstandard dictionary for serialized ids, from a bounded sample of documents; empty if they are too few."""
+    """A zstandard dictionary for serialized ids, from a bounded sample of documents; where they are too few to train on, their own ids."""
     n = docs.count()
-    sample = docs.where(F.expr(f"pmod(xxhash64(doc_id), {max(n, 1)}L) < {SAMPLE_DOCS}")).select("text").limit(2 * SAMPLE_DOCS)
+    some = docs.where(F.expr(f"pmod(xxhash64(doc_id), {max(n, 1)}L) < {SAMPLE_DOCS}"))
+    sample = some.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(2 * SAMPLE_DOCS).select("text")
+
+    def excerpt(ids: np.ndarray) -> np.ndarray:
+        first = zlib.crc32(ids.tobytes()) % max(1, len(ids) - SAMPLE_IDS + 1)
+        return ids[first : first + SAMPLE_IDS]
 
     def serialized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
         for batch in T.sliced(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([ids[:SAMPLE_IDS].astype(width).tobytes() for ids in encoder.encode(batch["text"])], pa.binary())], names=["b"])
+            yield pa.RecordBatch.from_arrays([pa.array([excerpt(ids).astype(width).tobytes() for ids in encoder.encode(batch["text"])], pa.binary())], names=["b"])
 
     samples = sorted(bytes(r.b) for r in sample.mapInArrow(T.task(serialized), "b binary").collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        return b"".join(samples)[-DICTIONARY_BYTES:]
 
 
 def _dictionary(raw: bytes) -> dict:
-    return {"dict_data": zstandard.ZstdCompressionDict(raw)} if raw else {}
+    # Shorter than eight bytes is no dictionary to the library.
+    return {"dict_data": zstandard.ZstdCompressionDict(raw)} if len(raw) >= 8 else {}
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0) -> None:

@@ -5,12 +5,14 @@ import hashlib
 import json
 import random
 import re
+import time
 import warnings
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from placeworks.llm import decontaminate, embedding_dedup, graph, html_extract, induced, mixing, near_dedup, queries, repeats, secret_scan, sharding, textops, tokens, toxicity
@@ -75,6 +77,22 @@ def test_sharding(docs, nothing, corpus):
     assert sharding.shard_documents(nothing, 8).count() == 0
 
 
+def test_sharding_against_plain_splitters(spark, docs, corpus):
+    """Shards are runs of the keys' order, cut within the tolerance of equal sizes; slots are places in it."""
+    keys = {(r.doc_id, r.text): r.h for r in docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    assert all(h == np.int64(np.uint64(xxhash.xxh64((t or "").encode(), seed=42).intdigest()).view(np.int64)) for (_, t), h in keys.items())
+    order = sorted(corpus, key=lambda r: (keys[r], -(1 << 63) if r[0] is None else r[0]))
+    sizes = np.array([len((t or "").encode()) + 1 for _, t in order])
+    out = sorted(sharding.shard_documents(docs, 4, tolerance=0.0).collect(), key=lambda r: (r.shard, r.slot))
+    assert [(r.doc_id, r.size) for r in out] == [(d, n) for (d, _), n in zip(order, sizes.tolist(), strict=True)]
+    ends, cuts = np.append(0, np.cumsum(sizes)), [sum(r.shard < k for r in out) for k in (1, 2, 3)]
+    # Rows of one key stay together, so a cut is the nearest border between keys.
+    borders = [i for i in range(len(order) + 1) if i in (0, len(order)) or (keys[order[i]], order[i][0]) != (keys[order[i - 1]], order[i - 1][0])]
+    for k, cut in zip((1, 2, 3), cuts, strict=True):
+        target = ends[-1] * k / 4
+        assert abs(ends[cut] - target) == min(abs(ends[b] - target) for b in borders)
+
+
 def test_sharding_is_even(spark):
     many = spark.range(20000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("same text")).otherwise(F.concat(F.lit("t"), F.col("id"))).alias("text"))
     sums = [r.s for r in sharding.shard_documents(many, 8).groupBy("shard").agg(F.sum("size").alias("s")).collect()]
@@ -156,6 +174,34 @@ def brute_repeats(texts, size=400):
     return sorted(out, key=str)
 
 
+def brute_passages(texts, size=51):
+    told = [t if t is None else re.findall(r"[^\x20\x09-\x0D]+", t) for _, t in texts]
+    strings = collections.defaultdict(set)
+    for (d, t), w in zip(texts, told, strict=True):
+        for i in range(len(w or ()) - size + 1):
+            strings[tuple(w[i : i + size])].add((d, t))
+    out = []
+    for (d, _), w in zip(texts, told, strict=True):
+        covered = bytearray(len(w or ()))
+        for i in range(len(covered) - size + 1):
+            if len(strings[tuple(w[i : i + size])]) > 1:
+                covered[i : i + size] = b"\1" * size
+        out.append((d, sum(c and (not i or not covered[i - 1]) for i, c in enumerate(covered))))
+    return sorted(out, key=str)
+
+
+def test_passages(spark, docs, corpus):
+    """Passages of over 50 words, whatever their bytes, in the middle of texts, at a distance of one word, and copies."""
+    rng = random.Random(31)
+    short = lambda n: " ".join(rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(n))
+    one, two = short(51), short(60)
+    texts = [(100, one + " " + short(30)), (101, short(20) + "\n" + one), (102, short(9) + " " + one + " " + short(1) + " " + two), (103, two + " " + short(3)), (104, " ".join(two.split()[:50]) + " end"), (105, one + " " + two), (106, short(51)), (106, short(51))]
+    for given in (texts, [*corpus, *texts]):
+        out = repeats.remove_repeats(spark.createDataFrame(given, "doc_id long, text string"), kept_bytes=False).collect()
+        assert sorted(((r.doc_id, r.n_passages) for r in out), key=str) == brute_passages(given)
+    assert sum(r.n_passages > 0 and r.n_removed == 0 for r in out) > 3
+
+
 @pytest.mark.parametrize("most", [64, 2])
 def test_repeats(docs, nothing, corpus, most, monkeypatch):
     monkeypatch.setattr(repeats, "MOST", most)
@@ -210,6 +256,70 @@ def test_html_sections_of_unequal_length():
     assert html_extract.main_text(page) == expected
 
 
+PARAGRAPH = "<p>Paragraph with a good number of plain words in it, as prose does, and a few more of them.</p>"
+
+
+@pytest.mark.parametrize("name", ["content related-story", "post notice-board", "comments"])
+def test_html_names_only_weigh(name):
+    """The text of a page stays, whatever its element is called; beside a longer article, the same element goes."""
+    text = " ".join([PARAGRAPH[3:-4]] * 6)
+    assert html_extract.main_text(PAGE % f'<div class="{name}">{PARAGRAPH * 6}</div>') == text
+    assert html_extract.main_text(PAGE % f'<article>{PARAGRAPH * 6}</article><div class="{name}">{PARAGRAPH * 3}</div>') == text
+
+
+def test_html_of_any_depth_is_linear():
+    began = time.process_time()
+    assert html_extract.main_text("<div>" * 60_000 + "<p>text") == "text"
+    assert time.process_time() - began < 20
+
+
+def test_html_densities_against_plain_recursion():
+    """Composite text density of random trees, by the definition."""
+    rng = random.Random(17)
+
+    def tree(depth):
+        tag = rng.choice(["div", "p", "a", "span", "section"]) if depth else "body"
+        kids = [tree(depth + 1) if depth < 4 and rng.random() < 0.5 else words(rng, rng.randint(1, 9)) for _ in range(rng.randint(0 if depth else 2, 4))]
+        return tag if tag not in ("p", "a") else "span", kids
+
+    def told(node, links, inside):
+        """(characters, characters in links, tags, links) below a node."""
+        sums = np.zeros(4, int)
+        for kid in node[1]:
+            if isinstance(kid, str):
+                sums += (len(kid), len(kid) * inside, 0, 0)
+            else:
+                sums += told(kid, links, inside or kid[0] == "a") + np.array([0, 0, 1, kid[0] == "a"])
+        links.append((node, sums))
+        return sums
+
+    def markup(node):
+        return f"<{node[0]}>" + "".join(k if isinstance(k, str) else markup(k) for k in node[1]) + f"</{node[0]}>"
+
+    for _ in range(40):
+        root = tree(0)
+        # Some spans are links; links hold no links.
+        root = json.loads(json.dumps(root))
+        for kid in root[1]:
+            if isinstance(kid, list) and kid[0] == "span" and not any(isinstance(k, list) for k in kid[1]):
+                kid[0] = "a"
+        found = []
+        told(root, found, False)
+        whole = found[-1][1]
+        expected = []
+        for _, (c, lc, t, lt) in found:
+            if not c:
+                expected.append(0.0)
+                continue
+            base = np.log(c / max(c - lc, 1) * lc + whole[1] / max(whole[0], 1) * c + np.e)
+            ratio = max(c / max(lc, 1) * max(t, 1) / max(lt, 1), 1)
+            # Without any link on the page the base is 1, and the natural logarithm stands in.
+            expected.append(c / max(t, 1) * np.log(ratio) / (np.log(base) if base > 1 else 1))
+        density, total = html_extract.Page(markup(root)).densities()
+        assert sorted(np.round(expected, 9)) == sorted(np.round(density[1:], 9))
+        assert np.isclose(total[0], density[1])
+
+
 def test_html_table(spark):
     rows = [(1, "u", None, 1), (1, "u", None, 1), (None, None, "", 2), (2, "v", "<p>" + "long words " * 20000, 3)]
     out = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")).collect()
@@ -358,6 +468,68 @@ def test_secrets(spark, nothing):
     assert secret_scan.scan_secrets(nothing).count() == 0
 
 
+def test_secrets_against_plain_scans(spark):
+    """The fixed patterns by plain loops, over random pieces of them; values joined to names; ordinary code."""
+    rng = random.Random(23)
+    parts = ["password", "Token", "api_key", "APIKEY", "secret", "=", ":", '"', "'", " ", "  ", "\n", "é", "AKIA", "A1", "f00d" * 6, "0123456789ab", "x.y-z", "abcdef", "Z"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(400)]
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+
+    def assign(t, i):
+        low = t[i:].translate(LOWER)
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if low.startswith(name):
+                j = i + len(name)
+                j += t[j : j + 1] in ('"', "'") and t[j : j + 1] != ""
+                while t[j : j + 1] == " ":
+                    j += 1
+                if t[j : j + 1] not in (":", "=") or not t[j : j + 1]:
+                    return None
+                j += 1
+                while t[j : j + 1] == " ":
+                    j += 1
+                j += t[j : j + 1] in ('"', "'") and t[j : j + 1] != ""
+                k = j
+                while k < len(t) and t[k] in value:
+                    k += 1
+                return (k, k - j) if k > j else None
+        return None
+
+    def runs(t, lead, allowed, least):
+        i, out = 0, []
+        while i < len(t):
+            k = i + len(lead) if t.startswith(lead, i) else -1
+            first = k
+            while k >= 0 and k < len(t) and t[k] in allowed:
+                k += 1
+            if k > first >= 0:
+                out += [(i, k)] * (k - i >= least)
+                i = k
+            else:
+                i += 1
+        return out
+
+    expected = []
+    for t in texts:
+        spans, i = [], 0
+        while i < len(t):
+            if found := assign(t, i):
+                spans += [(i, 0, found[0])] * (found[1] >= 6)
+                i = found[0]
+            else:
+                i += 1
+        spans += [(a, 1, b) for a, b in runs(t, "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20)]
+        spans += [(a, 2, b) for a, b in runs(t, "", set("0123456789abcdef"), 24)]
+        expected.append(",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(spans)))
+    out = {r.doc_id: r for r in secret_scan.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, e in enumerate(expected):
+        assert out[i].base_sha256 == hashlib.sha256(e.encode()).hexdigest(), texts[i]
+    random_value = "wJalrXUtnFEMIK7MDENGbPxRfiCYzEXAMPLEKEY9"
+    joined = [f"client_secret_key={random_value}", f"aws_secret_access_key={random_value}", f"secret_{random_value}", "secret_manager_configuration_handler_v2_default", f"x = {random_value}"]
+    got = [r.spans for r in sorted(secret_scan.scan_secrets(spark.createDataFrame(list(enumerate(joined)), "doc_id long, text string")).collect())]
+    assert got == [f"novel:{len(t) - 40}:{len(t)}" for t in joined[:3]] + ["", ""]
+
+
 def brute_near(texts, k, percent):
     sets = {}
     for i, (d, t) in enumerate(texts):
@@ -440,6 +612,7 @@ def test_embeddings(spark):
     x[100:220] = x[0] + rng.normal(size=(120, 16)) * 0.02
     rows = [(i, v.tolist(), i % 2 if i % 7 else None) for i, v in enumerate(x)]
     rows += [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903, [None] * 16, 1), (904, [], 1), (905, x[5].tolist(), 1), (None, x[5].tolist(), 1), (906, (x[5] * 3).tolist(), 1), (907, [1e300] * 16, 1)]
+    assert len({r[0] for r in rows}) == len(rows)
     out = {r.vec_id: r for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
     good = [(i, np.array(v), lab) for i, v, lab in rows if i is not None and lab is not None and v and None not in v and np.isfinite(v).all() and np.abs(v).max() > 0]
     links, top = collections.Counter(), {i: i for i in out}
@@ -461,6 +634,28 @@ def test_embeddings(spark):
     assert embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_embeddings_of_a_dense_label(spark, kind, monkeypatch):
+    """Thousands of vectors of one label near each other, copies and repeated ids; every link and group, and hardly a pair missed."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 256)
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=32)
+    x = centre + rng.normal(size=(1500, 32)) * 0.35
+    x[1000:1400] = x[rng.integers(0, 1000, 400)] + rng.normal(size=(400, 32)) * 0.05
+    x[1400:] = x[7]
+    x = x.astype(np.float32).astype(float)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(3, x[7].tolist(), 1), (3, x[7].tolist(), 1)]
+    out = embedding_dedup.near_vectors(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int")).collect()
+    vectors = np.array([v for _, v, _ in rows])
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.98
+    np.fill_diagonal(linked, False)
+    assert 400 < linked.sum() and len(out) == len(rows)
+    got, expected = collections.Counter(r.vec_id for r in out for _ in range(r.n_links)), collections.Counter(np.repeat([r[0] for r in rows], linked.sum(axis=1)).tolist())
+    assert not got - expected and sum(got.values()) >= 0.99 * sum(expected.values())
+    assert {r.component_id for r in out if r.vec_id == 3} == {3} and {r.component_id for r in out if r.vec_id == 1450} == {3}
+
+
 def test_sql_of_operators(spark, sf_dir):
     import duckdb
 
