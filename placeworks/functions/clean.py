@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Residential land-use prefixes and flood zone codes.
+# Typos of street names, residential land-use prefixes and flood zone codes.
+ADDRESS_TYPOS = (("Erwin Toad", "Erwin Road"), ("Weaver Diary", "Weaver Dairy"), ("Martin Luther Kind", "Martin Luther King"))
 RESIDENTIAL_PREFIXES = ("100", "110", "120", "630", "EXHA", "EXED")
 FLOOD_100 = ("A", "AE", "AO", "AH")
 
@@ -48,14 +49,18 @@ def latest_number(columns: Sequence[tuple[int, Column]]) -> Column:
     return F.coalesce(*found)
 
 
-def fix_address(address: Column, replacements: Sequence[tuple[str, str]] = ()) -> Column:
-    """Known typos replaced, and ranges of house numbers cut to their first number."""
+def fix_address(address: Column, replacements: Sequence[tuple[str, str]] = ADDRESS_TYPOS) -> Column:
+    """Known typos replaced, and two house numbers joined by "and" or a dash cut to the first."""
     out = F.trim(address)
     for wrong, right in replacements:
         out = F.replace(out, F.lit(wrong), F.lit(right))
-    out = F.regexp_replace(out, r"^([0-9]+) *- *[0-9]+ ", "$1 ")
-    out = F.regexp_replace(out, r"^([0-9]+) *& *[0-9]+ ", "$1 ")
-    return F.regexp_replace(out, r"^([0-9]+), *[0-9]+ ", "$1 ")
+    return F.trim(F.regexp_replace(out, r"^([0-9]+)(?:\s+and\s+|\s*-\s*)[0-9]+\s+", "$1 "))
+
+
+def interpreted_date(value: Column) -> Column:
+    """The date that a number stands for: a year, or milliseconds since 1970; null for other texts."""
+    number = value.try_cast("long")
+    return F.when(number.between(1000, 9999), F.make_date(number.cast("int"), F.lit(1), F.lit(1))).otherwise(F.to_date(F.timestamp_millis(number)))
 
 
 def guarded_percent(part: Column, whole: Column) -> Column:

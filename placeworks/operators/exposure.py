@@ -10,12 +10,21 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from . import spatial
 
-#: Weights of road classes, speeds in miles an hour, seconds of controls, land-cover weights.
-ROAD_WEIGHTS = {"motorway": 1.0, "motorway_link": 1.0, "trunk": 0.8, "primary": 0.6, "secondary": 0.4, "tertiary": 0.25, "unclassified": 0.1, "residential": 0.05, "living_street": 0.03, "service": 0.02}
-SERVICE_WEIGHTS = {"driveway": 0.005, "parking_aisle": 0.01}
-SPEEDS_MPH = {"motorway": 65.0, "motorway_link": 45.0, "trunk": 55.0, "primary": 45.0, "secondary": 35.0, "tertiary": 30.0, "unclassified": 25.0, "residential": 25.0, "living_street": 15.0, "service": 10.0}
+# Weights of road classes and of kinds of service roads, free-flow speeds of classes in miles an hour,
+# seconds that a driver loses at the control of the node that an edge leads to, weights of land cover and their range.
+ROAD_WEIGHTS = {
+    "motorway": 1.0, "motorway_link": 0.8, "trunk": 0.6, "trunk_link": 0.48, "primary": 0.3, "primary_link": 0.24, "secondary": 0.15, "secondary_link": 0.12,
+    "tertiary": 0.06, "tertiary_link": 0.048, "unclassified": 0.02, "residential": 0.01, "service": 0.005, "living_street": 0.005,
+}
+SERVICE_WEIGHTS = {"driveway": 0.002, "alley": 0.003, "drive-through": 0.001}
+SPEEDS_MPH = {
+    "motorway": 59.0, "motorway_link": 49.0, "trunk": 43.0, "trunk_link": 37.0, "primary": 34.0, "primary_link": 28.0, "secondary": 28.0, "secondary_link": 24.0,
+    "tertiary": 24.0, "tertiary_link": 20.0, "unclassified": 20.0, "residential": 20.0, "service": 11.0, "living_street": 11.0,
+}
+CONTROL_SECONDS = {"traffic_signals": 22.0, "stop": 11.0, "give_way": 6.0, "crossing": 3.0, "turning_circle": 4.0, "motorway_junction": 0.0}
 MPS_OF_MPH, WALK_MPS, BIKE_MPS, DEFAULT_MPH = 0.44704, 1.12, 5.36, 20.0
-LAND_WEIGHTS = {10: -0.8, 20: -0.4, 30: -0.3, 40: -0.2, 50: 1.0, 60: 0.5, 80: -1.0, 90: -0.6, 95: -0.7}
+LAND_WEIGHTS = {10: -0.6, 20: -0.3, 30: -0.1, 40: -0.05, 50: 1.0, 60: 0.4, 80: -0.5, 90: -0.4, 95: -0.4}
+COOLEST, HOTTEST = -0.6, 1.0
 DECAY = 0.003
 CANOPY_SHARE, CANOPY_MOST = 0.56, 0.80
 
@@ -29,12 +38,12 @@ def road_weight(kind: Column, service: Column) -> Column:
     return F.when(kind == "service", F.coalesce(_mapped(service, SERVICE_WEIGHTS), F.lit(ROAD_WEIGHTS["service"]))).otherwise(_mapped(kind, ROAD_WEIGHTS))
 
 
-def travel_seconds(mode: str, meters: Column, kind: Column, penalty: Column) -> Column:
-    """Seconds over an edge, with the penalty of the node that it leads to; 9999 where there is no speed."""
+def travel_seconds(mode: str, meters: Column, kind: Column, control: Column) -> Column:
+    """Seconds over an edge; 9999 where there is no speed. Drivers alone wait at the control of the node that it leads to, if it has one."""
     if mode != "drive":
-        return meters / F.lit(WALK_MPS if mode == "walk" else BIKE_MPS) + penalty
+        return meters / F.lit(WALK_MPS if mode == "walk" else BIKE_MPS)
     speed = F.coalesce(_mapped(kind, SPEEDS_MPH), F.lit(DEFAULT_MPH)) * MPS_OF_MPH
-    return F.when(speed > 0, meters / speed).otherwise(F.lit(9999.0)) + penalty
+    return F.when(speed > 0, meters / speed).otherwise(F.lit(9999.0)) + F.coalesce(_mapped(control, CONTROL_SECONDS), F.lit(0.0))
 
 
 def discretized(roads: DataFrame, step: float) -> DataFrame:
@@ -81,10 +90,9 @@ def canopy_fraction(window: DataFrame) -> DataFrame:
 
 
 def heat_score(window: DataFrame) -> DataFrame:
-    """site and uhi: the mean land-cover weight of its valid cells, from 0 to 100 over the range of weights."""
-    lo, hi = min(LAND_WEIGHTS.values()), max(LAND_WEIGHTS.values())
+    """site and uhi: the mean land-cover weight of its valid cells, from 0 (all trees) to 100 (all built up)."""
     mean = F.avg(F.when(F.col("class") > 0, _mapped(F.col("class"), LAND_WEIGHTS)))
-    return window.groupBy("site").agg(geo.clamp((mean - lo) / (hi - lo) * 100, 0, 100).alias("uhi"))
+    return window.groupBy("site").agg(geo.clamp((mean - COOLEST) / (HOTTEST - COOLEST) * 100, 0, 100).alias("uhi"))
 
 
 def rasterized_least(points: DataFrame, value: str, bounds: tuple[float, float, float, float], rows: int, cols: int) -> DataFrame:
@@ -94,8 +102,14 @@ def rasterized_least(points: DataFrame, value: str, bounds: tuple[float, float,
     return points.groupBy(index("y", y1, y2, rows).alias("row"), index("x", x1, x2, cols).alias("col")).agg(F.min(value).alias("value"))
 
 
-def filled(cells: DataFrame, rows: int, cols: int) -> DataFrame:
-    """cells with the empty ones that have neighbours filled by the mean of their 3 x 3 surroundings."""
+def filled(cells: DataFrame, rows: int, cols: int, passes: int = 1) -> DataFrame:
+    """cells with the empty ones that have neighbours filled by the mean of their 3 x 3 surroundings, pass after pass."""
+    for _ in range(passes):
+        cells = _filled(cells, rows, cols)
+    return cells
+
+
+def _filled(cells: DataFrame, rows: int, cols: int) -> DataFrame:
     steps = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in (-1, 0, 1) for c in (-1, 0, 1) if r or c])
     spread = cells.withColumn("s", F.explode(steps)).select((F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col"), "value")
     means = spread.where((F.col("row") >= 0) & (F.col("row") < rows) & (F.col("col") >= 0) & (F.col("col") < cols)).groupBy("row", "col").agg(F.avg("value").alias("value"))

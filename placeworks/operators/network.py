@@ -1,47 +1,45 @@
-"""Travel times on a network: shortest paths, nearest open sites, closures, traffic on edges.
+"""Travel times on a network: shortest paths, nearest open sites, closures, routes, traffic on edges.
 
 All searches are rounds of joins over long tables, cut by checkpoints; no task
-holds the graph or a path.
+holds the graph or a path, and there is no bound on the number of rounds.
 """
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROUNDS, MOST = 6, 600
+from .cut import cut
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        # spark.checkpoint.dir where it is set; a folder of this machine only without one, as in tests.
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp())
-    return df.checkpoint()
+#: Steps along edges in one job.
+ROUNDS = 6
 
 
 def shortest_paths(sources: DataFrame, edges: DataFrame) -> DataFrame:
     """(site, node, dist) of every node that a site's node reaches over edges (u, v, w); w is not negative.
 
-    Each round relaxes all edges of the nodes reached so far; several rounds
-    are one job, and jobs end when no distance changes.
+    Only nodes whose distance the last job has changed send it on. They go
+    several steps in one job, and what they reach is then compared with the
+    distances known; the search ends when no distance changes.
     """
-    edges = _cut(edges.groupBy("u", "v").agg(F.min("w").alias("w")))
-    now = _cut(sources.select("site", "node", F.lit(0).cast("long").alias("dist")))
-    before = None
-    for _ in range(0, MOST, ROUNDS):
+    # An edge of no length from each node to itself keeps what is known, so that a step needs its input once.
+    nodes = edges.select("u").unionByName(edges.select(F.col("v").alias("u"))).unionByName(sources.select(F.col("node").alias("u"))).distinct()
+    loops = nodes.select("u", F.col("u").alias("v"), F.lit(0).cast("long").alias("w"))
+    edges = cut(edges.select("u", "v", F.col("w").cast("long").alias("w")).unionByName(loops).groupBy("u", "v").agg(F.min("w").alias("w")))
+    known = cut(sources.select("site", "node", F.lit(0).cast("long").alias("dist")).groupBy("site", "node").agg(F.min("dist").alias("dist")))
+    moved = known
+    while True:
         for _ in range(ROUNDS):
-            over = now.join(edges, now["node"] == edges["u"]).select("site", F.col("v").alias("node"), (F.col("dist") + F.col("w")).alias("dist"))
-            now = now.unionByName(over).groupBy("site", "node").agg(F.min("dist").alias("dist"))
-        now = _cut(now)
-        state = tuple(now.agg(F.count("*"), F.sum("dist")).first())
-        if state == before:
-            return now
-        before = state
-    raise RuntimeError(f"distances have not settled in {MOST} rounds")
+            over = moved.join(edges.withColumnRenamed("u", "node"), "node").select("site", F.col("v").alias("node"), (F.col("dist") + F.col("w")).alias("dist"))
+            moved = over.groupBy("site", "node").agg(F.min("dist").alias("dist"))
+        both = known.join(moved.withColumnRenamed("dist", "_new"), ["site", "node"], "full")
+        nearer = F.col("_new").isNotNull() & (F.col("dist").isNull() | (F.col("_new") < F.col("dist")))
+        both = cut(both.select("site", "node", F.least("dist", "_new").alias("dist"), nearer.alias("nearer")))
+        moved, known = both.where("nearer").drop("nearer"), both.drop("nearer")
+        if moved.isEmpty():
+            return known
 
 
 def predecessors(paths: DataFrame, edges: DataFrame) -> DataFrame:
@@ -81,24 +79,61 @@ def closure(times: DataFrame, closed: Sequence[int]) -> DataFrame:
     return best.select("pixel", "m.site", "m.time")
 
 
-def edge_traffic(demand: DataFrame, preds: DataFrame) -> DataFrame:
-    """(u, v, amount): what passes each edge when the demand (site, node, amount) goes to its site along predecessors.
+def edge_traffic(demand: DataFrame, preds: DataFrame, by: Sequence[str] = (), amounts: Sequence[str] = ("amount",)) -> DataFrame:
+    """(*by, u, v, *amounts): what passes each edge when the demand (*by, site, node, *amounts) goes to its site along predecessors.
 
     All demand takes one step a round and is summed where it meets, so a round
-    holds one row for each site and node at most.
+    holds one row for each of `by`, site and node at most.
     """
-    now, passed = _cut(demand.groupBy("site", "node").agg(F.sum("amount").alias("amount"))), None
-    preds = _cut(preds)
-    for _ in range(0, MOST, ROUNDS):
+    sums = [F.sum(a).alias(a) for a in amounts]
+    now, passed = cut(demand.groupBy(*by, "site", "node").agg(*sums)), None
+    preds = cut(preds)
+    while True:
         steps = []
         for _ in range(ROUNDS):
             moved = now.join(preds, ["site", "node"])
-            steps.append(moved.select(F.col("node").alias("u"), F.col("pred").alias("v"), "amount"))
-            now = moved.groupBy("site", F.col("pred").alias("node")).agg(F.sum("amount").alias("amount"))
+            steps.append(moved.select(*by, F.col("node").alias("u"), F.col("pred").alias("v"), *amounts))
+            now = moved.groupBy(*by, "site", F.col("pred").alias("node")).agg(*sums)
         for s in steps:
             passed = s if passed is None else passed.unionByName(s)
-        passed = _cut(passed.groupBy("u", "v").agg(F.sum("amount").alias("amount")))
-        now = _cut(now)
+        passed = cut(passed.groupBy(*by, "u", "v").agg(*sums))
+        now = cut(now)
         if now.isEmpty():
             return passed
-    raise RuntimeError(f"demand has not arrived in {MOST} steps")
+
+
+def routes(starts: DataFrame, preds: DataFrame, paths: DataFrame) -> DataFrame:
+    """(site, start, step, node, elapsed): the way from each start (site, start) to its site, and the time since the start at each node; starts that do not reach their site have none."""
+    dist = paths.select("site", "node", "dist")
+    first = starts.select("site", "start", F.col("start").alias("node")).join(dist, ["site", "node"])
+    now = cut(first.select("site", "start", F.lit(0).cast("long").alias("step"), "node", F.col("dist").alias("_whole")))
+    preds, every = cut(preds), now
+    while True:
+        steps = []
+        for _ in range(ROUNDS):
+            now = now.join(preds, ["site", "node"]).select("site", "start", (F.col("step") + 1).alias("step"), F.col("pred").alias("node"), "_whole")
+            steps.append(now)
+        now = cut(now)
+        for s in [*steps[:-1], now]:
+            every = every.unionByName(s)
+        if now.isEmpty():
+            return every.join(dist, ["site", "node"]).select("site", "start", "step", "node", (F.col("_whole") - F.col("dist")).alias("elapsed"))
+
+
+def zone_sites(times: DataFrame, nearest: DataFrame, zones: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """nearest (scenario, pixel, site, time, entry) with the zone's site (zones: pixel, site) in its place wherever that is open and reached."""
+    own = times.join(zones.select("pixel", "site"), ["pixel", "site"])
+    names = nearest.select("scenario").distinct()
+    closed = scenarios.where("closed IS NOT NULL").select("scenario", F.col("closed").alias("site"))
+    # The scenarios are a short list, so each zone's row is copied once for each.
+    open_ = own.crossJoin(F.broadcast(names)).join(F.broadcast(closed), ["scenario", "site"], "left_anti")
+    told = open_.select("scenario", "pixel", F.struct("site", "time", "entry").alias("own"))
+    out = nearest.join(told, ["scenario", "pixel"], "left").withColumn("to", F.coalesce("own", F.struct("site", "time", "entry")))
+    return out.select("scenario", "pixel", "to.*")
+
+
+def outside_walk_zones(rows: DataFrame, walks: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """rows (scenario, pixel, ...) without the pixels in the walk zone (walks: pixel, walk_site) of a site that is open in the scenario."""
+    closed = scenarios.where("closed IS NOT NULL").select("scenario", F.col("closed").alias("walk_site"))
+    walkers = rows.select("scenario", "pixel").join(walks, "pixel").join(F.broadcast(closed), ["scenario", "walk_site"], "left_anti")
+    return rows.join(walkers.select("scenario", "pixel"), ["scenario", "pixel"], "left_anti")

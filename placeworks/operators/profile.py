@@ -7,7 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
+from .cut import cut
+
+QUANTILES = {"q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95}
+#: Values of a key that one task may hold, and parts into which an interval of more is counted.
+MANY, BINS = 100_000, 1024
 
 
 def completeness(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -26,11 +30,62 @@ def categories(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows.select(told.alias("x")).groupBy(F.col("x.column").alias("column"), F.col("x.value").alias("value")).agg(F.count("*").alias("n"))
 
 
-def quantiles(rows: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Interpolated quantiles as columns q05 to q95."""
-    found = F.percentile(value, F.array(*[F.lit(q) for q in QUANTILES]))
-    out = rows.groupBy(*by).agg(found.alias("_q"))
-    return out.select(*by, *[F.round(F.col("_q")[i], 6).alias(f"q{int(q * 100):02d}") for i, q in enumerate(QUANTILES)])
+def quantiles(rows: DataFrame, value: str, by: Sequence[str] = (), probabilities: dict[str, float] = QUANTILES, digits: int = 6) -> DataFrame:
+    """Interpolated quantiles of each key, rounded, as columns of the given names; nulls are left out.
+
+    Keys of up to MANY values are aggregated as they are; where one has more,
+    values_at searches for the ranks.
+    """
+    rows = rows.select(*by, F.col(value).cast("double").alias("_v"))
+    counts = rows.groupBy(*by).agg(F.count("_v").alias("_n"))
+    if (counts.agg(F.max("_n")).first()[0] or 0) <= MANY:
+        found = rows.groupBy(*by).agg(F.percentile("_v", F.array(*[F.lit(q) for q in probabilities.values()])).alias("_q"))
+        return found.select(*by, *[F.round(F.col("_q")[i], digits).alias(name) for i, name in enumerate(probabilities)])
+    ends = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), (F.lit(q) * (F.col("_n") - 1)).alias("at")) for name, q in probabilities.items()]))
+    wanted = cut(counts.where("_n > 0").select(*by, ends.alias("e")).select(*by, "e.*"))
+    places = wanted.select(*by, F.explode(F.array(F.floor("at").cast("long"), F.ceil("at").cast("long"))).alias("place")).distinct()
+    values = values_at(rows, "_v", by, places)
+    low = values.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("place").alias("_low"), F.col("value").alias("low"))
+    high = values.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("place").alias("_high"), F.col("value").alias("high"))
+    same = lambda: [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    out = wanted.join(low, [*same(), F.floor("at") == F.col("_low")]).drop(*[f"_{c}" for c in by]).join(high, [*same(), F.ceil("at") == F.col("_high")]).drop(*[f"_{c}" for c in by])
+    told = F.round(F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at")), digits)
+    return out.groupBy(*by).agg(*[F.max(F.when(F.col("name") == name, told)).alias(name) for name in probabilities])
+
+
+def values_at(rows: DataFrame, value: str, by: Sequence[str], places: DataFrame) -> DataFrame:
+    """(by, place, value) of places (by, place) in the sorted values of each key, from 0.
+
+    The values of a key never meet in one task: each round counts them in BINS
+    equal parts of the interval that holds a place, and goes on with the part
+    that the place is in, until an interval has MANY distinct rows at most or
+    one value.
+    """
+    key = F.struct(*by) if by else F.lit(0)
+    rows = rows.select(key.alias("_k"), F.col(value).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    spans = rows.groupBy("_k").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("inside")).withColumnRenamed("_k", "_s")
+    now = cut(places.select(key.alias("_k"), "place").join(spans, F.col("_k").eqNullSafe(F.col("_s"))).select("_k", "place", "lo", "hi", "inside", F.lit(0).cast("long").alias("below")))
+    while True:
+        open_ = now.where((F.col("inside") > MANY) & (F.col("lo") < F.col("hi")))
+        if open_.isEmpty():
+            break
+        # An interval for each key and place at most, so few.
+        spans = open_.select(F.col("_k").alias("_s"), "lo", "hi").distinct()
+        part = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1))
+        counted = rows.join(spans, F.col("_k").eqNullSafe(F.col("_s")) & F.col("v").between(F.col("lo"), F.col("hi"))).groupBy("_s", "lo", "hi", part.alias("part"))
+        counted = counted.agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+        before = F.sum("n").over(Window.partitionBy("_s", "lo", "hi").orderBy("part")) - F.col("n")
+        counted = counted.withColumn("before", before).withColumnsRenamed({"lo": "_lo", "hi": "_hi"})
+        met = open_.join(counted, F.col("_k").eqNullSafe(F.col("_s")) & (F.col("lo") == F.col("_lo")) & (F.col("hi") == F.col("_hi")))
+        met = met.where((F.col("place") - F.col("below") >= F.col("before")) & (F.col("place") - F.col("below") < F.col("before") + F.col("n")))
+        met = met.select("_k", "place", F.col("least").alias("lo"), F.col("most").alias("hi"), F.col("n").alias("inside"), (F.col("below") + F.col("before")).alias("below"))
+        now = cut(met.unionByName(now.where((F.col("inside") <= MANY) | (F.col("lo") >= F.col("hi")))))
+    spans = now.select(F.col("_k").alias("_s"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi")).distinct()
+    held = rows.join(spans, F.col("_k").eqNullSafe(F.col("_s")) & F.col("v").between(F.col("_lo"), F.col("_hi"))).groupBy("_s", "_lo", "_hi", "v").agg(F.count("*").alias("n"))
+    held = held.withColumn("before", F.sum("n").over(Window.partitionBy("_s", "_lo", "_hi").orderBy("v")) - F.col("n"))
+    at = F.col("place") - F.col("below")
+    out = now.join(held, F.col("_k").eqNullSafe(F.col("_s")) & (F.col("lo") == F.col("_lo")) & (F.col("hi") == F.col("_hi")) & (at >= F.col("before")) & (at < F.col("before") + F.col("n")))
+    return out.select(*[F.col(f"_k.{c}").alias(c) for c in by], "place", F.col("v").alias("value"))
 
 
 def histogram(rows: DataFrame, value: str, low: float, high: float, bins: int = 15) -> DataFrame:
@@ -43,9 +98,8 @@ def histogram(rows: DataFrame, value: str, low: float, high: float, bins: int =
 
 def upper_median(rows: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """The value at half the count, from 0, of the sorted values: the greater of the middle two."""
-    w = Window.partitionBy(*by)
-    placed = rows.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    return placed.where("_i = floor(_n / 2)").select(*by, F.col(value).alias("median"))
+    places = rows.groupBy(*by).agg(F.floor(F.count(value) / 2).cast("long").alias("place"))
+    return values_at(rows, value, by, places).select(*by, F.col("value").alias("median"))
 
 
 def repeated_places(rows: DataFrame, x: str, y: str) -> DataFrame:

@@ -50,7 +50,9 @@ def _name(radius: float) -> str:
 def nearest_site(facilities: DataFrame, sites: DataFrame) -> DataFrame:
     """facilities with the nearest site and its distance in miles, the least site of equals."""
     distance = lambda s: geo.haversine_miles(F.col("lat"), F.col("lon"), s["site_lat"], s["site_lon"])
-    out = spatial.nearest(facilities, sites, distance, ["site", "site_lat", "site_lon"], "site")
+    # Sites outside the cells around a facility are at least half a mile away, below 60 degrees of latitude.
+    cell = (0.5 * MILE_LON, 0.5 * MILE_LAT, 0.5)
+    out = spatial.nearest(facilities, sites, distance, ["site", "site_lat", "site_lon"], "site", (F.col("lon"), F.col("lat")), (F.col("site_lon"), F.col("site_lat")), cell)
     return out.withColumn("site", F.col("nearest.site")).withColumn("distance", F.col("nearest.distance")).drop("nearest")
 
 

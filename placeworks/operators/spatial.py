@@ -1,4 +1,4 @@
-"""Spatial joins: within a radius, nearest, point in polygon, rectangle overlay.
+"""Spatial joins: within a radius, nearest, point in polygon, overlays of rectangles and of any polygons.
 
 A join by distance is an equi-join on square cells as large as the radius: the
 smaller side is copied to the nine cells around it, so each pair that can be
@@ -7,12 +7,15 @@ near enough meets once, and nothing is compared with everything.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .cut import cut
 
 #: Sites up to which a nearest search carries all of them along with each row, as one array.
 MOST_SITES = 4096
@@ -30,19 +33,43 @@ def within(points: DataFrame, sites: DataFrame, x: Callable[[DataFrame], Column]
     return joined.withColumn("distance", distance).where(F.col("distance") <= radius)
 
 
-def nearest(points: DataFrame, sites: DataFrame, distance: Callable[[Column], Column], columns: list[str], order: str) -> DataFrame:
+def nearest(
+    points: DataFrame, sites: DataFrame, distance: Callable[[Column], Column], columns: list[str], order: str, at: tuple[Column, Column], site_at: tuple[Column, Column], cell: tuple[float, float, float]
+) -> DataFrame:
     """points with `nearest`: a struct of the distance and of the columns of the nearest site, the least `order` of equals.
 
-    The sites travel as one array beside every row, which holds for MOST_SITES;
-    with more of them, use a radius (within) and take the least.
+    Up to MOST_SITES sites travel as one array beside every row. More of them
+    are searched in cells that double their size: at and site_at place both
+    tables, cell is (width, height, distance), and a site that is not in the
+    nine cells around a point is at least that distance away. A point that has
+    found a site as near as that is done.
     """
-    n = sites.count()
-    if n > MOST_SITES:
-        raise ValueError(f"{n} sites are too many for one array; join within a radius instead")
-    packed = sites.agg(F.sort_array(F.collect_list(F.struct(order, *[c for c in columns if c != order]))).alias("_sites"))
-    joined = points.crossJoin(F.broadcast(packed))  # one row, of MOST_SITES structs at most
-    told = F.transform("_sites", lambda s: F.struct(distance(s).alias("distance"), *[s[c].alias(c) for c in dict.fromkeys([order, *columns])]))
-    return joined.withColumn("nearest", F.array_min(told)).drop("_sites")
+    columns = list(dict.fromkeys([order, *columns]))
+    if sites.limit(MOST_SITES + 1).count() <= MOST_SITES:
+        packed = sites.agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("_sites"))
+        joined = points.crossJoin(F.broadcast(packed))  # one row, of MOST_SITES structs at most
+        told = F.transform("_sites", lambda s: F.struct(distance(s).alias("distance"), *[s[c].alias(c) for c in columns]))
+        return joined.withColumn("nearest", F.array_min(told)).drop("_sites")
+    placed = cut(points.select(F.struct("*").alias("_row"), at[0].alias("_x"), at[1].alias("_y")).withColumn("_id", F.monotonically_increasing_id()))
+    open_, done = placed.select("_id", "_row", "_x", "_y"), None
+    targets = cut(sites.select(F.struct(*columns).alias("_site"), site_at[0].alias("_sx"), site_at[1].alias("_sy")))
+    w, h, reach = cell
+    ends = targets.agg(F.max(F.abs(F.col("_sx"))), F.max(F.abs(F.col("_sy")))).first()
+    far = placed.agg(F.max(F.abs(F.col("_x"))), F.max(F.abs(F.col("_y")))).first()
+    while True:
+        # Cells as large as everything hold all sites, so the search ends there.
+        last = all(size > 2 * max(e or 0, f or 0) for size, e, f in zip((w, h), ends, far, strict=True))
+        own = open_.withColumn("_cx", geo.cell(F.col("_x"), w)).withColumn("_cy", geo.cell(F.col("_y"), h))
+        around = targets.withColumn("_cx", F.explode(geo.cells_around(F.col("_sx"), w))).withColumn("_cy", F.explode(geo.cells_around(F.col("_sy"), h)))
+        met = own.join(around, ["_cx", "_cy"]).select("_id", "_site", "_row.*")
+        best = met.select("_id", F.struct(distance(F.col("_site")).alias("distance"), *[F.col(f"_site.{c}").alias(c) for c in columns]).alias("nearest")).groupBy("_id").agg(F.min("nearest").alias("nearest"))
+        now = cut(open_.join(best, "_id", "left"))
+        found = now if last else now.where(F.col("nearest.distance") <= reach)
+        done = found if done is None else done.unionByName(found)
+        open_ = now.where(F.col("nearest").isNull() | (F.col("nearest.distance") > reach)).drop("nearest")
+        if last or open_.isEmpty():
+            return done.select("_row.*", "nearest")
+        w, h, reach = 2 * w, 2 * h, 2 * reach
 
 
 def first_match(matches: DataFrame, key: str, order: str) -> DataFrame:
@@ -51,23 +78,48 @@ def first_match(matches: DataFrame, key: str, order: str) -> DataFrame:
     return matches.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def point_in_polygon(points: DataFrame, edges: DataFrame, point: str, polygon: str) -> DataFrame:
+def _banded(edges: DataFrame, size: float) -> DataFrame:
+    """edges (x1, y1, x2, y2) once for each row of cells (_cy) that they touch."""
+    low, high = geo.cell(F.least("y1", "y2"), size), geo.cell(F.greatest("y1", "y2"), size)
+    return edges.withColumn("_cy", F.explode(F.sequence(low, high)))
+
+
+def _crosses(x: Column, y: Column) -> Column:
+    """Whether an edge passes to the right of a place; an edge counts at its lower end, not at its upper."""
+    on = F.when(F.col("y1") != F.col("y2"), (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / F.when(F.col("y1") != F.col("y2"), F.col("y2") - F.col("y1")) + F.col("x1"))
+    return ((F.col("y1") > y) != (F.col("y2") > y)) & (x < on)
+
+
+def _borders(banded: DataFrame, polygon: str, size: float) -> DataFrame:
+    """(polygon, _cx, _cy) of the cells that an edge passes through."""
+    steep = F.when(F.col("y1") != F.col("y2"), (F.col("x2") - F.col("x1")) / F.when(F.col("y1") != F.col("y2"), F.col("y2") - F.col("y1")))
+    low, high = F.greatest(F.least("y1", "y2"), F.col("_cy") * size), F.least(F.greatest("y1", "y2"), (F.col("_cy") + 1) * size)
+    ends = [F.coalesce(F.col("x1") + steep * (y - F.col("y1")), other) for y, other in ((low, F.col("x1")), (high, F.col("x2")))]
+    slack = size * 1e-6
+    span = F.sequence(geo.cell(F.least(*ends) - slack, size), geo.cell(F.greatest(*ends) + slack, size))
+    return banded.select(polygon, F.explode(span).alias("_cx"), "_cy").distinct()
+
+
+def point_in_polygon(points: DataFrame, edges: DataFrame, point: str, polygon: str, size: float = 250.0) -> DataFrame:
     """(point, polygon) of every point (x, y) inside a polygon given by its edges (x1, y1, x2, y2).
 
     A point is inside where the edges to its right are odd in number; one on a
     left or lower border counts as inside, on a right or upper one as outside.
-    Edges are spread over the rows of cells that they cross, so a point meets
-    only the edges of its own row.
+    Cells that no edge passes through are inside or outside as a whole, which
+    is told once for each; only points in the other cells of a polygon meet its
+    edges, and only those of their row.
     """
-    size = 250.0
-    low, high = geo.cell(F.least("y1", "y2"), size), geo.cell(F.greatest("y1", "y2"), size)
-    spread = edges.where("y1 != y2").withColumn("_row", F.explode(F.sequence(low, high)))
-    met = points.withColumn("_row", geo.cell(F.col("y"), size)).join(spread, "_row")
-    crosses = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (
-        F.col("x") < (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
-    )
-    inside = met.where(crosses).groupBy(point, polygon).agg(F.count("*").alias("_n")).where("_n % 2 = 1")
-    return inside.select(point, polygon)
+    banded = _banded(edges.select(polygon, "x1", "y1", "x2", "y2"), size)
+    borders = _borders(banded, polygon, size)
+    rows = borders.groupBy(polygon, "_cy").agg(F.min("_cx").alias("_a"), F.max("_cx").alias("_b"))
+    inner = rows.select(polygon, "_cy", F.explode(F.sequence("_a", "_b")).alias("_cx")).join(borders, [polygon, "_cx", "_cy"], "left_anti")
+    centre = inner.join(banded, [polygon, "_cy"]).where(_crosses((F.col("_cx") + 0.5) * size, (F.col("_cy") + 0.5) * size))
+    whole = centre.groupBy(polygon, "_cx", "_cy").agg(F.count("*").alias("_n")).where("_n % 2 = 1").select(polygon, "_cx", "_cy")
+    told = whole.withColumn("_whole", F.lit(True)).unionByName(borders.withColumn("_whole", F.lit(False)))
+    placed = points.select(point, "x", "y", geo.cell(F.col("x"), size).alias("_cx"), geo.cell(F.col("y"), size).alias("_cy"))
+    met = placed.join(told, ["_cx", "_cy"])
+    odd = met.where("not _whole").join(banded, [polygon, "_cy"]).where(_crosses(F.col("x"), F.col("y"))).groupBy(point, polygon).agg(F.count("*").alias("_n")).where("_n % 2 = 1")
+    return met.where("_whole").select(point, polygon).unionByName(odd.select(point, polygon))
 
 
 def overlay(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
@@ -96,3 +148,127 @@ def polygon_area(polygons: DataFrame, polygon: str) -> DataFrame:
     """The area of polygons given as rings, the first one's turn being positive and holes turning the other way."""
     edges = rings_to_edges(polygons, polygon)
     return edges.groupBy(polygon).agg(F.abs(F.sum((F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")) / 2)).alias("area"))
+
+
+def _touching(a: DataFrame, b: DataFrame, keys: tuple[str, str], size: float) -> DataFrame:
+    """Pairs of polygons whose boxes meet in a cell."""
+
+    def cells(edges: DataFrame, key: str) -> DataFrame:
+        box = edges.groupBy(key).agg(*[f(g(f"{c}1", f"{c}2")).alias(f"_{c}{n}") for c in "xy" for n, f, g in (("a", F.min, F.least), ("b", F.max, F.greatest))])
+        spread = lambda c: F.explode(F.sequence(geo.cell(F.col(f"_{c}a"), size), geo.cell(F.col(f"_{c}b"), size)))
+        return box.withColumn("_cx", spread("x")).withColumn("_cy", spread("y")).select(key, "_cx", "_cy")
+
+    return cells(a, keys[0]).join(cells(b, keys[1]), ["_cx", "_cy"]).select(*keys).distinct()
+
+
+def _under_all(lines: Sequence[tuple[Column, Column]], width: Column) -> Column:
+    """The integral, over a width, of the least of straight lines given by their heights at its two ends."""
+    at = lambda line, t: line[0] + (line[1] - line[0]) * t
+    low = lambda t: F.least(*[at(line, t) for line in lines])
+    turns = []
+    for i, p in enumerate(lines):
+        for q in lines[:i]:
+            d0, d1 = p[0] - q[0], p[1] - q[1]
+            turns.append(F.when(d0 * d1 < 0, d0 / (d0 - d1)))
+    # Where two lines cross, the least of them may turn.
+    stops = F.array_sort(F.array_compact(F.array(F.lit(0.0), F.lit(1.0), *turns)))
+    spans = F.zip_with(F.slice(stops, 1, F.size(stops) - 1), F.slice(stops, 2, F.size(stops) - 1), lambda s, t: (t - s) * (low(s) + low(t)) / 2)
+    return width * F.aggregate(spans, F.lit(0.0), lambda total, x: total + x)
+
+
+def shared_area(layers: Sequence[tuple[DataFrame, str]], size: float) -> DataFrame:
+    """The keys of polygons of two or three layers that overlap, and `area`, that of what they share.
+
+    A layer is (edges, key). Polygons are of any shape, with holes that turn
+    the other way. A polygon is the sum of what is under its edges, of the upper
+    ones less the lower ones, so the area that several share is a sum over their
+    edges of what is under all of them.
+    """
+    keys = [key for _, key in layers]
+    pairs = None
+    for i in range(len(layers)):
+        for j in range(i):
+            met = _touching(layers[j][0], layers[i][0], (keys[j], keys[i]), size)
+            pairs = met if pairs is None else pairs.join(met, [k for k in (keys[j], keys[i]) if k in pairs.columns])
+    out = pairs
+    for n, (edges, key) in enumerate(layers):
+        sided = edges.where("x1 != x2").select(
+            key, F.least("x1", "x2").alias(f"_l{n}"), F.greatest("x1", "x2").alias(f"_r{n}"), F.when(F.col("x1") < F.col("x2"), F.col("y1")).otherwise(F.col("y2")).alias(f"_a{n}"),
+            F.when(F.col("x1") < F.col("x2"), F.col("y2")).otherwise(F.col("y1")).alias(f"_b{n}"), F.when(F.col("x1") > F.col("x2"), 1).otherwise(-1).alias(f"_s{n}"),
+        )
+        out = out.join(sided, key)
+        if n:
+            out = out.where((F.col(f"_l{n}") < F.col("_right")) & (F.col(f"_r{n}") > F.col("_left")))
+            out = out.withColumn("_left", F.greatest("_left", f"_l{n}")).withColumn("_right", F.least("_right", f"_r{n}")).withColumn("_sign", F.col("_sign") * F.col(f"_s{n}"))
+        else:
+            out = out.withColumn("_left", F.col("_l0")).withColumn("_right", F.col("_r0")).withColumn("_sign", F.col("_s0"))
+    height = lambda n, x: F.col(f"_a{n}") + (F.col(f"_b{n}") - F.col(f"_a{n}")) * (F.col(x) - F.col(f"_l{n}")) / (F.col(f"_r{n}") - F.col(f"_l{n}"))
+    lines = [(height(n, "_left"), height(n, "_right")) for n in range(len(layers))]
+    sums = out.where("_left < _right").groupBy(*keys).agg(F.sum(F.col("_sign") * _under_all(lines, F.col("_right") - F.col("_left"))).alias("area"))
+    # The turn of each polygon decides the sign; what is left of pairs that only touch is rounding.
+    return sums.withColumn("area", F.abs("area")).where("area > 1e-6")
+
+
+def dissolved(edges: DataFrame, label: str) -> DataFrame:
+    """The border of each label's polygons, which share whole edges and do not overlap: the edges that only one of them has."""
+    ends = F.when(F.struct("x1", "y1") < F.struct("x2", "y2"), F.array("x1", "y1", "x2", "y2")).otherwise(F.array("x2", "y2", "x1", "y1"))
+    once = edges.withColumn("_e", ends).groupBy(label, "_e").agg(F.count("*").alias("_n"), F.first(F.struct("x1", "y1", "x2", "y2")).alias("e")).where("_n % 2 = 1")
+    return once.select(label, "e.*")
+
+
+def _hull(points: np.ndarray) -> np.ndarray:
+    """The corners of the convex hull, counter-clockwise, from the leftmost lowest."""
+    p = np.unique(points, axis=0)
+    if len(p) < 3:
+        return p
+
+    def half(rows: np.ndarray) -> list:
+        out: list = []
+        for q in rows.tolist():
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(q)
+        return out[:-1]
+
+    return np.array(half(p) + half(p[::-1]))
+
+
+def convex_hull(points: DataFrame, key: str) -> DataFrame:
+    """(key, corner, x, y): the corners of each key's hull in turn. Hulls of parts come first, so what meets in one task is their corners alone."""
+    kind = points.schema[key].dataType.simpleString()
+
+    def corners(rows: pd.DataFrame) -> pd.DataFrame:
+        h = _hull(rows[["x", "y"]].to_numpy(float))
+        return pd.DataFrame({key: rows[key].iloc[0], "corner": np.arange(len(h)), "x": h[:, 0], "y": h[:, 1]})
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            if len(rows):
+                yield pd.concat([corners(g) for _, g in rows.groupby(key)])
+
+    schema = f"`{key}` {kind}, corner long, x double, y double"
+    some = points.select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where(f"`{key}` IS NOT NULL")
+    return some.mapInPandas(parts, schema).groupBy(key).applyInPandas(corners, schema)
+
+
+def union_area(boxes: DataFrame, key: str, size: float) -> DataFrame:
+    """key and the area covered by its rectangles (x1, y1, x2, y2), which may overlap: cell by cell, by slabs between their sides."""
+    spread = lambda c: F.explode(F.sequence(geo.cell(F.col(f"{c}1"), size), geo.cell(F.col(f"{c}2"), size)))
+    cells = boxes.select(key, "x1", "y1", "x2", "y2").withColumn("_cx", spread("x")).withColumn("_cy", spread("y"))
+    for c in "xy":
+        cells = cells.withColumn(f"{c}1", F.greatest(F.col(f"{c}1"), F.col(f"_c{c}") * size)).withColumn(f"{c}2", F.least(F.col(f"{c}2"), (F.col(f"_c{c}") + 1) * size))
+    cells = cells.where("x1 < x2 AND y1 < y2").distinct()
+
+    def covered(rows: pd.DataFrame) -> pd.DataFrame:
+        b, area = rows[["x1", "y1", "x2", "y2"]].to_numpy(float), 0.0
+        b = b[np.argsort(b[:, 1], kind="stable")]
+        xs = np.unique(b[:, [0, 2]])
+        for left, right in zip(xs[:-1], xs[1:], strict=True):
+            s = b[(b[:, 0] <= left) & (b[:, 2] >= right)]
+            reach = np.maximum.accumulate(s[:, 3]) if len(s) else s[:, 3]
+            before = np.concatenate([[-np.inf], reach[:-1]]) if len(s) else reach
+            area += (right - left) * np.maximum(s[:, 3] - np.maximum(s[:, 1], before), 0).sum()
+        return pd.DataFrame({key: [rows[key].iloc[0]], "area": [area]})
+
+    kind = boxes.schema[key].dataType.simpleString()
+    return cells.groupBy(key, "_cx", "_cy").applyInPandas(covered, f"`{key}` {kind}, area double").groupBy(key).agg(F.sum("area").alias("area"))

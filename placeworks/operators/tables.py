@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cut import cut
+
 
 def dense(dimension: DataFrame, measured: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """A row for each key of the dimension, with 0 for measures that are missing."""
@@ -86,7 +88,30 @@ def bidirectional(edges: DataFrame) -> DataFrame:
     return edges.unionByName(back.join(edges.select("u", "v"), ["u", "v"], "left_anti"))
 
 
+def set_equality(a: DataFrame, key: str, b: DataFrame, other: str) -> DataFrame:
+    """One row: how many keys of a are not in b (missing), how many of b are not in a (unknown), and whether none is."""
+    mine, theirs = a.select(F.col(key).alias("k")).distinct(), b.select(F.col(other).alias("k")).distinct()
+    told = mine.withColumn("s", F.lit(1)).unionByName(theirs.withColumn("s", F.lit(2))).groupBy("k").agg(F.sum("s").alias("s"))
+    out = told.agg(F.count_if(F.col("s") == 1).alias("missing"), F.count_if(F.col("s") == 2).alias("unknown"))
+    return out.withColumn("equal", F.col("missing") + F.col("unknown") == 0)
+
+
+def numbered(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """rows with their place, from 0, in an order that has to be total: one range exchange, and a row for each partition to number them."""
+    placed = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_part", before.alias("_before"))  # partitions, not rows
+    out = placed.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return out.withColumn(name, (F.col("_before") + F.col("_at") - F.shiftleft(F.col("_part"), 33)).cast("long")).drop("_part", "_at", "_before")
+
+
 def carried_forward(lines: DataFrame, order: str, header: Column, name: str) -> DataFrame:
-    """Each line with the last header up to it. The order of lines is one sequence, as in one file."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn(name, F.last(header, ignorenulls=True).over(w))
+    """Each line with the last header up to it. Lines are sorted in ranges; what a range begins with comes from the ranges before."""
+    placed = cut(lines.withColumn("_h", header).repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()))
+    ends = placed.groupBy("_part").agg(F.max(F.when(F.col("_h").isNotNull(), F.struct(order, "_h"))).alias("_end"))
+    before = F.last("_end", ignorenulls=True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = ends.select("_part", before["_h"].alias("_before"))  # partitions, not lines
+    own = F.last("_h", ignorenulls=True).over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return placed.join(F.broadcast(starts), "_part").withColumn(name, F.coalesce(own, "_before")).drop("_h", "_part", "_before")

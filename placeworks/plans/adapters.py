@@ -29,9 +29,12 @@ def _coords(k: str, a: int, b: int, p: str = "") -> list[str]:
     return [f"{_lon(k, a)} AS {p}lon", f"{_lat(k, b)} AS {p}lat", f"{_x(k, a)} AS {p}x", f"{_y(k, b)} AS {p}y"]
 
 
-#: Ten classes of roads and four that have no weight.
-ROAD_CLASSES = ("motorway", "trunk", "primary", "secondary", "tertiary", "residential", "service", "unclassified", "living_street", "motorway_link", "footway", "path", "steps", "track")
-SERVICES = ("driveway", "parking_aisle", "alley", "")
+#: Fourteen classes of roads and four that have no weight.
+ROAD_CLASSES = (
+    "motorway", "trunk", "primary", "secondary", "tertiary", "residential", "service", "unclassified", "living_street",
+    "motorway_link", "trunk_link", "primary_link", "secondary_link", "tertiary_link", "footway", "path", "steps", "track",
+)
+SERVICES = ("driveway", "parking_aisle", "alley", "drive-through", "")
 
 
 def _pick(n: str, values: tuple[str, ...]) -> str:
@@ -58,7 +61,7 @@ ENTITIES: dict[str, tuple[str, list[str], str]] = {
         "CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 2 = 0 THEN 'Improved - ' || p_brand ELSE 'Vacant' END AS imp_vac", "p_retailprice AS value",
     ], "true"),
     "road": ("part", [
-        "p_partkey AS road", f"{_pick('p_partkey % 14', ROAD_CLASSES)} AS class", f"{_pick('p_partkey % 4', SERVICES)} AS service",
+        "p_partkey AS road", f"{_pick('p_partkey % 18', ROAD_CLASSES)} AS class", f"{_pick('p_partkey % 5', SERVICES)} AS service",
         f"{_x('p_partkey', 3)} AS ax", f"{_y('p_partkey', 4)} AS ay", f"{_x('p_partkey', 3)} + 40 + p_size * 4 AS ex", f"{_y('p_partkey', 4)} + 30 AS ey",
     ], "true"),
     "station": ("supplier", [

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import flood_class
 from ..operators import interpolate as I
-from ..operators import spatial, tables
+from ..operators import profile, spatial, tables
+from ..operators.cut import cut
 from .adapters import entity, sql
 from .registry import query
 
@@ -159,8 +160,9 @@ def pip_attribution(spark, sf_dir):
 
 @query("zone_sales_stats", POINTS + f"SELECT zone, count(*) AS n, round(median(price), 4) AS median_price, round(median(price / 100), 4) AS median_unit FROM (SELECT sale, price, min(zone) AS zone FROM sale JOIN zone ON {INSIDE} GROUP BY ALL) GROUP BY zone")
 def zone_sales_stats(spark, sf_dir):
-    by = in_zones(spark, sf_dir, "sale", "sale").groupBy("zone")
-    return by.agg(F.count("*").alias("n"), F.round(F.median("price"), 4).alias("median_price"), F.round(F.median(F.col("price") / 100), 4).alias("median_unit"))
+    rows = cut(in_zones(spark, sf_dir, "sale", "sale").select("zone", "price", (F.col("price") / 100).alias("unit")))
+    counts = rows.groupBy("zone").agg(F.count("*").alias("n"))
+    return counts.join(profile.quantiles(rows, "price", ["zone"], {"median_price": 0.5}, 4), "zone").join(profile.quantiles(rows, "unit", ["zone"], {"median_unit": 0.5}, 4), "zone")
 
 
 @query("zone_dev_sums", POINTS + f"SELECT zone, count(*) AS n, CAST(sum(units) AS BIGINT) AS units, CAST(sum(students) AS BIGINT) AS students FROM (SELECT development, units, students, min(zone) AS zone FROM development JOIN zone ON {INSIDE} GROUP BY ALL) GROUP BY zone")
@@ -169,10 +171,11 @@ def zone_dev_sums(spark, sf_dir):
     return by.agg(F.count("*").alias("n"), F.sum("units").alias("units"), F.sum("students").alias("students"))
 
 
-@query("zone_bedrooms", POINTS + f"SELECT zone, string_agg(CAST(students AS VARCHAR), ',' ORDER BY students) AS bedrooms FROM (SELECT development, students, min(zone) AS zone FROM development JOIN zone ON {INSIDE} WHERE development % 50 = 0 GROUP BY ALL) GROUP BY zone")
+@query("zone_bedrooms", POINTS + f"SELECT zone, students AS bedrooms, count(*) AS n FROM (SELECT development, students, min(zone) AS zone FROM development JOIN zone ON {INSIDE} GROUP BY ALL) GROUP BY ALL")
 def zone_bedrooms(spark, sf_dir):
-    by = in_zones(spark, sf_dir, "development", "development").where("development % 50 = 0").groupBy("zone")
-    return by.agg(F.array_join(F.transform(F.sort_array(F.collect_list("students")), lambda s: s.cast("string")), ",").alias("bedrooms"))
+    """The bedrooms of a zone's developments: each number and how often it occurs, which is the list without its length."""
+    by = in_zones(spark, sf_dir, "development", "development").groupBy("zone", F.col("students").alias("bedrooms"))
+    return by.agg(F.count("*").alias("n"))
 
 
 @query("contains_or_nearest", sql("site", "zone") + """SELECT site, coalesce(min(CASE WHEN site_x >= x1 AND site_x < x2 AND site_y >= y1 AND site_y < y2 THEN zone END), arg_min(zone, sqrt((site_x - (x1 + x2) / 2) ** 2 + (site_y - (y1 + y2) / 2) ** 2))) AS zone,
@@ -228,3 +231,88 @@ def distinct_zone_columns(spark, sf_dir):
     """A profile supplemented with the columns it lacks."""
     more = I.residential_area(entity(spark, sf_dir, "block_group"), "bg", homes(spark, sf_dir), CELL).withColumn("residential", F.round("residential", 4))
     return tables.supplement(census(spark, sf_dir), more.withColumn("population", F.lit(0)), "bg")
+
+
+def _xy(x, y):
+    return F.struct(x.alias("x"), y.alias("y"))
+
+
+def shaped(zones):
+    """Edges of zones that lack their upper right quarter and have a hole in the lower left one."""
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    xm, ym = (x1 + x2) / 2, (y1 + y2) / 2
+    outer = F.array(_xy(x1, y1), _xy(x2, y1), _xy(x2, ym), _xy(xm, ym), _xy(xm, y2), _xy(x1, y2))
+    hole = F.array(_xy(x1 + 100, y1 + 100), _xy(x1 + 100, y1 + 700), _xy(x1 + 500, y1 + 700), _xy(x1 + 500, y1 + 100))
+    return spatial.rings_to_edges(zones.select("zone", F.array(outer, hole).alias("rings")), "zone")
+
+
+def boxed(rows, key: str):
+    """Edges of rectangles."""
+    corners = [("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2")]
+    return spatial.rings_to_edges(rows.select(key, F.array(F.array(*[_xy(F.col(x), F.col(y)) for x, y in corners])).alias("rings")), key)
+
+
+def _shared(a: str, *boxes: str) -> str:
+    """The area, in SQL, that a rectangle (x1, y1, x2, y2 as given) shares with others."""
+    x1, y1, x2, y2 = (f"{f}({', '.join([c, *[f'{b}.{n}' for b in boxes]])})" for f, c, n in zip(("greatest", "greatest", "least", "least"), a.split("|"), ("x1", "y1", "x2", "y2"), strict=True))
+    return f"(greatest({x2} - {x1}, 0) * greatest({y2} - {y1}, 0))"
+
+
+def _of_shape(*boxes: str) -> str:
+    whole, corner, hole = "z.x1|z.y1|z.x2|z.y2", "(z.x1 + z.x2) / 2|(z.y1 + z.y2) / 2|z.x2|z.y2", "z.x1 + 100|z.y1 + 100|z.x1 + 500|z.y1 + 700"
+    return f"({_shared(whole, *boxes)} - {_shared(corner, *boxes)} - {_shared(hole, *boxes)})"
+
+
+@query("polygon_overlay", sql("block_group", "zone") + f"SELECT zone, bg, round(area, 4) AS area FROM (SELECT zone, bg, {_of_shape('g')} AS area FROM zone z, block_group g) WHERE area > 0")
+def polygon_overlay(spark, sf_dir):
+    """The parts of block groups in zones of any shape."""
+    met = spatial.shared_area([(shaped(entity(spark, sf_dir, "zone")), "zone"), (boxed(entity(spark, sf_dir, "block_group"), "bg"), "bg")], CELL)
+    return met.select("zone", "bg", F.round("area", 4).alias("area"))
+
+
+@query("polygon_residential", sql("block_group", "zone", "parcel") + f"""SELECT zone, bg, round(sum(area), 3) AS residential FROM (SELECT zone, bg, {_of_shape('g', 'p')} AS area FROM zone z JOIN block_group g ON z.x1 < g.x2 AND z.x2 > g.x1 AND z.y1 < g.y2 AND z.y2 > g.y1
+JOIN parcel p ON p.x1 < g.x2 AND p.x2 > g.x1 AND p.y1 < g.y2 AND p.y2 > g.y1 AND p.x1 < z.x2 AND p.x2 > z.x1 AND p.y1 < z.y2 AND p.y2 > z.y1 WHERE coalesce(luc, '') SIMILAR TO '(100|110|120|630|EXHA|EXED).*') GROUP BY ALL HAVING sum(area) > 0""")
+def polygon_residential(spark, sf_dir):
+    """The area of homes in each part of a block group in a zone, all of any shape."""
+    layers = [(shaped(entity(spark, sf_dir, "zone")), "zone"), (boxed(entity(spark, sf_dir, "block_group"), "bg"), "bg"), (boxed(homes(spark, sf_dir), "parcel"), "parcel")]
+    return spatial.shared_area(layers, CELL).groupBy("zone", "bg").agg(F.round(F.sum("area"), 3).alias("residential"))
+
+
+@query("polygon_points", sql("facility", "zone") + """SELECT facility, zone FROM facility JOIN zone ON x >= x1 AND x < x2 AND y >= y1 AND y < y2
+WHERE NOT (x >= (x1 + x2) / 2 AND y >= (y1 + y2) / 2) AND NOT (x >= x1 + 100 AND x < x1 + 500 AND y >= y1 + 100 AND y < y1 + 700)""")
+def polygon_points(spark, sf_dir):
+    """Facilities in zones with corners and holes."""
+    return spatial.point_in_polygon(entity(spark, sf_dir, "facility").select("facility", "x", "y"), shaped(entity(spark, sf_dir, "zone")), "facility", "zone")
+
+
+@query("dissolved_zones", sql("block_group") + """, b AS (SELECT bg, bg % 3 AS label, x1, y1 FROM block_group) SELECT label, CAST(count(*) AS DOUBLE) * 4e6 AS area, round(sum(8000e0 - 2000e0 * (SELECT count(*) FROM b o WHERE o.label = b.label AND abs(o.x1 - b.x1) + abs(o.y1 - b.y1) = 2000)), 4) AS border FROM b GROUP BY label""")
+def dissolved_zones(spark, sf_dir):
+    """Block groups of a label as one zone: its area and the length of its border."""
+    rows = entity(spark, sf_dir, "block_group")
+    edges = boxed(rows, "bg").withColumn("label", F.col("bg") % 3)
+    border = spatial.dissolved(edges, "label")
+    length = F.sqrt(F.pow(F.col("x2") - F.col("x1"), 2) + F.pow(F.col("y2") - F.col("y1"), 2))
+    area = F.abs(F.sum((F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")) / 2))
+    return border.groupBy("label").agg(area.alias("area"), F.round(F.sum(length), 4).alias("border"))
+
+
+@query("union_area", """WITH s AS (SELECT s_suppkey % 4 AS k, CAST((s_suppkey * 7919 + 19) % 10007 AS DOUBLE) AS x, CAST((s_suppkey * 104729 + 23) % 10009 AS DOUBLE) AS y FROM supplier WHERE s_suppkey < 60), b AS (SELECT k, x AS x1, y AS y1, x + 1500 AS x2, y + 900 AS y2 FROM s),
+xs AS (SELECT k, x, lead(x) OVER (PARTITION BY k ORDER BY x) AS nx FROM (SELECT DISTINCT k, unnest([x1, x2]) AS x FROM b)), ys AS (SELECT k, y, lead(y) OVER (PARTITION BY k ORDER BY y) AS ny FROM (SELECT DISTINCT k, unnest([y1, y2]) AS y FROM b))
+SELECT k, round(sum((nx - x) * (ny - y)), 4) AS area FROM xs JOIN ys USING (k) WHERE EXISTS (SELECT 1 FROM b WHERE b.k = xs.k AND x1 <= x AND x2 >= nx AND y1 <= y AND y2 >= ny) GROUP BY k""")
+def union_area(spark, sf_dir):
+    """The area that overlapping boxes cover together."""
+    rows = entity(spark, sf_dir, "station").where("station < 60")
+    boxes = rows.select((F.col("station") % 4).alias("k"), F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + 1500).alias("x2"), (F.col("y") + 900).alias("y2"))
+    return spatial.union_area(boxes, "k", 1000.0).withColumn("area", F.round("area", 4))
+
+
+@query("hull_area", sql("facility") + """, p AS (SELECT DISTINCT nation AS k, x, y FROM facility WHERE facility < 400), e AS (SELECT a.k, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM p a JOIN p b ON a.k = b.k AND (a.x, a.y) != (b.x, b.y)
+WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.k = a.k AND ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0
+OR (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) = 0 AND ((c.x - b.x) * (b.x - a.x) + (c.y - b.y) * (b.y - a.y) > 0 OR (c.x - a.x) * (b.x - a.x) + (c.y - a.y) * (b.y - a.y) < 0)))) SELECT k, round(sum(x1 * y2 - x2 * y1) / 2, 4) AS area FROM e GROUP BY k HAVING count(*) > 2""")
+def hull_area(spark, sf_dir):
+    """The area of the hull around each nation's facilities."""
+    points = entity(spark, sf_dir, "facility").where("facility < 400").select(F.col("nation").alias("k"), "x", "y")
+    w = Window.partitionBy("k").orderBy("corner")
+    corners = spatial.convex_hull(points, "k")
+    nx, ny = (F.coalesce(F.lead(c).over(w), F.first(c).over(w)) for c in ("x", "y"))
+    return corners.withColumn("a", F.col("x") * ny - nx * F.col("y")).groupBy("k").agg(F.round(F.sum("a") / 2, 4).alias("area"), F.count("*").alias("n")).where("n > 2").drop("n")

@@ -12,12 +12,14 @@ from .adapters import entity, sql
 from .registry import query
 
 
-def _case(column: str, values: dict, kind: str = "") -> str:
-    return f"CASE {column} " + " ".join(f"WHEN {k!r} THEN {float(v)!r}::DOUBLE" for k, v in values.items()) + " END"
-
-
-WEIGHT = f"CASE WHEN class = 'service' THEN coalesce({_case('service', E.SERVICE_WEIGHTS)}, 0.02e0) ELSE {_case('class', E.ROAD_WEIGHTS)} END"
-SPEED = f"coalesce({_case('class', E.SPEEDS_MPH)}, 20e0) * 0.44704e0"
+# The tables of the operators once more, written out, so that the SQL does not follow a change of theirs.
+WEIGHT = """CASE WHEN class = 'service' THEN CASE service WHEN 'driveway' THEN 0.002e0 WHEN 'alley' THEN 0.003e0 WHEN 'drive-through' THEN 0.001e0 ELSE 0.005e0 END
+ELSE CASE class WHEN 'motorway' THEN 1e0 WHEN 'motorway_link' THEN 0.8e0 WHEN 'trunk' THEN 0.6e0 WHEN 'trunk_link' THEN 0.48e0 WHEN 'primary' THEN 0.3e0 WHEN 'primary_link' THEN 0.24e0
+WHEN 'secondary' THEN 0.15e0 WHEN 'secondary_link' THEN 0.12e0 WHEN 'tertiary' THEN 0.06e0 WHEN 'tertiary_link' THEN 0.048e0 WHEN 'unclassified' THEN 0.02e0 WHEN 'residential' THEN 0.01e0 WHEN 'living_street' THEN 0.005e0 END END"""
+SPEED = """CASE class WHEN 'motorway' THEN 59e0 WHEN 'motorway_link' THEN 49e0 WHEN 'trunk' THEN 43e0 WHEN 'trunk_link' THEN 37e0 WHEN 'primary' THEN 34e0 WHEN 'primary_link' THEN 28e0
+WHEN 'secondary' THEN 28e0 WHEN 'secondary_link' THEN 24e0 WHEN 'tertiary' THEN 24e0 WHEN 'service' THEN 11e0 WHEN 'living_street' THEN 11e0 ELSE 20e0 END * 0.44704e0"""
+CONTROL = "CASE road % 8 WHEN 0 THEN 22e0 WHEN 1 THEN 11e0 WHEN 2 THEN 6e0 WHEN 3 THEN 3e0 WHEN 4 THEN 4e0 ELSE 0e0 END"
+HEAT = "CASE class WHEN 10 THEN -0.6e0 WHEN 20 THEN -0.3e0 WHEN 30 THEN -0.1e0 WHEN 40 THEN -0.05e0 WHEN 50 THEN 1e0 WHEN 60 THEN 0.4e0 WHEN 80 THEN -0.5e0 WHEN 90 THEN -0.4e0 WHEN 95 THEN -0.4e0 END"
 WEIGHTED = sql("road", "site") + f", weighted AS (SELECT *, {WEIGHT} AS weight, sqrt((ex - ax) * (ex - ax) + (ey - ay) * (ey - ay)) AS len FROM road)"
 POINTS = WEIGHTED + """, pieces AS (SELECT *, greatest(CAST(floor(len / 50e0) AS BIGINT), 1) AS n FROM weighted WHERE weight IS NOT NULL AND len > 0),
 point AS (SELECT road, i AS piece, ax + (i + 0.5e0) / n * (ex - ax) AS x, ay + (i + 0.5e0) / n * (ey - ay) AS y, weight FROM pieces, LATERAL (SELECT unnest(range(n)) AS i))
@@ -43,10 +45,11 @@ def road_class_summary(spark, sf_dir):
     return weighted(spark, sf_dir).groupBy("class").agg(F.count("*").alias("n"), F.round(F.avg("len"), 4).alias("mean_length"), F.count("weight").alias("n_weighted"))
 
 
-@query("edge_travel_time", WEIGHTED + f"""SELECT road, round(len / 1.12e0 + road % 3 * 11, 6) AS walk, round(len / 5.36e0 + road % 3 * 11, 6) AS bike, round(len / ({SPEED}) + road % 3 * 11, 6) AS drive FROM weighted""")
+@query("edge_travel_time", WEIGHTED + f"""SELECT road, round(len / 1.12e0, 6) AS walk, round(len / 5.36e0, 6) AS bike, round(len / ({SPEED}) + {CONTROL}, 6) AS drive FROM weighted""")
 def edge_travel_time(spark, sf_dir):
-    penalty = F.col("road") % 3 * 11
-    return weighted(spark, sf_dir).select("road", *[F.round(E.travel_seconds(m, F.col("len"), F.col("class"), penalty), 6).alias(m) for m in ("walk", "bike", "drive")])
+    tags = ("traffic_signals", "stop", "give_way", "crossing", "turning_circle", "motorway_junction", "unknown")
+    control = F.get(F.array(*[F.lit(t) for t in tags]), (F.col("road") % 8).cast("int"))  # the last of eight has none
+    return weighted(spark, sf_dir).select("road", *[F.round(E.travel_seconds(m, F.col("len"), F.col("class"), control), 6).alias(m) for m in ("walk", "bike", "drive")])
 
 
 @query("discretize", POINTS + "SELECT road, piece, round(x, 4) AS x, round(y, 4) AS y, weight FROM point")
@@ -151,7 +154,7 @@ def canopy_fraction(spark, sf_dir):
     return E.canopy_fraction(window(spark, sf_dir)).select("site", F.round("canopy", 6).alias("canopy"))
 
 
-@query("uhi_score", LAND + f"SELECT site, round(greatest(0, least(100, (avg(CASE WHEN class > 0 THEN {_case('class', E.LAND_WEIGHTS)} END) + 1) / 2 * 100)), 4) AS uhi FROM win GROUP BY site")
+@query("uhi_score", LAND + f"SELECT site, round(greatest(0, least(100, (avg(CASE WHEN class > 0 THEN {HEAT} END) + 0.6e0) / 1.6e0 * 100)), 4) AS uhi FROM win GROUP BY site")
 def uhi_score(spark, sf_dir):
     return E.heat_score(window(spark, sf_dir)).select("site", F.round("uhi", 4).alias("uhi"))
 
@@ -168,10 +171,14 @@ def rasterize_min(spark, sf_dir):
     return raster(spark, sf_dir)
 
 
-@query("focal_fill", CELLS + """SELECT row, col, round(value, 6) AS value FROM cells UNION ALL SELECT r, c, round(avg(value), 6) FROM range(40) a(r), range(40) b(c), cells
-WHERE abs(row - r) <= 1 AND abs(col - c) <= 1 AND NOT EXISTS (SELECT 1 FROM cells k WHERE k.row = r AND k.col = c) GROUP BY r, c""")
+FILL = """, {0} AS (SELECT row, col, value FROM {1} UNION ALL SELECT r, c, avg(value) FROM range(40) a(r), range(40) b(c), {1}
+WHERE abs(row - r) <= 1 AND abs(col - c) <= 1 AND NOT EXISTS (SELECT 1 FROM {1} k WHERE k.row = r AND k.col = c) GROUP BY r, c)"""
+
+
+@query("focal_fill", CELLS + FILL.format("one", "cells") + FILL.format("two", "one") + " SELECT row, col, round(value, 6) AS value FROM two")
 def focal_fill(spark, sf_dir):
-    return E.filled(raster(spark, sf_dir), 40, 40).withColumn("value", F.round("value", 6))
+    """Two passes of filling empty cells from their surroundings."""
+    return E.filled(raster(spark, sf_dir), 40, 40, 2).withColumn("value", F.round("value", 6))
 
 
 @query("cell_lookup", CELLS + ", p AS (SELECT site, s.site_x, s.site_y FROM (" + sql("site") + """ SELECT * FROM site) s) SELECT site, value FROM p JOIN cells ON row = CAST(floor(site_y / (10009e0 / 40)) AS BIGINT) AND col = CAST(floor(site_x / (10007e0 / 40)) AS BIGINT)""")

@@ -85,10 +85,18 @@ def anchored_times(spark, sf_dir):
     return times(spark, sf_dir).select("pixel", "site", F.round(anchor, 6).alias("time"))
 
 
-def traffic(spark, sf_dir, scenario: str):
+def traffic(spark, sf_dir, scenarios):
+    """Flows of several scenarios, from one search and one walk."""
     reached = paths(spark, sf_dir)
-    demand = assigned(spark, sf_dir, reached).where(F.col("scenario") == scenario).groupBy("site", F.col("entry").alias("node")).agg(F.count("*").alias("amount"))
-    return N.edge_traffic(demand, N.predecessors(reached, edges(spark, sf_dir)))
+    chosen = assigned(spark, sf_dir, reached).where(F.col("scenario").isin(*scenarios))
+    demand = chosen.groupBy("scenario", "site", F.col("entry").alias("node")).agg(F.count("*").alias("amount"))
+    return N.edge_traffic(demand, N.predecessors(reached, edges(spark, sf_dir)), ["scenario"])
+
+
+def changes(spark, sf_dir, scenario: str):
+    """(u, v, diff) of the edges that a scenario's flows change from the baseline's."""
+    sign = F.when(F.col("scenario") == "baseline", -1).otherwise(1)
+    return traffic(spark, sf_dir, ["baseline", scenario]).groupBy("u", "v").agg(F.sum(sign * F.col("amount")).alias("diff"))
 
 
 FLOWS = OPEN.replace("WITH site", "WITH RECURSIVE site", 1) + """, pred AS MATERIALIZED (SELECT b.site, b.node, min(u) AS pred FROM path a JOIN edge ON a.node = u JOIN path b ON b.node = v AND b.site = a.site AND a.dist + w = b.dist AND b.dist > 0 GROUP BY ALL),
@@ -99,15 +107,70 @@ flow AS (SELECT scenario, walk.node AS u, pred AS v, CAST(sum(amount) AS BIGINT)
 
 @query("edge_traffic", FLOWS + "SELECT u, v, amount FROM flow WHERE scenario = 'baseline'")
 def edge_traffic(spark, sf_dir):
-    return traffic(spark, sf_dir, "baseline")
+    return traffic(spark, sf_dir, ["baseline"]).select("u", "v", "amount")
 
 
 @query("traffic_diff", FLOWS + """SELECT u, v, CAST(coalesce(b.amount, 0) - coalesce(a.amount, 0) AS BIGINT) AS diff FROM (SELECT * FROM flow WHERE scenario = 'baseline') a FULL JOIN (SELECT * FROM flow WHERE scenario = 'close_3_4') b USING (u, v) WHERE abs(coalesce(b.amount, 0) - coalesce(a.amount, 0)) >= 3""")
 def traffic_diff(spark, sf_dir):
     """Edges whose traffic a closure changes by three or more."""
-    a, b = traffic(spark, sf_dir, "baseline"), traffic(spark, sf_dir, "close_3_4")
-    both = a.select("u", "v", (-F.col("amount")).alias("x")).unionByName(b.select("u", "v", F.col("amount").alias("x")))
-    return both.groupBy("u", "v").agg(F.sum("x").alias("diff")).where(F.abs("diff") >= 3)
+    return changes(spark, sf_dir, "close_3_4").where(F.abs("diff") >= 3)
+
+
+#: Each pixel's zone has a site, every third pixel is in a walk zone; children of two ages.
+ZONED = OPEN + """, own AS (SELECT t.pixel, t.site, t.time, t.entry FROM times t JOIN snap USING (pixel) WHERE t.site = pixel % 11),
+zoned AS (SELECT c.scenario, c.pixel, coalesce(o.site, c.site) AS site, CASE WHEN o.site IS NULL THEN c.entry ELSE o.entry END AS entry
+FROM chosen c LEFT JOIN (SELECT own.*, scenario FROM own JOIN scenario USING (site)) o ON o.pixel = c.pixel AND o.scenario = c.scenario),
+driven AS (SELECT * FROM zoned z WHERE NOT (pixel % 3 = 0 AND EXISTS (SELECT 1 FROM scenario s WHERE s.scenario = z.scenario AND s.site = (z.pixel + 5) % 11)))
+"""
+ZONE_FLOWS = ZONED.replace("WITH site", "WITH RECURSIVE site", 1) + """, pred AS MATERIALIZED (SELECT b.site, b.node, min(u) AS pred FROM path a JOIN edge ON a.node = u JOIN path b ON b.node = v AND b.site = a.site AND a.dist + w = b.dist AND b.dist > 0 GROUP BY ALL),
+walk AS (SELECT scenario, (pixel + 5) % 11 AS walk_zone, site, entry AS node, sum(1 + pixel % 3) AS young, sum(1 + pixel % 2) AS old FROM driven GROUP BY ALL
+UNION ALL SELECT scenario, walk_zone, walk.site, pred, young, old FROM walk JOIN pred ON pred.site = walk.site AND pred.node = walk.node)
+"""
+
+
+def driven(spark, sf_dir, reached):
+    scenarios = spark.createDataFrame([(name, c) for name, closed in SCENARIOS.items() for c in closed], "scenario string, closed long")
+    t = times(spark, sf_dir, reached)
+    pixels = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pixel"))
+    zones = pixels.withColumn("site", F.col("pixel") % 11)
+    walks = pixels.where("pixel % 3 = 0").withColumn("walk_site", (F.col("pixel") + 5) % 11)
+    known = table(spark, sf_dir, "supplier").where("s_suppkey < 11").select(F.col("s_suppkey").alias("walk_site"))
+    zoned = N.zone_sites(t, N.nearest_open(t, scenarios), zones, scenarios)
+    return N.outside_walk_zones(zoned, walks.join(known, "walk_site", "left_semi"), scenarios)
+
+
+@query("zone_assignment", ZONED + "SELECT scenario, site, count(*) AS n, CAST(sum(1 + pixel % 3) AS BIGINT) AS young, CAST(sum(1 + pixel % 2) AS BIGINT) AS old FROM driven GROUP BY ALL")
+def zone_assignment(spark, sf_dir):
+    """Children that drive to each site, by age: to their zone's site while it is open, else to the nearest; those in an open walk zone walk."""
+    by = driven(spark, sf_dir, paths(spark, sf_dir)).groupBy("scenario", "site")
+    return by.agg(F.count("*").alias("n"), F.sum(F.col("pixel") % 3 + 1).alias("young"), F.sum(F.col("pixel") % 2 + 1).alias("old"))
+
+
+@query("zone_traffic", ZONE_FLOWS + "SELECT scenario, walk_zone, walk.node AS u, pred AS v, CAST(sum(young) AS BIGINT) AS young, CAST(sum(old) AS BIGINT) AS old FROM walk JOIN pred ON pred.site = walk.site AND pred.node = walk.node GROUP BY ALL")
+def zone_traffic(spark, sf_dir):
+    """Traffic on edges by scenario, age and the walk zone that it comes from."""
+    reached = paths(spark, sf_dir)
+    rows = driven(spark, sf_dir, reached).select("scenario", ((F.col("pixel") + 5) % 11).alias("walk_zone"), "site", F.col("entry").alias("node"), (F.col("pixel") % 3 + 1).alias("young"), (F.col("pixel") % 2 + 1).alias("old"))
+    return N.edge_traffic(rows, N.predecessors(reached, edges(spark, sf_dir)), ["scenario", "walk_zone"], ["young", "old"])
+
+
+@query("children_by_site", OPEN + "SELECT scenario, site, CAST(sum(pixel % 5) AS BIGINT) AS children, count(*) AS pixels FROM chosen GROUP BY ALL")
+def children_by_site(spark, sf_dir):
+    """Children whose nearest open site is each, by scenario."""
+    children = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pixel"), (F.col("c_custkey") % 5).alias("children"))
+    by = assigned(spark, sf_dir).join(children, "pixel").groupBy("scenario", "site")
+    return by.agg(F.sum("children").alias("children"), F.count("*").alias("pixels"))
+
+
+@query("routes", PATHS.replace("WITH site", "WITH RECURSIVE site", 1) + """, pred AS MATERIALIZED (SELECT b.site, b.node, min(u) AS pred FROM path a JOIN edge ON a.node = u JOIN path b ON b.node = v AND b.site = a.site AND a.dist + w = b.dist AND b.dist > 0 GROUP BY ALL),
+way AS (SELECT site, node AS start, 0::BIGINT AS step, node, dist AS whole FROM path WHERE node % 97 = 5 UNION ALL SELECT way.site, start, step + 1, pred, whole FROM way JOIN pred ON pred.site = way.site AND pred.node = way.node)
+SELECT way.site, start, step, way.node, round((whole - dist) / 60e0, 6) AS minutes FROM way JOIN path ON path.site = way.site AND path.node = way.node""")
+def routes(spark, sf_dir):
+    """The ways from some nodes to all sites, with the minutes since the start."""
+    reached = paths(spark, sf_dir)
+    starts = reached.where("node % 97 = 5").select("site", F.col("node").alias("start"))
+    out = N.routes(starts, N.predecessors(reached, edges(spark, sf_dir)), reached)
+    return out.select("site", "start", "step", "node", F.round(F.col("elapsed") / 60, 6).alias("minutes"))
 
 
 KIDS = """WITH k AS (SELECT c_nationkey AS zone, c_mktsegment AS race, CAST(count(*) AS DOUBLE) AS kids, 1 + (c_nationkey % 5) / 10e0 AS weight FROM customer GROUP BY ALL), base AS (SELECT 0.1e0 * sum(kids) / sum(kids * weight) AS b FROM k),

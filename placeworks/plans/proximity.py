@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import proximity as P
-from ..operators import spatial
+from ..operators import spatial, tables
 from .adapters import entity, sql
 from .registry import query
 
@@ -59,13 +58,12 @@ def proximity_master_pivot(spark, sf_dir):
 SELECT site, facility, sqrt(((lon - site_lon) * cos(radians(35.95e0)) * 111320) ** 2 + ((lat - site_lat) * 111320) ** 2) AS d FROM site, facility)
 QUALIFY row_number() OVER (PARTITION BY site ORDER BY d, facility) = 1""")
 def nearest_node(spark, sf_dir):
-    """The nearest node of each site, by degrees scaled to metres: the distances go through one partial minimum."""
-    sites, nodes = entity(spark, sf_dir, "site"), entity(spark, sf_dir, "facility")
-    d = geo.equirectangular_m(F.col("site_lat"), F.col("site_lon"), F.col("lat"), F.col("lon"), 35.95)
-    packed = sites.agg(F.collect_list(F.struct("site", "site_lat", "site_lon")).alias("s"))
-    pairs = nodes.crossJoin(F.broadcast(packed)).select("facility", "lat", "lon", F.inline("s"))
-    best = pairs.groupBy("site").agg(F.min(F.struct(d.alias("d"), "facility")).alias("m"))
-    return best.select("site", F.col("m.facility").alias("node"), F.round("m.d", 6).alias("distance"))
+    """The nearest node of each site, by degrees scaled to metres."""
+    nodes = entity(spark, sf_dir, "facility").select("facility", "lat", "lon")
+    d = lambda n: geo.equirectangular_m(F.col("site_lat"), F.col("site_lon"), n["lat"], n["lon"], 35.95)
+    # A cell is a hundredth of a degree of latitude high, so 1,113 m, and wider than that in the other direction.
+    placed = spatial.nearest(entity(spark, sf_dir, "site"), nodes, d, ["facility", "lat", "lon"], "facility", (F.col("site_lon"), F.col("site_lat")), (F.col("lon"), F.col("lat")), (0.0125, 0.01, 1113.0))
+    return placed.select("site", F.col("nearest.facility").alias("node"), F.round("nearest.distance", 6).alias("distance"))
 
 
 @query("distance_filter", sql("site", "zone") + """SELECT site, min(CASE WHEN site_x >= x1 AND site_x < x2 AND site_y >= y1 AND site_y < y2 THEN 0e0
@@ -91,17 +89,17 @@ def nearest_zone_partition(spark, sf_dir):
     """Membership in the cells of sites: the nearest one, inside the district."""
     inside = entity(spark, sf_dir, "facility").where("x BETWEEN 1000 AND 9000 AND y BETWEEN 1000 AND 9000")
     distance = lambda s: geo.planar(F.col("x"), F.col("y"), s["site_x"], s["site_y"])
-    placed = spatial.nearest(inside, entity(spark, sf_dir, "site"), distance, ["site", "site_x", "site_y"], "site")
+    placed = spatial.nearest(inside, entity(spark, sf_dir, "site"), distance, ["site", "site_x", "site_y"], "site", (F.col("x"), F.col("y")), (F.col("site_x"), F.col("site_y")), (500.0, 500.0, 500.0))
     return placed.groupBy(F.col("nearest.site").alias("site")).agg(F.count("*").alias("n"), F.round(F.sum("capacity"), 4).alias("capacity"))
 
 
 @query("angular_sample", sql("site", "facility") + """SELECT facility, n AS place FROM (SELECT facility, row_number() OVER (ORDER BY round(atan2(y - 5000, x - 5000), 9), facility) - 1 AS n
 FROM facility WHERE sqrt((x - 5000) * (x - 5000) + (y - 5000) * (y - 5000)) <= 1200) WHERE n % 5 = 0""")
 def angular_sample(spark, sf_dir):
-    """Every fifth of the facilities around a centre, by angle; the radius bounds how many there are."""
+    """Every fifth of the facilities around a centre, by angle."""
     near = entity(spark, sf_dir, "facility").where(geo.planar(F.col("x"), F.col("y"), F.lit(5000), F.lit(5000)) <= 1200)
-    w = Window.orderBy(F.round(F.atan2(F.col("y") - 5000, F.col("x") - 5000), 9), "facility")
-    return near.select("facility", (F.row_number().over(w) - 1).cast("long").alias("place")).where("place % 5 = 0")
+    near = near.select("facility", F.round(F.atan2(F.col("y") - 5000, F.col("x") - 5000), 9).alias("angle"))
+    return tables.numbered(near, ["angle", "facility"], "place").where("place % 5 = 0").select("facility", "place")
 
 
 @query("union_anchors", sql("site", "facility") + """SELECT DISTINCT x, y FROM (SELECT x, y FROM facility WHERE facility % 3 = 0 UNION ALL SELECT site_x, site_y FROM site)""")

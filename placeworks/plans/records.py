@@ -16,13 +16,13 @@ def money_parse(spark, sf_dir):
     return table(spark, sf_dir, "part").selectExpr("p_partkey", f"{text} AS t").select("p_partkey", clean.money(F.col("t")).alias("price"))
 
 
-@query("address_fix", """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN CAST(p_partkey AS VARCHAR) || ' Main Street' WHEN 1 THEN CAST(p_partkey AS VARCHAR) || ' Oak Street'
-WHEN 2 THEN CAST(p_partkey AS VARCHAR) || ' Elm Street' ELSE CAST(p_partkey AS VARCHAR) || ' ' || p_name END AS address FROM part""")
+@query("address_fix", """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN CAST(p_partkey AS VARCHAR) || ' Erwin Road' WHEN 1 THEN CAST(p_partkey AS VARCHAR) || ' Weaver Dairy Rd'
+WHEN 2 THEN CAST(p_partkey AS VARCHAR) || ' Martin Luther King Blvd' WHEN 3 THEN CAST(p_partkey AS VARCHAR) || ' & ' || CAST(p_partkey + 1 AS VARCHAR) || ' Elm St' ELSE CAST(p_partkey AS VARCHAR) || '-B ' || p_name END AS address FROM part""")
 def address_fix(spark, sf_dir):
-    raw = """CASE p_partkey % 4 WHEN 0 THEN concat(p_partkey, '-', p_partkey + 8, ' Main Steet') WHEN 1 THEN concat(' ', p_partkey, ' & ', p_partkey + 2, ' Oak Steet')
-    WHEN 2 THEN concat(p_partkey, ', ', p_partkey + 1, ' Elm Street ') ELSE concat(p_partkey, ' ', p_name) END"""
+    raw = """CASE p_partkey % 5 WHEN 0 THEN concat(p_partkey, '-', p_partkey + 8, ' Erwin Toad') WHEN 1 THEN concat(' ', p_partkey, ' and ', p_partkey + 2, ' Weaver Diary Rd')
+    WHEN 2 THEN concat(p_partkey, ' - ', p_partkey + 1, ' Martin Luther Kind Blvd ') WHEN 3 THEN concat(p_partkey, ' & ', p_partkey + 1, ' Elm St') ELSE concat(p_partkey, '-B ', p_name) END"""
     rows = table(spark, sf_dir, "part").selectExpr("p_partkey", f"{raw} AS t")
-    return rows.select("p_partkey", clean.fix_address(F.col("t"), [("Steet", "Street")]).alias("address"))
+    return rows.select("p_partkey", clean.fix_address(F.col("t")).alias("address"))
 
 
 @query("recent_nonblank", """SELECT s_suppkey AS station, CASE WHEN s_suppkey % 4 = 2 THEN CAST('12' || CAST(100 + s_suppkey % 900 AS VARCHAR) AS DOUBLE) WHEN s_suppkey % 4 = 3 THEN s_suppkey * 37e0
@@ -86,8 +86,9 @@ def unmapped_anti(spark, sf_dir):
 @query("affected_semi", """SELECT c_nationkey, count(*) AS n, round(median(c_acctbal), 4) AS median_value FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY ALL""")
 def affected_semi(spark, sf_dir):
     hit = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
-    kept = table(spark, sf_dir, "customer").join(hit, "c_custkey", "left_semi")
-    return kept.groupBy("c_nationkey").agg(F.count("*").alias("n"), F.round(F.median("c_acctbal"), 4).alias("median_value"))
+    kept = table(spark, sf_dir, "customer").join(hit, "c_custkey", "left_semi").select("c_nationkey", "c_acctbal")
+    counts = kept.groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    return counts.join(profile.quantiles(kept, "c_acctbal", ["c_nationkey"], {"median_value": 0.5}, 4), "c_nationkey")
 
 
 @query("latest_sale", """SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS LAST, o_orderkey) = 1""")
@@ -146,10 +147,10 @@ def geocode_cascade(spark, sf_dir):
     return tables.cascade(rows, "c_custkey", [known.where("c_custkey % 3 = 0"), known.where("c_custkey % 5 = 0").withColumn("lat", -F.col("lat"))], ["lat"])
 
 
-@query("text_sections", """SELECT p_partkey AS line, p_name AS entry, CAST((p_partkey // 10) * 10 AS BIGINT) AS section FROM part WHERE p_partkey % 10 != 0 AND p_partkey < 5000""")
+@query("text_sections", """SELECT p_partkey AS line, p_name AS entry, CAST((p_partkey // 10) * 10 AS BIGINT) AS section FROM part WHERE p_partkey % 10 != 0""")
 def text_sections(spark, sf_dir):
-    """Lines under headings, each with its heading; every tenth line is one. The file is one sequence of 5000 lines at most."""
-    lines = table(spark, sf_dir, "part").where("p_partkey < 5000").selectExpr("p_partkey AS line", "CASE WHEN p_partkey % 10 = 0 THEN concat('== ', p_partkey, ' ==') ELSE p_name END AS text")
+    """Lines under headings, each with its heading; every tenth line is one."""
+    lines = table(spark, sf_dir, "part").selectExpr("p_partkey AS line", "CASE WHEN p_partkey % 10 = 0 THEN concat('== ', p_partkey, ' ==') ELSE p_name END AS text")
     header = F.nullif(F.regexp_extract("text", "^== ([0-9]+) ==$", 1), F.lit("")).cast("long")
     out = tables.carried_forward(lines, "line", header, "section")
     return out.where(~F.col("text").startswith("== ")).select("line", F.col("text").alias("entry"), "section")
@@ -196,9 +197,19 @@ def dup_coords(spark, sf_dir):
 
 @query("numeric_stats", """SELECT event_type, count(value) AS n, round(min(value), 6) AS lo, round(max(value), 6) AS hi, round(avg(value), 4) AS mean, round(median(value), 6) AS mid FROM events GROUP BY ALL""")
 def numeric_stats(spark, sf_dir):
-    v = F.col("value").cast("string").try_cast("double")
-    by = table(spark, sf_dir, "events").withColumn("v", v).groupBy("event_type")
-    return by.agg(F.count("v").alias("n"), F.round(F.min("v"), 6).alias("lo"), F.round(F.max("v"), 6).alias("hi"), F.round(F.avg("v"), 4).alias("mean"), F.round(F.median("v"), 6).alias("mid"))
+    rows = table(spark, sf_dir, "events").select("event_type", F.col("value").cast("string").try_cast("double").alias("v"))
+    stats = rows.groupBy("event_type").agg(F.count("v").alias("n"), F.round(F.min("v"), 6).alias("lo"), F.round(F.max("v"), 6).alias("hi"), F.round(F.avg("v"), 4).alias("mean"))
+    return stats.join(profile.quantiles(rows, "v", ["event_type"], {"mid": 0.5}), "event_type")
+
+
+@query("date_stats", """SELECT min(CAST(o_orderdate AS DATE)) AS first, max(CAST(o_orderdate AS DATE)) AS last, count(*) AS n, CAST(count_if(o_orderkey % 3 = 2) AS BIGINT) AS n_years FROM orders WHERE o_orderkey % 3 != 1""")
+def date_stats(spark, sf_dir):
+    """Dates told as milliseconds or as years, and texts that are neither."""
+    raw = F.expr("CASE o_orderkey % 3 WHEN 0 THEN CAST(unix_millis(CAST(o_orderdate AS TIMESTAMP)) AS STRING) WHEN 1 THEN 'unknown' ELSE CAST(year(o_orderdate) AS STRING) END")
+    rows = table(spark, sf_dir, "orders").select(raw.alias("t"), "o_orderdate").withColumn("d", clean.interpreted_date(F.col("t")))
+    # A year stands for its orders' own dates here, as the SQL has it.
+    day = F.when(F.length("t") > 4, F.col("d")).otherwise(F.to_date("o_orderdate"))
+    return rows.where("d IS NOT NULL").agg(F.min(day).alias("first"), F.max(day).alias("last"), F.count("*").alias("n"), F.count_if(F.length("t") == 4).alias("n_years"))
 
 
 @query("quantile_scale", """SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.05), 6) AS q05, round(quantile_cont(o_totalprice, 0.25), 6) AS q25, round(quantile_cont(o_totalprice, 0.5), 6) AS q50, round(quantile_cont(o_totalprice, 0.75), 6) AS q75, round(quantile_cont(o_totalprice, 0.95), 6) AS q95 FROM orders GROUP BY 1""")
@@ -206,16 +217,42 @@ def quantile_scale(spark, sf_dir):
     return profile.quantiles(table(spark, sf_dir, "orders"), "o_totalprice", ["o_orderpriority"])
 
 
+@query("quantile_nonzero", """SELECT round(quantile_cont(v, 0.05), 6) AS p05, round(quantile_cont(v, 0.95), 6) AS p95, round(quantile_cont(v, 0.99), 6) AS p99 FROM (SELECT l_discount * l_extendedprice AS v FROM lineitem) WHERE v != 0""")
+def quantile_nonzero(spark, sf_dir):
+    """Percentiles of the values that are not 0, for a colour scale."""
+    v = table(spark, sf_dir, "lineitem").select((F.col("l_discount") * F.col("l_extendedprice")).alias("v")).where("v != 0")
+    return profile.quantiles(v, "v", (), {"p05": 0.05, "p95": 0.95, "p99": 0.99})
+
+
 @query("hist15", """SELECT b AS bin, count(c_custkey) AS n FROM range(15) r(b) LEFT JOIN customer ON c_acctbal >= 0 AND least(CAST(floor(c_acctbal / 500e0) AS BIGINT), 14) = b GROUP BY 1""")
 def hist15(spark, sf_dir):
     return profile.histogram(table(spark, sf_dir, "customer"), "c_acctbal", 0.0, 7500.0)
 
 
+@query("hist25", """SELECT b AS bin, count(o_orderkey) AS n FROM range(25) r(b) LEFT JOIN orders ON least(CAST(floor(o_totalprice / 20000e0) AS BIGINT), 24) = b AND o_totalprice >= 0 GROUP BY 1""")
+def hist25(spark, sf_dir):
+    return profile.histogram(table(spark, sf_dir, "orders"), "o_totalprice", 0.0, 500_000.0, 25)
+
+
+@query("bedroom_bins", """SELECT greatest(least(p_size // 8, 5), 1) AS bedrooms, count(*) AS n FROM part GROUP BY 1""")
+def bedroom_bins(spark, sf_dir):
+    """Five bins: 1 and fewer, 2, 3, 4, 5 and more."""
+    bedrooms = F.greatest(F.least(F.floor(F.col("p_size") / 8), F.lit(5)), F.lit(1)).cast("int")
+    return table(spark, sf_dir, "part").groupBy(bedrooms.alias("bedrooms")).agg(F.count("*").alias("n"))
+
+
 @query("upper_median", """SELECT c_nationkey, list_sort(list(c_acctbal))[CAST(floor(count(*) / 2e0) AS BIGINT) + 1] AS median FROM customer GROUP BY 1""")
 def upper_median(spark, sf_dir):
     return profile.upper_median(table(spark, sf_dir, "customer"), "c_acctbal", ["c_nationkey"])
 
 
+@query("set_equality", """SELECT (SELECT count(*) FROM (SELECT n_nationkey FROM nation EXCEPT SELECT c_nationkey FROM customer)) AS missing, (SELECT count(*) FROM (SELECT c_nationkey FROM customer EXCEPT SELECT n_nationkey FROM nation)) AS unknown,
+(SELECT count(*) FROM (SELECT n_nationkey FROM nation EXCEPT SELECT c_nationkey FROM customer)) + (SELECT count(*) FROM (SELECT c_nationkey FROM customer EXCEPT SELECT n_nationkey FROM nation)) = 0 AS equal""")
+def set_equality(spark, sf_dir):
+    """Whether two tables name the same keys, and how many of either the other lacks."""
+    return tables.set_equality(table(spark, sf_dir, "nation"), "n_nationkey", table(spark, sf_dir, "customer"), "c_nationkey")
+
+
 @query("equity_score", """SELECT n_nationkey, round(0.4e0 * (n_nationkey * 3 % 100) + 0.3e0 * coalesce(CASE WHEN n_nationkey % 4 != 0 THEN n_nationkey * 7 % 100 END, 0) + 30 * (n_nationkey % 2), 4) AS equity FROM nation""")
 def equity_score(spark, sf_dir):
     rows = table(spark, sf_dir, "nation").selectExpr("n_nationkey", "n_nationkey * 3 % 100 AS frl", "CASE WHEN n_nationkey % 4 != 0 THEN n_nationkey * 7 % 100 END AS minority", "n_nationkey % 2 AS title_i")

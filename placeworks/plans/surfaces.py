@@ -11,7 +11,7 @@ from ..operators import spatial, tables
 from ..sources import readers
 from .adapters import entity, sql
 from .exposure import LAND, land
-from .network import FLOWS, PATHS, SNAPS, times, traffic
+from .network import FLOWS, PATHS, SNAPS, changes, times
 from .registry import query, table
 
 
@@ -87,9 +87,7 @@ def per_site_grids(spark, sf_dir):
 @query("significant_edges", FLOWS + """SELECT count(*) AS n, CAST(max(abs(d)) AS BIGINT) AS peak FROM (SELECT coalesce(b.amount, 0) - coalesce(a.amount, 0) AS d FROM (SELECT * FROM flow WHERE scenario = 'baseline') a FULL JOIN (SELECT * FROM flow WHERE scenario = 'close_0') b USING (u, v)) WHERE abs(d) >= 3""")
 def significant_edges(spark, sf_dir):
     """How many edges a closure changes by three or more, and the largest change."""
-    a, b = traffic(spark, sf_dir, "baseline"), traffic(spark, sf_dir, "close_0")
-    both = a.select("u", "v", (-F.col("amount")).alias("d")).unionByName(b.select("u", "v", F.col("amount").alias("d"))).groupBy("u", "v").agg(F.abs(F.sum("d")).alias("d"))
-    return both.where("d >= 3").agg(F.count("*").alias("n"), F.max("d").alias("peak"))
+    return changes(spark, sf_dir, "close_0").select(F.abs("diff").alias("d")).where("d >= 3").agg(F.count("*").alias("n"), F.max("d").alias("peak"))
 
 
 @query("walk_zone_mask", sql("facility", "zone") + """SELECT facility FROM facility WHERE NOT EXISTS (SELECT 1 FROM zone WHERE zone IN (0, 2) AND x >= x1 AND x < x2 AND y >= y1 AND y < y2)""")
@@ -126,8 +124,11 @@ def tile_union(spark, sf_dir):
     return readers.mosaic([rows.where("x1 < 3000"), rows.where("x1 BETWEEN 2500 AND 4500"), rows.where("x1 >= 4000 AND x1 < 6000")], ["parcel"])
 
 
-@query("crosswalk", """SELECT n_name AS name, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL""")
+@query("crosswalk", """SELECT name, n FROM (SELECT CASE n_nationkey WHEN 0 THEN 'North' WHEN 1 THEN 'South' WHEN 2 THEN 'East' END AS name, n_nationkey FROM nation) JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) ON c_nationkey = n_nationkey WHERE name IS NOT NULL
+UNION ALL SELECT 'Nowhere', 0""")
 def crosswalk(spark, sf_dir):
-    """Counts by canonical name; a name of the dimension without rows has 0."""
-    counts = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"))
-    return tables.dense(table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("name")), counts, "n_nationkey", ["n"]).select("name", "n")
+    """Counts under the canonical names of a crosswalk; a canonical name that no row has gets 0."""
+    by = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"))
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("school "), F.col("n_nationkey")).alias("raw")).join(by, "n_nationkey")
+    found, missing = readers.known_names(rows, {"school 0": "North", "school 1": "South", "school 2": "East", "school 9999": "Nowhere"}, "raw", "n_nationkey")
+    return found.select(F.col("canonical").alias("name"), "n").unionByName(missing.select(F.col("canonical").alias("name"), F.lit(0).cast("long").alias("n")))

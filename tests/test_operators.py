@@ -91,10 +91,10 @@ def test_closing_never_shortens(spark):
 
 def test_cleaning(spark):
     row = spark.range(1).select(
-        clean.money(F.lit("$1,234.5")).alias("a"), clean.money(F.lit("n/a")).alias("b"), clean.fix_address(F.lit(" 12-18 Oak Steet"), [("Steet", "Street")]).alias("c"),
+        clean.money(F.lit("$1,234.5")).alias("a"), clean.money(F.lit("n/a")).alias("b"), clean.fix_address(F.lit(" 207 and 209 Erwin Toad ")).alias("c"),
         clean.flood_class(F.lit("X"), F.lit("0.2 pct annual")).alias("d"), clean.guarded_percent(F.lit(1), F.lit(0)).alias("e"),
     ).first()
-    assert tuple(row) == (1234.5, None, "12 Oak Street", 500, 0.0)
+    assert tuple(row) == (1234.5, None, "207 Erwin Road", 500, 0.0)
 
 
 def test_profiles_of_empty_tables(spark):
@@ -104,6 +104,154 @@ def test_profiles_of_empty_tables(spark):
     assert profile.repeated_places(empty, "a", "v").first().n_rows == 0
 
 
+def test_quantiles_of_many_values(spark, monkeypatch):
+    """The search by ranges against numpy: ties, null keys and values, skew, a key of one value."""
+    rng = np.random.default_rng(2)
+    data = {None: np.exp(rng.normal(0, 4, 300)), "a": rng.integers(0, 5, 400).astype(float), "b": np.full(50, 7.0), "c": np.append(rng.normal(size=200), 1e12)}
+    rows = [(k, float(v)) for k, vs in data.items() for v in vs] + [("a", None), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    plain = {r.k: (r.q05, r.q25, r.q50, r.q75, r.q95) for r in profile.quantiles(df, "v", ["k"]).collect()}
+    monkeypatch.setattr(profile, "MANY", 9)
+    monkeypatch.setattr(profile, "BINS", 8)
+    found = {r.k: (r.q05, r.q25, r.q50, r.q75, r.q95) for r in profile.quantiles(df, "v", ["k"]).collect()}
+    for k, vs in data.items():
+        assert found[k] == pytest.approx(np.quantile(vs, (0.05, 0.25, 0.5, 0.75, 0.95)), rel=1e-6, abs=1e-6) == plain[k]
+    assert {r.k: r.median for r in profile.upper_median(df, "v", ["k"]).collect()} == {k: sorted(vs)[len(vs) // 2] for k, vs in data.items()}
+    whole = profile.quantiles(df.where("k = 'a'"), "v", (), {"mid": 0.5}).first()
+    assert whole.mid == np.median(data["a"])
+
+
+def test_nearest_beyond_one_array(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "MOST_SITES", 3)
+    rng = np.random.default_rng(3)
+    p, s = rng.uniform(-500, 500, (80, 2)), np.concatenate([rng.uniform(-500, 500, (40, 2)), [[9000, 9000]]])
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate([*p, (20000.0, 0.0), (0.0, -30000.0)])], "point long, x double, y double")
+    sites = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(s)], "site long, site_x double, site_y double")
+    d = lambda t: F.sqrt(F.pow(F.col("x") - t["site_x"], 2) + F.pow(F.col("y") - t["site_y"], 2))
+    out = spatial.nearest(points, sites, d, ["site", "site_x", "site_y"], "site", (F.col("x"), F.col("y")), (F.col("site_x"), F.col("site_y")), (30.0, 30.0, 30.0)).collect()
+    assert len(out) == 82
+    for r in out:
+        far = np.hypot(s[:, 0] - r.x, s[:, 1] - r.y)
+        assert r.nearest.site == far.argmin() and r.nearest.distance == pytest.approx(far.min())
+
+
+def test_shared_areas_of_any_shape(spark):
+    """An L and a square with a hole share 7; tilted shapes against a fine grid of points; three layers."""
+    edges = lambda rows, key: spatial.rings_to_edges(spark.createDataFrame(rows, f"{key} long, rings array<array<struct<x:double,y:double>>>"), key)
+    ell, square = [ring((0, 0), (6, 0), (6, 2), (2, 2), (2, 6), (0, 6))], [ring((1, 1), (5, 1), (5, 5), (1, 5)), ring((2, 2), (2, 4), (4, 4), (4, 2))]
+    met = spatial.shared_area([(edges([(1, ell)], "a"), "a"), (edges([(2, square)], "b"), "b")], 2.0).collect()
+    assert [(r.a, r.b) for r in met] == [(1, 2)] and met[0].area == pytest.approx(7.0)
+    star, kite = [ring((0, 3), (2, 2), (3, 0), (4, 2), (6, 3), (4, 4), (3, 6), (2, 4))], [ring((1, 0), (5, 2), (6, 6), (0, 4))]
+    a, b, c = edges([(1, star), (2, ell)], "a"), edges([(1, kite)], "b"), edges([(1, square), (9, [ring((50, 50), (51, 50), (51, 51))])], "c")
+    g = (np.stack(np.meshgrid(np.arange(600), np.arange(600)), -1).reshape(-1, 2) + 0.5) / 100
+
+    def inside(rings):
+        odd = np.zeros(len(g), bool)
+        for r in rings:
+            xy = np.array([(p["x"], p["y"]) for p in r])
+            for (x1, y1), (x2, y2) in zip(xy, np.roll(xy, -1, axis=0), strict=True):
+                if y1 != y2:
+                    odd ^= ((y1 > g[:, 1]) != (y2 > g[:, 1])) & (g[:, 0] < (x2 - x1) * (g[:, 1] - y1) / (y2 - y1) + x1)
+        return odd
+
+    two = {(r.a, r.b): r.area for r in spatial.shared_area([(a, "a"), (b, "b")], 2.5).collect()}
+    assert two == pytest.approx({(i, 1): (inside(p) & inside(kite)).sum() / 1e4 for i, p in ((1, star), (2, ell))}, rel=0.01)
+    three = {(r.a, r.b, r.c): r.area for r in spatial.shared_area([(a, "a"), (b, "b"), (c, "c")], 2.5).collect()}
+    assert three == pytest.approx({(i, 1, 1): (inside(p) & inside(kite) & inside(square)).sum() / 1e4 for i, p in ((1, star), (2, ell))}, rel=0.02)
+    points = spark.createDataFrame([(int(i), float(x), float(y)) for i, (x, y) in enumerate(g[::97])], "point long, x double, y double")
+    for size in (0.7, 2.5, 100.0):
+        found = {(r.point, r.a) for r in spatial.point_in_polygon(points, a, "point", "a", size).collect()}
+        assert found == {(int(i), k) for k, p in ((1, star), (2, ell)) for i in np.flatnonzero(inside(p)[::97])}
+
+
+def test_hulls_and_unions(spark):
+    rng = np.random.default_rng(5)
+    points = [(1, float(x), float(y)) for x, y in rng.normal(size=(200, 2))] + [(2, 0.0, 0.0), (2, 1.0, 1.0)]
+    corners = {k: [(r.x, r.y) for r in rows] for k in (1, 2) for rows in [sorted((r for r in spatial.convex_hull(spark.createDataFrame(points, "k long, x double, y double"), "k").collect() if r.k == k), key=lambda r: r.corner)]}
+    xy = np.array([p[1:] for p in points if p[0] == 1])
+    for p, q in zip(corners[1], corners[1][1:] + corners[1][:1], strict=True):
+        assert ((q[0] - p[0]) * (xy[:, 1] - p[1]) - (q[1] - p[1]) * (xy[:, 0] - p[0]) > -1e-12).all()
+    assert corners[2] == [(0.0, 0.0), (1.0, 1.0)]
+    boxes = spark.createDataFrame([(1, 0.0, 0.0, 4.0, 4.0), (1, 2.0, 2.0, 6.0, 3.0), (1, 2.0, 2.0, 6.0, 3.0), (1, 10.0, 0.0, 11.0, 1.0)], "k long, x1 double, y1 double, x2 double, y2 double")
+    assert spatial.union_area(boxes, "k", 1.5).first().area == pytest.approx(16 + 2 + 1)
+
+
+def test_headings_and_places_over_many_ranges(spark):
+    lines = spark.range(1000).withColumn("h", F.when(F.col("id") % 130 == 7, F.col("id"))).repartition(7)
+    out = {r.id: r.s for r in tables.carried_forward(lines, "id", F.col("h"), "s").collect()}
+    assert out == {i: (i - 7) // 130 * 130 + 7 if i >= 7 else None for i in range(1000)}
+    assert all(r.id == r.place for r in tables.numbered(lines, ["id"], "place").collect())
+
+
+def test_a_long_road(spark, monkeypatch):
+    """Paths, routes and traffic over any number of steps."""
+    monkeypatch.setattr(network, "ROUNDS", 12)
+    e = spark.createDataFrame([(i, i + 1, 1) for i in range(100)], "u long, v long, w long")
+    paths = network.shortest_paths(spark.createDataFrame([(7, 0), (8, 50)], "site long, node long"), e)
+    assert {(r.site, r.node, r.dist) for r in paths.collect()} == {(7, i, i) for i in range(101)} | {(8, i, i - 50) for i in range(50, 101)}
+    preds = network.predecessors(paths, e)
+    ways = network.routes(spark.createDataFrame([(7, 100), (8, 3)], "site long, start long"), preds, paths).collect()
+    assert {(r.site, r.start, r.step, r.node, r.elapsed) for r in ways} == {(7, 100, i, 100 - i, i) for i in range(101)}
+
+
+def test_zone_sites_and_walk_zones(spark):
+    scenarios = spark.createDataFrame([("all", None), ("one", 1)], "scenario string, closed long")
+    times = spark.createDataFrame([(p, s, float(10 * s + p), 0) for p in (1, 2, 3) for s in (1, 2)], "pixel long, site long, time double, entry long")
+    near = network.nearest_open(times, scenarios)
+    zones = spark.createDataFrame([(1, 2), (2, 1), (3, 9)], "pixel long, site long")
+    told = network.zone_sites(times, near, zones, scenarios)
+    assert {(r.scenario, r.pixel): r.site for r in told.collect()} == {("all", 1): 2, ("all", 2): 1, ("all", 3): 1, ("one", 1): 2, ("one", 2): 2, ("one", 3): 2}
+    walks = spark.createDataFrame([(2, 1), (3, 2)], "pixel long, walk_site long")
+    kept = network.outside_walk_zones(told, walks, scenarios)
+    assert {(r.scenario, r.pixel) for r in kept.collect()} == {("all", 1), ("one", 1), ("one", 2)}
+
+
+# Values as published with the analysis that the operators redo: places, counts and scores.
+SITES = [("Carrboro", 35.9149, -79.0786), ("Ephesus", 35.9335, -79.0162), ("Estes Hills", 35.9359, -79.0436), ("Graham", 35.8997, -79.0725), ("Glenwood", 35.9063, -79.0266), ("McDougle", 35.9297, -79.099011), ("Rashkis", 35.9144, -79.0081)]
+NEAREST = [(35.9298113, -79.0988182, "McDougle", 0.013), (35.9336581, -79.0160393, "Ephesus", 0.014), (35.9359769, -79.0438998, "Estes Hills", 0.018), (35.9140577, -79.0084062, "Rashkis", 0.029), (35.8999118, -79.0718339, "Graham", 0.04), (35.9065569, -79.0259135, "Glenwood", 0.042), (35.915768, -79.0778025, "Carrboro", 0.075)]
+
+
+def test_golden_distances(spark):
+    f = spark.createDataFrame([(i, lat, lon) for i, (lat, lon, _, _) in enumerate(NEAREST)], "facility long, lat double, lon double")
+    s = spark.createDataFrame(SITES, "site string, site_lat double, site_lon double")
+    out = sorted((r.facility, r.site, round(r.distance, 3)) for r in proximity.nearest_site(f, s).collect())
+    assert out == [(i, name, d) for i, (_, _, name, d) in enumerate(NEAREST)]
+
+
+def test_golden_exposure(spark):
+    rows = [(6.1955, 0.7601, 3.5585), (0.7059, 0.8208, 0.3815), (2.3347, 0.8172, 1.2663), (11.3271, 0.7553, 6.5363), (1.8908, 0.8533, 0.9873), (8.2331, 0.7295, 4.8695)]
+    out = spark.createDataFrame(rows, "raw double, canopy double, net double").select(exposure.mitigated(F.col("raw"), F.col("canopy")).alias("got"), "net").collect()
+    assert all(r.got == pytest.approx(r.net, abs=6e-4) for r in out)
+    land = spark.createDataFrame([(1, 10), (1, 50), (1, 80), (1, 0), (2, 10), (3, 50)], "site long, class int")
+    assert {r.site: r.uhi for r in exposure.heat_score(land).collect()} == pytest.approx({1: (-0.1 / 3 + 0.6) / 1.6 * 100, 2: 0.0, 3: 100.0})
+
+
+def test_golden_changes(spark):
+    wide = {"a": (462, 444, 430, 413, 409, 398, 395, 395, 392, 390, 388), "b": (343, 375, 387, 394, 405, 417, 421, 420, 422, 422, 423)}
+    told = {"a": (0.0, -3.9, -6.9, -10.6, -11.5, -13.9, -14.5, -14.5, -15.2, -15.6, -16.0), "b": (0.0, 9.3, 12.8, 14.9, 18.1, 21.6, 22.7, 22.4, 23.0, 23.0, 23.3)}
+    rows = spark.createDataFrame([(k, i, v) for k, vs in wide.items() for i, v in enumerate(vs)], "k string, year int, v long")
+    out = {(r.k, r.year): r.pct_change for r in tables.change_from_first(rows, "k", "year", "v").collect()}
+    assert out == {(k, i): v for k, vs in told.items() for i, v in enumerate(vs)}
+
+
+def test_golden_fit(spark):
+    actual = (462, 343, 324, 499, 394, 469, 371, 335, 367, 366, 364)
+    by_mae = (461.99999960730423, 381.73878841746034, 248.87238750743325, 499.00000143064483, 393.9999970535365, 471.2414763205271, 342.8030616973305, 502.5313983822755, 312.2329092103184, 315.579981179628, 363.9999991935414)
+    by_rmse = (470.71797640132036, 399.1226024580587, 264.47407733109344, 508.5769508231935, 400.96319768723964, 493.6800938305596, 325.9142691402585, 446.5666394883605, 291.4875211298995, 320.27258654842296, 372.22408516159305)
+    naive = (351.9528106589633, 434.72746982569237, 306.735843507912, 0.0, 37.214027451566956, 602.2561744019689, 548.8129322170845, 940.3957965338257, 441.95998842500046, 398.054119837425, 231.89083714056113)
+    for predicted, mae, rmse in ((by_mae, 37.9112, None), (by_rmse, None, 52.1004), (naive, 202.7648, None)):
+        got = choice.fit(spark.createDataFrame(list(zip(map(float, actual), predicted, strict=True)), "a double, p double"), "p", "a").first()
+        assert mae is None or round(got.mae, 4) == mae
+        assert rmse is None or round(got.rmse, 4) == rmse
+
+
+def test_travel_seconds(spark):
+    rows = spark.createDataFrame([(100.0, "motorway", "traffic_signals"), (100.0, "primary_link", None), (100.0, "unknown", "stop")], "m double, c string, t string")
+    out = rows.select(*[exposure.travel_seconds(m, F.col("m"), F.col("c"), F.col("t")).alias(m) for m in ("walk", "bike", "drive")]).collect()
+    assert [r.walk for r in out] == pytest.approx([100 / 1.12] * 3) and [r.bike for r in out] == pytest.approx([100 / 5.36] * 3)
+    assert [r.drive for r in out] == pytest.approx([100 / (59 * 0.44704) + 22, 100 / (28 * 0.44704), 100 / (20 * 0.44704) + 11])
+
+
 def test_softmax_keeps_the_total(spark):
     c = spark.createDataFrame([(1, "x", 1000.0, 10.0), (1, "y", 999.0, 10.0)], "zone long, dest string, u double, kids double")
     flows = [r.flow for r in choice.softmax_flows(c, ["zone"], "u", "kids").collect()]
