@@ -78,26 +78,33 @@ def first_match(matches: DataFrame, key: str, order: str) -> DataFrame:
     return matches.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def _banded(edges: DataFrame, size: float) -> DataFrame:
-    """edges (x1, y1, x2, y2) once for each row of cells (_cy) that they touch."""
-    low, high = geo.cell(F.least("y1", "y2"), size), geo.cell(F.greatest("y1", "y2"), size)
-    return edges.withColumn("_cy", F.explode(F.sequence(low, high)))
-
-
-def _crosses(x: Column, y: Column) -> Column:
+def _crosses(edge: Column, x: Column, y: Column) -> Column:
     """Whether an edge passes to the right of a place; an edge counts at its lower end, not at its upper."""
-    on = F.when(F.col("y1") != F.col("y2"), (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / F.when(F.col("y1") != F.col("y2"), F.col("y2") - F.col("y1")) + F.col("x1"))
-    return ((F.col("y1") > y) != (F.col("y2") > y)) & (x < on)
+    rise = F.when(edge["y1"] != edge["y2"], edge["y2"] - edge["y1"])
+    return ((edge["y1"] > y) != (edge["y2"] > y)) & (x < (edge["x2"] - edge["x1"]) * (y - edge["y1"]) / rise + edge["x1"])
 
 
-def _borders(banded: DataFrame, polygon: str, size: float) -> DataFrame:
-    """(polygon, _cx, _cy) of the cells that an edge passes through."""
-    steep = F.when(F.col("y1") != F.col("y2"), (F.col("x2") - F.col("x1")) / F.when(F.col("y1") != F.col("y2"), F.col("y2") - F.col("y1")))
+def _cells(edges: DataFrame, polygon: str, size: float) -> DataFrame:
+    """(polygon, _cx, _cy, _edges) of the cells of polygons: those that an edge passes through with the edges of their row, those inside as a whole with none."""
+    row = F.explode(F.sequence(geo.cell(F.least("y1", "y2"), size), geo.cell(F.greatest("y1", "y2"), size)))
+    banded = edges.select(polygon, "x1", "y1", "x2", "y2", row.alias("_cy"))
+    # Where an edge enters and leaves its row of cells.
+    slope = (F.col("x2") - F.col("x1")) / F.when(F.col("y1") != F.col("y2"), F.col("y2") - F.col("y1"))
     low, high = F.greatest(F.least("y1", "y2"), F.col("_cy") * size), F.least(F.greatest("y1", "y2"), (F.col("_cy") + 1) * size)
-    ends = [F.coalesce(F.col("x1") + steep * (y - F.col("y1")), other) for y, other in ((low, F.col("x1")), (high, F.col("x2")))]
+    ends = [F.coalesce(F.col("x1") + slope * (y - F.col("y1")), other) for y, other in ((low, F.col("x1")), (high, F.col("x2")))]
     slack = size * 1e-6
-    span = F.sequence(geo.cell(F.least(*ends) - slack, size), geo.cell(F.greatest(*ends) + slack, size))
-    return banded.select(polygon, F.explode(span).alias("_cx"), "_cy").distinct()
+    first, last = geo.cell(F.least(*ends) - slack, size), geo.cell(F.greatest(*ends) + slack, size)
+    # The edges of a row are a part of a polygon that comes as one row.
+    told = banded.withColumn("_e", F.struct("x1", "y1", "x2", "y2", first.alias("a"), last.alias("b"))).groupBy(polygon, "_cy")
+    rows = told.agg(F.collect_list("_e").alias("_edges"), F.min("_e.a").alias("_a"), F.max("_e.b").alias("_b"))
+    cells = rows.select(polygon, "_cy", "_edges", F.explode(F.sequence("_a", "_b")).alias("_cx"))
+    border = F.exists("_edges", lambda e: (e["a"] <= F.col("_cx")) & (e["b"] >= F.col("_cx")))
+    cells = cells.withColumn("_border", border).where(F.col("_border") | _odd((F.col("_cx") + 0.5) * size, (F.col("_cy") + 0.5) * size))
+    return cells.select(polygon, "_cx", "_cy", F.when(F.col("_border"), F.col("_edges")).alias("_edges"))
+
+
+def _odd(x: Column, y: Column) -> Column:
+    return F.size(F.filter("_edges", lambda e: _crosses(e, x, y))) % 2 == 1
 
 
 def point_in_polygon(points: DataFrame, edges: DataFrame, point: str, polygon: str, size: float = 250.0) -> DataFrame:
@@ -105,21 +112,13 @@ def point_in_polygon(points: DataFrame, edges: DataFrame, point: str, polygon: s
 
     A point is inside where the edges to its right are odd in number; one on a
     left or lower border counts as inside, on a right or upper one as outside.
-    Cells that no edge passes through are inside or outside as a whole, which
-    is told once for each; only points in the other cells of a polygon meet its
-    edges, and only those of their row.
+    Points meet polygons in cells. A cell that no edge passes through is inside
+    or outside as a whole, which is told once; in the others a point meets the
+    edges of its polygon's row of cells.
     """
-    banded = _banded(edges.select(polygon, "x1", "y1", "x2", "y2"), size)
-    borders = _borders(banded, polygon, size)
-    rows = borders.groupBy(polygon, "_cy").agg(F.min("_cx").alias("_a"), F.max("_cx").alias("_b"))
-    inner = rows.select(polygon, "_cy", F.explode(F.sequence("_a", "_b")).alias("_cx")).join(borders, [polygon, "_cx", "_cy"], "left_anti")
-    centre = inner.join(banded, [polygon, "_cy"]).where(_crosses((F.col("_cx") + 0.5) * size, (F.col("_cy") + 0.5) * size))
-    whole = centre.groupBy(polygon, "_cx", "_cy").agg(F.count("*").alias("_n")).where("_n % 2 = 1").select(polygon, "_cx", "_cy")
-    told = whole.withColumn("_whole", F.lit(True)).unionByName(borders.withColumn("_whole", F.lit(False)))
     placed = points.select(point, "x", "y", geo.cell(F.col("x"), size).alias("_cx"), geo.cell(F.col("y"), size).alias("_cy"))
-    met = placed.join(told, ["_cx", "_cy"])
-    odd = met.where("not _whole").join(banded, [polygon, "_cy"]).where(_crosses(F.col("x"), F.col("y"))).groupBy(point, polygon).agg(F.count("*").alias("_n")).where("_n % 2 = 1")
-    return met.where("_whole").select(point, polygon).unionByName(odd.select(point, polygon))
+    met = placed.join(_cells(edges, polygon, size), ["_cx", "_cy"])
+    return met.where(F.col("_edges").isNull() | _odd(F.col("x"), F.col("y"))).select(point, polygon)
 
 
 def overlay(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
