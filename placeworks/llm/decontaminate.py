@@ -1,10 +1,16 @@
-"""Benchmark decontamination by a prefix-filtered containment join.
+"""Benchmark decontamination by a prefix-filtered set join.
 
 A window is a set that must be contained whole in a run of document words, so
 by the prefix rule one token is enough to find every candidate: the window's
-rarest word, rarity being the frequency over all documents. A candidate keeps
-the offset of that word inside the window, which bounds where the window can
-lie (position and length); what is left is verified word by word.
+rarest word, rarity being the frequency over all documents. Documents give a
+row for each place of a prefix word, with as many words around it as a window
+can reach; it is joined with the windows of that prefix. The offset of the
+word inside the window bounds where the window can lie (position and length),
+and what is left is verified on the words themselves.
+
+Windows and documents meet in joins alone. Tasks hold only a filter of
+1 << SLOT_BITS flags, whatever the size of the benchmark: it keeps most words
+that are no prefix from being sent, and decides nothing else.
 """
 
 from __future__ import annotations
@@ -13,153 +19,122 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from . import textops as T
 from .scratch import written
 
-#: Words of benchmark items that one pass over the documents holds in a task;
-#: a longer benchmark takes several passes.
-BLOCK_WORDS = 500_000
-#: Columns that rows get: words, (first, end) of each hit run of words one after the other, sorted items.
-FOUND = [StructField("_n_words", LongType()), StructField("_runs", ArrayType(LongType())), StructField("_items", ArrayType(StringType()))]
+#: Flags of the filter of words, by the first bits of a word's hash.
+SLOT_BITS = 24
+#: Words whose counts a task holds before it sends them.
+HELD = 1 << 20
+PLACES = "_n_words long, _places array<struct<word: long, at: long, before: long, context: string>>"
 
 
-def _item_words(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+class Words:
+    """The words of some rows: hashes, the first of each row, and their text, one space between two."""
+
+    def __init__(self, part: np.ndarray, offs: np.ndarray):
+        starts, ends, self.first = T.word_bounds(part, offs, T.ALNUM)
+        self.hashes = T.word_hashes(part, starts, ends)
+        sizes = ends - starts
+        self.hi = np.cumsum(sizes + 1) - 1
+        self.lo = self.hi - sizes
+        self.text = np.full(int(self.hi[-1]) + 1 if len(sizes) else 0, 32, np.uint8)
+        kept = np.flatnonzero(T.ALNUM[part])
+        self.text[np.arange(len(kept)) + np.repeat(np.arange(len(sizes)), sizes)] = T.LOWER[part[kept]]
+
+    def joined(self, a: int, b: int) -> str:
+        """The words from a to b - 1."""
+        return self.text[self.lo[a] : self.hi[b - 1]].tobytes().decode()
+
+
+def _of_rows(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Words]]:
+    """(first row, row after the last, words) of runs of whole rows."""
     buf, offsets = T.text_bytes(batch["text"])
-    for _, _, part, offs in T.chunks(buf, offsets):
-        starts, ends, first = T.word_bounds(part, offs, T.ALNUM)
-        words = T.word_hashes(part, starts, ends)
-        for i in range(len(offs) - 1):
-            yield words[first[i] : first[i + 1]]
+    for row, last, part, offs in T.chunks(buf, offsets):
+        yield row, last, Words(part, offs)
 
 
 def _windows(size: int):
-    """Rows (item, words) of every window of every item."""
+    """Rows (item, words, window) of every window of every item: the words' hashes and their text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            items, rows = [], []
-            for item, words in zip(batch["item"].to_pylist(), _item_words(batch), strict=True):
-                w = words.view(np.int64).tolist()
-                found = [w[i : i + size] for i in range(len(w) - size + 1)] if len(w) >= size else [w] if w else []
-                rows += found
-                items += [item] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(rows, pa.list_(pa.int64()))], names=["item", "words"])
+        for batch in T.sliced(batches):
+            names = batch["item"].to_pylist()
+            for row, last, words in _of_rows(batch):
+                items, hashes, texts = [], [], []
+                for i in range(row, last):
+                    a, b = words.first[i - row], words.first[i - row + 1]
+                    for at in range(a, max(b - size, a) + 1) if b > a else ():
+                        end = min(at + size, b)
+                        items.append(names[i])
+                        hashes.append(words.hashes[at:end].view(np.int64))
+                        texts.append(words.joined(at, end))
+                yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(hashes, pa.list_(pa.int64())), pa.array(texts, pa.string())], names=["item", "words", "window"])
 
     return run
 
 
-def _frequencies(vocabulary: np.ndarray):
-    """How often each vocabulary word occurs in the batches of a task."""
+def _filter(words: DataFrame) -> np.ndarray:
+    """The flags of the column `word`, eight to a byte; at most 1 << SLOT_BITS numbers reach the driver."""
+    slots = words.select(F.shiftrightunsigned("word", 64 - SLOT_BITS).cast("int").alias("slot")).distinct().toArrow()["slot"].to_numpy()
+    flags = np.zeros(1 << SLOT_BITS - 3, np.uint8)
+    np.bitwise_or.at(flags, slots >> 3, (1 << (slots & 7)).astype(np.uint8))
+    return flags
+
+
+def _passing(flags: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Indices of the words whose flag is set."""
+    bits = len(flags).bit_length() + 2  # eight flags to a byte
+    slots = (words >> np.uint64(64 - bits)).astype(np.int64)
+    return np.flatnonzero((flags[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1)
+
+
+def _frequencies(flags: np.ndarray):
+    """How often each word that passes the filter occurs in the batches of a task, in one row or several."""
+
+    def counts(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        word, where = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
+        n = np.bincount(where, weights=np.concatenate([n for _, n in held]), minlength=len(word)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(vocabulary), np.int64)
+        held, size = [], 0
         for batch in T.sliced(batches):
-            buf, offsets = T.text_bytes(batch["text"])
-            for _, _, part, offs in T.chunks(buf, offsets):
-                starts, ends, _ = T.word_bounds(part, offs, T.ALNUM)
-                at = _lookup(vocabulary, T.word_hashes(part, starts, ends))
-                total += np.bincount(at[at >= 0], minlength=len(vocabulary))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(vocabulary[seen].view(np.int64)), pa.array(total[seen])], names=["word", "n"])
+            for _, _, words in _of_rows(batch):
+                held.append(np.unique(words.hashes[_passing(flags, words.hashes)], return_counts=True))
+                size += len(held[-1][0])
+                if size > HELD:
+                    yield counts(held)
+                    held, size = [], 0
+        if held:
+            yield counts(held)
 
     return run
 
 
-def _filter_bits(keys: np.ndarray) -> np.ndarray:
-    bits = np.zeros(1 << 20, dtype=bool)
-    bits[(keys >> np.uint64(44)).astype(np.int64)] = True
-    return bits
-
-
-def _lookup(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """The index of each word in the sorted keys, or -1."""
-    out = np.full(len(words), -1, np.int64)
-    if not len(keys):
-        return out
-    maybe = np.flatnonzero(_filter_bits(keys)[(words >> np.uint64(44)).astype(np.int64)])
-    at = np.minimum(np.searchsorted(keys, words[maybe]), len(keys) - 1)
-    same = keys[at] == words[maybe]
-    out[maybe[same]] = at[same]
-    return out
-
-
-class Index:
-    """Windows by their rarest word: for each prefix word, a run of (window, offset of the word)."""
-
-    def __init__(self, windows: list[tuple[str, list[int]]], frequency: dict[int, int]):
-        self.items = np.array([item for item, _ in windows], dtype=object)
-        self.length = np.array([len(w) for _, w in windows], np.int64)
-        self.words = np.zeros((len(windows), int(self.length.max(initial=1))), np.uint64)
-        rarest, offset = np.zeros(len(windows), np.uint64), np.zeros(len(windows), np.int64)
-        for i, (_, w) in enumerate(windows):
-            u = np.array(w, np.int64).view(np.uint64)
-            self.words[i, : len(w)] = u
-            offset[i] = min(range(len(w)), key=lambda j: (frequency.get(w[j], 0), w[j], j))
-            rarest[i] = u[offset[i]]
-        order = np.argsort(rarest, kind="stable")
-        self.window, self.offset = order, offset[order]
-        self.keys, self.first, self.count = np.unique(rarest[order], return_index=True, return_counts=True)
-
-    def hits(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, index of its first word) of every occurrence; first: of each document, its first word (and the number of words)."""
-        at = _lookup(self.keys, words)
-        place = np.flatnonzero(at >= 0)
-        many = self.count[at[place]]
-        place, key = np.repeat(place, many), np.repeat(at[place], many)
-        nth = np.arange(len(place)) - np.repeat(np.cumsum(many) - many, many)
-        window, start = self.window[self.first[key] + nth], place - self.offset[self.first[key] + nth]
-        # Positional and length bounds: the window has to lie inside the document.
-        doc = np.searchsorted(first, place, side="right") - 1
-        fits = (start >= first[doc]) & (start + self.length[window] <= first[doc + 1])
-        window, start = window[fits], start[fits]
-        for j in range(self.words.shape[1]):
-            inside = j < self.length[window]
-            same = ~inside
-            same[inside] = words[start[inside] + j] == self.words[window[inside], j]
-            window, start = window[same], start[same]
-        return window, start
-
-
-def _marked(index: Index):
+def _places(flags: np.ndarray, size: int):
+    """Batches with PLACES for their text: the places of words that pass the filter, with size - 1 words on either side."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in T.sliced(batches):
-            buf, offsets = T.text_bytes(batch["text"])
-            n_words = np.zeros(batch.num_rows, np.int64)
-            runs: list[list[int]] = [[] for _ in range(batch.num_rows)]
-            items: list[list[str]] = [[] for _ in range(batch.num_rows)]
-            for row, last, part, offs in T.chunks(buf, offsets):
-                starts, ends, first = T.word_bounds(part, offs, T.ALNUM)
-                n_words[row:last] = np.diff(first)
-                window, start = index.hits(T.word_hashes(part, starts, ends), first)
-                doc = np.searchsorted(first, start, side="right") - 1
-                for d in np.unique(doc).tolist():
-                    mine = doc == d
-                    begin = start[mine] - first[d]
-                    runs[row + d] = np.stack([begin, begin + index.length[window[mine]]], 1).reshape(-1).tolist()
-                    items[row + d] = sorted(set(index.items[window[mine]].tolist()))
-            found = [pa.array(n_words), pa.array(runs, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=[*batch.schema.names, *(f.name for f in FOUND)])
+            for row, last, words in _of_rows(batch):
+                first, at = words.first, _passing(flags, words.hashes)
+                doc = np.searchsorted(first, at, side="right") - 1
+                begin, end = np.maximum(at - size + 1, first[doc]), np.minimum(at + size, first[doc + 1])
+                context = [words.joined(a, b) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+                place = pa.StructArray.from_arrays(
+                    [pa.array(words.hashes[at].view(np.int64)), pa.array(at - first[doc]), pa.array(at - begin), pa.array(context, pa.string())], names=["word", "at", "before", "context"]
+                )
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(last - row + 1)), pa.int32()), place)
+                rows = batch.slice(row, last - row).drop_columns(["text"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.diff(first)), lists], names=[*rows.schema.names, "_n_words", "_places"])
 
     return run
 
 
-def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The number of words in the union of a document's runs."""
-    for batch in batches:
-        out = []
-        for runs in batch["_runs"].to_pylist():
-            r, n, end = np.array(runs or [], np.int64).reshape(-1, 2), 0, 0
-            for a, b in r[np.argsort(r[:, 0], kind="stable")].tolist():
-                n += max(0, b - max(a, end))
-                end = max(end, b)
-            out.append(n)
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["_n_words"], pa.array(out, pa.int64()), batch["_items"]], names=["doc_id", "n_words", "n_hit", "items"])
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (sorted item ids as strings), items_sha256 and contaminated of every row of docs.
 
@@ -172,9 +147,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     "null"; repeated items count once per id. An empty benchmark marks nothing.
     Rows that repeat a doc_id get a row each. Other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = _found(docs, benchmark, size).select("doc_id", *[f.name for f in FOUND])
-    out = marked.mapInArrow(T.task(_covered), "doc_id long, n_words long, n_hit long, items array<string>")
+    docs = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    places, windows, hits = _joined(docs, benchmark, size)
+    runs = hits.groupBy("_row").agg(_covered(F.collect_set(F.struct("start", "end"))).alias("n_hit"))
+    items = hits.select("_row", "window").distinct().join(windows.select("item", "window"), "window").select("_row", "item").distinct()
+    items = items.groupBy("_row").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    out = places.select("_row", "doc_id", F.col("_n_words").alias("n_words")).join(runs, "_row", "left").join(items, "_row", "left")
+    out = out.withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long"))).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     return out.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items",
         F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
@@ -182,45 +161,44 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """The rows of docs (text and any other columns) that are not contaminated, each by its own text whatever its doc_id."""
-    return _found(docs, benchmark, size).where(F.size("_runs") == 0).select(*docs.columns)
+    """The rows of docs (text and any other columns) that are not contaminated, each by its own text whatever its doc_id.
+
+    Rows are told apart by the SHA-256 of their text, so only those digests go into the last join.
+    """
+    digest = F.sha2(F.col("text").cast("string").cast("binary"), 256)
+    _, _, hits = _joined(docs.select(digest.alias("_row"), F.col("text").cast("string").alias("text")), benchmark, size, all_rows=False)
+    key = "_row"
+    while key in docs.columns:
+        key += "_"
+    return docs.withColumn(key, digest).join(hits.select(F.col("_row").alias(key)).distinct(), key, "left_anti").select(*docs.columns)
+
+
+def _covered(runs: Column) -> Column:
+    """The number of words in the union of the runs (start, end)."""
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
+
+    def more(seen: Column, run: Column) -> Column:
+        fresh = F.greatest(F.lit(0).cast("long"), run["end"] - F.greatest(run["start"], seen["end"]))
+        return F.struct((seen["n"] + fresh).alias("n"), F.greatest(seen["end"], run["end"]).alias("end"))
+
+    return F.aggregate(F.array_sort(runs), none, more, lambda seen: seen["n"])
 
 
-def _blocks(benchmark: DataFrame, size: int) -> Iterator[list]:
-    """Windows (item, words) of BLOCK_WORDS at a time; one block at least."""
+def _joined(docs: DataFrame, benchmark: DataFrame, size: int, all_rows: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written tables: rows of docs (_row, text and others) with PLACES for their text; windows (item, words, window); hits (_row, start, end, window)."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("string").alias("text"))
-    windows = items.mapInArrow(T.task(_windows(size)), "item string, words array<long>").distinct()
-    block, held = [], 0
-    for item, words in windows.toLocalIterator():
-        if block and held + len(words) > BLOCK_WORDS:
-            yield block
-            block, held = [], 0
-        block.append((item, words))
-        held += len(words)
-    yield block
-
-
-def _found(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
-    """docs with FOUND. Where there are several blocks, the rows get ids, which are written once, and a row's hits are merged by its id."""
-    docs, blocks = docs.drop("_row", *[f.name for f in FOUND]), _blocks(benchmark, size)
-    block, more = next(blocks), next(blocks, None)
-    if more is None:
-        return _block(docs, block)
-    docs = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    texts = docs.select("_row", "text")
-    both = _block(texts, block).drop("text")  # every row; of the other blocks, those with hits
-    while more is not None:
-        both = both.unionByName(_block(texts, more).drop("text").where(F.size("_runs") > 0))
-        more = next(blocks, None)
-    merged = both.groupBy("_row").agg(
-        F.max("_n_words").alias("_n_words"), F.flatten(F.collect_list("_runs")).alias("_runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items")
-    )
-    return docs.join(merged, "_row").drop("_row")
-
-
-def _block(docs: DataFrame, windows: list) -> DataFrame:
-    """docs with FOUND by the windows alone."""
-    vocabulary = np.unique(np.array([w for _, words in windows for w in words], np.int64).view(np.uint64))
-    counted = docs.select("text").mapInArrow(T.task(_frequencies(vocabulary)), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    frequency = dict(counted.collect()) if len(vocabulary) else {}  # of words of the block only
-    return docs.mapInArrow(T.task(_marked(Index(windows, frequency))), StructType([*docs.schema.fields, *FOUND]))
+    windows = written(items.mapInArrow(T.task(_windows(size)), "item string, words array<long>, window string").distinct(), "windows")
+    flags = _filter(windows.select(F.explode("words").alias("word")))
+    counted = docs.select("text").mapInArrow(T.task(_frequencies(flags)), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    # The rarest word of each window, and its offset.
+    rated = windows.select("window", "words").distinct().select("window", F.size("words").alias("length"), F.posexplode("words").alias("offset", "word"))
+    rated = rated.join(counted, "word", "left").groupBy("window", "length").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "offset")).alias("p"))
+    prefixes = written(rated.select("window", "length", F.col("p.word").alias("word"), F.col("p.offset").alias("offset")), "prefixes")
+
+    others = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
+    places = docs.mapInArrow(T.task(_places(_filter(prefixes), size)), f"{others}, {PLACES}")
+    places = written(places if all_rows else places.where(F.size("_places") > 0), "places")
+    found = places.select("_row", F.explode("_places").alias("place")).select("_row", "place.*").join(prefixes, "word").where("offset <= before")
+    same = F.array_join(F.slice(F.split("context", " "), F.col("before").cast("int") - F.col("offset") + 1, F.col("length")), " ") == F.col("window")
+    start = F.col("at") - F.col("offset")
+    return places, windows, written(found.where(same).select("_row", start.alias("start"), (start + F.col("length")).alias("end"), "window"), "hits")
