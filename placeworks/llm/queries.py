@@ -124,6 +124,19 @@ n AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT r, i, m FROM hi
 items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(list, '') AS items, sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN n USING (r) LEFT JOIN items USING (r)"""
 
+REPEATS_SQL = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, encode(coalesce(text, '')) AS b FROM documents),
+own AS (SELECT *, octet_length(b) AS n, min(r) OVER (PARTITION BY doc_id, t) AS same, regexp_extract_all(t, '[^\x{20}\x{09}-\x{0D}]+') AS w FROM d),
+string AS (SELECT r, i, md5(b[i:i + 399]) AS k FROM own, LATERAL (SELECT unnest(range(1, n - 398)) AS i) WHERE n >= 400),
+again AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM string JOIN (SELECT k FROM string GROUP BY k HAVING count(*) > 1) USING (k)),
+run AS (SELECT r, i, sum(CASE WHEN before IS NULL OR i > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS g FROM again),
+span AS (SELECT r, min(i) AS a, max(i) + 400 AS e FROM run GROUP BY r, g),
+gap AS (SELECT r, a, e, lead(a) OVER (PARTITION BY r ORDER BY a) AS next FROM span),
+cut AS (SELECT r, count(*) AS n_spans, CAST(sum(e - a) AS BIGINT) AS n_removed, sha256(unhex(hex(any_value(b[1:n]))[1:2 * (min(a) - 1)] || string_agg(hex(b)[2 * e - 1:2 * coalesce(next - 1, n)], '' ORDER BY a))) AS sha FROM gap JOIN own USING (r) GROUP BY r),
+passage AS (SELECT r, same, i, md5(array_to_string(w[i:i + 50], ' ')) AS k FROM own, LATERAL (SELECT unnest(range(1, len(w) - 49)) AS i) WHERE len(w) >= 51),
+told AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM passage JOIN (SELECT k FROM passage GROUP BY k HAVING min(same) < max(same)) USING (k)),
+n AS (SELECT r, count(*) AS n_passages FROM told WHERE before IS NULL OR i > before + 51 GROUP BY r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(sha, sha256(b)) AS kept_sha256, coalesce(n_passages, 0) AS n_passages FROM own LEFT JOIN cut USING (r) LEFT JOIN n USING (r)"""
+
 NEAR_DEDUP_SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{20}\x{09}-\x{0D}]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 4) - 1], ' ') AS g FROM d, LATERAL (SELECT unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i) WHERE len(w) > 0),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
@@ -143,6 +156,7 @@ SELECT vec_id, (SELECT count(*) FROM link WHERE link.a = v.vec_id) AS n_links, c
 
 ORACLES: dict[str, str] = {
     "op2_source_mixing": MIXING_SQL,
+    "op3_repeat_removal": REPEATS_SQL,
     "op6_benchmark_decontamination": CONTAMINATION_SQL,
     "op8_minhash_near_dedup": NEAR_DEDUP_SQL,
     "op10_embedding_near_dedup": NEAR_VECTORS_SQL,
