@@ -658,7 +658,7 @@ def test_sql_of_operators(spark, sf_dir):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     for name, sql in queries.ORACLES.items():
         df = queries.QUERIES[name](spark, sf_dir)
