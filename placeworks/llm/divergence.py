@@ -55,9 +55,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out() -> Iterator[pa.RecordBatch]:
         for (lang, source), (n, docs) in held.items():
-            terms = [None, *(t.decode("utf-8", "replace") for t in n)]
-            k = len(terms)
-            columns = [[lang] * k, [source] * k, terms, [0, *n.values()], [0, *(docs[t] for t in n)]]
+            columns = [[lang] * len(n), [source] * len(n), [t.decode("utf-8", "replace") for t in n], list(n.values()), [docs[t] for t in n]]
             types = [pa.string()] * 3 + [pa.int64()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["lang", "source", "term", "n", "docs"])
 
@@ -75,11 +73,22 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences) and docs (documents with it); a null term, with 0, for every group that occurs."""
-    told = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")]
-    found = docs.select(*told).mapInArrow(_counted, COUNTS)
-    return found.groupBy(*GROUP, "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+def _told(*columns: str) -> list[Column]:
+    return [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns]
+
+
+def kept_terms(docs: DataFrame, least_docs: int) -> DataFrame:
+    """lang, source, term, n and n_lang where a term of at least least_docs documents of lang occurs in source; first marks one row of each term.
+
+    A scan gives a term at most once for each HELD_TERMS terms and source, so
+    no term is hot, and one exchange by (lang, term) serves the sums of groups
+    and of languages alike.
+    """
+    found = docs.select(*_told("lang", "source", "text")).mapInArrow(_counted, COUNTS).repartition("lang", "term")
+    found = found.groupBy(*GROUP, "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    w = Window.partitionBy("lang", "term")
+    found = found.withColumns({"n_lang": F.sum("n").over(w), "docs": F.sum("docs").over(w), "first": F.col("source") == F.min("source").over(w)})
+    return found.where(F.col("docs") >= least_docs).drop("docs")
 
 
 def _p(n: str, total: str, v: str) -> Column:
@@ -196,17 +205,13 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) ->
     source without any kept term, or a language without one, has its pairs all
     the same. Sums of a pair are exact up to 2**62.
     """
-    counts = written(term_counts(docs), "terms")
-    kept = counts.where("term is not null").groupBy("lang", "term").agg(F.sum("n").alias("n_lang"), F.sum("docs").alias("docs"))
-    kept = written(kept.where(F.col("docs") >= least_docs).drop("docs"), "kept")
-    cells = written(counts.where("term is not null").join(kept, ["lang", "term"]).select(*GROUP, "term", "n", "n_lang"), "cells")
-    groups = counts.where("term is null").select(*GROUP)
-    langs = groups.groupBy("lang").agg(F.count("*").alias("sources"))
-    langs = langs.join(kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("n_lang").alias("total_lang")), "lang", "left")
-    langs = langs.join(cells.groupBy("lang").agg(F.count("*").alias("cells")), "lang", "left").na.fill(0)
+    cells = written(kept_terms(docs, least_docs), "cells")
+    groups = docs.select(*_told(*GROUP)).distinct()
+    groups = written(groups.join(cells.groupBy(*GROUP).agg(F.sum("n").alias("total"), F.count("*").alias("cells"), F.count_if("first").alias("v")), GROUP, "left").na.fill(0), "groups")
+    langs = groups.groupBy("lang").agg(F.count("*").alias("sources"), *(F.sum(c).alias(to) for c, to in (("total", "total_lang"), ("cells", "cells"), ("v", "v"))))
     langs = langs.withColumns({"n_blocks": F.expr(f"greatest(1L, cells div {BLOCK})"), "n_stripes": F.expr(f"(sources + {STRIPE - 1}) div {STRIPE}")})
-    groups = groups.join(cells.groupBy(*GROUP).agg(F.sum("n").alias("total")), GROUP, "left").na.fill(0, "total").join(langs, "lang")
-    groups = written(groups.withColumn("base", F.when(F.col("v") > 0, _p("0", "total", "v")).otherwise(F.lit(1).cast("long"))), "groups")
+    groups = groups.drop("cells", "v").join(langs, "lang")
+    groups = written(groups.withColumn("base", F.when(F.col("v") > 0, _p("0", "total", "v")).otherwise(F.lit(1).cast("long"))), "bases")
     weighed = cells.join(groups, GROUP).select(*GROUP, "term", _p("n", "total", "v").alias("p"), _p("n_lang", "total_lang", "v").alias("q"))
     weighed = written(weighed, "weighed")
     pairs = pair_values(weighed.drop("q"), groups.select(*GROUP, "base", "n_blocks", "n_stripes"))
