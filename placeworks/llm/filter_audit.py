@@ -3,10 +3,10 @@
 Texts are routed by fingerprint. Every task of the scan keeps collision chains:
 a fingerprint leads to the texts that have it, whole, each with the least id
 seen so far. A row with a larger id than its text's least is a copy for good
-and is emitted at once; only the least id of each text goes on, to the task
-that xxhash names, where chains of the same kind settle which of the ids that
-arrive is the least of all. So a text that a third of all rows share crosses
-the network once for each part of a scan, not once a row.
+and is emitted at once; only the least id of each text goes on, as a row of an
+RDD partitioned by xxhash, where chains of the same kind settle which of the
+ids that arrive is the least of all. So a text that a third of all rows share
+crosses the network once for each part of a scan, not once a row.
 
 What is emitted is a document's mask of failed filters. Masks meet the labels
 by doc_id and are counted in vectors, one for each part, by combineByKey; all
@@ -19,10 +19,14 @@ from collections.abc import Iterator
 from itertools import groupby, permutations
 from operator import itemgetter
 
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import written
+from .textops import sliced, task
+
 FILTERS = "ABCDE"
 LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS = 100, 80, 10
 A, B, C, D, E = (1 << i for i in range(5))
@@ -77,40 +81,49 @@ def meet(link: list, doc_id: int, parts: dict[str, int]) -> Iterator[Row]:
         yield doc_id, part, mask | E, n
 
 
-def _by_id(row: Row) -> tuple[int, tuple]:
-    return xxhash.xxh3_64_intdigest(repr(row[0])), (None, row)
+#: What a scan gives: texts with their least id there, and, without a text, rows that are settled.
+ROUTED = "print long, text string, doc_id long, mask int, parts map<string, long>"
+_ROUTED = pa.schema([("print", pa.int64()), ("text", pa.string()), ("doc_id", pa.int64()), ("mask", pa.int32()), ("parts", pa.map_(pa.string(), pa.int64()))])
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(_ROUTED)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ROUTED, strict=True)], schema=_ROUTED)
 
 
-def routed(rows: Iterator[tuple]) -> Iterator[tuple[int, tuple]]:
-    """(fingerprint, link) of each text's least id, and rows that are settled under a key of their own."""
+@task
+def _routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (doc_id, text, part) each text with its least id, and the rows that are settled."""
     chains, held = Chains(), 0
-    for doc_id, text, part in rows:
-        text = text or ""
-        if doc_id is None:
-            yield _by_id((None, part, failures(text), 1))
-            continue
-        print_ = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
-        link = chains.find(print_, text)
-        if link is not None:
-            yield from map(_by_id, meet(link, doc_id, {part: 1}))
-            continue
-        chains.start(print_, text, doc_id, failures(text), {part: 1})
-        held += len(text) + 200
-        if held > CHAIN_BYTES:
-            yield from chains.links()
-            chains, held = Chains(), 0
-    yield from chains.links()
+
+    def links() -> pa.RecordBatch:
+        return _batch([(print_, text, least, mask, list(parts.items())) for print_, (text, least, mask, parts) in chains.links()])
+
+    for batch in sliced(batches):
+        done: list[Row] = []
+        for doc_id, text, part in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            if doc_id is None:
+                done.append((None, part, failures(text), 1))
+                continue
+            print_ = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+            link = chains.find(print_, text)
+            if link is not None:
+                done += meet(link, doc_id, {part: 1})
+                continue
+            chains.start(print_, text, doc_id, failures(text), {part: 1})
+            held += len(text) + 200
+            if held > CHAIN_BYTES:
+                yield links()
+                chains, held = Chains(), 0
+        yield _batch([(None, None, doc_id, mask, [(part, n)]) for doc_id, part, mask, n in done])
+    yield links()
 
 
 def settled(records: Iterator[tuple[int, tuple]]) -> Iterator[Row]:
-    """The rows of all documents with their masks; records come by fingerprint, so one chain is held at a time."""
+    """The rows of texts (fingerprint, (text, least id, mask, parts)) that come by fingerprint, so one chain is held at a time."""
     for print_, group in groupby(records, key=itemgetter(0)):
         chains = Chains()
-        for _, record in group:
-            if record[0] is None:
-                yield record[1]
-                continue
-            text, doc_id, mask, parts = record
+        for _, (text, doc_id, mask, parts) in group:
             link = chains.find(print_, text)
             if link is None:
                 chains.start(print_, text, doc_id, mask, parts)
@@ -131,10 +144,13 @@ def masks(docs: DataFrame) -> DataFrame:
     are ignored; an empty table gives an empty one.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(F.col("lang").cast("string"), F.lit(""))).rdd
-    parts = max(2 * rows.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    chained = rows.mapPartitions(routed).repartitionAndSortWithinPartitions(parts, partitionFunc=lambda print_: print_)
-    found = spark.createDataFrame(chained.mapPartitions(settled), ROWS, verifySchema=False)
+    told = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("text", "lang")]
+    routed = written(docs.select(F.col("doc_id").cast("long"), *told).mapInArrow(_routed, ROUTED), "routed")
+    copies = routed.where("text is null").select("doc_id", "mask", F.explode("parts").alias("part", "n"))
+    texts = routed.where("text is not null").rdd.map(lambda r: (r[0], tuple(r[1:])))
+    parts = max(2 * texts.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    chained = texts.repartitionAndSortWithinPartitions(parts, partitionFunc=lambda print_: print_).mapPartitions(settled)
+    found = spark.createDataFrame(chained, ROWS, verifySchema=False).unionByName(copies)
     return found.groupBy("doc_id", "part", "mask").agg(F.sum("n").alias("n"))
 
 
