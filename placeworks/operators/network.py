@@ -6,7 +6,7 @@ holds the graph or a path, and there is no bound on the number of rounds.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,21 +18,23 @@ ROUNDS = 6
 
 
 def shortest_paths(sources: DataFrame, edges: DataFrame) -> DataFrame:
-    """(site, node, dist) of every node that a site's node reaches over edges (u, v, w); w is not negative.
+    """(site, node, dist) of every node that a site's node reaches over edges (u, v, w); w is a number, not negative, and dist a double.
 
     Only nodes whose distance the last job has changed send it on. They go
     several steps in one job, and what they reach is then compared with the
-    distances known; the search ends when no distance changes.
+    distances known; the search ends when no distance changes. Adding a weight
+    never turns the order of two sums round, so the result does not depend on
+    the order of the steps, and each distance is exactly the sum along its way.
     """
     # An edge of no length from each node to itself keeps what is known, so that a step needs its input once.
     nodes = edges.select("u").unionByName(edges.select(F.col("v").alias("u"))).unionByName(sources.select(F.col("node").alias("u"))).distinct()
-    loops = nodes.select("u", F.col("u").alias("v"), F.lit(0).cast("long").alias("w"))
-    edges = cut(edges.select("u", "v", F.col("w").cast("long").alias("w")).unionByName(loops).groupBy("u", "v").agg(F.min("w").alias("w")))
-    known = cut(sources.select("site", "node", F.lit(0).cast("long").alias("dist")).groupBy("site", "node").agg(F.min("dist").alias("dist")))
+    loops = nodes.select("u", F.col("u").alias("v"), F.lit(0.0).alias("w"))
+    steps = cut(edges.select("u", "v", F.col("w").cast("double").alias("w")).unionByName(loops).groupBy(F.col("u").alias("node"), "v").agg(F.min("w").alias("w")))
+    known = cut(sources.select("site", "node").distinct().withColumn("dist", F.lit(0.0)))
     moved = known
     while True:
         for _ in range(ROUNDS):
-            over = moved.join(edges.withColumnRenamed("u", "node"), "node").select("site", F.col("v").alias("node"), (F.col("dist") + F.col("w")).alias("dist"))
+            over = moved.join(steps, "node").select("site", F.col("v").alias("node"), (F.col("dist") + F.col("w")).alias("dist"))
             moved = over.groupBy("site", "node").agg(F.min("dist").alias("dist"))
         both = known.join(moved.withColumnRenamed("dist", "_new"), ["site", "node"], "full")
         nearer = F.col("_new").isNotNull() & (F.col("dist").isNull() | (F.col("_new") < F.col("dist")))
@@ -42,22 +44,38 @@ def shortest_paths(sources: DataFrame, edges: DataFrame) -> DataFrame:
             return known
 
 
-def predecessors(paths: DataFrame, edges: DataFrame) -> DataFrame:
-    """(site, node, pred): the least node before each on a shortest path; sources have none."""
-    best = edges.groupBy("u", "v").agg(F.min("w").alias("w"))
+def predecessors(paths: DataFrame, edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(site, node, pred): the least node before each on a shortest path; the sources (site, node) have none.
+
+    A node nearer to the site comes before one that is as near. Nodes that are
+    reached only over edges of no length are settled from those that have a
+    predecessor already, one edge after the other, so no steps run in a circle.
+    """
+    best = edges.where("u != v").groupBy("u", "v").agg(F.min(F.col("w").cast("double")).alias("w"))
     a = paths.select("site", F.col("node").alias("u"), F.col("dist").alias("du"))
-    b = paths.select("site", F.col("node").alias("v"), F.col("dist").alias("dv"))
-    tight = a.join(best, "u").join(b, ["site", "v"]).where((F.col("du") + F.col("w") == F.col("dv")) & (F.col("dv") > 0))
-    return tight.groupBy("site", F.col("v").alias("node")).agg(F.min("u").alias("pred"))
+    b = paths.select("site", F.col("node").alias("v"), F.col("dist").alias("dv")).join(sources.select("site", F.col("node").alias("v")), ["site", "v"], "left_anti")
+    tight = cut(a.join(best, "u").join(b, ["site", "v"]).where("du + w = dv").select("site", "u", "v", (F.col("du") < F.col("dv")).alias("nearer")))
+    least = lambda rows: rows.groupBy("site", F.col("v").alias("node")).agg(F.min("u").alias("pred"))
+    found = least(tight.where("nearer"))
+    without = lambda rows, some: rows.join(some.select("site", F.col("node").alias("v")), ["site", "v"], "left_anti")
+    rest = cut(without(tight.where("not nearer"), found))
+    while not rest.isEmpty():
+        settled = found.select("site", F.col("node").alias("u")).unionByName(sources.select("site", F.col("node").alias("u")))
+        now = cut(least(rest.join(settled, ["site", "u"], "left_semi")))
+        if now.isEmpty():
+            break
+        found, rest = cut(found.unionByName(now)), cut(without(rest, now))
+    return found
 
 
 def pixel_times(snaps: DataFrame, paths: DataFrame) -> DataFrame:
-    """(pixel, site, time, entry): the time over either end of a pixel's edge (start, end, part, seconds, access), the start where equal."""
-    at = lambda end: paths.select("site", F.col("node").alias(end), F.col("dist").alias(f"_{end}"))
-    both = snaps.join(at("start"), "start").join(at("end"), ["end", "site"], "left")
-    one = F.col("_start") + F.col("part") * F.col("seconds")
-    two = F.col("_end") + (1 - F.col("part")) * F.col("seconds")
-    return both.select("pixel", "site", (F.least(one, two) + F.col("access")).alias("time"), F.when(two < one, F.col("end")).otherwise(F.col("start")).alias("entry"))
+    """(pixel, site, time, entry): the time over either end of a pixel's edge (start, end, part, seconds, access), the start where equal; over the one end where the other is not reached."""
+    ways = []
+    for turn, (end, part) in enumerate((("start", F.col("part")), ("end", 1 - F.col("part")))):
+        met = snaps.join(paths.select("site", F.col("node").alias(end), "dist"), end)
+        ways.append(met.select("pixel", "site", F.struct((F.col("dist") + part * F.col("seconds")).alias("time"), F.lit(turn).alias("turn"), F.col(end).alias("entry")).alias("way"), "access"))
+    best = ways[0].unionByName(ways[1]).groupBy("pixel", "site").agg(F.min("way").alias("way"), F.first("access").alias("access"))
+    return best.select("pixel", "site", (F.col("way.time") + F.col("access")).alias("time"), "way.entry")
 
 
 def nearest_open(times: DataFrame, scenarios: DataFrame) -> DataFrame:
@@ -79,16 +97,24 @@ def closure(times: DataFrame, closed: Sequence[int]) -> DataFrame:
     return best.select("pixel", "m.site", "m.time")
 
 
+def _steps(preds: DataFrame) -> Iterator[int]:
+    """The jobs of a walk along predecessors: no way has more steps than its site has nodes."""
+    most = preds.groupBy("site").count().agg(F.max("count")).first()[0] or 0
+    yield from range(most // ROUNDS + 2)
+    raise ValueError("predecessors run in a circle")
+
+
 def edge_traffic(demand: DataFrame, preds: DataFrame, by: Sequence[str] = (), amounts: Sequence[str] = ("amount",)) -> DataFrame:
     """(*by, u, v, *amounts): what passes each edge when the demand (*by, site, node, *amounts) goes to its site along predecessors.
 
     All demand takes one step a round and is summed where it meets, so a round
-    holds one row for each of `by`, site and node at most.
+    holds one row for each of `by`, site and node at most. Predecessors that run
+    in a circle are an error.
     """
     sums = [F.sum(a).alias(a) for a in amounts]
     now, passed = cut(demand.groupBy(*by, "site", "node").agg(*sums)), None
     preds = cut(preds)
-    while True:
+    for _ in _steps(preds):
         steps = []
         for _ in range(ROUNDS):
             moved = now.join(preds, ["site", "node"])
@@ -108,7 +134,7 @@ def routes(starts: DataFrame, preds: DataFrame, paths: DataFrame) -> DataFrame:
     first = starts.select("site", "start", F.col("start").alias("node")).join(dist, ["site", "node"])
     now = cut(first.select("site", "start", F.lit(0).cast("long").alias("step"), "node", F.col("dist").alias("_whole")))
     preds, every = cut(preds), now
-    while True:
+    for _ in _steps(preds):
         steps = []
         for _ in range(ROUNDS):
             now = now.join(preds, ["site", "node"]).select("site", "start", (F.col("step") + 1).alias("step"), F.col("pred").alias("node"), "_whole")

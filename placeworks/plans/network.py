@@ -7,39 +7,54 @@ from pyspark.sql import functions as F
 
 from ..operators import choice as C
 from ..operators import network as N
+from ..operators.cut import cut
 from ..operators.tables import against_baseline
 from .registry import query, table
 
-#: The graph of parts: each is tied to the next and to a far one; rounds of the SQL's chain, checked in the tests.
+#: The graph of parts: each is tied to the next and to a far one, by drive times in seconds with fractions, some of them 0; rounds of the SQL's chain, checked in the tests.
 CHAIN = 40
+NEAR_SECONDS, FAR_SECONDS = "CASE WHEN p_partkey % 23 = 0 THEN 0e0 ELSE p_size * 0.9e0 + p_partkey % 7 * 0.1e0 END", "p_size * 1.1e0 + 4.7e0"
 
-EDGES = """, n AS (SELECT count(*) AS n FROM part), e AS (SELECT p_partkey AS u, (p_partkey + 1) % n AS v, CAST(p_size AS BIGINT) AS w FROM part, n UNION ALL SELECT p_partkey, (p_partkey * 7 + 3) % n, CAST(p_size AS BIGINT) + 5 FROM part, n),
+EDGES = f""", n AS (SELECT count(*) AS n FROM part), e AS (SELECT p_partkey AS u, (p_partkey + 1) % n AS v, {NEAR_SECONDS} AS w FROM part, n UNION ALL SELECT p_partkey, (p_partkey * 7 + 3) % n, {FAR_SECONDS} FROM part, n),
 edge AS MATERIALIZED (SELECT u, v, min(w) AS w FROM (SELECT u, v, w FROM e UNION ALL SELECT v, u, w FROM e) WHERE u != v GROUP BY u, v)
 """
 SOURCES = "WITH site AS (SELECT s_suppkey AS site, (s_suppkey * 37) % (SELECT count(*) FROM part) AS node FROM supplier WHERE s_suppkey < 11)"
-PATHS = SOURCES + EDGES + ", d0 AS (SELECT site, node, 0::BIGINT AS dist FROM site)" + "".join(
+PATHS = SOURCES + EDGES + ", d0 AS (SELECT site, node, 0e0 AS dist FROM site)" + "".join(
     f", d{i + 1} AS MATERIALIZED (SELECT site, node, min(dist) AS dist FROM (SELECT * FROM d{i} UNION ALL SELECT site, v, dist + w FROM d{i} JOIN edge ON node = u) GROUP BY ALL)" for i in range(CHAIN)
 ) + f", path AS (SELECT * FROM d{CHAIN})\n"
+# Edges of no length join two nodes at most, so one that has no nearer node before it has the other end of such an edge.
+PRED = """, pred AS MATERIALIZED (SELECT b.site, b.node, coalesce(min(u) FILTER (a.dist < b.dist), min(u)) AS pred FROM path a JOIN edge ON a.node = u JOIN path b ON b.node = v AND b.site = a.site AND a.dist + w = b.dist
+WHERE (b.site, b.node) NOT IN (SELECT (site, node) FROM site) GROUP BY ALL)"""
 
 
 def edges(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     n = part.count()
-    e = part.selectExpr("p_partkey AS u", f"(p_partkey + 1) % {n}L AS v", "CAST(p_size AS BIGINT) AS w")
-    e = e.unionByName(part.selectExpr("p_partkey AS u", f"(p_partkey * 7 + 3) % {n}L AS v", "CAST(p_size AS BIGINT) + 5 AS w"))
+    e = part.selectExpr("p_partkey AS u", f"(p_partkey + 1) % {n}L AS v", f"{NEAR_SECONDS} AS w")
+    e = e.unionByName(part.selectExpr("p_partkey AS u", f"(p_partkey * 7 + 3) % {n}L AS v", f"{FAR_SECONDS} AS w"))
     both = e.unionByName(e.selectExpr("v AS u", "u AS v", "w")).where("u != v")
-    return both.groupBy("u", "v").agg(F.min("w").alias("w"))
+    return cut(both.groupBy("u", "v").agg(F.min("w").alias("w")))
 
 
-def paths(spark, sf_dir):
+def sources(spark, sf_dir):
     n = table(spark, sf_dir, "part").count()
-    sources = table(spark, sf_dir, "supplier").where("s_suppkey < 11").selectExpr("s_suppkey AS site", f"(s_suppkey * 37) % {n}L AS node")
-    return N.shortest_paths(sources, edges(spark, sf_dir))
+    return table(spark, sf_dir, "supplier").where("s_suppkey < 11").selectExpr("s_suppkey AS site", f"(s_suppkey * 37) % {n}L AS node")
 
 
-@query("sssp", PATHS + "SELECT site, node, dist FROM path")
+def paths(spark, sf_dir, graph=None):
+    return N.shortest_paths(sources(spark, sf_dir), edges(spark, sf_dir) if graph is None else graph)
+
+
+def ways(spark, sf_dir):
+    """Paths and their predecessors, from one table of edges."""
+    graph = edges(spark, sf_dir)
+    reached = paths(spark, sf_dir, graph)
+    return reached, N.predecessors(reached, graph, sources(spark, sf_dir))
+
+
+@query("sssp", PATHS + "SELECT site, node, round(dist, 6) AS dist FROM path")
 def sssp(spark, sf_dir):
-    return paths(spark, sf_dir)
+    return paths(spark, sf_dir).select("site", "node", F.round("dist", 6).alias("dist"))
 
 
 SNAPS = """, snap AS (SELECT c_custkey AS pixel, c_custkey % n AS start, (c_custkey + 1) % n AS "end", (c_custkey % 5) / 4e0 AS part, 40e0 AS seconds, CAST(c_custkey % 7 AS DOUBLE) AS access FROM customer, n),
@@ -87,10 +102,10 @@ def anchored_times(spark, sf_dir):
 
 def traffic(spark, sf_dir, scenarios):
     """Flows of several scenarios, from one search and one walk."""
-    reached = paths(spark, sf_dir)
+    reached, preds = ways(spark, sf_dir)
     chosen = assigned(spark, sf_dir, reached).where(F.col("scenario").isin(*scenarios))
     demand = chosen.groupBy("scenario", "site", F.col("entry").alias("node")).agg(F.count("*").alias("amount"))
-    return N.edge_traffic(demand, N.predecessors(reached, edges(spark, sf_dir)), ["scenario"])
+    return N.edge_traffic(demand, preds, ["scenario"])
 
 
 def changes(spark, sf_dir, scenario: str):
@@ -99,7 +114,7 @@ def changes(spark, sf_dir, scenario: str):
     return traffic(spark, sf_dir, ["baseline", scenario]).groupBy("u", "v").agg(F.sum(sign * F.col("amount")).alias("diff"))
 
 
-FLOWS = OPEN.replace("WITH site", "WITH RECURSIVE site", 1) + """, pred AS MATERIALIZED (SELECT b.site, b.node, min(u) AS pred FROM path a JOIN edge ON a.node = u JOIN path b ON b.node = v AND b.site = a.site AND a.dist + w = b.dist AND b.dist > 0 GROUP BY ALL),
+FLOWS = OPEN.replace("WITH site", "WITH RECURSIVE site", 1) + PRED + """,
 walk AS (SELECT scenario, site, entry AS node, count(*) AS amount FROM chosen GROUP BY ALL UNION ALL SELECT scenario, walk.site, pred, amount FROM walk JOIN pred ON pred.site = walk.site AND pred.node = walk.node),
 flow AS (SELECT scenario, walk.node AS u, pred AS v, CAST(sum(amount) AS BIGINT) AS amount FROM walk JOIN pred ON pred.site = walk.site AND pred.node = walk.node GROUP BY ALL)
 """
@@ -122,7 +137,7 @@ zoned AS (SELECT c.scenario, c.pixel, coalesce(o.site, c.site) AS site, CASE WHE
 FROM chosen c LEFT JOIN (SELECT own.*, scenario FROM own JOIN scenario USING (site)) o ON o.pixel = c.pixel AND o.scenario = c.scenario),
 driven AS (SELECT * FROM zoned z WHERE NOT (pixel % 3 = 0 AND EXISTS (SELECT 1 FROM scenario s WHERE s.scenario = z.scenario AND s.site = (z.pixel + 5) % 11)))
 """
-ZONE_FLOWS = ZONED.replace("WITH site", "WITH RECURSIVE site", 1) + """, pred AS MATERIALIZED (SELECT b.site, b.node, min(u) AS pred FROM path a JOIN edge ON a.node = u JOIN path b ON b.node = v AND b.site = a.site AND a.dist + w = b.dist AND b.dist > 0 GROUP BY ALL),
+ZONE_FLOWS = ZONED.replace("WITH site", "WITH RECURSIVE site", 1) + PRED + """,
 walk AS (SELECT scenario, (pixel + 5) % 11 AS walk_zone, site, entry AS node, sum(1 + pixel % 3) AS young, sum(1 + pixel % 2) AS old FROM driven GROUP BY ALL
 UNION ALL SELECT scenario, walk_zone, walk.site, pred, young, old FROM walk JOIN pred ON pred.site = walk.site AND pred.node = walk.node)
 """
@@ -149,9 +164,9 @@ def zone_assignment(spark, sf_dir):
 @query("zone_traffic", ZONE_FLOWS + "SELECT scenario, walk_zone, walk.node AS u, pred AS v, CAST(sum(young) AS BIGINT) AS young, CAST(sum(old) AS BIGINT) AS old FROM walk JOIN pred ON pred.site = walk.site AND pred.node = walk.node GROUP BY ALL")
 def zone_traffic(spark, sf_dir):
     """Traffic on edges by scenario, age and the walk zone that it comes from."""
-    reached = paths(spark, sf_dir)
+    reached, preds = ways(spark, sf_dir)
     rows = driven(spark, sf_dir, reached).select("scenario", ((F.col("pixel") + 5) % 11).alias("walk_zone"), "site", F.col("entry").alias("node"), (F.col("pixel") % 3 + 1).alias("young"), (F.col("pixel") % 2 + 1).alias("old"))
-    return N.edge_traffic(rows, N.predecessors(reached, edges(spark, sf_dir)), ["scenario", "walk_zone"], ["young", "old"])
+    return N.edge_traffic(rows, preds, ["scenario", "walk_zone"], ["young", "old"])
 
 
 @query("children_by_site", OPEN + "SELECT scenario, site, CAST(sum(pixel % 5) AS BIGINT) AS children, count(*) AS pixels FROM chosen GROUP BY ALL")
@@ -162,14 +177,14 @@ def children_by_site(spark, sf_dir):
     return by.agg(F.sum("children").alias("children"), F.count("*").alias("pixels"))
 
 
-@query("routes", PATHS.replace("WITH site", "WITH RECURSIVE site", 1) + """, pred AS MATERIALIZED (SELECT b.site, b.node, min(u) AS pred FROM path a JOIN edge ON a.node = u JOIN path b ON b.node = v AND b.site = a.site AND a.dist + w = b.dist AND b.dist > 0 GROUP BY ALL),
+@query("routes", PATHS.replace("WITH site", "WITH RECURSIVE site", 1) + PRED + """,
 way AS (SELECT site, node AS start, 0::BIGINT AS step, node, dist AS whole FROM path WHERE node % 97 = 5 UNION ALL SELECT way.site, start, step + 1, pred, whole FROM way JOIN pred ON pred.site = way.site AND pred.node = way.node)
 SELECT way.site, start, step, way.node, round((whole - dist) / 60e0, 6) AS minutes FROM way JOIN path ON path.site = way.site AND path.node = way.node""")
 def routes(spark, sf_dir):
     """The ways from some nodes to all sites, with the minutes since the start."""
-    reached = paths(spark, sf_dir)
+    reached, preds = ways(spark, sf_dir)
     starts = reached.where("node % 97 = 5").select("site", F.col("node").alias("start"))
-    out = N.routes(starts, N.predecessors(reached, edges(spark, sf_dir)), reached)
+    out = N.routes(starts, preds, reached)
     return out.select("site", "start", "step", "node", F.round(F.col("elapsed") / 60, 6).alias("minutes"))
 
 

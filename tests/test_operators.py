@@ -1,5 +1,6 @@
 """Golden values, edge cases and properties of the operators."""
 
+import collections
 import math
 
 import numpy as np
@@ -71,9 +72,10 @@ def test_dots_stay_inside_and_repeat(spark):
 
 def test_diamond_ties_and_closures(spark):
     e = spark.createDataFrame([(0, 1, 1), (0, 2, 1), (1, 3, 1), (2, 3, 1)], "u long, v long, w long")
-    paths = network.shortest_paths(spark.createDataFrame([(7, 0)], "site long, node long"), e)
+    sources = spark.createDataFrame([(7, 0)], "site long, node long")
+    paths = network.shortest_paths(sources, e)
     assert {(r.node, r.dist) for r in paths.collect()} == {(0, 0), (1, 1), (2, 1), (3, 2)}
-    preds = network.predecessors(paths, e)
+    preds = network.predecessors(paths, e, sources)
     assert {(r.node, r.pred) for r in preds.collect()} == {(1, 0), (2, 0), (3, 1)}
     demand = spark.createDataFrame([(7, 3, 5), (7, 1, 2)], "site long, node long, amount long")
     assert {(r.u, r.v, r.amount) for r in network.edge_traffic(demand, preds).collect()} == {(3, 1, 5), (1, 0, 7)}
@@ -187,13 +189,59 @@ def test_a_long_road(spark, monkeypatch):
     """Paths, routes and traffic over any number of steps."""
     monkeypatch.setattr(network, "ROUNDS", 12)
     e = spark.createDataFrame([(i, i + 1, 1) for i in range(100)], "u long, v long, w long")
-    paths = network.shortest_paths(spark.createDataFrame([(7, 0), (8, 50)], "site long, node long"), e)
+    sources = spark.createDataFrame([(7, 0), (8, 50)], "site long, node long")
+    paths = network.shortest_paths(sources, e)
     assert {(r.site, r.node, r.dist) for r in paths.collect()} == {(7, i, i) for i in range(101)} | {(8, i, i - 50) for i in range(50, 101)}
-    preds = network.predecessors(paths, e)
+    preds = network.predecessors(paths, e, sources)
     ways = network.routes(spark.createDataFrame([(7, 100), (8, 3)], "site long, start long"), preds, paths).collect()
     assert {(r.site, r.start, r.step, r.node, r.elapsed) for r in ways} == {(7, 100, i, 100 - i, i) for i in range(101)}
 
 
+def test_fractional_and_zero_weights(spark):
+    """Against Dijkstra by hand: distances, ways that end, and the traffic of all nodes."""
+    rng = np.random.default_rng(3)
+    weights = [0.0, 0.0, 0.3, 0.7, 0.9, 1e-20, 2.5]
+    rows = [(int(u), int(v), float(rng.choice(weights))) for u, v in rng.integers(0, 24, (70, 2))] + [(30, 31, 0.0), (31, 30, 0.0), (31, 32, 0.0), (32, 30, 0.0), (0, 30, 0.9)]
+    rows += [(v, u, w) for u, v, w in rows]
+    e = spark.createDataFrame(rows, "u long, v long, w double")
+    sources = spark.createDataFrame([(1, 0), (2, 5), (3, 99)], "site long, node long")
+    paths = network.shortest_paths(sources, e)
+    dist, starts = {}, {1: 0, 2: 5, 3: 99}
+    for site, start in starts.items():
+        best = {start: 0.0}
+        for _ in range(60):
+            for u, v, w in rows:
+                if u in best and best[u] + w < best.get(v, np.inf):
+                    best[v] = best[u] + w
+        dist |= {(site, n): d for n, d in best.items()}
+    assert {(r.site, r.node): r.dist for r in paths.collect()} == dist
+    preds = network.predecessors(paths, e, sources)
+    before = {(r.site, r.node): r.pred for r in preds.collect()}
+    assert set(before) == {k for k in dist if starts[k[0]] != k[1]}
+    flows = collections.Counter()
+    for site, node in dist:
+        seen, at = set(), node
+        while at != starts[site]:
+            assert at not in seen and any((u, v) == (before[site, at], at) and dist[site, u] + w == dist[site, at] for u, v, w in rows)
+            seen.add(at)
+            flows[at, before[site, at]] += 1
+            at = before[site, at]
+    demand = paths.select("site", "node", F.lit(1).alias("amount"))
+    assert {(r.u, r.v): r.amount for r in network.edge_traffic(demand, preds).collect()} == dict(flows)
+    circle = spark.createDataFrame([(1, 1, 2), (1, 2, 1)], "site long, node long, pred long")
+    with pytest.raises(ValueError, match="circle"):
+        network.edge_traffic(spark.createDataFrame([(1, 1, 1)], "site long, node long, amount long"), circle)
+    with pytest.raises(ValueError, match="circle"):
+        network.routes(spark.createDataFrame([(1, 1)], "site long, start long"), circle, spark.createDataFrame([(1, 1, 0.0), (1, 2, 0.0)], "site long, node long, dist double"))
+
+
+def test_pixels_of_an_edge_with_one_end_reached(spark):
+    paths = spark.createDataFrame([(7, 0, 10.5), (7, 1, 3.25), (8, 1, 4.0)], "site long, node long, dist double")
+    snaps = spark.createDataFrame([(1, 0, 1, 0.25, 8.0, 0.5), (2, 5, 1, 0.5, 3.0, 0.0), (3, 0, 6, 0.5, 3.0, 0.0), (4, 5, 6, 0.5, 3.0, 0.0)], "pixel long, start long, end long, part double, seconds double, access double")
+    got = {tuple(r) for r in network.pixel_times(snaps, paths).select("pixel", "site", "time", "entry").collect()}
+    assert got == {(1, 7, 9.75, 1), (1, 8, 10.5, 1), (2, 7, 4.75, 1), (2, 8, 5.5, 1), (3, 7, 12.0, 0)}
+
+
 def test_zone_sites_and_walk_zones(spark):
     scenarios = spark.createDataFrame([("all", None), ("one", 1)], "scenario string, closed long")
     times = spark.createDataFrame([(p, s, float(10 * s + p), 0) for p in (1, 2, 3) for s in (1, 2)], "pixel long, site long, time double, entry long")
