@@ -1,4 +1,4 @@
-"""Spatial joins: within a radius, nearest, point in polygon, overlays of rectangles and of any polygons.
+"""Spatial joins: within a radius, nearest, point in polygon, overlays of rectangles, dissolved borders, hulls.
 
 A join by distance is an equi-join on square cells as large as the radius: the
 smaller side is copied to the nine cells around it, so each pair that can be
@@ -7,7 +7,7 @@ near enough meets once, and nothing is compared with everything.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -149,65 +149,6 @@ def polygon_area(polygons: DataFrame, polygon: str) -> DataFrame:
     return edges.groupBy(polygon).agg(F.abs(F.sum((F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")) / 2)).alias("area"))
 
 
-def _touching(a: DataFrame, b: DataFrame, keys: tuple[str, str], size: float) -> DataFrame:
-    """Pairs of polygons whose boxes meet in a cell."""
-
-    def cells(edges: DataFrame, key: str) -> DataFrame:
-        box = edges.groupBy(key).agg(*[f(g(f"{c}1", f"{c}2")).alias(f"_{c}{n}") for c in "xy" for n, f, g in (("a", F.min, F.least), ("b", F.max, F.greatest))])
-        spread = lambda c: F.explode(F.sequence(geo.cell(F.col(f"_{c}a"), size), geo.cell(F.col(f"_{c}b"), size)))
-        return box.withColumn("_cx", spread("x")).withColumn("_cy", spread("y")).select(key, "_cx", "_cy")
-
-    return cells(a, keys[0]).join(cells(b, keys[1]), ["_cx", "_cy"]).select(*keys).distinct()
-
-
-def _under_all(lines: Sequence[tuple[Column, Column]], width: Column) -> Column:
-    """The integral, over a width, of the least of straight lines given by their heights at its two ends."""
-    at = lambda line, t: line[0] + (line[1] - line[0]) * t
-    low = lambda t: F.least(*[at(line, t) for line in lines])
-    turns = []
-    for i, p in enumerate(lines):
-        for q in lines[:i]:
-            d0, d1 = p[0] - q[0], p[1] - q[1]
-            turns.append(F.when(d0 * d1 < 0, d0 / (d0 - d1)))
-    # Where two lines cross, the least of them may turn.
-    stops = F.array_sort(F.array_compact(F.array(F.lit(0.0), F.lit(1.0), *turns)))
-    spans = F.zip_with(F.slice(stops, 1, F.size(stops) - 1), F.slice(stops, 2, F.size(stops) - 1), lambda s, t: (t - s) * (low(s) + low(t)) / 2)
-    return width * F.aggregate(spans, F.lit(0.0), lambda total, x: total + x)
-
-
-def shared_area(layers: Sequence[tuple[DataFrame, str]], size: float) -> DataFrame:
-    """The keys of polygons of two or three layers that overlap, and `area`, that of what they share.
-
-    A layer is (edges, key). Polygons are of any shape, with holes that turn
-    the other way. A polygon is the sum of what is under its edges, of the upper
-    ones less the lower ones, so the area that several share is a sum over their
-    edges of what is under all of them.
-    """
-    keys = [key for _, key in layers]
-    pairs = None
-    for i in range(len(layers)):
-        for j in range(i):
-            met = _touching(layers[j][0], layers[i][0], (keys[j], keys[i]), size)
-            pairs = met if pairs is None else pairs.join(met, [k for k in (keys[j], keys[i]) if k in pairs.columns])
-    out = pairs
-    for n, (edges, key) in enumerate(layers):
-        sided = edges.where("x1 != x2").select(
-            key, F.least("x1", "x2").alias(f"_l{n}"), F.greatest("x1", "x2").alias(f"_r{n}"), F.when(F.col("x1") < F.col("x2"), F.col("y1")).otherwise(F.col("y2")).alias(f"_a{n}"),
-            F.when(F.col("x1") < F.col("x2"), F.col("y2")).otherwise(F.col("y1")).alias(f"_b{n}"), F.when(F.col("x1") > F.col("x2"), 1).otherwise(-1).alias(f"_s{n}"),
-        )
-        out = out.join(sided, key)
-        if n:
-            out = out.where((F.col(f"_l{n}") < F.col("_right")) & (F.col(f"_r{n}") > F.col("_left")))
-            out = out.withColumn("_left", F.greatest("_left", f"_l{n}")).withColumn("_right", F.least("_right", f"_r{n}")).withColumn("_sign", F.col("_sign") * F.col(f"_s{n}"))
-        else:
-            out = out.withColumn("_left", F.col("_l0")).withColumn("_right", F.col("_r0")).withColumn("_sign", F.col("_s0"))
-    height = lambda n, x: F.col(f"_a{n}") + (F.col(f"_b{n}") - F.col(f"_a{n}")) * (F.col(x) - F.col(f"_l{n}")) / (F.col(f"_r{n}") - F.col(f"_l{n}"))
-    lines = [(height(n, "_left"), height(n, "_right")) for n in range(len(layers))]
-    sums = out.where("_left < _right").groupBy(*keys).agg(F.sum(F.col("_sign") * _under_all(lines, F.col("_right") - F.col("_left"))).alias("area"))
-    # The turn of each polygon decides the sign; what is left of pairs that only touch is rounding.
-    return sums.withColumn("area", F.abs("area")).where("area > 1e-6")
-
-
 def dissolved(edges: DataFrame, label: str) -> DataFrame:
     """The border of each label's polygons, which share whole edges and do not overlap: the edges that only one of them has."""
     ends = F.when(F.struct("x1", "y1") < F.struct("x2", "y2"), F.array("x1", "y1", "x2", "y2")).otherwise(F.array("x2", "y2", "x1", "y1"))
@@ -248,26 +189,3 @@ def convex_hull(points: DataFrame, key: str) -> DataFrame:
     schema = f"`{key}` {kind}, corner long, x double, y double"
     some = points.select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where(f"`{key}` IS NOT NULL")
     return some.mapInPandas(parts, schema).groupBy(key).applyInPandas(corners, schema)
-
-
-def union_area(boxes: DataFrame, key: str, size: float) -> DataFrame:
-    """key and the area covered by its rectangles (x1, y1, x2, y2), which may overlap: cell by cell, by slabs between their sides."""
-    spread = lambda c: F.explode(F.sequence(geo.cell(F.col(f"{c}1"), size), geo.cell(F.col(f"{c}2"), size)))
-    cells = boxes.select(key, "x1", "y1", "x2", "y2").withColumn("_cx", spread("x")).withColumn("_cy", spread("y"))
-    for c in "xy":
-        cells = cells.withColumn(f"{c}1", F.greatest(F.col(f"{c}1"), F.col(f"_c{c}") * size)).withColumn(f"{c}2", F.least(F.col(f"{c}2"), (F.col(f"_c{c}") + 1) * size))
-    cells = cells.where("x1 < x2 AND y1 < y2").distinct()
-
-    def covered(rows: pd.DataFrame) -> pd.DataFrame:
-        b, area = rows[["x1", "y1", "x2", "y2"]].to_numpy(float), 0.0
-        b = b[np.argsort(b[:, 1], kind="stable")]
-        xs = np.unique(b[:, [0, 2]])
-        for left, right in zip(xs[:-1], xs[1:], strict=True):
-            s = b[(b[:, 0] <= left) & (b[:, 2] >= right)]
-            reach = np.maximum.accumulate(s[:, 3]) if len(s) else s[:, 3]
-            before = np.concatenate([[-np.inf], reach[:-1]]) if len(s) else reach
-            area += (right - left) * np.maximum(s[:, 3] - np.maximum(s[:, 1], before), 0).sum()
-        return pd.DataFrame({key: [rows[key].iloc[0]], "area": [area]})
-
-    kind = boxes.schema[key].dataType.simpleString()
-    return cells.groupBy(key, "_cx", "_cy").applyInPandas(covered, f"`{key}` {kind}, area double").groupBy(key).agg(F.sum("area").alias("area"))

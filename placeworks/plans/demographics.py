@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import flood_class
 from ..operators import interpolate as I
-from ..operators import profile, spatial, tables
+from ..operators import profile, shapes, spatial, tables, voronoi
 from ..operators.cut import cut
 from .adapters import entity, sql
 from .registry import query
 
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 CELL = 1000.0
+#: The cells in which shapes meet.
+SIDE = 500.0
 
 COUNTED = sql("block_group", "zone", "parcel") + """, census AS (SELECT CAST(c_nationkey AS BIGINT) AS bg, count(*) AS population, CAST(count_if(c_mktsegment = 'AUTOMOBILE') AS BIGINT) AS a, CAST(count_if(c_mktsegment = 'BUILDING') AS BIGINT) AS b,
   round(avg(c_acctbal), 4) AS income FROM customer GROUP BY 1),
@@ -266,16 +268,91 @@ def _of_shape(*boxes: str) -> str:
 @query("polygon_overlay", sql("block_group", "zone") + f"SELECT zone, bg, round(area, 4) AS area FROM (SELECT zone, bg, {_of_shape('g')} AS area FROM zone z, block_group g) WHERE area > 0")
 def polygon_overlay(spark, sf_dir):
     """The parts of block groups in zones of any shape."""
-    met = spatial.shared_area([(shaped(entity(spark, sf_dir, "zone")), "zone"), (boxed(entity(spark, sf_dir, "block_group"), "bg"), "bg")], CELL)
+    met = shapes.shared_area([(shaped(entity(spark, sf_dir, "zone")), "zone"), (boxed(entity(spark, sf_dir, "block_group"), "bg"), "bg")], SIDE)
     return met.select("zone", "bg", F.round("area", 4).alias("area"))
 
 
+def fragment_trapezoids(spark, sf_dir):
+    zones, groups = shapes.trapezoids(shaped(entity(spark, sf_dir, "zone")), "zone", SIDE), shapes.trapezoids(boxed(entity(spark, sf_dir, "block_group"), "bg"), "bg", SIDE)
+    return shapes.intersect(zones, groups, ["zone"], ["bg"], SIDE)
+
+
+#: The two rectangles that the outer ring of a shaped zone is made of.
+_RECTANGLES = "(SELECT zone, x1, y1, x2, (y1 + y2) / 2 AS y2 FROM zone UNION ALL SELECT zone, x1, (y1 + y2) / 2, (x1 + x2) / 2, y2 FROM zone)"
+
+
+@query("polygon_fragments", sql("block_group", "zone") + f"""SELECT zone, bg, round(any_value(area), 4) AS area, min(greatest(w.x1, g.x1)) AS x_min, max(least(w.x2, g.x2)) AS x_max, min(greatest(w.y1, g.y1)) AS y_min, max(least(w.y2, g.y2)) AS y_max
+FROM (SELECT zone, bg, {_of_shape('g')} AS area FROM zone z, block_group g) JOIN {_RECTANGLES} w USING (zone) JOIN block_group g USING (bg) WHERE area > 0 AND w.x1 < g.x2 AND w.x2 > g.x1 AND w.y1 < g.y2 AND w.y2 > g.y1 GROUP BY ALL""")
+def polygon_fragments(spark, sf_dir):
+    """The parts of block groups in zones as rings: their area by the corners, and their extent."""
+    parts = shapes.rings(shapes.outline(fragment_trapezoids(spark, sf_dir), ["zone", "bg"]), ["zone", "bg"])
+    return told(parts, ["zone", "bg"])
+
+
+def _coordinate(corners, c):
+    return F.transform(corners, lambda p: p[c])
+
+
+def told(parts, keys):
+    corners = F.flatten("rings")
+    ends = {f"{c}_{n}": f(_coordinate(corners, c)) for c in "xy" for n, f in (("min", F.array_min), ("max", F.array_max))}
+    return parts.select(*keys, F.round(shapes.ring_area(F.col("rings")), 4).alias("area"), *(e.alias(n) for n, e in ends.items()))
+
+
+@query("parcel_clip", sql("zone", "parcel") + f"SELECT zone, parcel, round(area, 4) AS area FROM (SELECT zone, parcel, {_of_shape('p')} AS area FROM zone z JOIN parcel p ON p.x1 < z.x2 AND p.x2 > z.x1 AND p.y1 < z.y2 AND p.y2 > z.y1) WHERE area > 0")
+def parcel_clip(spark, sf_dir):
+    """Parcels cut to zones with corners and holes, as rings."""
+    zones = shapes.trapezoids(shaped(entity(spark, sf_dir, "zone")), "zone", SIDE)
+    met = shapes.intersect(zones, shapes.box_trapezoids(entity(spark, sf_dir, "parcel"), "parcel"), ["zone"], ["parcel"], SIDE)
+    return told(shapes.rings(shapes.outline(met, ["zone", "parcel"]), ["zone", "parcel"]), ["zone", "parcel"]).select("zone", "parcel", "area")
+
+
+@query("valid_faces", sql("parcel") + "SELECT parcel, 2 AS n_rings, round((x2 - x1) * (y2 - y1) / 2, 4) AS area FROM parcel WHERE x2 > x1")
+def valid_faces(spark, sf_dir):
+    """Parcels whose ring was drawn across itself, as the faces that it has."""
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    ring = F.array(_xy(x1, y1), _xy(x2, y2), _xy(x2, y1), _xy(x1, y2))
+    edges = spatial.rings_to_edges(entity(spark, sf_dir, "parcel").select("parcel", F.array(ring).alias("rings")), "parcel")
+    return shapes.valid(edges, "parcel", 500.0).select("parcel", F.size("rings").alias("n_rings"), F.round(shapes.ring_area(F.col("rings")), 4).alias("area"))
+
+
+_GAP = "sqrt(pow(greatest(w.x1 - p.x2, p.x1 - w.x2, 0), 2) + pow(greatest(w.y1 - p.y2, p.y1 - w.y2, 0), 2))"
+
+
+@query("polygon_distance", sql("zone", "parcel") + f"SELECT zone, parcel, round(min({_GAP}), 6) AS distance FROM {_RECTANGLES} w JOIN parcel p ON {_GAP} <= 150 GROUP BY ALL")
+def polygon_distance(spark, sf_dir):
+    """Parcels in a buffer of 150 m of zones with a corner cut out, with their distance."""
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    xm, ym = (x1 + x2) / 2, (y1 + y2) / 2
+    ring = F.array(_xy(x1, y1), _xy(x2, y1), _xy(x2, ym), _xy(xm, ym), _xy(xm, y2), _xy(x1, y2))
+    zones = spatial.rings_to_edges(entity(spark, sf_dir, "zone").select("zone", F.array(ring).alias("rings")), "zone")
+    met = shapes.polygon_distance(zones, boxed(entity(spark, sf_dir, "parcel"), "parcel"), "zone", "parcel", 150.0, SIDE)
+    return met.select("zone", "parcel", F.round("distance", 6).alias("distance"))
+
+
+#: A point's own zone goes by the nearest facility; a quarter of the district's square is cut off.
+DISTRICT = ("dx >= 1000 AND dx <= 9000 AND dy >= 1000 AND dy <= 9000 AND NOT (dx > 5000 AND dy > 5000)", [(1000, 1000), (9000, 1000), (9000, 5000), (5000, 5000), (5000, 9000), (1000, 9000)])
+
+
+@query("nearest_zone_rings", sql("facility", "development") + f"""SELECT kind, count(*) AS n, CAST(sum(units) AS BIGINT) AS units FROM (SELECT units, kind FROM (SELECT development, units, x + 0.137e0 AS dx, y + 0.291e0 AS dy FROM development) d, facility
+WHERE {DISTRICT[0]} QUALIFY row_number() OVER (PARTITION BY development ORDER BY (x - dx) * (x - dx) + (y - dy) * (y - dy)) = 1) GROUP BY kind""")
+def nearest_zone_rings(spark, sf_dir):
+    """Developments in the zones, as polygons, of the kind of the nearest facility, inside a district."""
+    points = entity(spark, sf_dir, "facility").select("facility", "kind", "x", "y")
+    district = spark.createDataFrame([(0, [[{"x": float(x), "y": float(y)} for x, y in DISTRICT[1]]])], f"d int, {shapes.RINGS}")
+    zones = voronoi.nearest_zones(points, "facility", "kind", spatial.rings_to_edges(district, "d"), (0.0, 0.0, 10010.0, 10010.0), 500.0, SIDE)
+    places = entity(spark, sf_dir, "development").select("development", "units", (F.col("x") + 0.137).alias("x"), (F.col("y") + 0.291).alias("y"))
+    held = spatial.point_in_polygon(places, spatial.rings_to_edges(zones, "kind"), "development", "kind")
+    return held.join(places, "development").groupBy("kind").agg(F.count("*").alias("n"), F.sum("units").alias("units"))
+
+
 @query("polygon_residential", sql("block_group", "zone", "parcel") + f"""SELECT zone, bg, round(sum(area), 3) AS residential FROM (SELECT zone, bg, {_of_shape('g', 'p')} AS area FROM zone z JOIN block_group g ON z.x1 < g.x2 AND z.x2 > g.x1 AND z.y1 < g.y2 AND z.y2 > g.y1
 JOIN parcel p ON p.x1 < g.x2 AND p.x2 > g.x1 AND p.y1 < g.y2 AND p.y2 > g.y1 AND p.x1 < z.x2 AND p.x2 > z.x1 AND p.y1 < z.y2 AND p.y2 > z.y1 WHERE coalesce(luc, '') SIMILAR TO '(100|110|120|630|EXHA|EXED).*') GROUP BY ALL HAVING sum(area) > 0""")
 def polygon_residential(spark, sf_dir):
     """The area of homes in each part of a block group in a zone, all of any shape."""
-    layers = [(shaped(entity(spark, sf_dir, "zone")), "zone"), (boxed(entity(spark, sf_dir, "block_group"), "bg"), "bg"), (boxed(homes(spark, sf_dir), "parcel"), "parcel")]
-    return spatial.shared_area(layers, CELL).groupBy("zone", "bg").agg(F.round(F.sum("area"), 3).alias("residential"))
+    parts = fragment_trapezoids(spark, sf_dir)
+    met = shapes.intersect(parts, shapes.box_trapezoids(homes(spark, sf_dir), "parcel"), ["zone", "bg"], ["parcel"], SIDE)
+    return met.groupBy("zone", "bg").agg(F.round(F.sum(shapes.area_of()), 3).alias("residential"))
 
 
 @query("polygon_points", sql("facility", "zone") + """SELECT facility, zone FROM facility JOIN zone ON x >= x1 AND x < x2 AND y >= y1 AND y < y2
@@ -296,22 +373,25 @@ def dissolved_zones(spark, sf_dir):
     return border.groupBy("label").agg(area.alias("area"), F.round(F.sum(length), 4).alias("border"))
 
 
-@query("union_area", """WITH s AS (SELECT s_suppkey % 4 AS k, CAST((s_suppkey * 7919 + 19) % 10007 AS DOUBLE) AS x, CAST((s_suppkey * 104729 + 23) % 10009 AS DOUBLE) AS y FROM supplier WHERE s_suppkey < 60), b AS (SELECT k, x AS x1, y AS y1, x + 1500 AS x2, y + 900 AS y2 FROM s),
-xs AS (SELECT k, x, lead(x) OVER (PARTITION BY k ORDER BY x) AS nx FROM (SELECT DISTINCT k, unnest([x1, x2]) AS x FROM b)), ys AS (SELECT k, y, lead(y) OVER (PARTITION BY k ORDER BY y) AS ny FROM (SELECT DISTINCT k, unnest([y1, y2]) AS y FROM b))
-SELECT k, round(sum((nx - x) * (ny - y)), 4) AS area FROM xs JOIN ys USING (k) WHERE EXISTS (SELECT 1 FROM b WHERE b.k = xs.k AND x1 <= x AND x2 >= nx AND y1 <= y AND y2 >= ny) GROUP BY k""")
+@query("union_area", """WITH s AS (SELECT s_suppkey % 4 AS k, CAST((s_suppkey * 7919 + 19) % 10007 AS DOUBLE) AS x, CAST((s_suppkey * 104729 + 23) % 10009 AS DOUBLE) AS y FROM supplier),
+b AS (SELECT k, x AS x1, y AS y1, x + 1500 AS x2, y + 300 AS y2 FROM s UNION ALL SELECT k, x, y, x + 400, y + 900 FROM s),
+xs AS (SELECT k, x, lead(x) OVER (PARTITION BY k ORDER BY x) AS nx FROM (SELECT DISTINCT k, unnest([x1, x2]) AS x FROM b)), ys AS (SELECT k, y, lead(y) OVER (PARTITION BY k ORDER BY y) AS ny FROM (SELECT DISTINCT k, unnest([y1, y2]) AS y FROM b)),
+hit AS (SELECT DISTINCT xs.k, x, nx, y, ny FROM xs JOIN b ON b.k = xs.k AND x1 <= x AND x2 >= nx JOIN ys ON ys.k = xs.k AND y1 <= y AND y2 >= ny) SELECT k, round(sum((nx - x) * (ny - y)), 4) AS area FROM hit GROUP BY k""")
 def union_area(spark, sf_dir):
-    """The area that overlapping boxes cover together."""
-    rows = entity(spark, sf_dir, "station").where("station < 60")
-    boxes = rows.select((F.col("station") % 4).alias("k"), F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + 1500).alias("x2"), (F.col("y") + 900).alias("y2"))
-    return spatial.union_area(boxes, "k", 1000.0).withColumn("area", F.round("area", 4))
+    """The area that overlapping shapes with a corner cut out cover together, by the rings of their union."""
+    x, y = F.col("x"), F.col("y")
+    ring = F.array(*[_xy(x + a, y + b) for a, b in ((0, 0), (1500, 0), (1500, 300), (400, 300), (400, 900), (0, 900))])
+    rows = entity(spark, sf_dir, "station").select("station", F.array(ring).alias("rings"))
+    edges = spatial.rings_to_edges(rows, "station").withColumn("k", F.col("station") % 4)
+    return shapes.union(edges, "station", "k", 1000.0).select("k", F.round(shapes.ring_area(F.col("rings")), 4).alias("area"))
 
 
-@query("hull_area", sql("facility") + """, p AS (SELECT DISTINCT nation AS k, x, y FROM facility WHERE facility < 400), e AS (SELECT a.k, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM p a JOIN p b ON a.k = b.k AND (a.x, a.y) != (b.x, b.y)
+@query("hull_area", sql("facility") + """, p AS (SELECT DISTINCT nation AS k, x, y FROM facility), e AS (SELECT a.k, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM p a JOIN p b ON a.k = b.k AND (a.x, a.y) != (b.x, b.y)
 WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.k = a.k AND ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0
 OR (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) = 0 AND ((c.x - b.x) * (b.x - a.x) + (c.y - b.y) * (b.y - a.y) > 0 OR (c.x - a.x) * (b.x - a.x) + (c.y - a.y) * (b.y - a.y) < 0)))) SELECT k, round(sum(x1 * y2 - x2 * y1) / 2, 4) AS area FROM e GROUP BY k HAVING count(*) > 2""")
 def hull_area(spark, sf_dir):
     """The area of the hull around each nation's facilities."""
-    points = entity(spark, sf_dir, "facility").where("facility < 400").select(F.col("nation").alias("k"), "x", "y")
+    points = entity(spark, sf_dir, "facility").select(F.col("nation").alias("k"), "x", "y")
     w = Window.partitionBy("k").orderBy("corner")
     corners = spatial.convex_hull(points, "k")
     nx, ny = (F.coalesce(F.lead(c).over(w), F.first(c).over(w)) for c in ("x", "y"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from placeworks.functions import clean, geo
-from placeworks.operators import choice, exposure, interpolate, network, profile, proximity, spatial, tables
+from placeworks.operators import choice, exposure, interpolate, network, profile, proximity, shapes, spatial, tables
 from placeworks.sources import readers, sinks
 
 
@@ -141,7 +141,7 @@ def test_shared_areas_of_any_shape(spark):
     """An L and a square with a hole share 7; tilted shapes against a fine grid of points; three layers."""
     edges = lambda rows, key: spatial.rings_to_edges(spark.createDataFrame(rows, f"{key} long, rings array<array<struct<x:double,y:double>>>"), key)
     ell, square = [ring((0, 0), (6, 0), (6, 2), (2, 2), (2, 6), (0, 6))], [ring((1, 1), (5, 1), (5, 5), (1, 5)), ring((2, 2), (2, 4), (4, 4), (4, 2))]
-    met = spatial.shared_area([(edges([(1, ell)], "a"), "a"), (edges([(2, square)], "b"), "b")], 2.0).collect()
+    met = shapes.shared_area([(edges([(1, ell)], "a"), "a"), (edges([(2, square)], "b"), "b")], 2.0).collect()
     assert [(r.a, r.b) for r in met] == [(1, 2)] and met[0].area == pytest.approx(7.0)
     star, kite = [ring((0, 3), (2, 2), (3, 0), (4, 2), (6, 3), (4, 4), (3, 6), (2, 4))], [ring((1, 0), (5, 2), (6, 6), (0, 4))]
     a, b, c = edges([(1, star), (2, ell)], "a"), edges([(1, kite)], "b"), edges([(1, square), (9, [ring((50, 50), (51, 50), (51, 51))])], "c")
@@ -156,9 +156,9 @@ def test_shared_areas_of_any_shape(spark):
                     odd ^= ((y1 > g[:, 1]) != (y2 > g[:, 1])) & (g[:, 0] < (x2 - x1) * (g[:, 1] - y1) / (y2 - y1) + x1)
         return odd
 
-    two = {(r.a, r.b): r.area for r in spatial.shared_area([(a, "a"), (b, "b")], 2.5).collect()}
+    two = {(r.a, r.b): r.area for r in shapes.shared_area([(a, "a"), (b, "b")], 2.5).collect()}
     assert two == pytest.approx({(i, 1): (inside(p) & inside(kite)).sum() / 1e4 for i, p in ((1, star), (2, ell))}, rel=0.01)
-    three = {(r.a, r.b, r.c): r.area for r in spatial.shared_area([(a, "a"), (b, "b"), (c, "c")], 2.5).collect()}
+    three = {(r.a, r.b, r.c): r.area for r in shapes.shared_area([(a, "a"), (b, "b"), (c, "c")], 2.5).collect()}
     assert three == pytest.approx({(i, 1, 1): (inside(p) & inside(kite) & inside(square)).sum() / 1e4 for i, p in ((1, star), (2, ell))}, rel=0.02)
     points = spark.createDataFrame([(int(i), float(x), float(y)) for i, (x, y) in enumerate(g[::97])], "point long, x double, y double")
     for size in (0.7, 2.5, 100.0):
@@ -166,7 +166,7 @@ def test_shared_areas_of_any_shape(spark):
         assert found == {(int(i), k) for k, p in ((1, star), (2, ell)) for i in np.flatnonzero(inside(p)[::97])}
 
 
-def test_hulls_and_unions(spark):
+def test_hulls(spark):
     rng = np.random.default_rng(5)
     points = [(1, float(x), float(y)) for x, y in rng.normal(size=(200, 2))] + [(2, 0.0, 0.0), (2, 1.0, 1.0)]
     corners = {k: [(r.x, r.y) for r in rows] for k in (1, 2) for rows in [sorted((r for r in spatial.convex_hull(spark.createDataFrame(points, "k long, x double, y double"), "k").collect() if r.k == k), key=lambda r: r.corner)]}
@@ -174,8 +174,6 @@ def test_hulls_and_unions(spark):
     for p, q in zip(corners[1], corners[1][1:] + corners[1][:1], strict=True):
         assert ((q[0] - p[0]) * (xy[:, 1] - p[1]) - (q[1] - p[1]) * (xy[:, 0] - p[0]) > -1e-12).all()
     assert corners[2] == [(0.0, 0.0), (1.0, 1.0)]
-    boxes = spark.createDataFrame([(1, 0.0, 0.0, 4.0, 4.0), (1, 2.0, 2.0, 6.0, 3.0), (1, 2.0, 2.0, 6.0, 3.0), (1, 10.0, 0.0, 11.0, 1.0)], "k long, x1 double, y1 double, x2 double, y2 double")
-    assert spatial.union_area(boxes, "k", 1.5).first().area == pytest.approx(16 + 2 + 1)
 
 
 def test_headings_and_places_over_many_ranges(spark):
