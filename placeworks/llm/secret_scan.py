@@ -31,9 +31,8 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 LEAST_CHARS = 16
 CONTEXT = re.compile(r"(?:password|passwd|secret|token|api_?key|access_?key|private_?key|credential|auth|bearer|signature)", re.I | re.A)
-NAME = re.compile(CONTEXT.pattern + r"[A-Za-z]*[_/-]+", re.I | re.A)
-JOINS = re.compile(r"[_/-]")
-CONTEXT_CHARS, AROUND = 48, 400
+JOINS, DIGIT = "_/-", re.compile(r"[0-9]")
+LONGEST_WORD, CONTEXT_CHARS, AROUND = 12, 48, 400
 #: Compressed bytes added per character from which a string counts as novel:
 #: random base64 costs 0.75 to 0.9, hexadecimal 0.5 to 0.6, identifiers under 0.4.
 NOVELTY = 0.5
@@ -75,6 +74,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _value(text: str, start: int, end: int) -> int | None:
+    """Where the value starts in a candidate that is a sensitive name and its value, joined by a character of both; None if it is not.
+
+    No digit stands before the name's end, and no joining character in the
+    value, or it would be a longer name. So the name ends with the last joining
+    character, and is looked for from there, in one pass.
+    """
+    value = max(text.rfind(c, start, end) for c in JOINS) + 1
+    if value <= start or DIGIT.search(text, start, value):
+        return None
+    name = text[start:value].rstrip(JOINS)
+    # The sensitive word may end anywhere in the letters before the joining character.
+    letters, at = len(name), len(name) - 1
+    while at >= 0 and name[at].isascii() and name[at].isalpha():
+        letters, at = at, at - 1
+    return value if any(m.end() >= letters for m in CONTEXT.finditer(name, max(0, letters - LONGEST_WORD))) else None
+
+
 class Novelty:
     """Marginal compressed bytes of a string in its surroundings."""
 
@@ -94,12 +111,8 @@ class Novelty:
         for m in CANDIDATE.finditer(text):
             start, end = m.span()
             told = CONTEXT.search(text, max(0, start - CONTEXT_CHARS), start)
-            # A name in front of its value, joined to it by a character of both: no digit stands before the name's end,
-            # and no such character in the value, or it would be a longer name.
-            for name in NAME.finditer(text, start, end):
-                if not any(c.isdigit() for c in text[start : name.end()]) and not JOINS.search(text, name.end(), end):
-                    told, start = name, name.end()
-                    break
+            if (value := _value(text, start, end)) is not None:
+                told, start = True, value
             s = text[start:end]
             if told and len(s) >= LEAST_CHARS and any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and self.of(text, start, end) >= NOVELTY:
                 out.append((start, end))
