@@ -6,7 +6,9 @@ content, and the least density on its way up to the body is the threshold that
 other elements must reach to count as content too. Elements that are never
 article text by their tag, role or visibility are left out before. Names only
 weigh: what an element called like page furniture holds counts for a tenth in
-the choice, and it is left out unless the content is inside it.
+the choice, and it is left out unless the content is inside it. What an article
+or the main part holds is preferred to denser text outside, comments are left
+out where there are other paragraphs, and a form unless it is the page.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import math
 import re
 from bisect import bisect_right
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,7 +31,7 @@ from . import textops as T
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 DROPPED = frozenset(
-    "script style textarea title iframe noembed noframes xmp head nav footer aside form button select option input noscript template svg math canvas object audio video dialog menu map datalist".split()
+    "script style textarea title iframe noembed noframes xmp head nav footer aside button select option input noscript template svg math canvas object audio video dialog menu map datalist".split()
 )
 BLOCKS = frozenset(
     """address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6
@@ -43,8 +45,12 @@ FURNITURE = frozenset(
     overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist
     reply replies respond disqus discussion toolbar pagination pager copyright banner skip outbrain taboola""".split()
 )
+#: Those of them that tell what readers wrote.
+COMMENTS = frozenset("comment comments commentlist reply replies respond disqus discussion".split())
 #: What the density inside an element with such a name counts for.
 FURNITURE_WEIGHT = 0.1
+#: The part of all text outside of them that the text of an article, or of a form that is the page, has at least.
+ARTICLE_SHARE, FORM_SHARE = 0.2, 1.0
 HEADERS = frozenset("header site-header page-header main-header top-header".split())
 NEGATIONS = frozenset("no has with without is not".split())
 SAFE = frozenset("html body article main".split())
@@ -60,20 +66,21 @@ TAG = re.compile(r"""<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<odd>[!?][^>]*+(?:>|\Z
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?(?=[\s/>]|$)""", re.I)
 
 
-def _told(rest: str, tag: str) -> tuple[bool, bool]:
-    """Whether attributes say that an element is no article text, and whether its name is one of page furniture."""
-    named = False
+def _told(rest: str, tag: str) -> tuple[bool, bool, bool]:
+    """Whether attributes say that an element is no article text, and whether its name is one of page furniture, of comments among it."""
+    named = comments = False
     for name, value in ATTRIBUTE.findall(" " + rest.rstrip(">")):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True, False
+            return True, False, False
         if name == "role" and value in ROLES:
-            return True, False
+            return True, False, False
         if name in ("class", "id") and tag not in SAFE:
             for word in value.split():
                 parts = re.split(r"[-_:]+", word)
                 named |= word in HEADERS or parts[0] not in NEGATIONS and not FURNITURE.isdisjoint(parts)
-    return False, named
+                comments |= parts[0] not in NEGATIONS and not COMMENTS.isdisjoint(parts)
+    return False, named, comments
 
 
 class Page:
@@ -81,6 +88,7 @@ class Page:
 
     def __init__(self, source: str):
         self.tag, self.parent, self.out, self.named, self.last = ["#root"], [-1], [False], [False], [0]
+        self.comments: list[int] = []
         self.events: list[tuple[int, str | None]] = []  # text of an element, or None where a block begins or ends
         self.stack = [0]
         #: Where in the stack each tag is open, so that no tag walks the stack.
@@ -135,8 +143,10 @@ class Page:
             self._pop_to(*CLOSES[name])
         top = self.stack[-1]
         outside = name == "header" and not (self.open.get("article") or self.open.get("main"))
-        never, named = _told(rest, name)
+        never, named, comments = _told(rest, name)
         i = len(self.tag)
+        if comments:
+            self.comments.append(i)
         self.tag.append(name)
         self.parent.append(top)
         self.out.append(self.out[top] or name in DROPPED or outside or never)
@@ -154,6 +164,58 @@ class Page:
         # A stray end tag must not close the page around it.
         self._pop_to((name,), ("body",) if name in ("p", "div", "span", "b", "i", "a", "li") else ())
 
+    def _leave_out(self, some: Iterable[int]) -> None:
+        for i in some:
+            self.out[i] = True
+        for i in range(1, len(self.tag)):
+            self.out[i] = self.out[i] or self.out[self.parent[i]]
+
+    def _masses(self) -> tuple[Callable[[int], int], Callable[[int], int]]:
+        """Of an element: the characters of its text, less those of links, and those of them in paragraphs; without what is left out."""
+        n = len(self.tag)
+        plain, told = [0] * (n + 1), [0] * (n + 1)
+        linked, within = [False] * n, [False] * n
+        for i in range(1, n):
+            linked[i] = self.tag[i] == "a" or linked[self.parent[i]]
+            within[i] = self.tag[i] == "p" or within[self.parent[i]]
+        for i, text in self.events:
+            if text is not None and not self.out[i] and not linked[i]:
+                size = len(" ".join(text.split()))
+                plain[i + 1] += size
+                told[i + 1] += size * within[i]
+        for sums in (plain, told):
+            for i in range(n):
+                sums[i + 1] += sums[i]
+        return (lambda i: plain[self.last[i]] - plain[i]), (lambda i: told[self.last[i]] - told[i])
+
+    def _sort_out(self) -> None:
+        """Leaves out forms, but for one that holds most of the page, and comments, where there are paragraphs beside them."""
+        if forms := [i for i, t in enumerate(self.tag) if t == "form" and not self.out[i]]:
+            mass, _ = self._masses()
+            whole = mass(0)
+            self._leave_out(i for i in forms if mass(i) <= FORM_SHARE * (whole - mass(i)))
+        if self.comments:
+            _, told = self._masses()
+            outer: list[int] = []
+            for i in self.comments:
+                if not outer or i >= self.last[outer[-1]]:
+                    outer.append(i)
+            if told(0) > sum(told(i) for i in outer):
+                self._leave_out(outer)
+
+    def _articles(self, usable: list[int]) -> list[int]:
+        """Those of usable that are in an article, or else in the main part, if there is one of some weight that says more than links do."""
+        mass, _ = self._masses()
+        for tag in ("article", "main"):
+            tops: list[int] = []
+            for i in usable:
+                if self.tag[i] == tag and (not tops or i >= self.last[tops[-1]]):
+                    tops.append(i)
+            held = [mass(i) for i in tops]
+            if tops and max(held) > 0 and max(held) >= ARTICLE_SHARE * (mass(0) - sum(held)):
+                return [i for i in usable if (k := bisect_right(tops, i) - 1) >= 0 and i < self.last[tops[k]]]
+        return usable
+
     def densities(self) -> tuple[list[float], list[float]]:
         """Of each element: its composite text density, and the sum of its children's. Elements with names of page furniture count inside themselves alone."""
         n = len(self.tag)
@@ -186,6 +248,7 @@ class Page:
 
     def content(self) -> list[int]:
         """The elements whose whole text is content, in page order, none inside another."""
+        self._sort_out()
         density, total = self.densities()
         body = next((i for i, t in enumerate(self.tag) if t == "body"), 0)
         weight = [1.0] * len(self.tag)
@@ -194,7 +257,9 @@ class Page:
         usable = [i for i in range(body, self.last[body]) if not self.out[i]]
         if not usable:
             return []
-        best = max(usable, key=lambda i: (weight[i] * total[i], weight[i] * density[i], -i))
+        unnamed = [i for i in usable if weight[i] == 1.0]
+        inside = self._articles(unnamed)
+        best = max(usable if len(inside) == len(unnamed) else inside, key=lambda i: (weight[i] * total[i], weight[i] * density[i], -i))
         path = [best]
         while path[-1] != body and self.parent[path[-1]] >= 0:
             path.append(self.parent[path[-1]])
@@ -205,8 +270,9 @@ class Page:
             self.out[i] = self.out[i] or self.out[self.parent[i]]
         usable = [i for i in usable if not self.out[i]]
         least = min(density[i] for i in path)
+        holder = "article" if any(self.tag[i] == "article" for i in path) else "main"
         for i in path:  # what stands beside the densest part in its article is article too
-            if self.tag[i] == "article" or self.tag[i] == "main" and "article" not in (self.tag[j] for j in path):
+            if self.tag[i] == holder:
                 best = i
                 break
         else:

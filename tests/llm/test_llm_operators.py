@@ -267,6 +267,43 @@ def test_html_names_only_weigh(name):
     assert html_extract.main_text(PAGE % f'<article>{PARAGRAPH * 6}</article><div class="{name}">{PARAGRAPH * 3}</div>') == text
 
 
+SAID = "<p>Reader number %d thinks that this is a rather long comment about the article above, and says so.</p>"
+
+
+@pytest.mark.parametrize("where", ["inside", "beside", "unnamed"])
+def test_html_leaves_out_what_readers_wrote(where):
+    """An article of three paragraphs and many comments: by their name, inside the article or beside it, or outside an article without any."""
+    article, said = "".join(f"<p>{i} of the article. {PARAGRAPH[3:-4]}</p>" for i in range(3)), "".join(SAID % i for i in range(5 if where == "unnamed" else 40))
+    text = " ".join(f"{i} of the article. {PARAGRAPH[3:-4]}" for i in range(3))
+    pages = {
+        "inside": f'<article>{article}<div class="comments">{said}</div></article>',
+        "beside": f'<div>{article}</div><div class="comments">{said}</div>',
+        "unnamed": f'<article>{article}</article><section id="c-1">{said}</section>',
+    }
+    assert html_extract.main_text(f"<html><body>{pages[where]}</body></html>") == text
+
+
+def test_html_forms():
+    """A form that is the page is read, but for its fields; one beside the content is not."""
+    text = " ".join([PARAGRAPH[3:-4]] * 4)
+    fields = "<select><option>one<option>two</select><input value=x><textarea>t</textarea><button>Send</button>"
+    assert html_extract.main_text(f"<body><form action=/x>{fields}<div>{PARAGRAPH * 4}</div></form></body>") == text
+    assert html_extract.main_text(f"<body><div>{PARAGRAPH * 4}</div><form><p>Tell us what you think of it here.</p>{fields}</form></body>") == text
+    assert html_extract.main_text(f"<body><article>{PARAGRAPH * 4}<form><p>Subscribe to our letter.</p>{fields}</form></article></body>") == text
+
+
+def test_html_cards_are_no_article():
+    """Short articles that lead to other pages do not win over a long text beside them."""
+    cards = "<article><h3><a href=x>Other story</a></h3><p>A short line about it.</p></article>" * 4
+    assert html_extract.main_text(f"<body><div>{PARAGRAPH * 12}</div>{cards}</body>").startswith(PARAGRAPH[3:-4])
+
+
+def test_html_of_nested_main_is_linear():
+    began = time.process_time()
+    assert html_extract.main_text("<article>" + "<main>" * 20_000 + "<p>text").endswith("text")
+    assert time.process_time() - began < 10
+
+
 def test_html_of_any_depth_is_linear():
     began = time.process_time()
     assert html_extract.main_text("<div>" * 60_000 + "<p>text") == "text"
@@ -466,6 +503,28 @@ def test_secrets(spark, nothing):
     assert secret_scan.scan_secrets(nothing).count() == 0
 
 
+@pytest.mark.parametrize("text", ["auth_" * 200_000, "auth" * 250_000, "auth_" * 100_000 + "1", "auth-" + "ab1" * 300_000, "token" + " " * 1_000_000, "secret_" + "_" * 900_000])
+def test_secrets_of_odd_texts_are_linear(text):
+    began = time.process_time()
+    secret_scan.base_spans(text)
+    secret_scan.Novelty().spans(text)
+    assert time.process_time() - began < 3
+
+
+def test_names_in_front_of_values():
+    """The value of a name and its value, against every name in front of it."""
+    rng = random.Random(2)
+    for _ in range(20_000):
+        text = "".join(rng.choice(["auth", "token", "api_key", "key", "_", "-", "/", "ab", "x", "9", "a1", "+"]) for _ in range(rng.randint(1, 9)))
+        start = rng.randint(0, 2) if len(text) > 3 else 0
+        expected = None
+        for m in re.finditer(r"(?=((?:" + secret_scan.CONTEXT.pattern + r")[A-Za-z]*[_/-]+))", text[start:], re.I):
+            name = text[start : start + m.end(1)]
+            if not any(c.isdigit() for c in name) and not set(text[start + m.end(1) :]) & set("_/-"):
+                expected = start + m.end(1)
+        assert secret_scan._value(text, start, len(text)) == expected, text
+
+
 def test_secrets_against_plain_scans(spark):
     """The fixed patterns by plain loops, over random pieces of them; values joined to names; ordinary code."""
     rng = random.Random(23)
