@@ -31,12 +31,13 @@ def categories(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def quantiles(rows: DataFrame, value: str, by: Sequence[str] = (), probabilities: dict[str, float] = QUANTILES, digits: int = 6) -> DataFrame:
-    """Interpolated quantiles of each key, rounded, as columns of the given names; nulls are left out.
+    """Interpolated quantiles of each key, rounded, as columns of the given names; nulls and NaN are left out, and a key of nothing else has nulls.
 
     Keys of up to MANY values are aggregated as they are; where one has more,
     values_at searches for the ranks.
     """
-    rows = rows.select(*by, F.col(value).cast("double").alias("_v"))
+    number = F.col(value).cast("double")
+    rows = rows.select(*by, F.when(~F.isnan(number), number).alias("_v"))
     counts = rows.groupBy(*by).agg(F.count("_v").alias("_n"))
     if (counts.agg(F.max("_n")).first()[0] or 0) <= MANY:
         found = rows.groupBy(*by).agg(F.percentile("_v", F.array(*[F.lit(q) for q in probabilities.values()])).alias("_q"))
@@ -50,7 +51,11 @@ def quantiles(rows: DataFrame, value: str, by: Sequence[str] = (), probabilities
     same = lambda: [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
     out = wanted.join(low, [*same(), F.floor("at") == F.col("_low")]).drop(*[f"_{c}" for c in by]).join(high, [*same(), F.ceil("at") == F.col("_high")]).drop(*[f"_{c}" for c in by])
     told = F.round(F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at")), digits)
-    return out.groupBy(*by).agg(*[F.max(F.when(F.col("name") == name, told)).alias(name) for name in probabilities])
+    out = out.groupBy(*by).agg(*[F.max(F.when(F.col("name") == name, told)).alias(name) for name in probabilities])
+    if not by:
+        return out
+    every = counts.select(*[F.col(c).alias(f"_{c}") for c in by])
+    return every.join(out, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], "left").select(*[F.col(f"_{c}").alias(c) for c in by], *probabilities)
 
 
 def values_at(rows: DataFrame, value: str, by: Sequence[str], places: DataFrame) -> DataFrame:
@@ -98,7 +103,8 @@ def histogram(rows: DataFrame, value: str, low: float, high: float, bins: int =
 
 def upper_median(rows: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """The value at half the count, from 0, of the sorted values: the greater of the middle two."""
-    places = rows.groupBy(*by).agg(F.floor(F.count(value) / 2).cast("long").alias("place"))
+    number = F.col(value).cast("double")
+    places = rows.groupBy(*by).agg(F.floor(F.count_if(number.isNotNull() & ~F.isnan(number)) / 2).cast("long").alias("place"))
     return values_at(rows, value, by, places).select(*by, F.col("value").alias("median"))
 
 

@@ -42,14 +42,15 @@ def nearest(
     are searched in cells that double their size: at and site_at place both
     tables, cell is (width, height, distance), and a site that is not in the
     nine cells around a point is at least that distance away. A point that has
-    found a site as near as that is done.
+    found a site as near as that is done. A point or a site without a place is
+    near to nothing: `nearest` is null where there is no site with a distance.
     """
     columns = list(dict.fromkeys([order, *columns]))
     if sites.limit(MOST_SITES + 1).count() <= MOST_SITES:
         packed = sites.agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("_sites"))
         joined = points.crossJoin(F.broadcast(packed))  # one row, of MOST_SITES structs at most
         told = F.transform("_sites", lambda s: F.struct(distance(s).alias("distance"), *[s[c].alias(c) for c in columns]))
-        return joined.withColumn("nearest", F.array_min(told)).drop("_sites")
+        return joined.withColumn("nearest", F.array_min(F.filter(told, lambda s: s["distance"].isNotNull()))).drop("_sites")
     placed = cut(points.select(F.struct("*").alias("_row"), at[0].alias("_x"), at[1].alias("_y")).withColumn("_id", F.monotonically_increasing_id()))
     open_, done = placed.select("_id", "_row", "_x", "_y"), None
     targets = cut(sites.select(F.struct(*columns).alias("_site"), site_at[0].alias("_sx"), site_at[1].alias("_sy")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import flood_class
 from ..operators import interpolate as I
-from ..operators import profile, shapes, spatial, tables, voronoi
+from ..operators import profile, shapes, simplify, spatial, tables, voronoi
 from ..operators.cut import cut
 from .adapters import entity, sql
 from .registry import query
@@ -396,3 +396,21 @@ def hull_area(spark, sf_dir):
     corners = spatial.convex_hull(points, "k")
     nx, ny = (F.coalesce(F.lead(c).over(w), F.first(c).over(w)) for c in ("x", "y"))
     return corners.withColumn("a", F.col("x") * ny - nx * F.col("y")).groupBy("k").agg(F.round(F.sum("a") / 2, 4).alias("area"), F.count("*").alias("n")).where("n > 2").drop("n")
+
+
+@query("simplified_zones", sql("block_group") + "SELECT bg, 4 AS corners, 4000000e0 AS area FROM block_group")
+def simplified_zones(spark, sf_dir):
+    """Block groups whose sides wind by up to three metres, simplified to five: neighbours keep one border."""
+    winding = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.struct((i * 250).alias("at"), F.when(i > 0, F.pmod(i * 5, F.lit(7)) - 3).otherwise(0).alias("off")))
+    groups = entity(spark, sf_dir, "block_group").withColumn("i", winding)
+
+    def side(x, y, dx, dy, back):
+        # A side is the same line from either end: at 250, 500, ... from its lower left corner.
+        points = F.reverse("i") if back else F.col("i")
+        shift = lambda p: (F.when(p["at"] == 0, F.lit(2000)).otherwise(p["at"]) if back else p["at"]).cast("double")
+        return F.transform(points, lambda p: _xy(F.col(x) + shift(p) * dx + p["off"] * dy, F.col(y) + shift(p) * dy + p["off"] * dx))
+
+    ring = F.concat(side("x1", "y1", 1, 0, False), side("x2", "y1", 0, 1, False), F.array(_xy(F.col("x2"), F.col("y2"))), F.slice(side("x1", "y2", 1, 0, True), 1, 7), F.array(_xy(F.col("x1"), F.col("y2"))), F.slice(side("x1", "y1", 0, 1, True), 1, 7))
+    edges = spatial.rings_to_edges(groups.select("bg", F.array(ring).alias("rings")), "bg")
+    out = simplify.simplified(edges, "bg", 5.0)
+    return out.select("bg", F.size(F.element_at("rings", 1)).alias("corners"), F.round(shapes.ring_area(F.col("rings")), 4).alias("area"))

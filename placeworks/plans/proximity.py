@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import geo
+from ..functions import geo, projection
 from ..operators import proximity as P
 from ..operators import spatial, tables
 from .adapters import entity, sql
@@ -118,3 +118,21 @@ def central_reachable(spark, sf_dir):
     told = entity(spark, sf_dir, "facility").crossJoin(F.broadcast(packed)).withColumn("d", F.transform("s", miles))
     told = told.where(F.forall("d", lambda x: x <= 12)).select("facility", F.round(F.aggregate("d", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
     return told.orderBy("total", "facility").limit(1)
+
+
+# Fixed values of the series, written out: third flattening, rectifying radius times scale, coefficients.
+_SERIES = "0.0016792203863837047e0 AS n, 0.0818191908426215e0 AS e, 6367449.145823415e0 * 0.9996e0 AS r"
+_UTM_SQL = f"""SELECT site, lat, lon, sinh(atanh(sin(radians(lat))) - e * atanh(e * sin(radians(lat)))) AS t, radians(lon + 81) AS w, n, r FROM (SELECT site, site_lat AS lat, site_lon AS lon FROM site UNION ALL SELECT facility, lat, lon FROM facility), (SELECT {_SERIES})"""
+
+
+@query("utm_places", sql("site", "facility") + f""", a AS ({_UTM_SQL}), b AS (SELECT *, atan2(t, cos(w)) AS xi, atanh(sin(w) / sqrt(t * t + 1)) AS eta, n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16 + 41 * n ** 4 / 180 AS a1, 13 * n ** 2 / 48 - 3 * n ** 3 / 5 + 557 * n ** 4 / 1440 AS a2,
+61 * n ** 3 / 240 - 103 * n ** 4 / 140 AS a3, 49561 * n ** 4 / 161280 AS a4 FROM a)
+SELECT site AS place, round(500000 + r * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta) + a4 * cos(8 * xi) * sinh(8 * eta)), 3) AS easting,
+round(r * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta) + a4 * sin(8 * xi) * cosh(8 * eta)), 3) AS northing, round(lat, 9) AS lat, round(lon, 9) AS lon FROM b""")
+def utm_places(spark, sf_dir):
+    """Sites and facilities in metres of their UTM zone, and back in degrees from these."""
+    places = entity(spark, sf_dir, "site").selectExpr("site AS place", "site_lat AS lat", "site_lon AS lon").unionByName(entity(spark, sf_dir, "facility").selectExpr("facility AS place", "lat", "lon"))
+    easting, northing = projection.utm(F.col("lat"), F.col("lon"), 17)
+    metres = places.select("place", easting.alias("e"), northing.alias("n"))
+    lat, lon = projection.from_utm(F.col("e"), F.col("n"), 17)
+    return metres.select("place", F.round("e", 3).alias("easting"), F.round("n", 3).alias("northing"), F.round(lat, 9).alias("lat"), F.round(lon, 9).alias("lon"))

@@ -202,14 +202,13 @@ def numeric_stats(spark, sf_dir):
     return stats.join(profile.quantiles(rows, "v", ["event_type"], {"mid": 0.5}), "event_type")
 
 
-@query("date_stats", """SELECT min(CAST(o_orderdate AS DATE)) AS first, max(CAST(o_orderdate AS DATE)) AS last, count(*) AS n, CAST(count_if(o_orderkey % 3 = 2) AS BIGINT) AS n_years FROM orders WHERE o_orderkey % 3 != 1""")
+@query("date_stats", """SELECT o_orderpriority, min(d) AS first, max(d) AS last, count(*) AS n, CAST(count_if(o_orderkey % 3 = 2) AS BIGINT) AS n_years, count(DISTINCT d) AS n_days
+FROM (SELECT o_orderpriority, o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN CAST(o_orderdate AS DATE) ELSE make_date(year(o_orderdate), 1, 1) END AS d FROM orders WHERE o_orderkey % 3 != 1) GROUP BY o_orderpriority""")
 def date_stats(spark, sf_dir):
     """Dates told as milliseconds or as years, and texts that are neither."""
     raw = F.expr("CASE o_orderkey % 3 WHEN 0 THEN CAST(unix_millis(CAST(o_orderdate AS TIMESTAMP)) AS STRING) WHEN 1 THEN 'unknown' ELSE CAST(year(o_orderdate) AS STRING) END")
-    rows = table(spark, sf_dir, "orders").select(raw.alias("t"), "o_orderdate").withColumn("d", clean.interpreted_date(F.col("t")))
-    # A year stands for its orders' own dates here, as the SQL has it.
-    day = F.when(F.length("t") > 4, F.col("d")).otherwise(F.to_date("o_orderdate"))
-    return rows.where("d IS NOT NULL").agg(F.min(day).alias("first"), F.max(day).alias("last"), F.count("*").alias("n"), F.count_if(F.length("t") == 4).alias("n_years"))
+    rows = table(spark, sf_dir, "orders").select("o_orderpriority", raw.alias("t")).withColumn("d", clean.interpreted_date(F.col("t"))).where("d IS NOT NULL")
+    return rows.groupBy("o_orderpriority").agg(F.min("d").alias("first"), F.max("d").alias("last"), F.count("*").alias("n"), F.count_if(F.length("t") == 4).alias("n_years"), F.count_distinct("d").alias("n_days"))
 
 
 @query("quantile_scale", """SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.05), 6) AS q05, round(quantile_cont(o_totalprice, 0.25), 6) AS q25, round(quantile_cont(o_totalprice, 0.5), 6) AS q50, round(quantile_cont(o_totalprice, 0.75), 6) AS q75, round(quantile_cont(o_totalprice, 0.95), 6) AS q95 FROM orders GROUP BY 1""")

@@ -110,7 +110,7 @@ def test_quantiles_of_many_values(spark, monkeypatch):
     """The search by ranges against numpy: ties, null keys and values, skew, a key of one value."""
     rng = np.random.default_rng(2)
     data = {None: np.exp(rng.normal(0, 4, 300)), "a": rng.integers(0, 5, 400).astype(float), "b": np.full(50, 7.0), "c": np.append(rng.normal(size=200), 1e12)}
-    rows = [(k, float(v)) for k, vs in data.items() for v in vs] + [("a", None), ("d", None)]
+    rows = [(k, float(v)) for k, vs in data.items() for v in vs] + [("a", None), ("d", None), ("c", float("nan")), ("e", float("nan"))]
     df = spark.createDataFrame(rows, "k string, v double")
     plain = {r.k: (r.q05, r.q25, r.q50, r.q75, r.q95) for r in profile.quantiles(df, "v", ["k"]).collect()}
     monkeypatch.setattr(profile, "MANY", 9)
@@ -119,6 +119,7 @@ def test_quantiles_of_many_values(spark, monkeypatch):
     for k, vs in data.items():
         assert found[k] == pytest.approx(np.quantile(vs, (0.05, 0.25, 0.5, 0.75, 0.95)), rel=1e-6, abs=1e-6) == plain[k]
     assert {r.k: r.median for r in profile.upper_median(df, "v", ["k"]).collect()} == {k: sorted(vs)[len(vs) // 2] for k, vs in data.items()}
+    assert set(found) == set(plain) == {*data, "d", "e"} and found["d"] == plain["d"] == found["e"] == plain["e"] == (None,) * 5
     whole = profile.quantiles(df.where("k = 'a'"), "v", (), {"mid": 0.5}).first()
     assert whole.mid == np.median(data["a"])
 
@@ -137,6 +138,18 @@ def test_nearest_beyond_one_array(spark, monkeypatch):
         assert r.nearest.site == far.argmin() and r.nearest.distance == pytest.approx(far.min())
 
 
+@pytest.mark.parametrize("most", [1, 4096])
+def test_nearest_of_no_place(spark, monkeypatch, most):
+    """Points and sites without a place are near to nothing, however many sites there are."""
+    monkeypatch.setattr(spatial, "MOST_SITES", most)
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 0.0), (3, 50.0, None)], "point long, x double, y double")
+    sites = spark.createDataFrame([(5, None, 1.0), (6, 3.0, 4.0), (7, -9.0, 9.0)], "site long, site_x double, site_y double")
+    d = lambda t: F.sqrt(F.pow(F.col("x") - t["site_x"], 2) + F.pow(F.col("y") - t["site_y"], 2))
+    near = lambda s: {r.point: r.nearest and (r.nearest.site, r.nearest.distance) for r in spatial.nearest(points, s, d, ["site", "site_x", "site_y"], "site", (F.col("x"), F.col("y")), (F.col("site_x"), F.col("site_y")), (4.0, 4.0, 4.0)).collect()}
+    assert near(sites) == {1: (6, 5.0), 2: None, 3: None}
+    assert near(sites.where("site = 5")) == near(sites.where("site = 0")) == {1: None, 2: None, 3: None}
+
+
 def test_shared_areas_of_any_shape(spark):
     """An L and a square with a hole share 7; tilted shapes against a fine grid of points; three layers."""
     edges = lambda rows, key: spatial.rings_to_edges(spark.createDataFrame(rows, f"{key} long, rings array<array<struct<x:double,y:double>>>"), key)

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from placeworks.operators import shapes, spatial, voronoi
+from placeworks.functions import projection
+from placeworks.operators import shapes, simplify, spatial, voronoi
 
 SCHEMA = "k long, rings array<array<struct<x:double,y:double>>>"
 ELL = [(0, 0), (6, 0), (6, 2), (2, 2), (2, 6), (0, 6)]
@@ -148,3 +149,48 @@ def test_nearest_zones_are_a_partition(spark, kind):
     within = inside([district], g)
     for label, rings in zones.items():
         assert (inside(rings, g) == (within & (nearest % 4 == int(label[1])))).all()
+
+
+def test_simplified_neighbours_share_their_border(spark):
+    """Three winding neighbours and an island: no gap or overlap, corners where three meet stay, nothing moves by more than the tolerance."""
+    rng = np.random.default_rng(11)
+
+    def winding(p, q):
+        t = np.linspace(0, 1, 41)[1:-1, None]
+        return [tuple(p), *map(tuple, (np.array(p) * (1 - t) + np.array(q) * t + np.sin(np.pi * t) * rng.uniform(-0.1, 0.1, (39, 2))).tolist()), tuple(q)]
+
+    o, corners = (5.0, 5.0), [(0.0, 0.0), (10.0, 0.0), (5.0, 10.0)]
+    spokes, sides = [winding(o, c) for c in corners], [winding(corners[i], corners[(i + 1) % 3]) for i in range(3)]
+    rings = [(i, [(spokes[i][:-1] + sides[i][:-1] + spokes[(i + 1) % 3][::-1])[:-1]]) for i in range(3)]
+    angle = np.linspace(0, 2 * np.pi, 60, endpoint=False)
+    rings.append((9, [(np.column_stack([np.cos(angle), np.sin(angle)]) + [20, 20]).tolist()]))
+    edges = polygons(spark, rings)
+    found = plain(simplify.simplified(edges, "k", 0.25), "k")
+    assert set(found) == {(0,), (1,), (2,), (9,)}
+    assert all(len(found[i,][0]) < 20 and set(found[i,][0]) >= {o, corners[i], corners[(i + 1) % 3]} for i in range(3))
+    assert sum(len(r[0]) for r in found.values()) < sum(len(r[0]) for _, r in rings) / 4
+    whole = polygons(spark, [(1, [[p for side in sides for p in side[:-1]]])])
+    border = plain(simplify.simplified(whole, "k", 1e-12), "k")
+    g = grid(-1.0031, 11.0017, 300) + [0.0007, 0]
+    counts = sum(inside(found[i,], g).astype(int) for i in range(3))
+    assert counts.max() == 1 and abs(counts.sum() - inside(border[1,], g).sum()) < 0.05 * counts.sum()
+    pairs = {frozenset(e) for i in range(3) for e in zip(found[i,][0], found[i,][0][1:] + found[i,][0][:1], strict=True)}
+    assert sum(len(found[i,][0]) for i in range(3)) - len(pairs) == sum(1 for p in pairs if sum(p == frozenset(e) for i in range(3) for e in zip(found[i,][0], found[i,][0][1:] + found[i,][0][:1], strict=True)) == 2)
+    assert abs(area(found[9,]) - np.pi) < 2 * np.pi * 0.25
+
+
+def test_transverse_mercator(spark):
+    """Both ways within a millimetre over a zone, and published values: the scale on the meridian, and a tower in Toronto."""
+    rows = [(float(lat), float(lon)) for lat in np.linspace(0, 84, 29) for lon in np.linspace(-84, -78, 13)] + [(43.642567, -79.387139)]
+    df = spark.createDataFrame(rows, "lat double, lon double")
+    e, n = projection.utm(F.col("lat"), F.col("lon"), 17)
+    df = df.select("lat", "lon", e.alias("e"), n.alias("n"))
+    lat, lon = projection.from_utm(F.col("e"), F.col("n"), 17)
+    got = df.select("lat", "lon", "e", "n", lat.alias("lat2"), lon.alias("lon2")).collect()
+    for r in got:
+        metre = 1 / 111_000
+        assert abs(r.lat - r.lat2) < 1e-3 * metre and abs(r.lon - r.lon2) * np.cos(np.radians(r.lat)) < 1e-3 * metre
+    tower = got[-1]
+    assert (tower.e, tower.n) == pytest.approx((630084, 4833439), abs=1.5)
+    middle = [r for r in got if r.lon == -81.0]
+    assert all(r.e == pytest.approx(500_000, abs=1e-6) for r in middle) and max(middle, key=lambda r: r.lat).n == pytest.approx(9328093.8, abs=1)
