@@ -30,22 +30,24 @@ def categories(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows.select(told.alias("x")).groupBy(F.col("x.column").alias("column"), F.col("x.value").alias("value")).agg(F.count("*").alias("n"))
 
 
-def quantiles(rows: DataFrame, value: str, by: Sequence[str] = (), probabilities: dict[str, float] = QUANTILES, digits: int = 6) -> DataFrame:
+def quantiles(rows: DataFrame, value: str, by: Sequence[str] = (), probabilities: dict[str, float] = QUANTILES, digits: int = 6, weight: str | None = None) -> DataFrame:
     """Interpolated quantiles of each key, rounded, as columns of the given names; nulls and NaN are left out, and a key of nothing else has nulls.
+    A row stands for `weight` equal values, a whole number; one of none, or less, or null for nothing.
 
     Keys of up to MANY values are aggregated as they are; where one has more,
     values_at searches for the ranks.
     """
     number = F.col(value).cast("double")
-    rows = rows.select(*by, F.when(~F.isnan(number), number).alias("_v"))
-    counts = rows.groupBy(*by).agg(F.count("_v").alias("_n"))
-    if (counts.agg(F.max("_n")).first()[0] or 0) <= MANY:
-        found = rows.groupBy(*by).agg(F.percentile("_v", F.array(*[F.lit(q) for q in probabilities.values()])).alias("_q"))
+    times = F.greatest(F.coalesce(F.col(weight), F.lit(0)), F.lit(0)).cast("long") if weight else F.lit(1).cast("long")
+    rows = rows.select(*by, F.when(~F.isnan(number) & (times > 0), number).alias("_v"), times.alias("_w"))
+    counts = rows.groupBy(*by).agg(F.coalesce(F.sum(F.when(F.col("_v").isNotNull(), F.col("_w"))), F.lit(0)).alias("_n"), F.count("_v").alias("_rows"))
+    if (counts.agg(F.max("_rows")).first()[0] or 0) <= MANY:
+        found = rows.groupBy(*by).agg(F.percentile("_v", F.array(*[F.lit(q) for q in probabilities.values()]), F.col("_w")).alias("_q"))
         return found.select(*by, *[F.round(F.col("_q")[i], digits).alias(name) for i, name in enumerate(probabilities)])
     ends = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), (F.lit(q) * (F.col("_n") - 1)).alias("at")) for name, q in probabilities.items()]))
     wanted = cut(counts.where("_n > 0").select(*by, ends.alias("e")).select(*by, "e.*"))
     places = wanted.select(*by, F.explode(F.array(F.floor("at").cast("long"), F.ceil("at").cast("long"))).alias("place")).distinct()
-    values = values_at(rows, "_v", by, places)
+    values = values_at(rows, "_v", by, places, "_w")
     low = values.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("place").alias("_low"), F.col("value").alias("low"))
     high = values.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("place").alias("_high"), F.col("value").alias("high"))
     same = lambda: [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
@@ -58,8 +60,8 @@ def quantiles(rows: DataFrame, value: str, by: Sequence[str] = (), probabilities
     return every.join(out, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], "left").select(*[F.col(f"_{c}").alias(c) for c in by], *probabilities)
 
 
-def values_at(rows: DataFrame, value: str, by: Sequence[str], places: DataFrame) -> DataFrame:
-    """(by, place, value) of places (by, place) in the sorted values of each key, from 0.
+def values_at(rows: DataFrame, value: str, by: Sequence[str], places: DataFrame, weight: str | None = None) -> DataFrame:
+    """(by, place, value) of places (by, place) in the sorted values of each key, from 0; a row stands for `weight` equal values.
 
     The values of a key never meet in one task: each round counts them in BINS
     equal parts of the interval that holds a place, and goes on with the part
@@ -67,7 +69,7 @@ def values_at(rows: DataFrame, value: str, by: Sequence[str], places: DataFrame)
     one value.
     """
     key = F.struct(*by) if by else F.lit(0)
-    rows = rows.select(key.alias("_k"), F.col(value).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    rows = rows.select(key.alias("_k"), F.col(value).cast("double").alias("v"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("w")).where("v IS NOT NULL AND NOT isnan(v) AND w > 0")
     spans = rows.groupBy("_k").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("inside")).withColumnRenamed("_k", "_s")
     now = cut(places.select(key.alias("_k"), "place").join(spans, F.col("_k").eqNullSafe(F.col("_s"))).select("_k", "place", "lo", "hi", "inside", F.lit(0).cast("long").alias("below")))
     while True:
@@ -78,15 +80,15 @@ def values_at(rows: DataFrame, value: str, by: Sequence[str], places: DataFrame)
         spans = open_.select(F.col("_k").alias("_s"), "lo", "hi").distinct()
         part = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1))
         counted = rows.join(spans, F.col("_k").eqNullSafe(F.col("_s")) & F.col("v").between(F.col("lo"), F.col("hi"))).groupBy("_s", "lo", "hi", part.alias("part"))
-        counted = counted.agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+        counted = counted.agg(F.sum("w").alias("n"), F.count("*").alias("rows"), F.min("v").alias("least"), F.max("v").alias("most"))
         before = F.sum("n").over(Window.partitionBy("_s", "lo", "hi").orderBy("part")) - F.col("n")
         counted = counted.withColumn("before", before).withColumnsRenamed({"lo": "_lo", "hi": "_hi"})
         met = open_.join(counted, F.col("_k").eqNullSafe(F.col("_s")) & (F.col("lo") == F.col("_lo")) & (F.col("hi") == F.col("_hi")))
         met = met.where((F.col("place") - F.col("below") >= F.col("before")) & (F.col("place") - F.col("below") < F.col("before") + F.col("n")))
-        met = met.select("_k", "place", F.col("least").alias("lo"), F.col("most").alias("hi"), F.col("n").alias("inside"), (F.col("below") + F.col("before")).alias("below"))
+        met = met.select("_k", "place", F.col("least").alias("lo"), F.col("most").alias("hi"), F.col("rows").alias("inside"), (F.col("below") + F.col("before")).alias("below"))
         now = cut(met.unionByName(now.where((F.col("inside") <= MANY) | (F.col("lo") >= F.col("hi")))))
     spans = now.select(F.col("_k").alias("_s"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi")).distinct()
-    held = rows.join(spans, F.col("_k").eqNullSafe(F.col("_s")) & F.col("v").between(F.col("_lo"), F.col("_hi"))).groupBy("_s", "_lo", "_hi", "v").agg(F.count("*").alias("n"))
+    held = rows.join(spans, F.col("_k").eqNullSafe(F.col("_s")) & F.col("v").between(F.col("_lo"), F.col("_hi"))).groupBy("_s", "_lo", "_hi", "v").agg(F.sum("w").alias("n"))
     held = held.withColumn("before", F.sum("n").over(Window.partitionBy("_s", "_lo", "_hi").orderBy("v")) - F.col("n"))
     at = F.col("place") - F.col("below")
     out = now.join(held, F.col("_k").eqNullSafe(F.col("_s")) & (F.col("lo") == F.col("_lo")) & (F.col("hi") == F.col("_hi")) & (at >= F.col("before")) & (at < F.col("before") + F.col("n")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.clean import flood_class
+from ..functions.clean import flood_class, guarded_percent
 from ..operators import interpolate as I
 from ..operators import profile, shapes, simplify, spatial, tables, voronoi
 from ..operators.cut import cut
@@ -139,6 +139,38 @@ def income_distribution(spark, sf_dir):
     return long.select("zone", "bracket", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("zone")) * 100, 4).alias("pct"))
 
 
+#: Forty-one counts of a block group: everyone, and five groups by eight ages; sixteen brackets of income.
+AGES, BRACKETS = 8, 16
+COUNTS = {"everyone": "true", **{f"{s.lower()}_{k}": f"c_mktsegment = '{s}' AND c_custkey % {AGES} = {k}" for s in SEGMENTS for k in range(AGES)}}
+INCOMES = {f"bracket_{k}": f"c_acctbal >= {k * 700 - 1000} AND c_acctbal < {k * 700 - 300}" for k in range(BRACKETS)}
+
+
+def _counted(counts: dict[str, str]) -> str:
+    return f", many AS (SELECT CAST(c_nationkey AS BIGINT) AS bg, {', '.join(f'CAST(count_if({c}) AS BIGINT) AS {n}' for n, c in counts.items())} FROM customer GROUP BY 1)"
+
+
+def counted(spark, sf_dir, counts: dict[str, str]):
+    by = spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy(F.col("c_nationkey").cast("long").alias("bg"))
+    return by.agg(*[F.count_if(F.expr(c)).alias(n) for n, c in counts.items()])
+
+
+@query("zone_counts", COUNTED + _counted(COUNTS) + f"SELECT zone, {', '.join(f'round(sum({n} * weight), 4) AS {n}' for n in COUNTS)} FROM parts JOIN many USING (bg) GROUP BY zone")
+def zone_counts(spark, sf_dir):
+    """All forty-one counts of zones, weighed by the homes in each part of a block group."""
+    weighed = fragments(spark, sf_dir).join(counted(spark, sf_dir, COUNTS), "bg")
+    return weighed.groupBy("zone").agg(*[F.round(F.sum(F.col(n) * F.col("weight")), 4).alias(n) for n in COUNTS])
+
+
+@query("income_brackets", COUNTED + _counted(INCOMES) + f""", t AS (SELECT zone, unnest({list(INCOMES)}) AS bracket, unnest([{', '.join(f'sum({n} * weight)' for n in INCOMES)}]) AS n FROM parts JOIN many USING (bg) GROUP BY zone)
+SELECT zone, bracket, round(n, 4) AS n, round(CASE WHEN sum(n) OVER (PARTITION BY zone) > 0 THEN n / sum(n) OVER (PARTITION BY zone) * 100 ELSE 0 END, 4) AS pct FROM t""")
+def income_brackets(spark, sf_dir):
+    """How the households of each zone are spread over sixteen brackets."""
+    weighed = fragments(spark, sf_dir).join(counted(spark, sf_dir, INCOMES), "bg")
+    sums = weighed.groupBy("zone").agg(*[F.sum(F.col(n) * F.col("weight")).alias(n) for n in INCOMES])
+    long = sums.unpivot(["zone"], list(INCOMES), "bracket", "n").withColumn("whole", F.sum("n").over(Window.partitionBy("zone")))
+    return long.select("zone", "bracket", F.round("n", 4).alias("n"), F.round(guarded_percent(F.col("n"), F.col("whole")), 4).alias("pct"))
+
+
 POINTS = sql("zone", "sale", "development", "facility", "parcel")
 
 
@@ -228,6 +260,16 @@ def dot_zone_demo(spark, sf_dir):
     return out.withColumn("young", F.floor(F.col("n_dots") / 2)).withColumn("old", F.col("n_dots") - F.col("young"))
 
 
+@query("dot_medians", DOTTED + """SELECT bg % 5 AS zone, count(*) AS n_dots, round(median(income), 4) AS median_income, round(quantile_cont(income, 0.25), 4) AS q25_income, round(avg(income), 4) AS mean_income
+FROM (SELECT bg, unnest(range(n)) AS i FROM counts WHERE n > 0) JOIN census USING (bg) GROUP BY 1""")
+def dot_medians(spark, sf_dir):
+    """The median over a zone's dots of the income where they lie, by the number of dots and none of them made."""
+    rows = downscaled(spark, sf_dir).select("bg", F.explode(F.array("a", "b")).alias("people")).select((F.col("bg") % 5).alias("zone"), "bg", F.floor(F.col("people") / 2).alias("n"))
+    rows = rows.where("n > 0").join(census(spark, sf_dir).select("bg", "income"), "bg")
+    sums = rows.groupBy("zone").agg(F.sum("n").alias("n_dots"), F.round(F.sum(F.col("n") * F.col("income")) / F.sum("n"), 4).alias("mean_income"))
+    return sums.join(profile.quantiles(rows, "income", ["zone"], {"median_income": 0.5, "q25_income": 0.25}, digits=4, weight="n"), "zone")
+
+
 @query("distinct_zone_columns", COUNTED + "SELECT bg, population, a, b, income, round(t, 4) AS residential FROM census JOIN gr USING (bg)")
 def distinct_zone_columns(spark, sf_dir):
     """A profile supplemented with the columns it lacks."""

@@ -124,6 +124,20 @@ def test_quantiles_of_many_values(spark, monkeypatch):
     assert whole.mid == np.median(data["a"])
 
 
+@pytest.mark.parametrize("many", [7, 100_000])
+def test_weighted_quantiles_are_those_of_the_expanded_rows(spark, monkeypatch, many):
+    monkeypatch.setattr(profile, "MANY", many)
+    monkeypatch.setattr(profile, "BINS", 8)
+    rng = np.random.default_rng(4)
+    rows = [(str(k), float(v), int(n)) for k, v, n in zip(rng.integers(0, 3, 90), rng.normal(size=90).round(1), rng.integers(0, 2000, 90), strict=True)] + [("9", 1.0, 0), ("9", None, 5), ("1", 99.0, None), ("1", float("nan"), 9), ("2", -99.0, -4)]
+    got = {r.k: tuple(r)[1:] for r in profile.quantiles(spark.createDataFrame(rows, "k string, v double, n long"), "v", ["k"], weight="n").collect()}
+    assert got.pop("9") == (None,) * 5
+    for k, found in got.items():
+        expanded = np.repeat([v for key, v, n in rows if key == k and n and n > 0 and v == v], [n for key, v, n in rows if key == k and n and n > 0 and v == v])
+        assert found == pytest.approx(np.quantile(expanded, (0.05, 0.25, 0.5, 0.75, 0.95)), abs=1e-6)
+    assert set(got) == {"0", "1", "2"}
+
+
 def test_nearest_beyond_one_array(spark, monkeypatch):
     monkeypatch.setattr(spatial, "MOST_SITES", 3)
     rng = np.random.default_rng(3)
