@@ -4,6 +4,7 @@ import collections
 import math
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -361,6 +362,30 @@ def test_records_and_sinks(spark, tmp_path):
     assert [(r.canonical, r.o) for r in first.collect()] == [("alpha", 1)] and [r.canonical for r in missing.collect()] == ["beta"]
 
 
+def test_rows_by_place_skip_row_groups(spark, tmp_path):
+    """The same rows as from any table, from few of the row groups, nulls and other columns kept."""
+    rng = np.random.default_rng(8)
+    xy = rng.uniform(0, 1000, (20_000, 2))
+    rows = [(i, float(x), float(y), float(x) + 2, float(y) + 1, "code") for i, (x, y) in enumerate(xy)] + [(-1, None, 1.0, 2.0, 3.0, None)]
+    df = spark.createDataFrame(rows, "id long, x1 double, y1 double, x2 double, y2 double, code string").repartition(4)
+    sinks.by_place(df, str(tmp_path / "placed"), group_bytes=32 << 10)
+    box = (400.0, 600.0, 440.0, 630.0)
+    found = {r.id for r in readers.in_box(spark, str(tmp_path / "placed"), box).collect()}
+    assert found == {i for i, x, y, x2, y2, _ in rows if x is not None and x <= box[2] and x2 >= box[0] and y <= box[3] and y2 >= box[1]} and found
+    whole = spark.read.parquet(str(tmp_path / "placed"))
+    assert whole.columns == df.columns and whole.count() == len(rows) and whole.where("x1 IS NULL").count() == 1
+    met = total = 0
+    for file in (tmp_path / "placed").glob("*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        for g in range(meta.num_row_groups):
+            told = {c.path_in_schema: c.statistics for c in (meta.row_group(g).column(k) for k in range(meta.num_columns))}
+            total += 1
+            met += told["x1"].min <= box[2] and told["x2"].max >= box[0] and told["y1"].min <= box[3] and told["y2"].max >= box[1]
+    assert total >= 20 and met <= total / 5
+    sinks.by_place(df.limit(0), str(tmp_path / "none"))
+    assert spark.read.parquet(str(tmp_path / "none")).count() == 0
+
+
 def test_cascade_and_bidirectional(spark):
     rows = spark.createDataFrame([(1,), (2,), (3,)], "k long")
     a, b = spark.createDataFrame([(1, 1.0)], "k long, lat double"), spark.createDataFrame([(1, 9.0), (2, 2.0)], "k long, lat double")
