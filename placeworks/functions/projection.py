@@ -1,8 +1,13 @@
-"""Transverse Mercator both ways as column expressions, after Krüger's series in the third flattening to the fourth order; well under a millimetre off inside a zone."""
+"""Transverse Mercator both ways as column expressions, after Krüger's series in the third flattening to the fourth order; well under a millimetre off inside a zone.
+
+`utm` and `from_utm` are single expressions, for few rows; over many,
+`with_utm` and `with_degrees` name what is used several times, so that each
+part is worked out once and the generated code stays small.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the WGS 84 ellipsoid and of UTM.
@@ -26,13 +31,18 @@ def meridian(zone: int) -> float:
     return zone * 6.0 - 183.0
 
 
-def utm(lat: Column, lon: Column, zone: int) -> tuple[Column, Column]:
-    """Easting and northing in metres, of places north of the equator, in a given zone."""
-    phi, away = F.radians(lat), F.radians(lon - F.lit(meridian(zone)))
-    sine = F.sin(phi)
-    # The tangent of the conformal latitude.
-    t = F.sinh(F.atanh(sine) - F.lit(_ECCENTRICITY) * F.atanh(F.lit(_ECCENTRICITY) * sine))
-    xi, eta = F.atan2(t, F.cos(away)), F.atanh(F.sin(away) / F.sqrt(t * t + 1))
+def _tangent(lat: Column) -> Column:
+    """The tangent of the conformal latitude."""
+    sine = F.sin(F.radians(lat))
+    return F.sinh(F.atanh(sine) - F.lit(_ECCENTRICITY) * F.atanh(F.lit(_ECCENTRICITY) * sine))
+
+
+def _sphere(t: Column, lon: Column, zone: int) -> tuple[Column, Column]:
+    away = F.radians(lon - F.lit(meridian(zone)))
+    return F.atan2(t, F.cos(away)), F.atanh(F.sin(away) / F.sqrt(t * t + 1))
+
+
+def _metres(xi: Column, eta: Column) -> tuple[Column, Column]:
     east, north = eta, xi
     for j, a in enumerate(_FORWARD, 1):
         east += F.lit(a) * F.cos(xi * 2 * j) * F.sinh(eta * 2 * j)
@@ -40,16 +50,58 @@ def utm(lat: Column, lon: Column, zone: int) -> tuple[Column, Column]:
     return F.lit(FALSE_EASTING) + east * F.lit(SCALE * _RECTIFYING), north * F.lit(SCALE * _RECTIFYING)
 
 
-def from_utm(easting: Column, northing: Column, zone: int) -> tuple[Column, Column]:
-    """Latitude and longitude in degrees of a place in a zone north of the equator."""
-    xi, eta = northing / F.lit(SCALE * _RECTIFYING), (easting - F.lit(FALSE_EASTING)) / F.lit(SCALE * _RECTIFYING)
+def _unscaled(easting: Column, northing: Column) -> tuple[Column, Column]:
+    return northing / F.lit(SCALE * _RECTIFYING), (easting - F.lit(FALSE_EASTING)) / F.lit(SCALE * _RECTIFYING)
+
+
+def _unbent(xi: Column, eta: Column) -> tuple[Column, Column]:
     north, east = xi, eta
     for j, b in enumerate(_BACKWARD, 1):
         north -= F.lit(b) * F.sin(xi * 2 * j) * F.cosh(eta * 2 * j)
         east -= F.lit(b) * F.cos(xi * 2 * j) * F.sinh(eta * 2 * j)
-    sine = F.sin(north) / F.cosh(east)
-    # The conformal latitude's own is a fixed point that two more digits a step lead to.
-    isometric, lat = F.atanh(sine), F.asin(sine)
+    return north, east
+
+
+def _latitude(isometric: Column, conformal: Column) -> Column:
+    """The latitude of a conformal one: a fixed point that two more digits a step lead to."""
+    lat = conformal
     for _ in range(5):
         lat = F.asin(F.tanh(isometric + F.lit(_ECCENTRICITY) * F.atanh(F.lit(_ECCENTRICITY) * F.sin(lat))))
-    return F.degrees(lat), F.lit(meridian(zone)) + F.degrees(F.atan2(F.sinh(east), F.cos(north)))
+    return F.degrees(lat)
+
+
+def _longitude(north: Column, east: Column, zone: int) -> Column:
+    return F.lit(meridian(zone)) + F.degrees(F.atan2(F.sinh(east), F.cos(north)))
+
+
+def utm(lat: Column, lon: Column, zone: int) -> tuple[Column, Column]:
+    """Easting and northing in metres, of places north of the equator, in a given zone."""
+    return _metres(*_sphere(_tangent(lat), lon, zone))
+
+
+def from_utm(easting: Column, northing: Column, zone: int) -> tuple[Column, Column]:
+    """Latitude and longitude in degrees of a place in a zone north of the equator."""
+    north, east = _unbent(*_unscaled(easting, northing))
+    sine = F.sin(north) / F.cosh(east)
+    return _latitude(F.atanh(sine), F.asin(sine)), _longitude(north, east, zone)
+
+
+def _made(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns from a generator of one row: conditions on them are not pushed into it, so they do not repeat what is under them."""
+    return df.select("*", F.inline(F.array(F.struct(*(v.alias(c) for c, v in columns.items())))))
+
+
+def with_utm(df: DataFrame, lat: str, lon: str, zone: int, x: str = "x", y: str = "y") -> DataFrame:
+    """df with easting x and northing y of its lat and lon."""
+    df = df.withColumn("_t", _tangent(F.col(lat)))
+    df = df.withColumns(dict(zip(("_xi", "_eta"), _sphere(F.col("_t"), F.col(lon), zone), strict=True)))
+    return _made(df, dict(zip((x, y), _metres(F.col("_xi"), F.col("_eta")), strict=True))).drop("_t", "_xi", "_eta")
+
+
+def with_degrees(df: DataFrame, x: str, y: str, zone: int, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """df with lat and lon of its easting x and northing y."""
+    df = df.withColumns(dict(zip(("_xi", "_eta"), _unscaled(F.col(x), F.col(y)), strict=True)))
+    df = df.withColumns(dict(zip(("_north", "_east"), _unbent(F.col("_xi"), F.col("_eta")), strict=True)))
+    df = df.withColumn("_sine", F.sin("_north") / F.cosh("_east")).withColumn("_isometric", F.atanh("_sine"))
+    df = _made(df, {lat: _latitude(F.col("_isometric"), F.asin("_sine")), lon: _longitude(F.col("_north"), F.col("_east"), zone)})
+    return df.drop("_xi", "_eta", "_north", "_east", "_sine", "_isometric")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from . import spatial
+from . import raster, spatial
 
 # Weights of road classes and of kinds of service roads, free-flow speeds of classes in miles an hour,
 # seconds that a driver loses at the control of the node that an edge leads to, weights of land cover and their range.
@@ -95,6 +95,33 @@ def heat_score(window: DataFrame) -> DataFrame:
     return window.groupBy("site").agg(geo.clamp((mean - COOLEST) / (HOTTEST - COOLEST) * 100, 0, 100).alias("uhi"))
 
 
+def land_sums(cells: DataFrame) -> raster.RunningSums:
+    """Running sums of land-cover cells (row, col, class): how many are valid (class > 0), how many trees, and their weights in hundredths."""
+    kind = F.col("class")
+    weights = _mapped(kind, {c: round(w * 100) for c, w in LAND_WEIGHTS.items()})
+    return raster.running_sums(cells, {"valid": F.when(kind > 0, 1), "trees": F.when(kind == 10, 1), "heat": F.when(kind > 0, weights)})
+
+
+def exposure_grid(grid: DataFrame, points: DataFrame, land: raster.RunningSums, size: float, half: float, radius: float = 1000) -> DataFrame:
+    """grid (cell, x, y, ...) with raw, the decayed sum of the points (x, y, weight) within the radius, and net of the canopy in the square of `half` around each centre.
+
+    Canopy is asked for only where there is exposure.
+    """
+    raw = decay_sums(grid.select(F.col("cell").alias("site"), F.col("x").alias("site_x"), F.col("y").alias("site_y")), points, (radius,))
+    told = grid.join(raw.select(F.col("site").alias("cell"), F.col(f"raw_{radius}").alias("raw")), "cell")
+    shade = raster.window_sums(told.where("raw > 0").select("cell", *raster.square(F.col("x"), F.col("y"), half, size)), "cell", land)
+    canopy = F.coalesce(F.try_divide("trees", "valid"), F.lit(0.0))
+    return told.join(shade.select("cell", canopy.alias("canopy")), "cell", "left").fillna(0.0, subset=["canopy"]).withColumn("net", mitigated(F.col("raw"), F.col("canopy")))
+
+
+def heat_grid(grid: DataFrame, land: raster.RunningSums, size: float, half: float) -> DataFrame:
+    """grid (cell, x, y, ...) with uhi, the heat score of the square of `half` around each centre; 0 where the land cover is not known."""
+    sums = raster.window_sums(grid.select("cell", *raster.square(F.col("x"), F.col("y"), half, size)), "cell", land)
+    mean = F.try_divide("heat", "valid") / 100
+    score = geo.clamp((mean - COOLEST) / (HOTTEST - COOLEST) * 100, 0, 100)
+    return grid.join(sums.select("cell", F.when(F.col("valid") > 0, score).otherwise(0.0).alias("uhi")), "cell")
+
+
 def rasterized_least(points: DataFrame, value: str, bounds: tuple[float, float, float, float], rows: int, cols: int) -> DataFrame:
     """row, col and the least value of each cell that has points; points outside the bounds count for the border cells."""
     x1, y1, x2, y2 = bounds
