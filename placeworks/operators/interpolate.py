@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import guarded_percent
-from . import spatial
+from . import shapes, spatial
+from .cut import cut
 from .tables import share_of
 
 
@@ -73,3 +74,45 @@ def dots(blocks: DataFrame, counts: Sequence[str], per_dot: int, least_area: flo
     uniform = lambda axis: F.pmod(F.xxhash64("block", "category", "dot", F.lit(axis)), F.lit(1 << 30)) / float(1 << 30)
     x, y = (F.col(f"{a}1") + uniform(a) * (F.col(f"{a}2") - F.col(f"{a}1")) for a in "xy")
     return rows.select("block", "category", "dot", x.alias("x"), y.alias("y"))
+
+
+def placement(areas: DataFrame, homes: DataFrame, key: str, home: str, size: float, least_area: float = 10.0) -> DataFrame:
+    """Where the dots of each area may lie: disjoint trapezoids (key, l, r, ...) of what it shares with homes, which may overlap.
+
+    An area that shares no more than least_area with them is taken whole; one
+    that is smaller than that itself has no place. areas and homes are
+    trapezoids as `shapes` makes them, those of an area disjoint.
+    """
+    shared = shapes.intersect(areas, homes, [key], [home], size).select(key, *shapes.PLACES)
+    inside = cut(shapes.covered(shared, key, size))
+    large = lambda traps, enough: traps.groupBy(key).agg(F.sum(shapes.area_of()).alias("area")).where(enough).select(key)
+    settled = large(inside, F.col("area") > least_area)
+    whole = areas.select(key, *shapes.PLACES).join(settled, key, "left_anti")
+    whole = whole.join(large(whole, F.col("area") >= least_area), key, "left_semi")
+    return inside.join(settled, key, "left_semi").unionByName(whole)
+
+
+def placed_dots(places: DataFrame, counts: DataFrame, key: str) -> DataFrame:
+    """(key, category, dot, x, y): n dots of each (key, category, n) inside the disjoint trapezoids of the key, as many in each as its area asks for.
+
+    A trapezoid takes the dots whose numbers fall on its part of the area, so
+    counts come out exactly and no dot is searched for. Inside it a dot is
+    placed by hashes of key, category and number, evenly by area; every run
+    puts it at the same place. Keys without trapezoids get no dots.
+    """
+    order = Window.partitionBy(key).orderBy(*shapes.PLACES)
+    parts = places.withColumn("_area", shapes.area_of()).where("_area > 0")
+    parts = parts.withColumn("_upto", F.sum("_area").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = parts.withColumns({"_from": F.coalesce(F.lag("_upto").over(order), F.lit(0.0)), "_total": F.max("_upto").over(Window.partitionBy(key))})
+    uniform = lambda *of: F.pmod(F.xxhash64(*of), F.lit(1 << 30)) / float(1 << 30)
+    rows = parts.join(counts.where("n > 0").select(key, "category", "n"), key)
+    number = lambda c: F.floor(F.col(c) / F.col("_total") * F.col("n") + uniform(key, "category")).cast("long")
+    rows = rows.withColumns({"_first": number("_from") + 1, "_last": number("_upto")}).where("_first <= _last")
+    rows = rows.select(key, "category", *shapes.PLACES, F.explode(F.sequence("_first", "_last")).alias("dot"))
+    # The place along the base at which the wanted part of the trapezoid's area is on the left.
+    left, right = (shapes.height("t", F.col(c)) - shapes.height("b", F.col(c)) for c in "lr")
+    u = uniform(key, "category", "dot", F.lit("x"))
+    part = F.coalesce(F.try_divide(u * (left + right), left + F.sqrt(left * left + u * (right * right - left * left))), F.lit(0.0))
+    rows = rows.withColumn("x", F.least(F.col("l") + part * (F.col("r") - F.col("l")), F.col("r")))
+    low, high = (shapes.height(line, F.col("x")) for line in "bt")
+    return rows.select(key, "category", "dot", "x", (low + uniform(key, "category", "dot", F.lit("y")) * (high - low)).alias("y"))

@@ -330,13 +330,21 @@ RINGS = "rings array<array<struct<x: double, y: double>>>"
 def rings(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, rings) of directed edges as `outline` gives them: outer rings turn left, holes right. A key's rings are one row, so one task holds its outline."""
 
-    def linked(group: pd.DataFrame) -> pd.DataFrame:
-        found = [r for r in map(_plain, _linked(_snapped(group[["x1", "y1", "x2", "y2"]].to_numpy(float)))) if r]
-        row = group[list(keys)].iloc[:1].copy()
-        row["rings"] = [[[{"x": x, "y": y} for x, y in r] for r in found]]
-        return row
+    listed = edges.groupBy(*keys).agg(F.collect_list(F.struct(*(F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")))).alias("e"))
+    kind = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+    names = list(keys)
 
-    return edges.groupBy(*keys).applyInPandas(linked, f"{_kind(edges, keys)}, {RINGS}").where("size(rings) > 0")
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(names))
+            flat = lists.flatten()
+            lines = np.stack([flat.field(i).to_numpy(zero_copy_only=False) for i in range(4)], 1) if len(flat) else np.zeros((0, 4))
+            offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            found = [[r for r in map(_plain, _linked(_snapped(lines[i:j]))) if r] for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
+            told = pa.array([[[{"x": x, "y": y} for x, y in r] for r in own] for own in found], kind)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), told], names=[*names, "rings"])
+
+    return listed.mapInArrow(linked, f"{_kind(edges, keys)}, {RINGS}").where("size(rings) > 0")
 
 
 def fragments(a: DataFrame, b: DataFrame, a_key: str, b_key: str, size: float) -> DataFrame:

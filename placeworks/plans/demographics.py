@@ -250,6 +250,23 @@ def dot_counts(spark, sf_dir):
     return d.groupBy("block", "category").agg(F.count("*").alias("n"), F.count_if(F.expr("x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2")).alias("inside"))
 
 
+@query("parcel_dots", DOTTED + """, lived AS (SELECT block FROM block b JOIN res p ON least(b.x2, p.x2) > greatest(b.x1, p.x1) AND least(b.y2, p.y2) > greatest(b.y1, p.y1) AND imp_vac ILIKE '%improved%'
+GROUP BY block HAVING sum((least(b.x2, p.x2) - greatest(b.x1, p.x1)) * (least(b.y2, p.y2) - greatest(b.y1, p.y1))) > 10)
+SELECT block, category, n, n AS in_block, CASE WHEN block IN (SELECT block FROM lived) THEN n ELSE 0 END AS in_homes FROM counts WHERE n > 0""")
+def parcel_dots(spark, sf_dir):
+    """Dots of two people each on the built-up homes of a block, or anywhere in it where it has none: how many, in the block, and on homes."""
+    b = downscaled(spark, sf_dir)
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("category"), F.floor(F.col(c) / 2).cast("long").alias("n")) for c in "ab"]))
+    built = homes(spark, sf_dir).where(F.col("imp_vac").ilike("%improved%"))
+    places = I.placement(shapes.box_trapezoids(b, "block"), shapes.box_trapezoids(built, "parcel"), "block", "parcel", SIDE)
+    dots = I.placed_dots(places, b.select("block", each.alias("e")).select("block", "e.*"), "block").withColumn("id", F.struct("block", "category", "dot"))
+    dots = cut(dots)
+    on_homes = spatial.point_in_polygon(dots.select("id", "x", "y"), boxed(built, "parcel"), "id", "parcel").select("id").distinct().withColumn("home", F.lit(True))
+    met = dots.join(on_homes, "id", "left").join(b.select("block", "x1", "y1", "x2", "y2"), "block")
+    inside = F.expr("x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2")
+    return met.groupBy("block", "category").agg(F.count("*").alias("n"), F.count_if(inside).alias("in_block"), F.count_if(inside & F.col("home")).alias("in_homes"))
+
+
 @query("dot_zone_demo", DOTTED + """SELECT bg, CAST(sum(n) AS BIGINT) AS n_dots, CAST(sum(CASE WHEN category = 'a' THEN n ELSE 0 END) AS BIGINT) AS n_a, round(sum(n * income) / sum(n), 4) AS mean_income, CAST(floor(sum(n) / 2) AS BIGINT) AS young, CAST(sum(n) - floor(sum(n) / 2) AS BIGINT) AS old
 FROM counts JOIN census USING (bg) WHERE n > 0 GROUP BY bg""")
 def dot_zone_demo(spark, sf_dir):

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from placeworks.functions import projection
-from placeworks.operators import shapes, simplify, spatial, voronoi
+from placeworks.operators import interpolate, shapes, simplify, spatial, voronoi
 
 SCHEMA = "k long, rings array<array<struct<x:double,y:double>>>"
 ELL = [(0, 0), (6, 0), (6, 2), (2, 2), (2, 6), (0, 6)]
@@ -194,3 +194,24 @@ def test_transverse_mercator(spark):
     assert (tower.e, tower.n) == pytest.approx((630084, 4833439), abs=1.5)
     middle = [r for r in got if r.lon == -81.0]
     assert all(r.e == pytest.approx(500_000, abs=1e-6) for r in middle) and max(middle, key=lambda r: r.lat).n == pytest.approx(9328093.8, abs=1)
+
+
+def test_dots_lie_where_they_may(spark):
+    """Counts come out exactly; dots are on homes where there are any, evenly by area, else in the whole area; one too small has none."""
+    areas = polygons(spark, [(1, [ELL]), (2, [SQUARE, HOLE]), (3, [[(0, 0), (1, 0), (0, 1)]]), (4, [[(20, 0), (30, 0), (25, 12)]])])
+    homes = polygons(spark, [(7, [[(-5, -5), (4, -5), (4, 1.5), (-5, 1.5)]]), (8, [[(1, 0), (9, 0), (9, 1.8), (1, 1.8)]])], "home")
+    places = interpolate.placement(shapes.trapezoids(areas, "k", 3.0), shapes.trapezoids(homes, "home", 3.0), "k", "home", 3.0, 4.0)
+    counts = spark.createDataFrame([(1, "a", 500), (1, "b", 1), (2, "a", 300), (3, "a", 9), (4, "a", 2000), (4, "b", 0), (4, "c", None)], "k long, category string, n long")
+    rows = interpolate.placed_dots(places, counts, "k").collect()
+    assert collections.Counter((r.k, r.category) for r in rows) == {(1, "a"): 500, (1, "b"): 1, (2, "a"): 300, (4, "a"): 2000}
+    assert sorted(r.dot for r in rows if (r.k, r.category) == (4, "a")) == list(range(1, 2001))
+    at = {k: np.array([(r.x, r.y) for r in rows if r.k == k]) for k in (1, 2, 4)}
+    # Homes cover 10.1 of the first; they cover less than 4 of the second, whose hole stays empty.
+    x, y = at[1].T
+    assert inside([ELL], at[1]).all() and ((x <= 4) & (y <= 1.5) | (x >= 1) & (y <= 1.8)).all()
+    assert np.mean(x < 1) == pytest.approx(1.5 / (6 * 1.8 - 0.3), abs=0.02)
+    assert inside([SQUARE, HOLE], at[2]).all() and (at[2][:, 1] > 2).any()
+    # A triangle as high as 12: the lower half holds three quarters, and each side half.
+    x, y = at[4].T
+    assert inside([[(20, 0), (30, 0), (25, 12)]], at[4]).all()
+    assert np.mean(y < 6) == pytest.approx(0.75, abs=0.03) and np.mean(x < 25) == pytest.approx(0.5, abs=0.01) and np.mean(x < 22.5) == pytest.approx(0.125, abs=0.01)
