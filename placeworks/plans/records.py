@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import clean
-from ..operators import profile, tables
+from ..functions import clean, geo
+from ..operators import profile, spatial, tables
+from ..sources import geocoder
 from .adapters import entity, sql
 from .registry import query, table
 
@@ -91,6 +92,23 @@ def affected_semi(spark, sf_dir):
     return counts.join(profile.quantiles(kept, "c_acctbal", ["c_nationkey"], {"median_value": 0.5}, 4), "c_nationkey")
 
 
+@query("affected_parcels", sql("parcel", "station") + """, p AS (SELECT parcel, value, (x1 + x2) / 2 AS px, (y1 + y2) / 2 AS py FROM parcel),
+n AS (SELECT parcel, value, station FROM p, station QUALIFY row_number() OVER (PARTITION BY parcel ORDER BY round(sqrt((x - px) ** 2 + (y - py) ** 2), 6), station) = 1)
+SELECT scenario, mode, count(*) AS n, round(median(value), 4) AS median_value FROM n, range(3) a(scenario), range(2) b(mode) WHERE (station * 31 + scenario * 7 + mode * 5) % 11 - 6 > 0 GROUP BY ALL""")
+def affected_parcels(spark, sf_dir):
+    """By scenario and mode, the parcels whose nearest grid point takes longer than before: how many, and the median of their value."""
+    points = entity(spark, sf_dir, "station").select("station", F.col("x").alias("site_x"), F.col("y").alias("site_y"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    delta = points.withColumn("scenario", each(3)).withColumn("mode", each(2)).withColumn("delta", F.expr("(station * 31 + scenario * 7 + mode * 5) % 11 - 6"))
+    parcels = entity(spark, sf_dir, "parcel").select("parcel", "value", ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"))
+    away = lambda s: F.round(geo.planar(F.col("x"), F.col("y"), s["site_x"], s["site_y"]), 6)
+    at, site_at = (F.col("x"), F.col("y")), (F.col("site_x"), F.col("site_y"))
+    near = spatial.nearest(parcels, points, away, ["station", "site_x", "site_y"], "station", at, site_at, (500.0, 500.0, 500.0)).select("parcel", "value", F.col("nearest.station").alias("station"))
+    hit = near.join(delta.where("delta > 0").select("station", "scenario", "mode"), "station").select("scenario", "mode", "value")
+    counts = hit.groupBy("scenario", "mode").agg(F.count("*").alias("n"))
+    return counts.join(profile.quantiles(hit, "value", ["scenario", "mode"], {"median_value": 0.5}, 4), ["scenario", "mode"])
+
+
 @query("latest_sale", """SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS LAST, o_orderkey) = 1""")
 def latest_sale(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate")
@@ -147,6 +165,32 @@ def geocode_cascade(spark, sf_dir):
     return tables.cascade(rows, "c_custkey", [known.where("c_custkey % 3 = 0"), known.where("c_custkey % 5 = 0").withColumn("lat", -F.col("lat"))], ["lat"])
 
 
+_ASKED = "SELECT c_custkey AS k, -79.25e0 + (c_custkey * 7919 % 10007) / 20000e0 AS lon, 35.85e0 + (c_custkey * 104729 % 10009) / 40000e0 AS lat FROM customer"
+
+
+@query("geocode_report", f"""WITH a AS ({_ASKED}), b AS (SELECT *, CASE WHEN k % 4 = 0 THEN 0 WHEN k % 3 = 0 THEN 1 WHEN k % 5 = 0 THEN 2 END AS source FROM a)
+SELECT CAST(source AS BIGINT) AS source, count(*) AS n, round(count(*) / CAST((SELECT count(*) FROM b) AS DOUBLE), 6) AS share, count_if(source IS NOT NULL AND lon BETWEEN -79.1 AND -78.9 AND lat BETWEEN 35.88 AND 36.02) AS n_inside FROM b GROUP BY 1""")
+def geocode_report(spark, sf_dir):
+    """Addresses by what found them: a batch answer, one for a second city, a single search; and how many lie in the district.
+
+    The answers are lines as the service writes them, with ties, lines cut short and places that are not numbers among those of no match.
+    """
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey AS k", "c_name AS address", "-79.25D + (c_custkey * 7919 % 10007) / 20000D AS lon", "35.85D + (c_custkey * 104729 % 10009) / 40000D AS lat")
+
+    def answered(asked, status: str, place: str):
+        fields = ["CAST(k AS STRING)", "address", status, "'Exact'", "upper(address)", place, "'6051'", "'L'"]
+        line = "concat('\"', concat_ws('\",\"', " + ", ".join(fields) + "), '\"')"
+        return asked.selectExpr(f"CASE WHEN k % 4 = 3 AND k % 3 != 0 THEN concat('\"', k, '\",\"', address, '\",\"No_Match\"') ELSE {line} END AS line")
+
+    place = "concat(CAST(lon AS STRING), ',', CAST(lat AS STRING))"
+    first = geocoder.parsed(answered(rows, "CASE k % 4 WHEN 1 THEN 'Tie' ELSE 'Match' END", f"CASE k % 4 WHEN 2 THEN 'n/a,' WHEN 3 THEN '' ELSE {place} END"), "line", "k")
+    second = geocoder.parsed(answered(geocoder.unmatched(rows, "k", first), "CASE WHEN k % 3 = 0 THEN 'Exact' ELSE 'No_Match' END", place), "line", "k")
+    single = rows.where("k % 5 = 0").select("k", "lat", "lon")
+    told = geocoder.geocoded(rows.select("k"), "k", [first, second, single])
+    out = geocoder.report(told, F.expr("lon BETWEEN -79.1 AND -78.9 AND lat BETWEEN 35.88 AND 36.02"))
+    return out.select("source", "n", F.round("share", 6).alias("share"), "n_inside")
+
+
 @query("text_sections", """SELECT p_partkey AS line, p_name AS entry, CAST((p_partkey // 10) * 10 AS BIGINT) AS section FROM part WHERE p_partkey % 10 != 0""")
 def text_sections(spark, sf_dir):
     """Lines under headings, each with its heading; every tenth line is one."""
