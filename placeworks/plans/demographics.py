@@ -9,6 +9,7 @@ from ..functions.clean import flood_class, guarded_percent
 from ..operators import interpolate as I
 from ..operators import profile, shapes, simplify, spatial, tables, voronoi
 from ..operators.cut import cut
+from ..sources import readers
 from .adapters import entity, sql
 from .registry import query
 
@@ -445,6 +446,21 @@ def union_area(spark, sf_dir):
     return shapes.union(edges, "station", "k", 1000.0).select("k", F.round(shapes.ring_area(F.col("rings")), 4).alias("area"))
 
 
+WALKED = {"WALK 0": "North", "WALK 1": "South", "WALK 3": "East", "WALK 4": "South"}
+
+
+@query("walk_zones", sql("parcel") + """, w AS (SELECT CASE parcel % 6 WHEN 0 THEN 'North' WHEN 1 THEN 'South' WHEN 3 THEN 'East' WHEN 4 THEN 'South' END AS school, parcel, x1, y1, x2, y2 FROM parcel WHERE parcel % 4 < 2),
+unit AS (SELECT DISTINCT school, x, unnest(range(CAST(y1 AS BIGINT), CAST(y2 AS BIGINT))) AS y FROM (SELECT *, unnest(range(CAST(x1 AS BIGINT), CAST(x2 AS BIGINT))) AS x FROM w))
+SELECT school, n, round(area, 4) AS area FROM (SELECT school, count(*) AS n FROM w GROUP BY 1) JOIN (SELECT school, CAST(count(*) AS DOUBLE) AS area FROM unit GROUP BY 1) USING (school)""")
+def walk_zones(spark, sf_dir):
+    """Walk zones by school: features marked 'Y', dissolved under the names of a crosswalk; several names may mean one school."""
+    marked = F.expr("CASE parcel % 4 WHEN 0 THEN 'Y' WHEN 1 THEN 'Y' WHEN 2 THEN 'N' END")
+    rows = entity(spark, sf_dir, "parcel").where(marked == "Y").withColumn("ename", F.concat(F.lit("WALK "), F.col("parcel") % 6))
+    rows = readers.canonical(rows, WALKED, "ename").select(F.col("canonical").alias("school"), "parcel", "x1", "y1", "x2", "y2")
+    area = shapes.covered(shapes.box_trapezoids(rows, "school"), "school", SIDE).groupBy("school").agg(F.round(F.sum(shapes.area_of()), 4).alias("area"))
+    return rows.groupBy("school").agg(F.count("*").alias("n")).join(area, "school")
+
+
 @query("hull_area", sql("facility") + """, p AS (SELECT DISTINCT nation AS k, x, y FROM facility), e AS (SELECT a.k, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM p a JOIN p b ON a.k = b.k AND (a.x, a.y) != (b.x, b.y)
 WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.k = a.k AND ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0
 OR (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) = 0 AND ((c.x - b.x) * (b.x - a.x) + (c.y - b.y) * (b.y - a.y) > 0 OR (c.x - a.x) * (b.x - a.x) + (c.y - a.y) * (b.y - a.y) < 0)))) SELECT k, round(sum(x1 * y2 - x2 * y1) / 2, 4) AS area FROM e GROUP BY k HAVING count(*) > 2""")

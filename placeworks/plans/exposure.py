@@ -214,3 +214,13 @@ def road_diagnostic(spark, sf_dir):
     near = spatial.within(points(spark, sf_dir), entity(spark, sf_dir, "site"), x, y, (1000.0, 1000.0), d, 1000.0)
     near = near.join(entity(spark, sf_dir, "road").select("road", "class"), "road")
     return near.groupBy("site", "class").agg(F.countDistinct("road").alias("n"), F.round(F.sum(F.lit(0.01) * F.exp(-E.DECAY * F.col("distance"))), 6).alias("s"))
+
+
+@query("road_types_near", WEIGHTED + f"""SELECT site, class, weight IS NULL AS excluded, count(*) AS n, count_if(d <= 500) AS n_500, round(avg(len), 4) AS mean_length, round(sum(0.01e0 * exp(-0.003e0 * d)), 6) AS most
+FROM (SELECT site, class, weight, len, {SNAP} (SELECT site, site_x AS x, site_y AS y FROM site), weighted)) WHERE d <= 1000 GROUP BY ALL""")
+def road_types_near(spark, sf_dir):
+    """Roads within 1000 m of each site by class: whether the analysis leaves the class out, how many, how long, and what they would add as minor roads."""
+    sites = entity(spark, sf_dir, "site").select("site", F.col("site_x").alias("x"), F.col("site_y").alias("y"))
+    near = snapped(spark, sf_dir, sites, "site", 1000.0).withColumn("excluded", F.col("weight").isNull())
+    most = F.sum(F.lit(0.01) * F.exp(-E.DECAY * F.col("distance")))
+    return near.groupBy("site", "class", "excluded").agg(F.count("*").alias("n"), F.count_if(F.col("distance") <= 500).alias("n_500"), F.round(F.avg("len"), 4).alias("mean_length"), F.round(most, 6).alias("most"))

@@ -81,3 +81,9 @@ def known_names(rows: DataFrame, names: dict[str, str], column: str, order: str)
     found = rows.join(F.broadcast(table), column).withColumn("_k", F.struct(order))
     first = found.groupBy("canonical").agg(F.min_by(F.struct(*rows.columns), "_k").alias("r")).select("canonical", "r.*")
     return first, table.select("canonical").distinct().join(first.select("canonical"), "canonical", "left_anti")
+
+
+def canonical(rows: DataFrame, names: dict[str, str], column: str) -> DataFrame:
+    """rows under `canonical`, what a crosswalk makes of their name; those it does not know, or without a name, are dropped."""
+    table = rows.sparkSession.createDataFrame(list(names.items()), f"{column} string, canonical string")  # a crosswalk of literals
+    return rows.join(F.broadcast(table), column)

@@ -392,3 +392,10 @@ def test_cascade_and_bidirectional(spark):
     assert {tuple(r) for r in tables.cascade(rows, "k", [a, b], ["lat"]).collect()} == {(1, 1.0, 0), (2, 2.0, 1), (3, None, None)}
     e = spark.createDataFrame([(1, 2, 5), (2, 1, 7), (2, 3, 4)], "u long, v long, w long")
     assert {tuple(r) for r in tables.bidirectional(e).collect()} == {(1, 2, 5), (2, 1, 7), (2, 3, 4), (3, 2, 4)}
+
+
+def test_canonical_names_of_several_rows(spark):
+    """All rows of known names stay, under what they mean; unknown and missing names go."""
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "z"), (5, None)], "k long, name string")
+    got = readers.canonical(rows, {"a": "North", "b": "North", "c": "South"}, "name").collect()
+    assert sorted((r.k, r.canonical) for r in got) == [(1, "North"), (2, "North"), (3, "North")]
