@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from . import spatial
 
 #: A trapezoid: from l to r, above the line b and below the line t.
 LINES = [f"{line}{c}" for line in "bt" for c in ("x1", "y1", "x2", "y2")]
@@ -393,6 +394,25 @@ def polygon_distance(a: DataFrame, b: DataFrame, a_key: str, b_key: str, radius:
     in cells, those of a widened by the radius; polygons of which one holds the
     other are told by what they share.
     """
+    near = _near(a, b, a_key, b_key, radius, size)
+    inside = intersect(trapezoids(a, a_key, size), trapezoids(b, b_key, size), [a_key], [b_key], size).select(a_key, b_key, F.lit(0.0).alias("distance"))
+    return near.unionByName(inside).groupBy(a_key, b_key).agg(F.min("distance").alias("distance"))
+
+
+def point_distance(polygons: DataFrame, points: DataFrame, polygon: str, point: str, radius: float, size: float) -> DataFrame:
+    """(polygon, point, distance) of points (x, y) at most radius from a polygon (edges), 0 inside it; so whether its buffer of radius holds them.
+
+    A point without a place is near to nothing.
+    """
+    placed = points.where("x IS NOT NULL AND y IS NOT NULL")
+    dots = placed.select(point, F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    near = _near(polygons, dots, polygon, point, radius, size)
+    inside = spatial.point_in_polygon(placed, polygons, point, polygon, size).select(polygon, point, F.lit(0.0).alias("distance"))
+    return near.unionByName(inside).groupBy(polygon, point).agg(F.min("distance").alias("distance"))
+
+
+def _near(a: DataFrame, b: DataFrame, a_key: str, b_key: str, radius: float, size: float) -> DataFrame:
+    """(a_key, b_key, distance) of the nearest edges of what is at most radius apart."""
     c = ("x1", "y1", "x2", "y2")
 
     def spread(edges: DataFrame, key: str, wide: float, names: str) -> DataFrame:
@@ -401,6 +421,4 @@ def polygon_distance(a: DataFrame, b: DataFrame, a_key: str, b_key: str, radius:
 
     met = spread(a, a_key, radius, "a").join(spread(b, b_key, 0.0, "b"), ["_cx", "_cy"])
     apart = segment_distance([F.col(f"a{n}") for n in c], [F.col(f"b{n}") for n in c])
-    near = met.groupBy(a_key, b_key).agg(F.min(apart).alias("distance")).where(F.col("distance") <= radius)
-    inside = intersect(trapezoids(a, a_key, size), trapezoids(b, b_key, size), [a_key], [b_key], size).select(a_key, b_key, F.lit(0.0).alias("distance"))
-    return near.unionByName(inside).groupBy(a_key, b_key).agg(F.min("distance").alias("distance"))
+    return met.groupBy(a_key, b_key).agg(F.min(apart).alias("distance")).where(F.col("distance") <= radius)

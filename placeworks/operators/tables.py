@@ -107,6 +107,17 @@ def numbered(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     return out.withColumn(name, (F.col("_before") + F.col("_at") - F.shiftleft(F.col("_part"), 33)).cast("long")).drop("_part", "_at", "_before")
 
 
+def placed_within(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """rows with their place, from 1, among those of the same keys (null ones are a key as well), in an order that has to be total.
+
+    Places are those of the whole table less what comes before the key, so the rows of one key are in as many tasks as they fill.
+    """
+    out = numbered(rows, [*keys, *order], name)
+    first = out.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min(name).alias("_first"))
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    return out.join(first, same).withColumn(name, F.col(name) - F.col("_first") + 1).drop("_first", *[f"_k{i}" for i in range(len(keys))])
+
+
 def carried_forward(lines: DataFrame, order: str, header: Column, name: str) -> DataFrame:
     """Each line with the last header up to it. Lines are sorted in ranges; what a range begins with comes from the ranges before."""
     placed = cut(lines.withColumn("_h", header).repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()))

@@ -9,7 +9,7 @@ from ..functions import geo
 from ..operators import exposure as E
 from ..operators import spatial, tables
 from .adapters import entity, sql
-from .registry import query
+from .registry import query, table
 
 
 # The tables of the operators once more, written out, so that the SQL does not follow a change of theirs.
@@ -98,10 +98,11 @@ def top8_contributors(spark, sf_dir):
     y = lambda df: F.col("site_y") if "site_y" in df.columns else F.col("y")
     near = spatial.within(points(spark, sf_dir), entity(spark, sf_dir, "site"), x, y, (1000.0, 1000.0), d, 1000.0)
     near = near.withColumn("c", F.col("weight") * F.exp(-E.DECAY * F.col("distance"))).where("c > 1e-4")
-    w = Window.partitionBy("site")
-    near = near.withColumn("rank", F.row_number().over(w.orderBy(F.round("c", 9).desc(), "road", "piece"))).withColumn("total", F.sum("c").over(w))
-    near = near.withColumn("rest", F.greatest(F.count("*").over(w) - 8, F.lit(0))).where("rank <= 8")
-    return near.select("site", "road", "piece", F.col("rank").cast("long").alias("rank"), F.round("c", 6).alias("contribution"), F.round(F.col("c") / F.col("total") * 100, 4).alias("share"), "rest")
+    # Totals are summed on both sides of their exchange, and of each task's points eight of a site at most go on to be ranked.
+    totals = near.groupBy("site").agg(F.sum("c").alias("total"), F.greatest(F.count("*") - 8, F.lit(0)).alias("rest"))
+    rank = F.row_number().over(Window.partitionBy("site").orderBy(F.round("c", 9).desc(), "road", "piece"))
+    top = near.select("site", "road", "piece", "c").withColumn("rank", rank).where("rank <= 8").join(totals, "site")
+    return top.select("site", "road", "piece", F.col("rank").cast("long").alias("rank"), F.round("c", 6).alias("contribution"), F.round(F.col("c") / F.col("total") * 100, 4).alias("share"), "rest")
 
 
 SNAP = """t, sqrt((x - (ax + t * (ex - ax))) ** 2 + (y - (ay + t * (ey - ay))) ** 2) AS d FROM (SELECT *, CASE WHEN len > 0 THEN greatest(0e0, least(1e0, ((x - ax) * (ex - ax) + (y - ay) * (ey - ay)) / (len * len))) ELSE 0 END AS t FROM """
@@ -135,21 +136,27 @@ def edge_snap(spark, sf_dir):
 
 
 CODES = (0, 10, 20, 30, 40, 50, 60, 80, 90, 95, 10)
-LAND = sql("site", "facility") + ", land AS (SELECT r AS row, c AS col, [0, 10, 20, 30, 40, 50, 60, 80, 90, 95, 10][CAST((r * 31 + c * 17) % 11 AS BIGINT) + 1] AS class FROM range(100) a(r), range(100) b(c)), win AS (SELECT site, class FROM site, land WHERE abs(row - floor(site_y / 101e0)) <= 4 AND abs(col - floor(site_x / 101e0)) <= 4)"
 
 
-def land(spark):
-    rows = spark.range(100).withColumnRenamed("id", "row").withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(99))))
-    code = F.element_at(F.array(*[F.lit(c) for c in CODES]), ((F.col("row") * 31 + F.col("col") * 17) % 11 + 1).cast("int"))
-    return rows.select("row", F.col("col").cast("long").alias("col"), code.alias("class"))
+def land_sql(rows: int, cols: int) -> str:
+    return f"SELECT (o_orderkey * 104729 + 31) % 10009 * {rows} // 10009 AS row, (o_orderkey * 7919 + 29) % 10007 * {cols} // 10007 AS col, {list(CODES)}[CAST(min(o_orderkey) % 11 AS BIGINT) + 1] AS class FROM orders GROUP BY 1, 2"
+
+
+LAND = sql("site", "facility") + f", land AS ({land_sql(100, 100)}), win AS (SELECT site, class FROM site, land WHERE abs(row - floor(site_y / 101e0)) <= 4 AND abs(col - floor(site_x / 101e0)) <= 4)"
+
+
+def land(spark, sf_dir, rows: int = 100, cols: int = 100):
+    """Land cover by cells; orders stand for what was seen, the first of a cell tells its class."""
+    seen = table(spark, sf_dir, "orders").groupBy(F.expr(f"(o_orderkey * 104729 + 31) % 10009 * {rows} div 10009").alias("row"), F.expr(f"(o_orderkey * 7919 + 29) % 10007 * {cols} div 10007").alias("col"))
+    return seen.agg(F.get(F.array(*[F.lit(c) for c in CODES]), (F.min("o_orderkey") % 11).cast("int")).alias("class"))
 
 
 def window(spark, sf_dir):
     sites = entity(spark, sf_dir, "site").select("site", F.floor(F.col("site_y") / 101).alias("row0"), F.floor(F.col("site_x") / 101).alias("col0"))
-    return E.window_cells(sites, land(spark), 4)
+    return E.window_cells(sites, land(spark, sf_dir), 4)
 
 
-@query("canopy_fraction", LAND + "SELECT site, round(count_if(class = 10) / CAST(count_if(class > 0) AS DOUBLE), 6) AS canopy FROM win GROUP BY site")
+@query("canopy_fraction", LAND + "SELECT site, round(coalesce(count_if(class = 10) / CAST(nullif(count_if(class > 0), 0) AS DOUBLE), 0), 6) AS canopy FROM win GROUP BY site")
 def canopy_fraction(spark, sf_dir):
     return E.canopy_fraction(window(spark, sf_dir)).select("site", F.round("canopy", 6).alias("canopy"))
 

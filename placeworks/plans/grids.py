@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import projection
 from ..operators import exposure as E
 from ..operators import raster
-from .exposure import CODES, HEAT, WEIGHTED, weighted
+from .exposure import HEAT, WEIGHTED, land, land_sql, weighted
 from .proximity import _SERIES
-from .registry import query, table
+from .registry import query
 
 ZONE = 17
 #: West, south, east and north of the land cover, its rows and columns; the sides of reprojected and of grid cells in metres.
@@ -31,7 +31,7 @@ r * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) +
 # Every whole cell of the range is asked; what has no source goes. Latitudes come from the conformal ones in eight steps.
 _LATITUDE = "asin(tanh(iso + e * atanh(e * sin({}))))"
 _STEPS = ", ".join(f"s{i} AS (SELECT * REPLACE ({_LATITUDE.format('phi')} AS phi) FROM s{i - 1})" for i in range(1, 9))
-COVER = f"""source AS (SELECT (o_orderkey * 104729 + 31) % 10009 * 250 // 10009 AS row, (o_orderkey * 7919 + 29) % 10007 * 350 // 10007 AS col, {list(CODES)}[CAST(min(o_orderkey) % 11 AS BIGINT) + 1] AS class FROM orders GROUP BY 1, 2),
+COVER = f"""source AS ({land_sql(*SHAPE)}),
 asked AS (SELECT k AS row, m AS col, (k + 0.5e0) * 100 / r AS xi, ((m + 0.5e0) * 100 - 500000) / r AS eta, series.* FROM range(39600, 40060) a(k), range(6520, 6960) b(m), series),
 conformal AS (SELECT row, col, e, xi - b1 * sin(2 * xi) * cosh(2 * eta) - b2 * sin(4 * xi) * cosh(4 * eta) - b3 * sin(6 * xi) * cosh(6 * eta) - b4 * sin(8 * xi) * cosh(8 * eta) AS u,
 eta - b1 * cos(2 * xi) * sinh(2 * eta) - b2 * cos(4 * xi) * sinh(4 * eta) - b3 * cos(6 * xi) * sinh(6 * eta) - b4 * cos(8 * xi) * sinh(8 * eta) AS v FROM asked),
@@ -41,10 +41,8 @@ JOIN source ON sr = source.row AND sc = source.col)"""
 
 
 def cover(spark, sf_dir):
-    """Land cover in a UTM zone, from cells in degrees; orders stand for what was seen, the first of a cell tells its class."""
-    seen = table(spark, sf_dir, "orders").groupBy(F.expr("(o_orderkey * 104729 + 31) % 10009 * 250 div 10009").alias("row"), F.expr("(o_orderkey * 7919 + 29) % 10007 * 350 div 10007").alias("col"))
-    code = F.get(F.array(*[F.lit(c) for c in CODES]), (F.min("o_orderkey") % 11).cast("int"))
-    return raster.reprojected(seen.agg(code.alias("class")), BOUNDS, SHAPE, ZONE, SIZE)
+    """Land cover in a UTM zone, from cells in degrees."""
+    return raster.reprojected(land(spark, sf_dir, *SHAPE), BOUNDS, SHAPE, ZONE, SIZE)
 
 
 @query("cover_reprojected", f"WITH {CONSTANTS}, {COVER} SELECT row, col, class FROM cover")

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import exposure as E
-from ..operators import spatial, tables
-from ..sources import readers
+from ..operators import shapes, spatial, tables
+from ..operators.cut import cut
+from ..sources import inputs, readers
 from .adapters import entity, sql
-from .exposure import LAND, land
+from .exposure import CELLS, LAND, land, raster
 from .network import FLOWS, PATHS, SNAPS, changes, times
 from .registry import query, table
 
@@ -52,17 +52,26 @@ def intersection_tags(spark, sf_dir):
 
 @query("raster_window", LAND + "SELECT row, col, class FROM land WHERE row BETWEEN 20 AND 60 AND col BETWEEN 10 AND 70 AND class > 0 AND row % 3 = 0 AND col % 3 = 0")
 def raster_window(spark, sf_dir):
-    return readers.raster_window(land(spark), (20, 60), (10, 70), 3)
+    return readers.raster_window(land(spark, sf_dir), (20, 60), (10, 70), 3)
 
 
-@query("district_mask", """SELECT r AS row, c AS col FROM range(50) a(r), range(50) b(c) WHERE sqrt(greatest(2000 - (c * 200 + 100), 0, c * 200 + 100 - 7000) ** 2 + greatest(1500 - (r * 200 + 100), 0, r * 200 + 100 - 8000) ** 2) <= 300""")
+_CELL = "(col + 0.5e0) * (10007e0 / 40)", "(row + 0.5e0) * (10009e0 / 40)"
+_OUTSIDE = f"sqrt(greatest(bx1 - {_CELL[0]}, 0, {_CELL[0]} - bx2) ** 2 + greatest(by1 - {_CELL[1]}, 0, {_CELL[1]} - by2) ** 2)"
+
+
+@query("district_mask", CELLS + ", box AS (" + sql("zone") + f"""SELECT x1 AS bx1, y1 AS by1, x2 AS bx2, (y1 + y2) / 2 AS by2 FROM zone WHERE zone IN (0, 3) UNION ALL SELECT x1, (y1 + y2) / 2, (x1 + x2) / 2, y2 FROM zone WHERE zone IN (0, 3))
+SELECT row, col, value FROM cells WHERE EXISTS (SELECT 1 FROM box WHERE {_OUTSIDE} <= 300)""")
 def district_mask(spark, sf_dir):
-    """Cells whose centre is within 300 m of the district."""
-    grid = spark.range(50).withColumnRenamed("id", "row").withColumn("col", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(49).cast("long"))))
-    x, y = F.col("col") * 200 + 100, F.col("row") * 200 + 100
-    outside = lambda v, lo, hi: F.greatest(F.lit(lo) - v, F.lit(0), v - hi).cast("double")
-    dx, dy = outside(x, 2000, 7000), outside(y, 1500, 8000)
-    return grid.where(F.sqrt(dx * dx + dy * dy) <= 300)
+    """Raster cells whose centre is within 300 m of the district: two zones with a corner cut out."""
+    xy = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    xm, ym = (x1 + x2) / 2, (y1 + y2) / 2
+    ring = F.array(xy(x1, y1), xy(x2, y1), xy(x2, ym), xy(xm, ym), xy(xm, y2), xy(x1, y2))
+    district = spatial.rings_to_edges(entity(spark, sf_dir, "zone").where("zone IN (0, 3)").select("zone", F.array(ring).alias("rings")), "zone")
+    cells = raster(spark, sf_dir).withColumn("cell", F.col("row") * 40 + F.col("col"))
+    centres = cells.select("cell", ((F.col("col") + 0.5) * (10007 / 40)).alias("x"), ((F.col("row") + 0.5) * (10009 / 40)).alias("y"))
+    near = shapes.point_distance(district, centres, "zone", "cell", 300.0, 500.0)
+    return cells.join(near, "cell", "left_semi").select("row", "col", "value")
 
 
 @query("population_mask", sql("facility", "parcel") + """, cells AS (SELECT CAST(least(greatest(floor(y / (10009e0 / 40)), 0), 39) AS BIGINT) AS row, CAST(least(greatest(floor(x / (10007e0 / 40)), 0), 39) AS BIGINT) AS col, min(capacity) AS value FROM facility GROUP BY ALL)
@@ -109,12 +118,30 @@ def model_inputs(spark, sf_dir):
     return rows.agg(F.count("*").alias("n"), (F.count_if(~good) > 0).alias("any_dropped"), F.round(F.sum(F.when(good, F.col("w"))), 6).alias("weight"))
 
 
+_ZONES = {f"zone {i}": f"School {i}" for i in range(1, 11)}
+_PUPILS = "count_if(o_orderdate < DATE '1995-01-01') AS old, count_if(o_orderdate >= DATE '1995-01-01') AS new"
+
+
+@query("enrolment_inputs", f"""SELECT school, students, fragments, weight FROM (SELECT 'School ' || CAST(o_custkey % 10 + 1 AS VARCHAR) AS school, CAST(count_if(o_orderdate >= DATE '1995-01-01') AS BIGINT) AS students FROM orders GROUP BY 1)
+JOIN (SELECT 'School ' || CAST(c_custkey % 11 AS VARCHAR) AS school, count(*) AS fragments, round(sum(c_custkey % 13 / 13e0), 6) AS weight FROM customer WHERE c_custkey % 11 > 0 AND c_custkey % 13 > 0 GROUP BY 1) USING (school)""")
+def enrolment_inputs(spark, sf_dir):
+    """Students of the year and fragments of each school under its canonical name, all checks passed; the total's row is told from the schools'."""
+    by = table(spark, sf_dir, "orders").groupBy(F.concat(F.lit("school no. "), F.expr("o_custkey % 10 + 1")).alias("name")).agg(*[F.expr(e) for e in _PUPILS.split(", ")])
+    counts = cut(by.unionByName(by.agg(F.lit("Total").alias("name"), F.sum("old").alias("old"), F.sum("new").alias("new"))))
+    total = counts.where("name = 'Total'").first()["new"]
+    fragments = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("zone "), F.expr("c_custkey % 11")).alias("zone"), (F.col("c_custkey") % 13 / 13.0).alias("weight"))
+    names = list(_ZONES.values())
+    kept, students = inputs.enrolment_inputs(fragments, _ZONES, counts, {f"school no. {i}": f"School {i}" for i in range(1, 11)}, "new", "Total", names, names, total)
+    sums = kept.groupBy("school").agg(F.count("*").alias("fragments"), F.round(F.sum("weight"), 6).alias("weight"))
+    return students.join(sums, "school").select("school", "students", "fragments", "weight")
+
+
 @query("sorted_capacity", """SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_acctbal END AS capacity, row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_acctbal END ASC NULLS LAST, c_custkey) AS place FROM customer""")
 def sorted_capacity(spark, sf_dir):
     """Places by capacity within a nation, unknown ones last."""
     rows = table(spark, sf_dir, "customer").withColumn("capacity", F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal")))
-    w = Window.partitionBy("c_nationkey").orderBy(F.col("capacity").asc_nulls_last(), "c_custkey")
-    return rows.select("c_custkey", "capacity", F.row_number().over(w).cast("long").alias("place"))
+    rows = rows.withColumns({"unknown": F.col("capacity").isNull(), "nation": F.col("c_nationkey")})
+    return tables.placed_within(rows, ["nation"], ["unknown", "capacity", "c_custkey"], "place").select("c_custkey", "capacity", "place")
 
 
 @query("tile_union", sql("parcel") + "SELECT DISTINCT parcel, x1, y1 FROM parcel WHERE x1 < 6000")

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.clean import blank_to_null
+from .sinks import FORMATS
 
 
 def records(spark: SparkSession, path: str, schema: str, required: Sequence[str] = ()) -> DataFrame:
@@ -30,6 +34,39 @@ def _typed(text: Column, kind: T.DataType) -> Column:
     return clean.try_cast(kind.simpleString())
 
 
+def either(paths: Sequence[str], read: Callable[[str], DataFrame]) -> DataFrame | None:
+    """What the first of the paths that is there holds, older places last; None where none is."""
+    for path in paths:
+        try:
+            return read(path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    return None
+
+
+def geocoded(spark: SparkSession, paths: Sequence[str], schema: str) -> DataFrame:
+    """Records geocoded before, from the first of the paths that is there, with `geocoded` false where it is not said; no rows where no path is."""
+    found = either(paths, lambda path: records(spark, path, schema))
+    rows = spark.createDataFrame([], schema) if found is None else found
+    return rows.withColumn("geocoded", F.coalesce("geocoded", F.lit(False)))
+
+
+def unpacked(rows: DataFrame, keys: Sequence[str], kind: str = "f4", data: str = "data") -> DataFrame:
+    """keys, pos (from 0) and value of the numbers in base64 that `sinks.packed` writes; NaN is null, and data that is null has no rows."""
+    keys = list(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = [None if d is None else np.frombuffer(d, FORMATS[kind]).astype(np.float64) for d in batch["_data"].to_pylist()]
+            values = pa.array([None if v is None else np.where(np.isnan(v), None, v).tolist() for v in told], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(batch[k] for k in keys), values], names=[*keys, "_values"])
+
+    fields = "".join(f"`{k}` {rows.schema[k].dataType.simpleString()}, " for k in keys)
+    lists = rows.select(*keys, F.unbase64(data).alias("_data")).mapInArrow(run, f"{fields}_values array<double>")
+    return lists.select(*keys, F.posexplode("_values").alias("pos", "value"))
+
+
 def in_box(spark: SparkSession, path: str, box: tuple[float, float, float, float], columns: tuple[str, str, str, str] = ("x1", "y1", "x2", "y2")) -> DataFrame:
     """Rows of a Parquet table whose box meets the given one; the comparisons reach the scan and skip row groups."""
     x1, y1, x2, y2 = (F.col(c) for c in columns)

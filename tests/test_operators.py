@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from placeworks.functions import clean, geo
 from placeworks.operators import choice, exposure, interpolate, network, profile, proximity, shapes, spatial, tables
-from placeworks.sources import readers, sinks
+from placeworks.sources import inputs, readers, sinks
 
 
 def test_haversine_one_degree(spark):
@@ -399,3 +399,70 @@ def test_canonical_names_of_several_rows(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "z"), (5, None)], "k long, name string")
     got = readers.canonical(rows, {"a": "North", "b": "North", "c": "South"}, "name").collect()
     assert sorted((r.k, r.canonical) for r in got) == [(1, "North"), (2, "North"), (3, "North")]
+
+
+def test_first_path_that_is_there(spark, tmp_path):
+    """Records from a newer place before an older one, an empty table where there is neither; other errors are not hidden."""
+    schema = "name string, lat double, lon double, geocoded boolean"
+    new, old = str(tmp_path / "new.csv"), str(tmp_path / "old.csv")
+    assert readers.geocoded(spark, [new, old], schema).collect() == []
+    (tmp_path / "old.csv").write_text("name,lat,lon,geocoded\nOne,35.9,-79.0,True\nTwo,,,\nThree,x,1,no\n")
+    told = [tuple(r) for r in readers.geocoded(spark, [new, old], schema).collect()]
+    assert told == [("One", 35.9, -79.0, True), ("Two", None, None, False), ("Three", None, 1.0, False)]
+    (tmp_path / "new.csv").write_text("name,lat,lon,geocoded\nFour,1,2,true\n")
+    assert [r.name for r in readers.geocoded(spark, [new, old], schema).collect()] == ["Four"]
+    with pytest.raises(ZeroDivisionError):
+        readers.either([new], lambda path: 1 / 0)
+
+
+def test_network_of_parquet(spark, tmp_path):
+    """The first of several classes of an edge, a missing list, and classes that are plain text."""
+    nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 1.0, 0.0)], "node long, x double, y double")
+    nodes.write.parquet(str(tmp_path / "nodes"))
+    edges = spark.createDataFrame([(1, 2, ["primary", "service"]), (2, 1, None), (2, 2, [])], "u long, v long, highway array<string>")
+    for name, df in (("lists", edges), ("plain", edges.withColumn("highway", F.get("highway", F.lit(0))))):
+        df.write.parquet(str(tmp_path / name))
+        n, e = readers.network(spark, str(tmp_path / "nodes"), str(tmp_path / name))
+        assert n.count() == 2 and sorted(map(tuple, e.collect())) == [(1, 2, "primary"), (2, 1, None), (2, 2, None)]
+
+
+@pytest.mark.parametrize("kind", ["f4", "i2", "u4"])
+def test_packed_grids_come_back(spark, kind):
+    values = [1.0, None, 3.5, 250.0] if kind == "f4" else [1.0, 0.0, 4.0, 250.0]
+    cells = spark.createDataFrame([(k, i, v) for k in ("a", "b") for i, v in enumerate(values)], "k string, i long, v double")
+    grids = sinks.packed(cells, ["k"], "i", "v", kind)
+    back = readers.unpacked(grids.unionByName(spark.createDataFrame([("none", None)], "k string, data string")), ["k"], kind)
+    assert sorted(map(tuple, back.collect())) == [(k, i, v) for k in ("a", "b") for i, v in enumerate(values)]
+    assert readers.unpacked(grids.limit(0), ["k"], kind).count() == 0
+
+
+def test_places_within_keys(spark):
+    """Places of one key that fills many tasks, of small ones and of the key that is null."""
+    rows = [(k, i * 7919 % 1009, i) for i, k in enumerate([1] * 700 + [2] * 3 + [None] * 5)]
+    got = tables.placed_within(spark.createDataFrame(rows, "k long, v long, i long"), ["k"], ["v", "i"], "place").collect()
+    assert got[0].__fields__ == ["k", "v", "i", "place"]
+    expected = {i: n + 1 for key in (1, 2, None) for n, (_, i) in enumerate(sorted((v, i) for k, v, i in rows if k == key))}
+    assert {r.i: r.place for r in got} == expected
+    assert tables.placed_within(spark.createDataFrame([], "k long, v long"), ["k"], ["v"], "place").count() == 0
+
+
+def test_inputs_that_do_not_belong_together(spark):
+    zones, schools = {"a zone": "A", "b zone": "B", "b old": "B"}, {"a": "A", "b": "B", "c": "C"}
+    fragments = [("a zone", 0.5), ("b zone", 0.25), ("b old", 0.5), ("b old", 1e-7), ("elsewhere", 1.0), (None, 1.0), ("a zone", None)]
+    counts = [("a", "1", "10"), ("b", "2", "20"), ("c", "3", "30"), ("all", "6", "60")]
+
+    def run(fragments=fragments, counts=counts, schools=schools, total=60, known="ABC", homes="AB"):
+        f = spark.createDataFrame(fragments, "zone string, weight double")
+        c = spark.createDataFrame(counts, "name string, y1 string, `2025-26` string")
+        return inputs.enrolment_inputs(f, zones, c, schools, "2025-26", "all", known, homes, total)
+
+    kept, students = run()
+    assert sorted((r.zone, r.school, r.weight) for r in kept.collect()) == [("a zone", "A", 0.5), ("b old", "B", 0.5), ("b zone", "B", 0.25)]
+    assert sorted(map(tuple, students.collect())) == [("A", 10), ("B", 20), ("C", 30)]
+    for text, wrong in (
+        ("canonical", {"schools": {"a": "A", "b": "B"}}), ("canonical", {"counts": [*counts, (None, "1", "1")]}), ("without students", {"counts": [*counts[:2], ("c", "3", "many")]}),
+        ("twice", {"counts": [*counts, ("a", "1", "10")]}), ("schools: unknown", {"known": "ABCD"}), ("schools: unknown", {"known": "AB"}),
+        ("homes", {"homes": "A"}), ("homes", {"fragments": fragments[:1]}), ("add up to 60", {"total": 61}),
+    ):
+        with pytest.raises(ValueError, match=text):
+            run(**wrong)

@@ -215,3 +215,14 @@ def test_dots_lie_where_they_may(spark):
     x, y = at[4].T
     assert inside([[(20, 0), (30, 0), (25, 12)]], at[4]).all()
     assert np.mean(y < 6) == pytest.approx(0.75, abs=0.03) and np.mean(x < 25) == pytest.approx(0.5, abs=0.01) and np.mean(x < 22.5) == pytest.approx(0.125, abs=0.01)
+
+
+def test_points_in_buffers(spark):
+    """A square with a hole and one that a diagonal bounds: inside, in the hole, on the border, about a corner, without a place."""
+    rings = [(1, [[(0, 0), (10, 0), (10, 10), (0, 10)], [(3, 3), (3, 7), (7, 7), (7, 3)]]), (2, [[(20, 0), (30, 0), (20, 10)]])]
+    edges = polygons(spark, rings, "zone")
+    places = [(1, 1.0, 1.0), (2, 5.0, 5.0), (3, 10.0, 5.0), (4, 13.0, 14.0), (5, 25.0, 6.0), (6, 100.0, 0.0), (7, None, 1.0), (8, 15.0, 2.0)]
+    points = spark.createDataFrame(places, "p long, x double, y double")
+    for size in (1.0, 4.0, 100.0):
+        got = {(r.zone, r.p): round(r.distance, 6) for r in shapes.point_distance(edges, points, "zone", "p", 5.0, size).collect()}
+        assert got == {(1, 1): 0, (1, 2): 2, (1, 3): 0, (1, 4): 5, (2, 5): round(0.5**0.5, 6), (1, 8): 5, (2, 8): 5}
