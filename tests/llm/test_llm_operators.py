@@ -10,6 +10,7 @@ import warnings
 import zlib
 
 import numpy as np
+import plain
 import pyarrow as pa
 import pytest
 import xxhash
@@ -387,6 +388,18 @@ def test_toxicity(spark, nothing):
     assert toxicity.scored(docs, model).columns == ["doc_id", "text", "lang", "score", "toxic"]
 
 
+def test_toxicity_against_a_plain_forward_pass(spark, monkeypatch):
+    """Scores of whole texts, of none, of one word, of words with prefixes in common and of long ones, filter by filter."""
+    monkeypatch.setattr(toxicity, "LEAST_STEPS", 40)
+    rng = random.Random(31)
+    texts = [None, "", "-- !", "One", "one", "é中 ½", "ab abc abcd abcde abcdef abcdefg"] + [words(rng, n) for n in (2, 3, 4, 50, 2000)] + [words(rng, 30) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(len(texts))], "doc_id long, toxic int"))
+    got = {r.doc_id: r.score for r in toxicity.scored(docs, model).collect()}
+    expected = [plain.toxic_score(model, t) for t in texts]
+    assert len(set(np.round(expected, 4))) > 20 and np.allclose([got[i] for i in range(len(texts))], expected, atol=1e-4)
+
+
 def test_toxicity_keeps_the_natural_mixture(spark, monkeypatch):
     """A sample of as many toxic as clean rows stands for all learnable labels, in training and in the thresholds."""
     monkeypatch.setattr(toxicity, "SAMPLE_PER_CLASS", 40)

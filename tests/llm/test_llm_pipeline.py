@@ -1,28 +1,48 @@
 """The pipeline: every stage's decisions against plain code on its own input."""
 
+import zlib
+
 import corpus_pipeline
-from placeworks.llm import decontaminate, near_dedup
+import numpy as np
+import plain
+from placeworks.llm import mixing, queries, toxicity
+from tokenizers import Tokenizer
 
 
 def test_stages(spark, sf_dir, tmp_path):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(120)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("labels", "benchmark"))
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "decontamination", "mixing", "token_output"]
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         stage(spark, docs, sf_dir).write.parquet(str(tmp_path / str(k)))
         out = spark.read.parquet(str(tmp_path / str(k)))
-        before, after = ({r.doc_id for r in d.select("doc_id").collect()} for d in (docs, out))
-        assert after <= before
-        if name == "near_dedup":
-            groups = near_dedup.near_duplicates(docs).collect()
-            assert after == {r.doc_id for r in groups if r.kept}
+        given = docs.collect()
+        texts, before = [(r.doc_id, r.text) for r in given], {r.doc_id: r for r in given}
+        assert len(before) == len(given)
+        if name == "token_output":
+            start = 0
+            for r in sorted(out.collect(), key=lambda r: r.doc_id):
+                ids = np.array([*tokenizer.encode(before.pop(r.doc_id).text or "", add_special_tokens=False).ids, 0], "<u4")
+                assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+                start += len(ids)
+            assert not before
+            continue
+        assert out.columns == docs.columns
+        after = {r.doc_id: r for r in out.collect()}
+        assert out.count() == len(after) and all(before[d] == r for d, r in after.items())
+        if name == "toxicity":
+            model = toxicity.fit(docs, labels)
+            for r in given:
+                over = plain.toxic_score(model, r.text) - model.thresholds.get(r.lang or "", model.thresholds[""])
+                assert abs(over) < 1e-4 or (over < 0) == (r.doc_id in after)
+        elif name == "near_dedup":
+            assert set(after) == plain.kept_of_near_duplicates(texts, 5, 80)
         elif name == "decontamination":
-            bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-            assert after == {r.doc_id for r in decontaminate.contamination(docs, bench).collect() if not r.contaminated}
-        elif name == "token_output":
-            assert after == before
-        if name != "token_output":
-            assert out.columns == docs.columns
-            docs = out
+            assert set(after) == plain.clean_of(texts, [r.text for r in bench.collect()])
+        elif name == "mixing":
+            assert set(after) == plain.sampled([(r.doc_id, r.text, r.source, r.lang) for r in given], mixing.RATE)
+        docs = out
 
 
 def test_odd_rows(spark, sf_dir, tmp_path):
