@@ -264,7 +264,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
     schema = "shard long, block long, start long, doc_ids array<long>, n_tokens array<long>, offsets array<long>, payload binary, dictionary_hash string"
     # Written first: the range exchange samples its input, and would encode everything twice.
     framed = written(docs.mapInArrow(T.task(frames), "doc_id long, n_tokens long, frame binary"), "frames")
-    ordered = framed.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n_tokens", "frame")
+    # Rows of one id, or without one, may be any number: their frames' hashes part them as well.
+    order = [F.col("doc_id"), F.col("n_tokens"), F.xxhash64("frame")]
+    ordered = framed.repartitionByRange(*order).sortWithinPartitions(*order, "frame")
     ordered.mapInArrow(T.task(blocks), schema).write.parquet(f"{path}/blocks")
     totals = spark.read.parquet(f"{path}/blocks").select("shard", F.expr("aggregate(n_tokens, 0L, (a, x) -> a + x)").alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard: bounded by their number
@@ -296,7 +298,7 @@ def token_output(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataF
     """doc_id, start, n_tokens and ids_crc32 of every row of docs (doc_id, text), read back from the files written.
 
     Files go to the shared folder, in ascending doc_id order; null doc_ids come
-    first, rows that repeat one by their ids. Null and empty texts are the end
+    first, rows that repeat one by their number of ids and a hash. Null and empty texts are the end
     id alone. An empty table gives an empty table; other columns are ignored.
     """
     path = new_path(docs.sparkSession, "tokens")

@@ -16,7 +16,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from placeworks.llm import decontaminate, embedding_dedup, graph, html_extract, induced, mixing, near_dedup, queries, repeats, secret_scan, sharding, textops, tokens, toxicity
+from placeworks.llm import decontaminate, embedding_dedup, graph, html_extract, induced, mixing, near_dedup, queries, repeats, scratch, secret_scan, sharding, textops, tokens, toxicity
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 #: Columns whose names the operators use inside.
@@ -655,6 +655,23 @@ def test_tokens(spark, docs, nothing, corpus):
     assert tokens.token_output(nothing, path).count() == 0
 
 
+def test_tokens_of_one_hot_id(spark):
+    """Rows of one doc_id, or without one, fill more than one shard, and starts go on from one to the next."""
+    rng = random.Random(17)
+    texts = [words(rng, rng.randint(1, 60)) for _ in range(400)]
+    docs = spark.createDataFrame([(None if i % 2 else 7, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    path, small = scratch.new_path(spark, "hot"), "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(small, "false")  # else so few rows become one partition
+    try:
+        tokens.write_tokens(docs, queries.tokenizer_path(), path)
+    finally:
+        spark.conf.unset(small)
+    blocks = spark.read.parquet(f"{path}/blocks").select("shard", F.explode("doc_ids").alias("d"))
+    assert all(r.n > 1 for r in blocks.groupBy("d").agg(F.countDistinct("shard").alias("n")).collect())
+    out = sorted((r.start, r.n_tokens, r.doc_id is not None) for r in tokens.read_tokens(spark, path, "n", "long", len).collect())
+    assert [s for s, _, _ in out] == np.cumsum([0, *(n for _, n, _ in out)])[:-1].tolist() and [k for *_, k in out] == sorted(k for *_, k in out) and len(out) == 400
+
+
 def test_tokens_of_long_complementary_words(spark):
     from tokenizers import Tokenizer
 
