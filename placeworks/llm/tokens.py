@@ -19,7 +19,7 @@ import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 from functools import cache
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,8 @@ BLOCK_DOCS, BLOCK_BYTES = 1024, 4 << 20
 #: The dictionary is trained on about this many documents, the first by a hash of
 #: their doc_id, and on this many neighbouring ids of each at most, from a place that a hash picks.
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 1000, 4096, 1 << 16
-MEMO_ENTRIES, JOINED, CHUNK_BYTES = 200_000, 512, 1 << 18
+#: Pretokens that a worker remembers, about 200 bytes each; pretokens joined in one text; bytes of texts at once.
+MEMO_ENTRIES, JOINED, CHUNK_BYTES = 400_000, 512, 1 << 18
 LEVEL = 3
 
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
@@ -129,7 +130,7 @@ class Encoder:
         for texts, rows in ((joined, words), ([strings[i] for i in others], others)):
             encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
             count = np.fromiter((len(e) for e in encoded), np.int64, len(encoded))
-            flat = np.fromiter((i for e in encoded for i in e.ids), np.uint32, int(count.sum()))
+            flat = np.fromiter(chain.from_iterable(e.ids for e in encoded), np.uint32, int(count.sum()))
             del encoded
             if texts is joined:
                 count = np.diff(np.append(np.flatnonzero(self.spaced[flat]), len(flat)))
