@@ -18,7 +18,30 @@ from ..functions import geo
 from .cut import cut
 
 #: Sites up to which a nearest search carries all of them along with each row, as one array.
-MOST_SITES = 4096
+MOST_SITES = 256
+#: Halvings of a cell before a search begins, at most.
+HALVINGS = 16
+#: Sites that the mean cell may hold when a search begins, and cells along a segment of mean length.
+SITES_A_CELL, CELLS_A_SEGMENT = 16, 16
+#: Points of the greatest ids that segments meet first.
+LAST_POINTS = 16_384
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """df in as many partitions as a shuffle has, by columns if there are any: a small file is one, and what its rows meet would be one task's."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism), *columns)
+
+
+def halvings(places: DataFrame, x: Column, y: Column, cell: tuple[float, float], most: float) -> int:
+    """How often a cell has to be halved until the mean place (of all of them) has at most `most` in its own, so that dense tables are searched in small cells."""
+    sizes = places.select(x.alias("x"), y.alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    w, h = cell
+    for n in range(HALVINGS):
+        held = sizes.groupBy(geo.cell(F.col("x"), w), geo.cell(F.col("y"), h)).agg(F.count("*").cast("double").alias("n"))
+        if (held.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 0) <= most:
+            return n
+        w, h = w / 2, h / 2
+    return HALVINGS
 
 
 def within(points: DataFrame, sites: DataFrame, x: Callable[[DataFrame], Column], y: Callable[[DataFrame], Column], cell: tuple[float, float], distance: Column, radius: float) -> DataFrame:
@@ -34,16 +57,27 @@ def within(points: DataFrame, sites: DataFrame, x: Callable[[DataFrame], Column]
 
 
 def nearest(
-    points: DataFrame, sites: DataFrame, distance: Callable[[Column], Column], columns: list[str], order: str, at: tuple[Column, Column], site_at: tuple[Column, Column], cell: tuple[float, float, float]
+    points: DataFrame,
+    sites: DataFrame,
+    distance: Callable[[Column], Column],
+    columns: list[str],
+    order: str,
+    at: tuple[Column, Column],
+    site_at: tuple[Column, Column],
+    cell: tuple[float, float, float],
+    most: float | None = None,
 ) -> DataFrame:
     """points with `nearest`: a struct of the distance and of the columns of the nearest site, the least `order` of equals.
 
     Up to MOST_SITES sites travel as one array beside every row. More of them
-    are searched in cells that double their size: at and site_at place both
-    tables, cell is (width, height, distance), and a site that is not in the
-    nine cells around a point is at least that distance away. A point that has
-    found a site as near as that is done. A point or a site without a place is
-    near to nothing: `nearest` is null where there is no site with a distance.
+    are searched in cells that double their size, from one that holds a few
+    sites: at and site_at place both tables, cell is (width, height, distance),
+    and a site that is not in the nine cells around a point is at least that
+    distance away, in cells of half the size half of it. A point that has found
+    a site nearer than that is done. A point or a site without a place is near
+    to nothing: `nearest` is null where there is no site with a distance. With
+    `most`, distance gives null for what is farther than that, and the search
+    ends there.
     """
     columns = list(dict.fromkeys([order, *columns]))
     if sites.limit(MOST_SITES + 1).count() <= MOST_SITES:
@@ -51,28 +85,94 @@ def nearest(
         joined = points.crossJoin(F.broadcast(packed))  # one row, of MOST_SITES structs at most
         told = F.transform("_sites", lambda s: F.struct(distance(s).alias("distance"), *[s[c].alias(c) for c in columns]))
         return joined.withColumn("nearest", F.array_min(F.filter(told, lambda s: s["distance"].isNotNull()))).drop("_sites")
-    placed = cut(points.select(F.struct("*").alias("_row"), at[0].alias("_x"), at[1].alias("_y")).withColumn("_id", F.monotonically_increasing_id()))
+    placed = cut(spread(points.select(F.struct("*").alias("_row"), at[0].alias("_x"), at[1].alias("_y"))).withColumn("_id", F.monotonically_increasing_id()))
     open_, done = placed.select("_id", "_row", "_x", "_y"), None
     targets = cut(sites.select(F.struct(*columns).alias("_site"), site_at[0].alias("_sx"), site_at[1].alias("_sy")))
-    w, h, reach = cell
+    part = 2.0 ** -halvings(targets, F.col("_sx"), F.col("_sy"), cell[:2], SITES_A_CELL)
+    w, h, reach = (size * part for size in cell)
     ends = targets.agg(F.max(F.abs(F.col("_sx"))), F.max(F.abs(F.col("_sy")))).first()
     far = placed.agg(F.max(F.abs(F.col("_x"))), F.max(F.abs(F.col("_y")))).first()
     while True:
         # Cells as large as everything hold all sites, so the search ends there.
-        last = all(size > 2 * max(e or 0, f or 0) for size, e, f in zip((w, h), ends, far, strict=True))
+        last = (most is not None and reach > most) or all(size > 2 * max(e or 0, f or 0) for size, e, f in zip((w, h), ends, far, strict=True))
         own = open_.withColumn("_cx", geo.cell(F.col("_x"), w)).withColumn("_cy", geo.cell(F.col("_y"), h))
         around = targets.withColumn("_cx", F.explode(geo.cells_around(F.col("_sx"), w))).withColumn("_cy", F.explode(geo.cells_around(F.col("_sy"), h)))
-        met = own.join(around, ["_cx", "_cy"]).select("_id", "_site", "_row.*")
-        best = met.select("_id", F.struct(distance(F.col("_site")).alias("distance"), *[F.col(f"_site.{c}").alias(c) for c in columns]).alias("nearest")).groupBy("_id").agg(F.min("nearest").alias("nearest"))
+        # The size that is estimated for a table spread over cells is that of the table, so it is not to be broadcast by it.
+        met = spread(own, "_cx", "_cy").join(spread(around, "_cx", "_cy").hint("merge"), ["_cx", "_cy"]).select("_id", "_site", "_row.*")
+        told = met.select("_id", F.struct(distance(F.col("_site")).alias("distance"), *[F.col(f"_site.{c}").alias(c) for c in columns]).alias("nearest"))
+        best = told.where("nearest.distance IS NOT NULL").groupBy("_id").agg(F.min("nearest").alias("nearest"))
         now = cut(open_.join(best, "_id", "left"))
-        found = now if last else now.where(F.col("nearest.distance") <= reach)
+        settled = F.coalesce(F.col("nearest.distance") < reach, F.lit(False)) | F.col("_x").isNull() | F.col("_y").isNull()
+        found = now if last else now.where(settled)
         done = found if done is None else done.unionByName(found)
-        open_ = now.where(F.col("nearest").isNull() | (F.col("nearest.distance") > reach)).drop("nearest")
+        open_ = now.where(~settled).drop("nearest")
         if last or open_.isEmpty():
             return done.select("_row.*", "nearest")
         w, h, reach = 2 * w, 2 * h, 2 * reach
 
 
+def nearest_segments(points: DataFrame, segments: DataFrame, key: str, order: str, reach: float) -> DataFrame:
+    """points (key, x, y) with the nearest segment (ax, ay, ex, ey) within reach, its distance to six decimals and the part `t` of it; the least `order` of equals.
+
+    Segments stand in the cells that they come near to. The first cells are so
+    small that they hold a few; what finds nothing looks again, twice as far.
+    """
+    ends = [F.col(c) for c in ("x", "y", "ax", "ay", "ex", "ey")]
+    columns = [c for c in segments.columns if c not in ("ax", "ay", "ex", "ey")]
+    lines = cut(spread(segments))
+    extent = lines.agg(F.avg(F.abs(F.col("ex") - F.col("ax")) + F.abs(F.col("ey") - F.col("ay")))).first()[0] or 0
+    least = extent / CELLS_A_SEGMENT
+    near, n = reach, halvings(lines, (F.col("ax") + F.col("ex")) / 2, (F.col("ay") + F.col("ey")) / 2, (2 * reach, 2 * reach), SITES_A_CELL / 4)
+    while n and near > least:
+        near, n = near / 2, n - 1
+    open_, done = cut(spread(points.select(key, "x", "y"))), None
+    while True:
+        size = 2 * near
+        over = lambda a, b: F.explode(F.sequence(geo.cell(F.least(a, b) - near, size), geo.cell(F.greatest(a, b) + near, size)))  # noqa: B023, E731
+        boxed = lines.withColumn("_cx", over("ax", "ex")).withColumn("_cy", over("ay", "ey"))
+        middle = geo.to_segment((F.col("_cx") + 0.5) * size, (F.col("_cy") + 0.5) * size, *ends[2:])
+        own = open_.withColumn("_cx", geo.cell(F.col("x"), size)).withColumn("_cy", geo.cell(F.col("y"), size))
+        met = spread(own, "_cx", "_cy").join(spread(boxed.where(middle <= near + 0.7072 * size), "_cx", "_cy").hint("merge"), ["_cx", "_cy"])
+        close = met.withColumn("_d", geo.to_segment(*ends)).where(F.col("_d") <= near)
+        best = close.groupBy(key).agg(F.min(F.struct(F.round("_d", 6).alias("distance"), *dict.fromkeys([order, *columns]), geo.along_segment(*ends).alias("t"))).alias("_m"))
+        now = best.select(key, "_m.*")
+        if near >= reach:
+            return now if done is None else done.unionByName(now)
+        now = cut(now.where(F.col("distance") < near))
+        done = now if done is None else done.unionByName(now)
+        open_ = cut(open_.join(now.select(key), key, "left_anti"))
+        if open_.isEmpty():
+            return done
+        near = min(2 * near, reach)
+
+
+def last_near_segments(points: DataFrame, segments: DataFrame, point: str, segment: str, reach: float) -> DataFrame:
+    """(point, segment, distance): of the points (x, y) within reach of each segment (ax, ay, ex, ey) the one of the greatest id, a number.
+
+    LAST_POINTS points of the greatest ids come first, then as many again and so
+    on; a segment that has found one is done, so a dense table of points does
+    not meet each segment with all that are near it.
+    """
+    ends = [F.col(c) for c in ("x", "y", "ax", "ay", "ex", "ey")]
+    size = 4 * reach
+    placed = points.where(F.col(point).isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull()).select(point, "x", "y", geo.cell(F.col("x"), size).alias("_cx"), geo.cell(F.col("y"), size).alias("_cy"))
+    n, open_, done, above, upto = placed.count(), cut(spread(segments.select(segment, "ax", "ay", "ex", "ey"))), None, None, LAST_POINTS
+    over = lambda a, b: F.explode(F.sequence(geo.cell(F.least(a, b) - reach, size), geo.cell(F.greatest(a, b) + reach, size)))
+    while True:
+        # Where the quantile is rounded does not matter: each point is in one part.
+        least = placed.agg(F.percentile_approx(point, 1 - upto / n, 10000)).first()[0] if upto < n else None
+        some = placed if above is None else placed.where(F.col(point) < above)
+        some = some if least is None else some.where(F.col(point) >= least)
+        met = open_.withColumn("_cx", over("ax", "ex")).withColumn("_cy", over("ay", "ey")).join(some, ["_cx", "_cy"])
+        close = met.withColumn("distance", geo.to_segment(*ends)).where(F.col("distance") <= reach)
+        found = close.groupBy(segment).agg(F.max(F.struct(point, "distance")).alias("_m")).select(segment, f"_m.{point}", "_m.distance")
+        if least is None:
+            return found if done is None else done.unionByName(found)
+        found = cut(found)
+        done = found if done is None else done.unionByName(found)
+        open_, above, upto = cut(open_.join(found.select(segment), segment, "left_anti")), least, 2 * upto
+
+
 def first_match(matches: DataFrame, key: str, order: str) -> DataFrame:
     """One match of each key: that of the least `order`."""
     w = Window.partitionBy(key).orderBy(order)

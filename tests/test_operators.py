@@ -165,6 +165,56 @@ def test_nearest_of_no_place(spark, monkeypatch, most):
     assert near(sites.where("site = 5")) == near(sites.where("site = 0")) == {1: None, 2: None, 3: None}
 
 
+def test_nearest_in_dense_tables(spark, monkeypatch):
+    """Searches begin in cells that hold a few sites, so rows that meet do not grow with the square of the table; what is beyond `most` is near to nothing."""
+    monkeypatch.setattr(spatial, "MOST_SITES", 3)
+    rng = np.random.default_rng(5)
+    p, s = rng.uniform(0, 100, (60, 2)), np.concatenate([rng.uniform(0, 100, (400, 2)), [[900, 900], [900, 900]]])
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate([*p, (903.0, 904.0), (950.0, 950.0)])], "point long, x double, y double")
+    sites = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(s)], "site long, site_x double, site_y double")
+    assert spatial.halvings(sites, F.col("site_x"), F.col("site_y"), (100.0, 100.0), 16) > 1
+    d = lambda t: F.round(F.sqrt(F.pow(F.col("x") - t["site_x"], 2) + F.pow(F.col("y") - t["site_y"], 2)), 6)
+    near = lambda t: F.when(d(t) <= 20, d(t))
+    out = {r.point: r.nearest for r in spatial.nearest(points, sites, near, ["site", "site_x", "site_y"], "site", (F.col("x"), F.col("y")), (F.col("site_x"), F.col("site_y")), (21.0, 21.0, 21.0), 20.0).collect()}
+    assert len(out) == 62 and out[61] is None and (out[60].site, out[60].distance) == (400, 5.0)
+    for i, (x, y) in enumerate(p):
+        far = np.hypot(s[:, 0] - x, s[:, 1] - y).round(6)
+        assert (out[i].site, out[i].distance) == (far.argmin(), pytest.approx(far.min()))
+
+
+def _to_segments(s, x, y):
+    d = s[:, 2:] - s[:, :2]
+    t = np.clip((((np.array([x, y]) - s[:, :2]) * d).sum(1)) / np.maximum((d * d).sum(1), 1e-300), 0, 1)
+    return np.hypot(s[:, 0] + t * d[:, 0] - x, s[:, 1] + t * d[:, 1] - y), t
+
+
+def test_nearest_segments_by_growing_cells(spark):
+    rng = np.random.default_rng(6)
+    a = rng.uniform(0, 300, (300, 2))
+    s, p = np.concatenate([np.column_stack([a, a + rng.uniform(-40, 40, (300, 2))]), [[700, 700, 700, 700]]]), np.concatenate([rng.uniform(0, 300, (50, 2)), [[703, 704], [800, 800]]])
+    lines = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(s)], "road long, ax double, ay double, ex double, ey double")
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(p)] + [(99, None, 1.0)], "point long, x double, y double")
+    got = {r.point: r for r in spatial.nearest_segments(points, lines, "point", "road", 60.0).collect()}
+    assert set(got) == set(range(51)) and got[50].distance == 5.0
+    for i, r in got.items():
+        far, t = _to_segments(s, *p[i])
+        assert r.road == far.round(6).argmin() and r.distance == pytest.approx(far.min(), abs=1e-6) and r.t == pytest.approx(t[r.road])
+
+
+@pytest.mark.parametrize("first", [3, 16_384])
+def test_last_point_near_a_segment(spark, monkeypatch, first):
+    monkeypatch.setattr(spatial, "LAST_POINTS", first)
+    rng = np.random.default_rng(7)
+    a, p = rng.uniform(0, 300, (40, 2)), rng.uniform(0, 300, (60, 2))
+    s = np.column_stack([a, a + rng.uniform(-40, 40, (40, 2))])
+    lines = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(s)], "road long, ax double, ay double, ex double, ey double")
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(p)], "point long, x double, y double")
+    got = {r.road: (r.point, r.distance) for r in spatial.last_near_segments(points, lines, "point", "road", 15.0).collect()}
+    far = np.array([_to_segments(s, x, y)[0] for x, y in p])
+    want = {i: max(np.flatnonzero(far[:, i] <= 15.0)) for i in range(40) if (far[:, i] <= 15.0).any()}
+    assert {k: v[0] for k, v in got.items()} == want and all(v[1] == pytest.approx(far[v[0], k]) for k, v in got.items())
+
+
 def test_shared_areas_of_any_shape(spark):
     """An L and a square with a hole share 7; tilted shapes against a fine grid of points; three layers."""
     edges = lambda rows, key: spatial.rings_to_edges(spark.createDataFrame(rows, f"{key} long, rings array<array<struct<x:double,y:double>>>"), key)
