@@ -131,8 +131,9 @@ def snapped(spark, sf_dir, rows, key: str, reach: float):
 QUALIFY row_number() OVER (PARTITION BY facility ORDER BY round(d, 6), road) = 1""")
 def edge_snap(spark, sf_dir):
     """The nearest road of each facility within 200 m and where along it."""
-    near = snapped(spark, sf_dir, entity(spark, sf_dir, "facility"), "facility", 200.0).withColumn("distance", F.round("distance", 6))
-    return tables.first_row(near, ["facility"], [F.col("distance"), F.col("road")]).select("facility", "road", "distance", F.round("t", 6).alias("fraction"))
+    roads = weighted(spark, sf_dir).select("road", "ax", "ay", "ex", "ey")
+    near = spatial.nearest_segments(entity(spark, sf_dir, "facility"), roads, "facility", "road", 200.0)
+    return near.select("facility", "road", "distance", F.round("t", 6).alias("fraction"))
 
 
 CODES = (0, 10, 20, 30, 40, 50, 60, 80, 90, 95, 10)
