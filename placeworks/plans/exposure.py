@@ -112,8 +112,7 @@ SNAP = """t, sqrt((x - (ax + t * (ex - ax))) ** 2 + (y - (ay + t * (ey - ay))) *
 QUALIFY row_number() OVER (PARTITION BY road ORDER BY station DESC) = 1""")
 def station_snap(spark, sf_dir):
     """Roads with a traffic station within 50 m, the last station of each, and the weight that it gives."""
-    near = snapped(spark, sf_dir, entity(spark, sf_dir, "station"), "station", 50.0)
-    last = tables.first_row(near, ["road"], [F.col("station").desc()])
+    last = spatial.last_near_segments(entity(spark, sf_dir, "station"), weighted(spark, sf_dir).select("road", "ax", "ay", "ex", "ey"), "station", "road", 50.0)
     return last.select("station", "road", F.round("distance", 6).alias("distance"), F.round(geo.clamp((F.col("station") * 37 + 400) / 50000.0, 0.001, 2.0), 6).alias("weight"))
 
 
