@@ -42,12 +42,11 @@ def intersection_tags(spark, sf_dir):
     """Tags of nodes: their own where they have one, else that of the nearest mapped control within reach."""
     nodes = entity(spark, sf_dir, "facility").select("facility", "x", "y", F.when(F.col("facility") % 6 == 0, F.lit("kept")).alias("own"))
     controls = entity(spark, sf_dir, "station").select("station", F.col("x").alias("site_x"), F.col("y").alias("site_y"))
-    x = lambda df: F.col("site_x") if "site_x" in df.columns else F.col("x")
-    y = lambda df: F.col("site_y") if "site_y" in df.columns else F.col("y")
-    near = spatial.within(nodes, controls, x, y, (250.0, 250.0), geo.planar(F.col("x"), F.col("y"), F.col("site_x"), F.col("site_y")), 250.0)
-    best = near.groupBy("facility").agg(F.min(F.struct(F.round("distance", 6).alias("d"), "station")).alias("m"))
-    found = nodes.join(best, "facility", "left")
-    return found.select("facility", F.coalesce("own", F.concat(F.lit("signal-"), F.col("m.station"))).alias("tag"))
+    away = lambda s: geo.planar(F.col("x"), F.col("y"), s["site_x"], s["site_y"])
+    near = lambda s: F.when(away(s) <= 250, F.round(away(s), 6))
+    at, site_at = (F.col("x"), F.col("y")), (F.col("site_x"), F.col("site_y"))
+    found = spatial.nearest(nodes, controls, near, ["station", "site_x", "site_y"], "station", at, site_at, (251.0, 251.0, 251.0), 250.0)
+    return found.select("facility", F.coalesce("own", F.concat(F.lit("signal-"), F.col("nearest.station"))).alias("tag"))
 
 
 @query("raster_window", LAND + "SELECT row, col, class FROM land WHERE row BETWEEN 20 AND 60 AND col BETWEEN 10 AND 70 AND class > 0 AND row % 3 = 0 AND col % 3 = 0")
