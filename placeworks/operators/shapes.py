@@ -29,6 +29,8 @@ from . import spatial
 #: A trapezoid: from l to r, above the line b and below the line t.
 LINES = [f"{line}{c}" for line in "bt" for c in ("x1", "y1", "x2", "y2")]
 PLACES = ["l", "r", *LINES]
+#: Polygons of so many lines in a strip are cut up together, in arrays of about so many numbers.
+FEW_LINES, PLACES_AT_ONCE = 24, 1 << 20
 #: Heights below so many units in the last place of the coordinates are rounding.
 ULPS = 64
 
@@ -97,6 +99,42 @@ def _slabs(lines: np.ndarray, lo: float, hi: float) -> Iterator[tuple[float, flo
             yield s, t, over[np.argsort(_at(lines[over], (s + t) / 2), kind="stable")]
 
 
+def _pieces(lines: np.ndarray, lo: float, hi: float) -> np.ndarray:
+    """The trapezoids (PLACES) from lo to hi of one polygon's lines."""
+    out = []
+    for s, t, order in _slabs(lines, lo, hi) if lo < hi else ():
+        for k in range(0, len(order) - 1, 2):
+            b, u = lines[order[k]], lines[order[k + 1]]
+            if _thick(b, u, s, t):
+                out.append([s, t, *b, *u])
+    return np.array(out).reshape(-1, len(PLACES))
+
+
+def _pieces_of_many(lines: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As _pieces, of polygons with as many lines each (polygons, lines, 4): the polygon of each trapezoid, and the trapezoids."""
+    some = np.flatnonzero(lo < hi)
+    lines, lo, hi = lines[some], lo[some, None], hi[some, None]
+    i, j = np.triu_indices(lines.shape[1], 1)
+    e, f = lines[:, i], lines[:, j]
+    x = _cross(e, f)
+    low, high = np.maximum(np.maximum(e[..., 0], f[..., 0]), lo), np.minimum(np.minimum(e[..., 2], f[..., 2]), hi)
+    stops = np.concatenate([lo, hi, np.clip(lines[..., 0], lo, hi), np.clip(lines[..., 2], lo, hi), np.where((x > low) & (x < high), x, hi)], 1)
+    stops.sort(axis=1)
+    who, at = np.nonzero(stops[:, :-1] < stops[:, 1:])
+    s, t, own = stops[who, at], stops[who, at + 1], lines[who]
+    over = (own[..., 0] <= s[:, None]) & (own[..., 2] >= t[:, None])
+    order = np.argsort(np.where(over, _at(own, ((s + t) / 2)[:, None]), np.inf), axis=1, kind="stable")
+    count, rows, out = over.sum(1), [np.zeros(0, int)], [np.zeros((0, len(PLACES)))]
+    for k in range(0, lines.shape[1] - 1, 2):
+        slab = np.flatnonzero(count > k + 1)
+        b, u = own[slab, order[slab, k]], own[slab, order[slab, k + 1]]
+        thick = _thick(b, u, s[slab], t[slab])
+        slab = slab[thick]
+        rows.append(some[who[slab]])
+        out.append(np.column_stack([s[slab], t[slab], b[thick], u[thick]]))
+    return np.concatenate(rows), np.concatenate(out)
+
+
 def trapezoids(edges: DataFrame, key: str, size: float) -> DataFrame:
     """The trapezoids (key, l, r, b..., t...) of polygons given by their edges (x1, y1, x2, y2), in strips of `size`.
 
@@ -107,7 +145,8 @@ def trapezoids(edges: DataFrame, key: str, size: float) -> DataFrame:
     ends = F.when(F.col("x1") < F.col("x2"), F.struct("x1", "y1", "x2", "y2")).otherwise(F.struct(F.col("x2").alias("x1"), F.col("y2").alias("y1"), F.col("x1").alias("x2"), F.col("y1").alias("y2")))
     sided = edges.where("x1 != x2 AND y1 IS NOT NULL AND y2 IS NOT NULL").where(F.col(key).isNotNull()).select(key, *(F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2"))).select(key, ends.alias("e"))
     strips = sided.withColumn("strip", F.explode(F.sequence(geo.cell(F.col("e.x1"), size), geo.cell(F.col("e.x2"), size))))
-    rows = strips.groupBy(key, "strip").agg(F.collect_list("e").alias("e")).select(key, "strip", "e")
+    # What a row takes to cut up is not told by its size, so small tables are spread as well.
+    rows = spatial.spread(strips, key, "strip").groupBy(key, "strip").agg(F.collect_list("e").alias("e")).select(key, "strip", "e")
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,17 +154,23 @@ def trapezoids(edges: DataFrame, key: str, size: float) -> DataFrame:
             flat = lists.flatten()
             lines = np.stack([flat.field(i).to_numpy(zero_copy_only=False) for i in range(4)], 1) if len(flat) else np.zeros((0, 4))
             offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            rows, out = [], []
-            for i, strip in enumerate(strips_):
-                own = lines[offsets[i] : offsets[i + 1]]
-                lo, hi = max(strip * size, own[:, 0].min()), min((strip + 1) * size, own[:, 2].max())
-                for s, t, order in _slabs(own, lo, hi) if lo < hi else ():
-                    for k in range(0, len(order) - 1, 2):
-                        b, u = own[order[k]], own[order[k + 1]]
-                        if _thick(b, u, s, t):
-                            rows.append(i)
-                            out.append([s, t, *b, *u])
-            table = np.array(out).reshape(-1, len(PLACES))
+            n = np.diff(offsets)
+            lo, hi = np.array(strips_, float) * size, (np.array(strips_, float) + 1) * size
+            if len(n):
+                lo, hi = np.maximum(lo, np.minimum.reduceat(lines[:, 0], offsets[:-1])), np.minimum(hi, np.maximum.reduceat(lines[:, 2], offsets[:-1]))
+            rows, out = [np.zeros(0, int)], [np.zeros((0, len(PLACES)))]
+            for many in np.unique(n[n <= FEW_LINES]).tolist():
+                # Small polygons go together, as many as stay within a few arrays of PLACES_AT_ONCE numbers.
+                alike, most = np.flatnonzero(n == many), max(PLACES_AT_ONCE // many**3, 1)
+                for part in (alike[k : k + most] for k in range(0, len(alike), most)):
+                    who, table = _pieces_of_many(lines[offsets[part][:, None] + np.arange(many)], lo[part], hi[part])
+                    rows.append(part[who])
+                    out.append(table)
+            for i in np.flatnonzero(n > FEW_LINES).tolist():
+                table = _pieces(lines[offsets[i] : offsets[i + 1]], lo[i], hi[i])
+                rows.append(np.full(len(table), i))
+                out.append(table)
+            rows, table = np.concatenate(rows), np.concatenate(out)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(table[:, c]) for c in range(len(PLACES)))], names=[key, *PLACES])
 
     return rows.mapInArrow(cut_up, _schema(edges, [key]))
@@ -246,7 +291,7 @@ def covered(traps: DataFrame, label: str, size: float) -> DataFrame:
 def _level(sides: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Sides on one line (keys, line, a, e, sign) as the spans between their ends that do not cancel."""
     ends = F.explode(F.array(F.struct(F.col("a").alias("at"), F.col("sign").alias("d")), F.struct(F.col("e").alias("at"), (-F.col("sign")).alias("d"))))
-    steps = sides.select(*keys, "line", ends.alias("p")).groupBy(*keys, "line", "p.at").agg(F.sum("p.d").alias("d"))
+    steps = sides.select(*keys, "line", ends.alias("p")).groupBy(*keys, "line", "p.at").agg(F.sum("p.d").alias("d")).where("d != 0")
     w = Window.partitionBy(*keys, "line").orderBy("at")
     spans = steps.select(*keys, "line", F.col("at").alias("a"), F.lead("at").over(w).alias("e"), F.sum("d").over(w).alias("sign"))
     return spans.where("sign != 0 AND e IS NOT NULL").withColumn("i", F.explode(F.sequence(F.lit(1), F.abs("sign")))).drop("i")
@@ -258,16 +303,20 @@ def outline(traps: DataFrame, keys: Sequence[str]) -> DataFrame:
     t = traps.select(*keys, *PLACES).withColumns(corner)
     up = F.array(*[F.struct(F.col(x).alias("line"), F.col(f"b{x}").alias("a"), F.col(f"t{x}").alias("e"), F.lit(sign).alias("sign")) for x, sign in (("r", 1), ("l", -1))])
     upright = _level(t.select(*keys, F.explode(up).alias("s")).select(*keys, "s.*").where("a != e"), keys)
-    along = F.array(*[F.struct(F.col(f"{line}l").alias("y1"), F.col(f"{line}r").alias("y2"), F.lit(sign).alias("sign")) for line, sign in (("b", 1), ("t", -1))])
+    whole = lambda line: F.struct(*(F.col(f"{line}{c}").alias(c) for c in ("x1", "y1", "x2", "y2"))).alias("whole")
+    along = F.array(*[F.struct(F.col(f"{line}l").alias("y1"), F.col(f"{line}r").alias("y2"), F.lit(sign).alias("sign"), whole(line)) for line, sign in (("b", 1), ("t", -1))])
     sloped = t.select(*keys, "l", "r", F.explode(along).alias("s")).select(*keys, "l", "r", "s.*")
     level = _level(sloped.where("y1 = y2").select(*keys, F.col("y1").alias("line"), F.col("l").alias("a"), F.col("r").alias("e"), "sign"), keys)
-    rest = sloped.where("y1 != y2").groupBy(*keys, "l", "r", "y1", "y2").agg(F.sum("sign").alias("sign")).where("sign != 0")
+    # Two sides of a line may be cut at other places, so what is left goes by the line.
+    rest = sloped.where("y1 != y2").groupBy(*keys, "l", "r", "y1", "y2").agg(F.sum("sign").alias("sign"), F.min("whole").alias("line")).where("sign != 0")
+    rest = _level(rest.select(*keys, "line", F.col("l").alias("a"), F.col("r").alias("e"), "sign"), keys)
+    rest = rest.select(*keys, "a", "e", "sign", *(F.col(f"line.{c}").alias(f"b{c}") for c in ("x1", "y1", "x2", "y2"))).withColumns({"ya": height("b", F.col("a")), "ye": height("b", F.col("e"))})
 
     def told(df: DataFrame, x1: str, y1: str, x2: str, y2: str) -> DataFrame:
         turned = lambda a, b, c: F.when(F.col("sign") > 0, F.col(a)).otherwise(F.col(b)).alias(c)
         return df.select(*keys, turned(x1, x2, "x1"), turned(y1, y2, "y1"), turned(x2, x1, "x2"), turned(y2, y1, "y2"))
 
-    return told(upright, "line", "a", "line", "e").unionByName(told(level, "a", "line", "e", "line")).unionByName(told(rest, "l", "y1", "r", "y2"))
+    return told(upright, "line", "a", "line", "e").unionByName(told(level, "a", "line", "e", "line")).unionByName(told(rest, "a", "ya", "e", "ye"))
 
 
 def _snapped(edges: np.ndarray) -> np.ndarray:
@@ -290,23 +339,23 @@ def _linked(edges: np.ndarray) -> list[list[tuple[float, float]]]:
     for x1, y1, x2, y2 in edges.tolist():
         after.setdefault((x1, y1), []).append((x2, y2))
     rings = []
-    while after:
-        start = min(after)
-        at, ring = start, []
-        while True:
-            choices = after[at]
-            k = 0
-            if len(choices) > 1 and ring:
-                back = np.arctan2(ring[-1][1] - at[1], ring[-1][0] - at[0])
-                k = min(range(len(choices)), key=lambda j: (back - np.arctan2(choices[j][1] - at[1], choices[j][0] - at[0])) % (2 * np.pi) or 7.0)
-            to = choices.pop(k)
-            if not choices:
-                del after[at]
-            ring.append(at)
-            at = to
-            if at == start or at not in after:
-                break
-        rings.append(ring)
+    for start in sorted(after):
+        while start in after:
+            at, ring = start, []
+            while True:
+                choices = after[at]
+                k = 0
+                if len(choices) > 1 and ring:
+                    back = np.arctan2(ring[-1][1] - at[1], ring[-1][0] - at[0])
+                    k = min(range(len(choices)), key=lambda j: (back - np.arctan2(choices[j][1] - at[1], choices[j][0] - at[0])) % (2 * np.pi) or 7.0)
+                to = choices.pop(k)
+                if not choices:
+                    del after[at]
+                ring.append(at)
+                at = to
+                if at == start or at not in after:
+                    break
+            rings.append(ring)
     return rings
 
 
@@ -320,7 +369,9 @@ def _plain(ring: list[tuple[float, float]]) -> list[tuple[float, float]]:
         if not flat.any():
             break
         # Neighbours may both be flat only because they are near: one of two goes at a time.
-        flat &= ~np.roll(flat, 1) | (np.arange(len(p)) % 2 == 0)
+        even = np.arange(len(p)) % 2 == 0
+        even[-1] &= not (len(p) % 2 and flat[0])
+        flat &= even | ~(np.roll(flat, 1) | np.roll(flat, -1))
         p = p[~flat]
     return [tuple(q) for q in p.tolist()] if len(p) > 2 else []
 
@@ -331,7 +382,7 @@ RINGS = "rings array<array<struct<x: double, y: double>>>"
 def rings(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, rings) of directed edges as `outline` gives them: outer rings turn left, holes right. A key's rings are one row, so one task holds its outline."""
 
-    listed = edges.groupBy(*keys).agg(F.collect_list(F.struct(*(F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")))).alias("e"))
+    listed = spatial.spread(edges, *keys).groupBy(*keys).agg(F.collect_list(F.struct(*(F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")))).alias("e"))
     kind = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
     names = list(keys)
 

@@ -4,7 +4,8 @@ A point's cell is a box cut by the bisectors with its neighbours, the nearest
 first. Neighbours come from cells of the plane: those within a reach are
 complete, and once the farthest corner of a cell is nearer than half of the
 reach no point beyond it can cut the cell any more. Points whose cells are not
-closed by then look again, twice as far.
+closed by then look again, twice as far. The first reach is halved until few
+points are that near.
 
 A corner is computed from the three points that it is equally far from, in the
 order of their ids, so all cells that meet there have the same corner.
@@ -100,11 +101,12 @@ def nearest_cells(points: DataFrame, key: str, box: Box, reach: float) -> DataFr
 
     Points without a place or outside the box have no cell; of several in one
     place the least key has it. `reach` is how far a point looks for neighbours
-    at first; as many as are that near meet in one row.
+    at first, less where points are dense; as many as are that near meet in one row.
     """
     x1, y1, x2, y2 = box
     inside = points.where(F.col("x").between(x1, x2) & F.col("y").between(y1, y2) & F.col(key).isNotNull())
     at = cut(inside.groupBy(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).agg(F.min(key).alias(key)))
+    reach /= 2.0 ** spatial.halvings(at, F.col("x"), F.col("y"), (reach, reach), spatial.SITES_A_CELL)
     kind = at.schema[key].dataType.simpleString()
     whole = float(np.hypot(x2 - x1, y2 - y1))
     edge = "array<struct<x1: double, y1: double, x2: double, y2: double>>"
@@ -126,8 +128,9 @@ def nearest_cells(points: DataFrame, key: str, box: Box, reach: float) -> DataFr
     while True:
         around = at.select(F.struct(F.col(key).alias("k"), "x", "y").alias("o"), F.explode(geo.cells_around(F.col("x"), reach)).alias("_cx"), "y").select("o", "_cx", F.explode(geo.cells_around(F.col("y"), reach)).alias("_cy"))
         placed = open_.withColumns({"_cx": geo.cell(F.col("x"), reach), "_cy": geo.cell(F.col("y"), reach)})
-        near = placed.join(around, ["_cx", "_cy"]).where(F.hypot(F.col("x") - F.col("o.x"), F.col("y") - F.col("o.y")) <= reach)
-        met = near.groupBy(key, "x", "y").agg(F.collect_list("o").alias("others"))
+        # A small table is one partition, and what its points meet would be one task's.
+        near = spatial.spread(placed, "_cx", "_cy").join(spatial.spread(around, "_cx", "_cy").hint("merge"), ["_cx", "_cy"]).where(F.hypot(F.col("x") - F.col("o.x"), F.col("y") - F.col("o.y")) <= reach)
+        met = spatial.spread(near, key, "x", "y").groupBy(key, "x", "y").agg(F.collect_list("o").alias("others"))
         now = cut(met.mapInArrow(cells_within(reach), f"`{key}` {kind}, x double, y double, closed boolean, edges {edge}"))
         found = now.where("closed").select(key, F.explode("edges").alias("e")).select(key, "e.*")
         done = found if done is None else done.unionByName(found)
@@ -140,13 +143,13 @@ def nearest_cells(points: DataFrame, key: str, box: Box, reach: float) -> DataFr
 def nearest_zones(points: DataFrame, key: str, label: str, district: DataFrame, box: Box, reach: float, size: float) -> DataFrame:
     """(label, rings): the parts of a district (edges) whose nearest point has the label; disjoint and without gaps.
 
-    The cells of a label are dissolved to their common border, which is cut to
-    the district. points has key, label, x and y; those without a label leave
-    their cells empty.
+    Each cell is cut to the district on its own, so no strip holds more edges
+    than a cell has; what cells of a label share cancels in the outline. points
+    has key, label, x and y; those without a label leave their cells empty.
     """
     labels = points.groupBy(key).agg(F.min(label).alias(label)).where(F.col(label).isNotNull())
-    edges = nearest_cells(points, key, box, reach).join(labels, key)
+    edges = nearest_cells(points, key, box, reach).join(labels, key).select(F.struct(label, key).alias("_p"), "x1", "y1", "x2", "y2")
     whole = district.select(F.lit(0).alias("_district"), "x1", "y1", "x2", "y2")
-    border = shapes.trapezoids(spatial.dissolved(edges, label), label, size)
-    shared = shapes.intersect(border, shapes.trapezoids(whole, "_district", size), [label], ["_district"], size)
+    cells = shapes.trapezoids(edges, "_p", size).select(F.col(f"_p.{label}").alias(label), *shapes.PLACES)
+    shared = shapes.intersect(cells, shapes.trapezoids(whole, "_district", size), [label], ["_district"], size)
     return shapes.rings(shapes.outline(shared.drop("_district"), [label]), [label])

@@ -226,3 +226,31 @@ def test_points_in_buffers(spark):
     for size in (1.0, 4.0, 100.0):
         got = {(r.zone, r.p): round(r.distance, 6) for r in shapes.point_distance(edges, points, "zone", "p", 5.0, size).collect()}
         assert got == {(1, 1): 0, (1, 2): 2, (1, 3): 0, (1, 4): 5, (2, 5): round(0.5**0.5, 6), (1, 8): 5, (2, 8): 5}
+
+
+def test_small_polygons_are_cut_up_as_large_ones():
+    """Any number of lines, crossing, equal, and strips that hold none of them: the same trapezoids."""
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 4, 7, 24):
+        ends = np.sort(rng.integers(0, 9, (40, n, 2)), axis=2) + [0, 1]
+        lines = np.stack([ends[..., 0], rng.integers(0, 9, (40, n)), ends[..., 1], rng.integers(0, 9, (40, n))], 2).astype(float)
+        lo, hi = np.maximum(lines[..., 0].min(1), 2.5), np.minimum(lines[..., 2].max(1), 7.25)
+        who, table = shapes._pieces_of_many(lines, lo, hi)
+        told = sorted((int(i), *row) for i, row in zip(who, table.tolist(), strict=True))
+        assert told == sorted((i, *row) for i in range(40) for row in shapes._pieces(lines[i], lo[i], hi[i]).tolist())
+
+
+def test_sides_that_are_cut_at_other_places_cancel(spark):
+    """Triangles on both sides of a sloped line: one ring, without the line."""
+    corners = {1: [(0.0, 0.0), (12.0, 6.0), (3.0, 9.0)], 2: [(0.0, 0.0), (7.0, -2.0), (12.0, 6.0)]}
+    edges = spark.createDataFrame([(p, *c[i], *c[(i + 1) % 3]) for p, c in corners.items() for i in range(3)], "p long, x1 double, y1 double, x2 double, y2 double")
+    traps = shapes.trapezoids(edges, "p", 100.0).select(F.lit(1).alias("k"), *shapes.PLACES)
+    border = {tuple(r)[1:] for r in shapes.outline(traps, ["k"]).collect()}
+    assert border == {(0.0, 0.0, 7.0, -2.0), (7.0, -2.0, 12.0, 6.0), (12.0, 6.0, 3.0, 9.0), (3.0, 9.0, 0.0, 0.0)}
+
+
+@pytest.mark.parametrize("turn", range(5))
+def test_a_corner_that_rounding_made_two_stays(turn):
+    """Two corners at a distance of rounding are both flat; one of them has to stay, wherever the ring begins."""
+    ring = [(10.0, 51.7), (11.532410999999998, 55.387466), (11.532411, 55.387466), (20.0, 58.0), (10.0, 60.0)]
+    assert area([shapes._plain(ring[turn:] + ring[:turn])]) == pytest.approx(area([ring]), abs=1e-9)
