@@ -41,20 +41,21 @@ def sources(spark, sf_dir):
     return table(spark, sf_dir, "supplier").where("s_suppkey < 11").selectExpr("s_suppkey AS site", f"(s_suppkey * 37) % {n}L AS node")
 
 
-def paths(spark, sf_dir, graph=None):
-    return N.shortest_paths(sources(spark, sf_dir), edges(spark, sf_dir) if graph is None else graph)
+def search(spark, sf_dir, graph=None):
+    return N.search(sources(spark, sf_dir), edges(spark, sf_dir) if graph is None else graph)
 
 
-def ways(spark, sf_dir):
-    """Paths and their predecessors, from one table of edges."""
+def found(spark, sf_dir):
+    """The search, its paths and their predecessors, from one table of edges."""
     graph = edges(spark, sf_dir)
-    reached = paths(spark, sf_dir, graph)
-    return reached, N.predecessors(reached, graph, sources(spark, sf_dir))
+    reached = search(spark, sf_dir, graph)
+    paths = N.paths_of(reached)
+    return reached, paths, N.predecessors(paths, graph, sources(spark, sf_dir))
 
 
 @query("sssp", PATHS + "SELECT site, node, round(dist, 6) AS dist FROM path")
 def sssp(spark, sf_dir):
-    return paths(spark, sf_dir).select("site", "node", F.round("dist", 6).alias("dist"))
+    return N.paths_of(search(spark, sf_dir)).select("site", "node", F.round("dist", 6).alias("dist"))
 
 
 SNAPS = """, snap AS (SELECT c_custkey AS pixel, c_custkey % n AS start, (c_custkey + 1) % n AS "end", (c_custkey % 5) / 4e0 AS part, 40e0 AS seconds, CAST(c_custkey % 7 AS DOUBLE) AS access FROM customer, n),
@@ -63,12 +64,13 @@ FROM snap JOIN path a ON a.node = start JOIN path b ON b.node = "end" AND b.site
 """
 
 
-def times(spark, sf_dir, reached=None):
+def ways(spark, sf_dir, reached=None):
+    """The pixels with their ways to all sites."""
     n = table(spark, sf_dir, "part").count()
     snaps = table(spark, sf_dir, "customer").selectExpr(
         "c_custkey AS pixel", f"c_custkey % {n}L AS start", f"(c_custkey + 1) % {n}L AS end", "(c_custkey % 5) / 4D AS part", "40D AS seconds", "CAST(c_custkey % 7 AS DOUBLE) AS access"
     )
-    return N.pixel_times(snaps, paths(spark, sf_dir) if reached is None else reached)
+    return N.pixel_ways(snaps, search(spark, sf_dir) if reached is None else reached)
 
 
 SCENARIOS = {"baseline": [None], "close_0": [0], "close_3_4": [3, 4]}
@@ -79,7 +81,7 @@ chosen AS (SELECT scenario, pixel, site, time, entry FROM times JOIN scenario US
 
 def assigned(spark, sf_dir, reached=None):
     rows = [(name, c) for name, closed in SCENARIOS.items() for c in closed]
-    return N.nearest_open(times(spark, sf_dir, reached), spark.createDataFrame(rows, "scenario string, closed long"))
+    return N.nearest_open_of(ways(spark, sf_dir, reached), spark.createDataFrame(rows, "scenario string, closed long"))
 
 
 @query("assign_open", OPEN + "SELECT scenario, pixel, site, round(time, 6) AS time, entry, round(time - max(CASE WHEN scenario = 'baseline' THEN time END) OVER (PARTITION BY pixel), 6) AS delta FROM chosen")
@@ -90,19 +92,19 @@ def assign_open(spark, sf_dir):
 
 @query("closure_adhoc", PATHS + SNAPS + "SELECT pixel, site, round(time, 6) AS time FROM times WHERE site NOT IN (1, 2, 5) QUALIFY row_number() OVER (PARTITION BY pixel ORDER BY time, site) = 1")
 def closure_adhoc(spark, sf_dir):
-    return N.closure(times(spark, sf_dir), [1, 2, 5]).withColumn("time", F.round("time", 6))
+    return N.closure_of(ways(spark, sf_dir), [1, 2, 5]).withColumn("time", F.round("time", 6))
 
 
 @query("anchored_times", PATHS + SNAPS + """SELECT pixel, site, round(CASE WHEN pixel = site * 3 THEN 0e0 ELSE time END, 6) AS time FROM times""")
 def anchored_times(spark, sf_dir):
     """Times with 0 at each open site's own pixel."""
     anchor = F.when(F.col("pixel") == F.col("site") * 3, F.lit(0.0)).otherwise(F.col("time"))
-    return times(spark, sf_dir).select("pixel", "site", F.round(anchor, 6).alias("time"))
+    return N.times_of(ways(spark, sf_dir)).select("pixel", "site", F.round(anchor, 6).alias("time"))
 
 
 def traffic(spark, sf_dir, scenarios):
     """Flows of several scenarios, from one search and one walk."""
-    reached, preds = ways(spark, sf_dir)
+    reached, _, preds = found(spark, sf_dir)
     chosen = assigned(spark, sf_dir, reached).where(F.col("scenario").isin(*scenarios))
     demand = chosen.groupBy("scenario", "site", F.col("entry").alias("node")).agg(F.count("*").alias("amount"))
     return N.edge_traffic(demand, preds, ["scenario"])
@@ -145,26 +147,26 @@ UNION ALL SELECT scenario, walk_zone, walk.site, pred, young, old FROM walk JOIN
 
 def driven(spark, sf_dir, reached):
     scenarios = spark.createDataFrame([(name, c) for name, closed in SCENARIOS.items() for c in closed], "scenario string, closed long")
-    t = times(spark, sf_dir, reached)
+    to = ways(spark, sf_dir, reached)
     pixels = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pixel"))
     zones = pixels.withColumn("site", F.col("pixel") % 11)
     walks = pixels.where("pixel % 3 = 0").withColumn("walk_site", (F.col("pixel") + 5) % 11)
     known = table(spark, sf_dir, "supplier").where("s_suppkey < 11").select(F.col("s_suppkey").alias("walk_site"))
-    zoned = N.zone_sites(t, N.nearest_open(t, scenarios), zones, scenarios)
+    zoned = N.zone_sites(N.times_to(to, zones), N.nearest_open_of(to, scenarios), zones, scenarios)
     return N.outside_walk_zones(zoned, walks.join(known, "walk_site", "left_semi"), scenarios)
 
 
 @query("zone_assignment", ZONED + "SELECT scenario, site, count(*) AS n, CAST(sum(1 + pixel % 3) AS BIGINT) AS young, CAST(sum(1 + pixel % 2) AS BIGINT) AS old FROM driven GROUP BY ALL")
 def zone_assignment(spark, sf_dir):
     """Children that drive to each site, by age: to their zone's site while it is open, else to the nearest; those in an open walk zone walk."""
-    by = driven(spark, sf_dir, paths(spark, sf_dir)).groupBy("scenario", "site")
+    by = driven(spark, sf_dir, search(spark, sf_dir)).groupBy("scenario", "site")
     return by.agg(F.count("*").alias("n"), F.sum(F.col("pixel") % 3 + 1).alias("young"), F.sum(F.col("pixel") % 2 + 1).alias("old"))
 
 
 @query("zone_traffic", ZONE_FLOWS + "SELECT scenario, walk_zone, walk.node AS u, pred AS v, CAST(sum(young) AS BIGINT) AS young, CAST(sum(old) AS BIGINT) AS old FROM walk JOIN pred ON pred.site = walk.site AND pred.node = walk.node GROUP BY ALL")
 def zone_traffic(spark, sf_dir):
     """Traffic on edges by scenario, age and the walk zone that it comes from."""
-    reached, preds = ways(spark, sf_dir)
+    reached, _, preds = found(spark, sf_dir)
     rows = driven(spark, sf_dir, reached).select("scenario", ((F.col("pixel") + 5) % 11).alias("walk_zone"), "site", F.col("entry").alias("node"), (F.col("pixel") % 3 + 1).alias("young"), (F.col("pixel") % 2 + 1).alias("old"))
     return N.edge_traffic(rows, preds, ["scenario", "walk_zone"], ["young", "old"])
 
@@ -182,9 +184,9 @@ way AS (SELECT site, node AS start, 0::BIGINT AS step, node, dist AS whole FROM
 SELECT way.site, start, step, way.node, round((whole - dist) / 60e0, 6) AS minutes FROM way JOIN path ON path.site = way.site AND path.node = way.node""")
 def routes(spark, sf_dir):
     """The ways from some nodes to all sites, with the minutes since the start."""
-    reached, preds = ways(spark, sf_dir)
-    starts = reached.where("node % 97 = 5").select("site", F.col("node").alias("start"))
-    out = N.routes(starts, preds, reached)
+    _, paths, preds = found(spark, sf_dir)
+    starts = paths.where("node % 97 = 5").select("site", F.col("node").alias("start"))
+    out = N.routes(starts, preds, paths)
     return out.select("site", "start", "step", "node", F.round(F.col("elapsed") / 60, 6).alias("minutes"))
 
 

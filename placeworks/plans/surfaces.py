@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import exposure as E
+from ..operators import network as N
 from ..operators import shapes, spatial, tables
 from ..operators.cut import cut
 from ..sources import inputs, readers
 from .adapters import entity, sql
 from .exposure import CELLS, LAND, land, raster
-from .network import FLOWS, PATHS, SNAPS, changes, times
+from .network import FLOWS, PATHS, SNAPS, changes, ways
 from .registry import query, table
 
 
@@ -89,7 +90,8 @@ SELECT site, CAST(floor(y / 1001e0) AS BIGINT) AS row, CAST(floor(x / 1001e0) AS
 def per_site_grids(spark, sf_dir):
     """The least time of each cell to each site."""
     where = entity(spark, sf_dir, "facility").select(F.col("facility").alias("pixel"), F.floor(F.col("y") / 1001).alias("row"), F.floor(F.col("x") / 1001).alias("col"))
-    return times(spark, sf_dir).join(where, "pixel").groupBy("site", "row", "col").agg(F.round(F.min("time"), 6).alias("time"))
+    to = ways(spark, sf_dir).select("pixel", "ways").join(where, "pixel")
+    return N.times_of(to, "row", "col").groupBy("site", "row", "col").agg(F.round(F.min("time"), 6).alias("time"))
 
 
 @query("significant_edges", FLOWS + """SELECT count(*) AS n, CAST(max(abs(d)) AS BIGINT) AS peak FROM (SELECT coalesce(b.amount, 0) - coalesce(a.amount, 0) AS d FROM (SELECT * FROM flow WHERE scenario = 'baseline') a FULL JOIN (SELECT * FROM flow WHERE scenario = 'close_0') b USING (u, v)) WHERE abs(d) >= 3""")

@@ -360,6 +360,28 @@ def test_pixels_of_an_edge_with_one_end_reached(spark):
     assert got == {(1, 7, 9.75, 1), (1, 8, 10.5, 1), (2, 7, 4.75, 1), (2, 8, 5.5, 1), (3, 7, 12.0, 0)}
 
 
+@pytest.mark.parametrize("width", [2, 16])
+def test_ways_of_pixels_stand_in_one_row(spark, monkeypatch, width):
+    """Ways by rows of the search are the times by paths, and so are the nearest of them; each moves a pixel, not a pixel and site, so its plan has no more than one shuffle for an end of an edge and one for groups."""
+    monkeypatch.setattr(network, "SITES_A_ROW", width)
+    rng = np.random.default_rng(5)
+    edges = spark.createDataFrame([(int(u), int(v), float(w)) for u, v, w in zip(rng.integers(0, 40, 60), rng.integers(0, 40, 60), rng.integers(0, 9, 60) / 2, strict=True)], "u long, v long, w double")
+    sources = spark.createDataFrame([(1, 3), (2, 7), (5, 9), (6, 12), (9, 99)], "site long, node long")
+    snaps = [(p, int(rng.integers(0, 45)), int(rng.integers(0, 45)), float(rng.integers(0, 5)) / 4, 3.0, float(p % 3)) for p in range(60)]
+    snaps = spark.createDataFrame(snaps, "pixel long, start long, end long, part double, seconds double, access double")
+    reached = network.search(sources, edges)
+    ways, times = network.pixel_ways(snaps, reached), network.pixel_times(snaps, network.paths_of(reached)).select("pixel", "site", "time", "entry")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(network.times_of(ways)) == rows(times) and times.count() > 60
+    scenarios = spark.createDataFrame([("all", None), ("some", 2), ("some", 5), ("none", 1), ("none", 2), ("none", 5), ("none", 6), ("none", 9)], "scenario string, closed long")
+    assert rows(network.nearest_open_of(ways, scenarios)) == rows(network.nearest_open(times, scenarios))
+    assert rows(network.closure_of(ways, [1, 6])) == rows(network.closure(times, [1, 6]))
+    own = snaps.selectExpr("pixel", "pixel % 7 AS site")
+    assert rows(network.times_to(ways, own)) == rows(times.join(own, ["pixel", "site"]).select("pixel", "site", "time", "entry"))
+    near = network.closure_of(ways, [1, 6])
+    assert near._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") <= 1 + (width == 2)
+
+
 def test_zone_sites_and_walk_zones(spark):
     scenarios = spark.createDataFrame([("all", None), ("one", 1)], "scenario string, closed long")
     times = spark.createDataFrame([(p, s, float(10 * s + p), 0) for p in (1, 2, 3) for s in (1, 2)], "pixel long, site long, time double, entry long")
