@@ -16,7 +16,7 @@ from placeworks.llm.scratch import bounded, written
 @bounded
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject, by the threshold of their language."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    model = toxicity.fit_whole(docs, table(spark, sf_dir, "labels"))
     return toxicity.scored(docs, model, "_toxic_score", "_is_toxic").where("not _is_toxic").select(*docs.columns)
 
 

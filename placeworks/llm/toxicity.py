@@ -17,11 +17,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from . import textops as T
+from .scratch import written
 
 BUCKET_BITS, DIM, WIDTHS, FILTERS = 15, 16, (1, 2, 3), 8
 #: First bytes of a word that have an embedding of their own, beside the whole word.
@@ -34,6 +36,10 @@ SAMPLE_PER_CLASS, PART_WORDS = 2500, 76_800
 EPOCHS, LEAST_STEPS, BATCH, RATE, SEED = 12, 600, 64, 0.004, 7
 #: One in so many of the chosen rows calibrates thresholds instead of training.
 CALIBRATES = 6
+#: Where there are more labelled rows, training goes on over all of them: so many
+#: rounds, of an epoch and so many steps at least, in parts of about so many rows and bytes of ids; sums of parameters are
+#: exact in units of 2 to the power of -UNIT_BITS, thresholds in units of a bin.
+ROUNDS, ROUND_STEPS, PART_ROWS, PART_BYTES, UNIT_BITS, BINS = 3, 80, 5000, 1 << 26, 30, 4096
 SCORE_AT = 0.7
 #: Thresholds of a language are those that keep this precision on rows not trained on.
 PRECISION, LEAST_ROWS = 0.97, 20
@@ -126,13 +132,23 @@ def train(texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray) -> M
         p[f"k{w}"] = rng.normal(0, (2 / (w * DIM)) ** 0.5, (w, DIM, FILTERS)).astype(np.float32)
     p |= {"b": np.zeros(len(WIDTHS) * FILTERS, np.float32), "w": rng.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32), "o": np.zeros(1, np.float32)}
     p["e"][0] = 0
+    least = -(-LEAST_STEPS // max(1, -(-len(texts) // BATCH)))
+    return _model(_learned(p, rng, texts, labels, weights, max(EPOCHS, least)))
+
+
+def _model(p: dict) -> Model:
+    return Model(p["e"], [p[f"k{w}"] for w in WIDTHS], p["b"], p["w"], float(p["o"][0]))
+
+
+def _learned(p: dict, rng: np.random.Generator, texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, epochs: int) -> dict:
+    """p after so many epochs, changed in place."""
     m = {k: np.zeros_like(v) for k, v in p.items()}
     s = {k: np.zeros_like(v) for k, v in p.items()}
     lengths = np.array([len(t) for t in texts], int)
     by_length = np.argsort(lengths, kind="stable")
     batches = [by_length[i : i + BATCH] for i in range(0, len(texts), BATCH)]
     step = 0
-    for _ in range(max(EPOCHS, -(-LEAST_STEPS // max(1, len(batches))))):
+    for _ in range(epochs):
         for order in rng.permutation(len(batches)):
             rows = batches[order]
             step += 1
@@ -144,7 +160,7 @@ def train(texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray) -> M
                 s[k][at] = 0.99 * s[k][at] + 0.01 * g * g
                 p[k][at] -= RATE * (m[k][at] / (1 - 0.9**step)) / (np.sqrt(s[k][at] / (1 - 0.99**step)) + 1e-6)
             p["e"][0] = 0
-    return Model(p["e"], [p[f"k{w}"] for w in WIDTHS], p["b"], p["w"], float(p["o"][0]))
+    return p
 
 
 def _summed(parts: list[tuple[float, dict, np.ndarray]]) -> tuple[dict, np.ndarray]:
@@ -193,10 +209,10 @@ def _gradients(p: dict, ids: np.ndarray, y: np.ndarray, weights: np.ndarray) ->
     return grads, touched
 
 
-def calibrated(scores: np.ndarray, labels: np.ndarray, langs: list, weights: np.ndarray) -> dict[str, float]:
+def calibrated(scores: np.ndarray, labels: np.ndarray, langs: list, weights: np.ndarray, rows: np.ndarray | None = None) -> dict[str, float]:
     """Of each language: the lowest threshold, 0.3 at least, that keeps PRECISION among the labelled rows that the weights stand for; infinite, so that nothing is rejected, where none does.
 
-    "" stands for all of them, and for languages of few positives; where all of
+    An entry is one labelled row, or as many as `rows` says. "" stands for all of them, and for languages of few positives; where all of
     them have few and no threshold keeps PRECISION, it is SCORE_AT.
     """
 
@@ -208,30 +224,27 @@ def calibrated(scores: np.ndarray, labels: np.ndarray, langs: list, weights: np.
 
     if not len(scores):
         return {"": SCORE_AT}
+    positives = labels if rows is None else labels * rows
     every = lowest(scores, labels, weights)
-    out = {"": every if every < math.inf or labels.sum() >= LEAST_ROWS else SCORE_AT}
+    out = {"": every if every < math.inf or positives.sum() >= LEAST_ROWS else SCORE_AT}
     tags = np.array([x or "" for x in langs])
     for lang in sorted(set(tags.tolist()) - {""}):
         mine = tags == lang
-        if labels[mine].sum() >= LEAST_ROWS:
+        if positives[mine].sum() >= LEAST_ROWS:
             out[lang] = lowest(scores[mine], labels[mine], weights[mine])
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from the labelled rows whose crc32(doc_id) mod 3 is not 1; part of them calibrate the thresholds.
-
-    What reaches the driver is bounded by 2 * SAMPLE_PER_CLASS rows of whole texts, six bytes a word. A row of a class weighs as many labels as each chosen one of the class
-    stands for, so loss and precision are those of the natural mixture of classes. Labels other than 0 and 1, and labels without a document, are left out.
-    """
+def _learnable(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of the usable labels that may be learned from."""
     told = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    told = told.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1).withColumn("h", F.xxhash64("doc_id"))
-    learnable = dict(told.groupBy("toxic").count().collect())
-    stands_for = {y: n / min(n, SAMPLE_PER_CLASS) for y, n in learnable.items()}
-    clean, bad = (told.where(F.col("toxic") == y).orderBy("h", "doc_id").limit(SAMPLE_PER_CLASS) for y in (0, 1))
-    chosen = clean.unionByName(bad)  # at most 2 * SAMPLE_PER_CLASS ids, a few hundred kB
+    return told.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+
+
+def _labelled(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """(doc_id, ids, lang, toxic): the buckets of the words of the documents in told (doc_id, toxic), six bytes a word."""
     has_lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), has_lang.alias("lang")).join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), has_lang.alias("lang")).join(told, "doc_id")
     # A doc_id that repeats, any number of times, is one row: that of the least text by hash.
     rows = rows.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text", "lang")).alias("row")).select("doc_id", "row.text", "row.lang", "toxic")
 
@@ -240,7 +253,21 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             ids = [b.astype(np.uint16).tobytes() for b in column_buckets(batch["text"])]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(ids, pa.binary()), batch["lang"], batch["toxic"]], names=["doc_id", "ids", "lang", "toxic"])
 
-    found = rows.mapInArrow(T.task(words), "doc_id long, ids binary, lang string, toxic int").collect()
+    return rows.mapInArrow(T.task(words), "doc_id long, ids binary, lang string, toxic int")
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """A first model, from a bounded sample of the labelled rows whose crc32(doc_id) mod 3 is not 1; part of them calibrate the thresholds.
+
+    What reaches the driver is bounded by 2 * SAMPLE_PER_CLASS rows of whole texts, six bytes a word. A row of a class weighs as many labels as each chosen one of the class
+    stands for, so loss and precision are those of the natural mixture of classes. Labels other than 0 and 1, and labels without a document, are left out.
+    """
+    told = _learnable(labels).withColumn("h", F.xxhash64("doc_id"))
+    learnable = dict(told.groupBy("toxic").count().collect())
+    stands_for = {y: n / min(n, SAMPLE_PER_CLASS) for y, n in learnable.items()}
+    clean, bad = (told.where(F.col("toxic") == y).orderBy("h", "doc_id").limit(SAMPLE_PER_CLASS) for y in (0, 1))
+    chosen = clean.unionByName(bad)  # at most 2 * SAMPLE_PER_CLASS ids, a few hundred kB
+    found = _labelled(docs, F.broadcast(chosen)).collect()
     found = sorted(found, key=lambda r: (r.doc_id, bytes(r.ids), r.lang or ""))
     ids = [np.frombuffer(bytes(r.ids), np.uint16).reshape(-1, PARTS) for r in found]
     y = np.array([r.toxic for r in found], int)
@@ -255,6 +282,72 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
+def fit_whole(docs: DataFrame, labels: DataFrame) -> Model:
+    """A model from all labelled rows whose crc32(doc_id) mod 3 is not 1; those whose ids' crc32 is a multiple of CALIBRATES give the thresholds.
+
+    It is that of fit where this has taken all rows. Otherwise training goes on
+    from there: in each round, each task learns from the current model over its
+    part of the rows, and the parts' models are averaged by their rows, summed
+    by tasks as integers, so the order of the parts does not count. Thresholds
+    are taken from the counts of all remaining rows by language and bin of the
+    score. What reaches the driver are sums of the size of a model, and counts
+    by bin of the languages with LEAST_ROWS positive rows and of all together.
+    """
+    model = fit(docs, labels)
+    told = written(_learnable(labels), "learnable")
+    if not told.groupBy("toxic").count().where(F.col("count") > SAMPLE_PER_CLASS).count():
+        return model
+    rows = written(_labelled(docs, told.hint("merge")).withColumn("rest", F.crc32("ids") % CALIBRATES == 0), "labelled")
+    n, size = rows.where("not rest").agg(F.count("*"), F.coalesce(F.sum(F.length("ids")), F.lit(0))).first()
+    parts = max(-(-n // PART_ROWS), -(-size // PART_BYTES), 1)
+    learn = rows.where("not rest").select("doc_id", "ids", "toxic").repartition(parts, F.xxhash64("doc_id")).rdd  # shuffled once for all rounds
+    for turn in range(ROUNDS):
+        model = _averaged(learn, model, turn)
+    rest = rows.where("rest").select("ids", F.coalesce("lang", F.lit("")).alias("lang"), "toxic")
+    table, small = model.projected(), Model(np.zeros((0, DIM), np.float32), [], model.bias, model.weight, model.offset)
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [np.frombuffer(b, np.uint16).reshape(-1, PARTS) for b in batch["ids"].to_pylist()]
+            bins = [min(int(scores(small, table, i, np.array([0, len(i)]))[0] * BINS), BINS - 1) for i in ids]
+            yield pa.RecordBatch.from_arrays([batch["lang"], pa.array(bins, pa.int32()), batch["toxic"]], names=["lang", "bin", "toxic"])
+
+    counts = written(rest.mapInArrow(T.task(binned), "lang string, bin int, toxic int").groupBy("lang", "bin", "toxic").agg(F.count("*").alias("n")), "bins")
+    many = counts.where("toxic = 1 and lang != ''").groupBy("lang").agg(F.sum("n").alias("all")).where(F.col("all") >= LEAST_ROWS).select("lang")
+    every = counts.groupBy("bin", "toxic").agg(F.sum("n").alias("n")).select(F.lit("").alias("lang"), "bin", "toxic", "n")
+
+    def thresholds(found: list) -> dict[str, float]:
+        found = sorted(found)
+        y, n = np.array([r.toxic for r in found], int), np.array([r.n for r in found], float)
+        return calibrated(np.array([r.bin / BINS for r in found]), y, [r.lang for r in found], n, n)
+
+    own = thresholds(counts.join(many, "lang").select("lang", "bin", "toxic", "n").collect())
+    model.thresholds = own | thresholds(every.collect())
+    return model
+
+
+def _averaged(learn: RDD, model: Model, turn: int) -> Model:
+    """The mean, by rows, of the models that the partitions of learn (doc_id, ids, toxic) make of the given one in a round."""
+    p = {"e": model.embedding, **{f"k{w}": k for w, k in zip(WIDTHS, model.kernels, strict=True)}, "b": model.bias, "w": model.weight, "o": np.array([model.offset], np.float32)}
+
+    def part(rows: Iterator) -> Iterator[tuple[int, np.ndarray]]:
+        rows = sorted((r.doc_id, bytes(r.ids), r.toxic) for r in rows)
+        if rows:
+            texts = [np.frombuffer(ids, np.uint16).reshape(-1, PARTS) for _, ids, _ in rows]
+            epochs = -(-ROUND_STEPS // -(-len(rows) // BATCH))
+            own = _learned({k: v.copy() for k, v in p.items()}, np.random.default_rng(SEED + 1 + turn), texts, np.array([y for *_, y in rows]), np.ones(len(rows), np.float32), epochs)
+            flat = np.concatenate([own[k].reshape(-1) for k in p]).astype(float)
+            yield len(rows), np.rint(flat * len(rows) * 2.0**UNIT_BITS).astype(np.int64)
+
+    sums = learn.mapPartitions(part)
+    n, units = sums.treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1]))
+    flat, at, out = (units / (n * 2.0**UNIT_BITS)).astype(np.float32), 0, {}
+    for k, v in p.items():
+        out[k] = flat[at : at + v.size].reshape(v.shape)
+        at += v.size
+    return _model(out)
+
+
 def scored(docs: DataFrame, model: Model, score: str = "score", toxic: str = "toxic") -> DataFrame:
     """docs with a score (double, 0 to 1) and whether it is toxic (boolean, by the threshold of the row's lang).
 
@@ -284,7 +377,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     labels the scores are those of an untrained model. Other columns are
     ignored.
     """
-    model = fit(docs, labels)
+    model = fit_whole(docs, labels)
     out = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= SCORE_AT).cast("int").alias("predicted"))

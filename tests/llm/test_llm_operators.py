@@ -420,6 +420,29 @@ def test_toxicity_keeps_the_natural_mixture(spark, monkeypatch):
     assert {y: len(w) for y, w in seen.items()} == {0: 40, 1: 40} and all(np.isclose(sum(seen[y]), learnable[y]) for y in (0, 1))
 
 
+def test_toxicity_learns_from_all_labels(spark, monkeypatch):
+    """A word that only rows outside the first sample have is learned, in several parts, the same in each run; thresholds count all remaining rows."""
+    monkeypatch.setattr(toxicity, "SAMPLE_PER_CLASS", 60)
+    monkeypatch.setattr(toxicity, "LEAST_STEPS", 30)
+    monkeypatch.setattr(toxicity, "PART_ROWS", 1000)
+    rng = random.Random(9)
+    kept = [r.id for r in spark.range(3000).where("crc32(cast(cast(id as string) as binary)) % 3 != 1").orderBy(F.xxhash64("id"), "id").collect()]
+    early = set(kept[:400])
+    labels = [(i, int(rng.random() < 0.4)) for i in range(3000)]
+    texts = {i: words(rng, 12) + (" zzvile" if i in early else " qqrude") * y for i, y in labels}
+    docs = spark.createDataFrame([(i, t, "en") for i, t in texts.items()], "doc_id long, text string, lang string")
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    out = {r.doc_id: r.score for r in toxicity.toxicity(docs, table).collect()}
+    of = lambda y: np.mean([out[i] >= 0.7 for i, x in labels if x == y and i not in early])
+    assert of(1) > 0.9 and of(0) < 0.1
+    seen, calibrated = [], toxicity.calibrated
+    monkeypatch.setattr(toxicity, "calibrated", lambda *a: (seen.append(a[4].sum() if len(a) > 4 else 0), calibrated(*a))[1])
+    models = [toxicity.fit_whole(docs, table) for _ in range(2)]
+    assert all(np.array_equal(a, b) for a, b in zip(models[0].kernels, models[1].kernels, strict=True)) and models[0].thresholds == models[1].thresholds
+    rest = sum(zlib.crc32(next(toxicity.column_buckets(pa.array([texts[i]]))).astype(np.uint16).tobytes()) % toxicity.CALIBRATES == 0 for i in kept)
+    assert seen[1:3] == [rest, rest]  # of the language, of all
+
+
 def test_toxicity_learns_by_weight():
     texts, y = [np.full((2, toxicity.PARTS), 9, np.int32)] * 200, np.repeat([0, 1], 100)
     model = toxicity.train(texts, y, np.where(y == 1, 1.0, 9.0))
