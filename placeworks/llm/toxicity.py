@@ -14,11 +14,12 @@ import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark import RDD
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
@@ -235,16 +236,21 @@ def calibrated(scores: np.ndarray, labels: np.ndarray, langs: list, weights: np.
     return out
 
 
+def _held_out() -> Column:
+    """Whether nothing may be learned from the row; null without doc_id."""
+    return F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % 3 == 1
+
+
 def _learnable(labels: DataFrame) -> DataFrame:
     """(doc_id, toxic) of the usable labels that may be learned from."""
-    told = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return told.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+    return labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~_held_out())
 
 
 def _labelled(docs: DataFrame, told: DataFrame) -> DataFrame:
     """(doc_id, ids, lang, toxic): the buckets of the words of the documents in told (doc_id, toxic), six bytes a word."""
     has_lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), has_lang.alias("lang")).join(told, "doc_id")
+    # Texts of held-out rows, a third of all, are left out before the join moves them.
+    rows = docs.where(~_held_out()).select("doc_id", F.col("text").cast("string").alias("text"), has_lang.alias("lang")).join(told, "doc_id")
     # A doc_id that repeats, any number of times, is one row: that of the least text by hash.
     rows = rows.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text", "lang")).alias("row")).select("doc_id", "row.text", "row.lang", "toxic")
 
@@ -286,9 +292,11 @@ def fit_whole(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from all labelled rows whose crc32(doc_id) mod 3 is not 1; those whose ids' crc32 is a multiple of CALIBRATES give the thresholds.
 
     It is that of fit where this has taken all rows. Otherwise training goes on
-    from there: in each round, each task learns from the current model over its
+    from there: in each round, tasks learn from the current model over each
     part of the rows, and the parts' models are averaged by their rows, summed
-    by tasks as integers, so the order of the parts does not count. Thresholds
+    by tasks as integers, so the order of the parts does not count. A row's part
+    follows from its doc_id and the number of rows; so many models are made and
+    sent, into however many partitions the session deals out rows. Thresholds
     are taken from the counts of all remaining rows by language and bin of the
     score. What reaches the driver are sums of the size of a model, and counts
     by bin of the languages with LEAST_ROWS positive rows and of all together.
@@ -300,8 +308,9 @@ def fit_whole(docs: DataFrame, labels: DataFrame) -> Model:
     rows = written(_labelled(docs, told.hint("merge")).withColumn("rest", F.crc32("ids") % CALIBRATES == 0), "labelled")
     n, size = rows.where("not rest").agg(F.count("*"), F.coalesce(F.sum(F.length("ids")), F.lit(0))).first()
     parts = max(-(-n // PART_ROWS), -(-size // PART_BYTES), 1)
-    learn = rows.where("not rest").select("doc_id", "ids", "toxic").repartition(parts, F.xxhash64("doc_id")).rdd  # shuffled once for all rounds
-    for turn in range(ROUNDS):
+    learn = rows.where("not rest").select(F.pmod(F.hash(F.xxhash64("doc_id")), F.lit(parts)).alias("part"), "doc_id", "ids", "toxic")
+    learn = learn.repartitionByRange(parts, "part").sortWithinPartitions("part").rdd  # shuffled once for all rounds
+    for turn in range(ROUNDS if n else 0):  # labels may have no documents here
         model = _averaged(learn, model, turn)
     rest = rows.where("rest").select("ids", F.coalesce("lang", F.lit("")).alias("lang"), "toxic")
     table, small = model.projected(), Model(np.zeros((0, DIM), np.float32), [], model.bias, model.weight, model.offset)
@@ -327,20 +336,19 @@ def fit_whole(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def _averaged(learn: RDD, model: Model, turn: int) -> Model:
-    """The mean, by rows, of the models that the partitions of learn (doc_id, ids, toxic) make of the given one in a round."""
+    """The mean, by rows, of the models that the parts of learn (part, doc_id, ids, toxic), each in one partition and in one run there, make of the given one in a round."""
     p = {"e": model.embedding, **{f"k{w}": k for w, k in zip(WIDTHS, model.kernels, strict=True)}, "b": model.bias, "w": model.weight, "o": np.array([model.offset], np.float32)}
 
-    def part(rows: Iterator) -> Iterator[tuple[int, np.ndarray]]:
-        rows = sorted((r.doc_id, bytes(r.ids), r.toxic) for r in rows)
-        if rows:
-            texts = [np.frombuffer(ids, np.uint16).reshape(-1, PARTS) for _, ids, _ in rows]
-            epochs = -(-ROUND_STEPS // -(-len(rows) // BATCH))
-            own = _learned({k: v.copy() for k, v in p.items()}, np.random.default_rng(SEED + 1 + turn), texts, np.array([y for *_, y in rows]), np.ones(len(rows), np.float32), epochs)
+    def models(rows: Iterator) -> Iterator[tuple[int, np.ndarray]]:
+        for _, mine in groupby(rows, lambda r: r.part):
+            part = sorted((r.doc_id, bytes(r.ids), r.toxic) for r in mine)
+            texts = [np.frombuffer(ids, np.uint16).reshape(-1, PARTS) for _, ids, _ in part]
+            epochs = -(-ROUND_STEPS // -(-len(part) // BATCH))
+            own = _learned({k: v.copy() for k, v in p.items()}, np.random.default_rng(SEED + 1 + turn), texts, np.array([y for *_, y in part]), np.ones(len(part), np.float32), epochs)
             flat = np.concatenate([own[k].reshape(-1) for k in p]).astype(float)
-            yield len(rows), np.rint(flat * len(rows) * 2.0**UNIT_BITS).astype(np.int64)
+            yield len(part), np.rint(flat * len(part) * 2.0**UNIT_BITS).astype(np.int64)
 
-    sums = learn.mapPartitions(part)
-    n, units = sums.treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1]))
+    n, units = learn.mapPartitions(models).treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1]))
     flat, at, out = (units / (n * 2.0**UNIT_BITS)).astype(np.float32), 0, {}
     for k, v in p.items():
         out[k] = flat[at : at + v.size].reshape(v.shape)
@@ -379,5 +387,4 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     model = fit_whole(docs, labels)
     out = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model)
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= SCORE_AT).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(_held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= SCORE_AT).cast("int").alias("predicted"))

@@ -443,6 +443,30 @@ def test_toxicity_learns_from_all_labels(spark, monkeypatch):
     assert seen[1:3] == [rest, rest]  # of the language, of all
 
 
+def test_toxicity_learns_in_as_many_parts_however_rows_are_dealt(spark, monkeypatch):
+    """Sessions that deal rows out to many partitions make, and send, no more models; and the same one comes out."""
+    monkeypatch.setattr(toxicity, "SAMPLE_PER_CLASS", 60)
+    monkeypatch.setattr(toxicity, "LEAST_STEPS", 10)
+    monkeypatch.setattr(toxicity, "PART_ROWS", 300)
+    monkeypatch.setattr(toxicity, "ROUNDS", 1)
+    rng = random.Random(13)
+    rows = [(i, words(rng, 8) + " vile" * (i % 2), "en", i % 2) for i in range(1500)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    few = toxicity.fit_whole(table.drop("toxic"), table.select("doc_id", "toxic"))
+    for name in ("repartition", "repartitionByRange"):
+        monkeypatch.setattr(type(table), name, lambda self, n, *cols, f=getattr(type(table), name): f(self, max(n, 37), *cols))
+    many = toxicity.fit_whole(table.drop("toxic"), table.select("doc_id", "toxic"))
+    assert np.array_equal(few.embedding, many.embedding) and np.array_equal(few.weight, many.weight) and few.thresholds == many.thresholds
+
+
+def test_toxicity_of_labels_without_documents(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_PER_CLASS", 10)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(1000, "one two"), (None, "three")], "doc_id long, text string")
+    for docs in (docs, docs.limit(0)):
+        assert toxicity.toxicity(docs, labels).count() == docs.count()
+
+
 def test_toxicity_learns_by_weight():
     texts, y = [np.full((2, toxicity.PARTS), 9, np.int32)] * 200, np.repeat([0, 1], 100)
     model = toxicity.train(texts, y, np.where(y == 1, 1.0, 9.0))
