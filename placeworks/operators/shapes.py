@@ -297,15 +297,28 @@ def _level(sides: DataFrame, keys: Sequence[str]) -> DataFrame:
     return spans.where("sign != 0 AND e IS NOT NULL").withColumn("i", F.explode(F.sequence(F.lit(1), F.abs("sign")))).drop("i")
 
 
-def outline(traps: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The directed edges (keys, x1, y1, x2, y2), with the inside on their left, around disjoint trapezoids."""
+def outline(traps: DataFrame, keys: Sequence[str], edges: DataFrame | None = None) -> DataFrame:
+    """The directed edges (keys, x1, y1, x2, y2), with the inside on their left, around disjoint trapezoids.
+
+    `edges` are directed ones of further polygons, disjoint as well, that need not be cut up.
+    """
     corner = {f"{line}{x}": height(line, F.col(x)) for line in "bt" for x in "lr"}
     t = traps.select(*keys, *PLACES).withColumns(corner)
     up = F.array(*[F.struct(F.col(x).alias("line"), F.col(f"b{x}").alias("a"), F.col(f"t{x}").alias("e"), F.lit(sign).alias("sign")) for x, sign in (("r", 1), ("l", -1))])
-    upright = _level(t.select(*keys, F.explode(up).alias("s")).select(*keys, "s.*").where("a != e"), keys)
+    upright = t.select(*keys, F.explode(up).alias("s")).select(*keys, "s.*").where("a != e")
     whole = lambda line: F.struct(*(F.col(f"{line}{c}").alias(c) for c in ("x1", "y1", "x2", "y2"))).alias("whole")
     along = F.array(*[F.struct(F.col(f"{line}l").alias("y1"), F.col(f"{line}r").alias("y2"), F.lit(sign).alias("sign"), whole(line)) for line, sign in (("b", 1), ("t", -1))])
     sloped = t.select(*keys, "l", "r", F.explode(along).alias("s")).select(*keys, "l", "r", "s.*")
+    if edges is not None:
+        plain = edges.select(*keys, *(F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")))
+        ahead = F.col("x1") < F.col("x2")
+        left, right = (F.when(ahead, F.struct(*(F.col(c).alias(c[0]) for c in p))).otherwise(F.struct(*(F.col(c).alias(c[0]) for c in q))) for p, q in ((("x1", "y1"), ("x2", "y2")), (("x2", "y2"), ("x1", "y1"))))
+        turned = plain.where("x1 != x2").select(*keys, F.when(ahead, 1).otherwise(-1).alias("sign"), left.alias("p"), right.alias("q"))
+        ends = F.struct(F.col("p.x").alias("x1"), F.col("p.y").alias("y1"), F.col("q.x").alias("x2"), F.col("q.y").alias("y2"))
+        sloped = sloped.unionByName(turned.select(*keys, F.col("p.x").alias("l"), F.col("q.x").alias("r"), F.col("p.y").alias("y1"), F.col("q.y").alias("y2"), "sign", ends.alias("whole")))
+        standing = plain.where("x1 = x2 AND y1 != y2").select(*keys, F.col("x1").alias("line"), F.least("y1", "y2").alias("a"), F.greatest("y1", "y2").alias("e"), F.when(F.col("y1") < F.col("y2"), 1).otherwise(-1).alias("sign"))
+        upright = upright.unionByName(standing)
+    upright = _level(upright, keys)
     level = _level(sloped.where("y1 = y2").select(*keys, F.col("y1").alias("line"), F.col("l").alias("a"), F.col("r").alias("e"), "sign"), keys)
     # Two sides of a line may be cut at other places, so what is left goes by the line.
     rest = sloped.where("y1 != y2").groupBy(*keys, "l", "r", "y1", "y2").agg(F.sum("sign").alias("sign"), F.min("whole").alias("line")).where("sign != 0")
@@ -333,47 +346,79 @@ def _snapped(edges: np.ndarray) -> np.ndarray:
     return out[(out[:, :2] != out[:, 2:]).any(1)]
 
 
-def _linked(edges: np.ndarray) -> list[list[tuple[float, float]]]:
-    """Rings of directed edges. Where several go on from a corner, the leftmost turn keeps rings apart that only touch."""
-    after: dict[tuple, list[tuple]] = {}
-    for x1, y1, x2, y2 in edges.tolist():
-        after.setdefault((x1, y1), []).append((x2, y2))
-    rings = []
-    for start in sorted(after):
-        while start in after:
-            at, ring = start, []
-            while True:
-                choices = after[at]
-                k = 0
-                if len(choices) > 1 and ring:
-                    back = np.arctan2(ring[-1][1] - at[1], ring[-1][0] - at[0])
-                    k = min(range(len(choices)), key=lambda j: (back - np.arctan2(choices[j][1] - at[1], choices[j][0] - at[0])) % (2 * np.pi) or 7.0)
-                to = choices.pop(k)
-                if not choices:
-                    del after[at]
-                ring.append(at)
-                at = to
-                if at == start or at not in after:
-                    break
-            rings.append(ring)
-    return rings
+def _linked(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The corners of the rings of directed edges, one ring after another, and how many each has.
 
-
-def _plain(ring: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    """A ring without the corners on a straight side, which cuts have left; none of what has no area."""
-    p = np.array(ring)
-    while len(p) > 2:
-        a, b = p - np.roll(p, 1, 0), np.roll(p, -1, 0) - p
+    Where several edges go on from a corner, the leftmost turn keeps rings apart that only touch.
+    """
+    edges = edges[np.lexsort((edges[:, 1], edges[:, 0]))]
+    corners = edges.reshape(-1, 2)
+    order = np.lexsort((corners[:, 1], corners[:, 0]))
+    new = np.ones(len(order), bool)
+    new[1:] = (corners[order[1:]] != corners[order[:-1]]).any(1)
+    name = np.empty(len(order), np.int64)
+    name[order] = np.cumsum(new) - 1
+    start, end = name[::2], name[1::2]
+    many = np.bincount(start, minlength=int(new.sum()))
+    first = (np.cumsum(many) - many)[end].tolist()  # of the edges that go on from an edge's end, which stand together
+    starts, ends, many = start.tolist(), end.tolist(), many[end].tolist()
+    used, turns, sizes = [False] * len(edges), [], []
+
+    def angle(i: int, at: np.ndarray, end: slice) -> float:
+        x, y = edges[i, end] - at
+        return float(np.arctan2(y, x))
+
+    for begin in range(len(edges)):
+        if used[begin]:
+            continue
+        i, n = begin, 0
+        while True:
+            used[i] = True
+            turns.append(i)
+            n += 1
+            if ends[i] == starts[begin]:
+                break
+            on = [j for j in range(first[i], first[i] + many[i]) if not used[j]]
+            if not on:
+                break
+            if len(on) > 1:
+                at, before = edges[i, 2:], i
+                back = angle(before, at, slice(0, 2))
+                i = min(on, key=lambda j: (back - angle(j, at, slice(2, 4))) % (2 * np.pi) or 7.0)  # noqa: B023
+            else:
+                i = on[0]
+        sizes.append(n)
+    return edges[np.array(turns, int), :2], np.array(sizes, int)
+
+
+def _straightened(p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rings (their corners one after another, how many each has) without the corners on a straight side, which cuts have left; none of what has no area."""
+    while True:
+        p, n = p[np.repeat(n > 2, n)], n[n > 2]
+        if not len(n):
+            return p, n
+        first = np.cumsum(n) - n
+        last = first + n - 1
+        before, after = np.arange(len(p)) - 1, np.arange(len(p)) + 1
+        before[first], after[last] = last, first
+        a, b = p - p[before], p[after] - p
+        along_a, along_b = np.hypot(*a.T), np.hypot(*b.T)
+        most = np.repeat(np.maximum.reduceat(np.abs(p).max(1), first), n)
         turn = np.abs(a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0])
-        flat = turn <= 1e-9 * (np.hypot(*a.T) * np.hypot(*b.T)) + ULPS * np.spacing(np.abs(p).max()) * (np.hypot(*a.T) + np.hypot(*b.T))
+        flat = turn <= 1e-9 * (along_a * along_b) + ULPS * np.spacing(most) * (along_a + along_b)
         if not flat.any():
-            break
+            return p, n
         # Neighbours may both be flat only because they are near: one of two goes at a time.
-        even = np.arange(len(p)) % 2 == 0
-        even[-1] &= not (len(p) % 2 and flat[0])
-        flat &= even | ~(np.roll(flat, 1) | np.roll(flat, -1))
-        p = p[~flat]
-    return [tuple(q) for q in p.tolist()] if len(p) > 2 else []
+        even = (np.arange(len(p)) - np.repeat(first, n)) % 2 == 0
+        even[last] &= ~((n % 2 == 1) & flat[first])
+        flat &= even | ~(flat[before] | flat[after])
+        p, n = p[~flat], n - np.add.reduceat(flat.astype(int), first)
+
+
+def _plain(ring: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """As _straightened, of one ring."""
+    p, _ = _straightened(np.array(ring, float).reshape(-1, 2), np.array([len(ring)]))
+    return [tuple(q) for q in p.tolist()]
 
 
 RINGS = "rings array<array<struct<x: double, y: double>>>"
@@ -383,8 +428,8 @@ def rings(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, rings) of directed edges as `outline` gives them: outer rings turn left, holes right. A key's rings are one row, so one task holds its outline."""
 
     listed = spatial.spread(edges, *keys).groupBy(*keys).agg(F.collect_list(F.struct(*(F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")))).alias("e"))
-    kind = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
     names = list(keys)
+    listing = lambda n, values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), values)
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -392,8 +437,10 @@ def rings(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
             flat = lists.flatten()
             lines = np.stack([flat.field(i).to_numpy(zero_copy_only=False) for i in range(4)], 1) if len(flat) else np.zeros((0, 4))
             offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            found = [[r for r in map(_plain, _linked(_snapped(lines[i:j]))) if r] for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
-            told = pa.array([[[{"x": x, "y": y} for x, y in r] for r in own] for own in found], kind)
+            found = [_straightened(*_linked(_snapped(lines[i:j]))) if i < j else (np.zeros((0, 2)), np.zeros(0, int)) for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
+            p, n = (np.concatenate([none, *(f[i] for f in found)]) for i, none in ((0, np.zeros((0, 2))), (1, np.zeros(0, int))))
+            corners = pa.StructArray.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], names=["x", "y"])
+            told = listing(np.array([len(f[1]) for f in found], int), listing(n, corners))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), told], names=[*names, "rings"])
 
     return listed.mapInArrow(linked, f"{_kind(edges, keys)}, {RINGS}").where("size(rings) > 0")

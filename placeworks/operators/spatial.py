@@ -23,6 +23,8 @@ MOST_SITES = 256
 HALVINGS = 16
 #: Sites that the mean cell may hold when a search begins, and cells along a segment of mean length.
 SITES_A_CELL, CELLS_A_SEGMENT = 16, 16
+#: Edges of all polygons together that the mean cell may hold when points are asked for in dense borders.
+EDGES_A_CELL = 64
 #: Points of the greatest ids that segments meet first.
 LAST_POINTS = 16_384
 
@@ -185,27 +187,50 @@ def _crosses(edge: Column, x: Column, y: Column) -> Column:
     return ((edge["y1"] > y) != (edge["y2"] > y)) & (x < (edge["x2"] - edge["x1"]) * (y - edge["y1"]) / rise + edge["x1"])
 
 
-def _cells(edges: DataFrame, polygon: str, size: float) -> DataFrame:
-    """(polygon, _cx, _cy, _edges) of the cells of polygons: those that an edge passes through with the edges of their row, those inside as a whole with none."""
+def polygon_cells(edges: DataFrame, polygon: str, size: float) -> DataFrame:
+    """The cells (polygon, _cx, _cy, _edges, _turns, _odd) of polygons: those that edges pass through, with these, and those inside as a whole, with none.
+
+    A level line to the right of a point crosses edges in its cell, and of those
+    that lie in its row beyond the cell the ones with a single end above it.
+    `_odd` is 1 where an odd number of these leave the row at its top, `_turns`
+    are the heights of their ends in the row. Where two of them meet, their
+    ends cancel, so what is left are ends of edges that pass through the cell.
+    """
     row = F.explode(F.sequence(geo.cell(F.least("y1", "y2"), size), geo.cell(F.greatest("y1", "y2"), size)))
-    banded = edges.select(polygon, "x1", "y1", "x2", "y2", row.alias("_cy"))
+    banded = edges.where("x1 IS NOT NULL AND x2 IS NOT NULL").select(polygon, "x1", "y1", "x2", "y2", row.alias("_cy"))
     # Where an edge enters and leaves its row of cells.
     slope = (F.col("x2") - F.col("x1")) / F.when(F.col("y1") != F.col("y2"), F.col("y2") - F.col("y1"))
     low, high = F.greatest(F.least("y1", "y2"), F.col("_cy") * size), F.least(F.greatest("y1", "y2"), (F.col("_cy") + 1) * size)
     ends = [F.coalesce(F.col("x1") + slope * (y - F.col("y1")), other) for y, other in ((low, F.col("x1")), (high, F.col("x2")))]
     slack = size * 1e-6
-    first, last = geo.cell(F.least(*ends) - slack, size), geo.cell(F.greatest(*ends) + slack, size)
-    # The edges of a row are a part of a polygon that comes as one row.
-    told = banded.withColumn("_e", F.struct("x1", "y1", "x2", "y2", first.alias("a"), last.alias("b"))).groupBy(polygon, "_cy")
-    rows = told.agg(F.collect_list("_e").alias("_edges"), F.min("_e.a").alias("_a"), F.max("_e.b").alias("_b"))
-    cells = rows.select(polygon, "_cy", "_edges", F.explode(F.sequence("_a", "_b")).alias("_cx"))
-    border = F.exists("_edges", lambda e: (e["a"] <= F.col("_cx")) & (e["b"] >= F.col("_cx")))
-    cells = cells.withColumn("_border", border).where(F.col("_border") | _odd((F.col("_cx") + 0.5) * size, (F.col("_cy") + 0.5) * size))
-    return cells.select(polygon, "_cx", "_cy", F.when(F.col("_border"), F.col("_edges")).alias("_edges"))
-
-
-def _odd(x: Column, y: Column) -> Column:
-    return F.size(F.filter("_edges", lambda e: _crosses(e, x, y))) % 2 == 1
+    banded = banded.withColumns({"_a": geo.cell(F.least(*ends) - slack, size), "_b": geo.cell(F.greatest(*ends) + slack, size)})
+    edge, turn = F.struct("x1", "y1", "x2", "y2"), F.lit(None).cast("double")
+    over = lambda a, b: F.explode(F.when(a <= b, F.sequence(a, b)))
+    through = banded.select(polygon, "_cy", over(F.col("_a"), F.col("_b")).alias("_cx"), edge.alias("_e"), turn.alias("_t"), F.lit(0).alias("_o"))
+    # Of an open ring some ends are left over; they count as far as the first cell of the row.
+    rows = banded.withColumn("_first", F.min("_a").over(Window.partitionBy(polygon, "_cy")))
+    none = F.lit(None).cast("struct<x1: double, y1: double, x2: double, y2: double>").alias("_e")
+    crossed = rows.groupBy(polygon, "_cy", "_a").agg(F.count_if(geo.cell(F.greatest("y1", "y2"), size) > F.col("_cy")).alias("_n"))
+    w = Window.partitionBy(polygon, "_cy").orderBy("_a")
+    parts = crossed.withColumns({"_left": F.lag("_a").over(w), "_o": F.sum("_n").over(w.rowsBetween(0, Window.unboundedFollowing)) % 2}).where("_o = 1")
+    odd = parts.select(polygon, "_cy", over(F.col("_left"), F.col("_a") - 1).alias("_cx"), none, turn.alias("_t"), F.col("_o").cast("int").alias("_o"))
+    corners = rows.select(polygon, "_cy", "_a", "_first", F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("_p"))
+    corners = corners.where(geo.cell(F.col("_p.y"), size) == F.col("_cy")).groupBy(polygon, "_cy", "_p").agg(F.sort_array(F.collect_list("_a"), asc=False).alias("_as"), F.min("_first").alias("_first"))
+    # An end counts from each edge's first cell to the left, so two of them cancel to the left of both.
+    pairs = corners.select(polygon, "_cy", "_p", "_as", "_first", F.explode(F.expr("sequence(0, size(_as) - 1, 2)")).alias("_i"))
+    left = F.coalesce(F.get("_as", F.col("_i") + 1), "_first")
+    turns = pairs.select(polygon, "_cy", over(left, F.get("_as", "_i") - 1).alias("_cx"), none, F.col("_p.y").alias("_t"), F.lit(0).alias("_o"))
+    told = through.unionByName(odd).unionByName(turns).groupBy(polygon, "_cx", "_cy")
+    return told.agg(F.collect_list("_e").alias("_edges"), F.collect_list("_t").alias("_turns"), F.max("_o").alias("_odd"))
+
+
+def small_cells(edges: DataFrame, size: float) -> float:
+    """size, halved until the mean edge has but EDGES_A_CELL in its cell; the edges' extent has no more cells than there are edges by then."""
+    ends = edges.agg(F.max(F.greatest("x1", "x2")) - F.min(F.least("x1", "x2")), F.max(F.greatest("y1", "y2")) - F.min(F.least("y1", "y2")), F.count("*")).first()
+    n = halvings(edges, (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2, (size, size), EDGES_A_CELL)
+    while n and (ends[0] or 0) * (ends[1] or 0) > (size / 2**n) ** 2 * ends[2]:
+        n -= 1
+    return size / 2**n
 
 
 def point_in_polygon(points: DataFrame, edges: DataFrame, point: str, polygon: str, size: float = 250.0) -> DataFrame:
@@ -213,13 +238,13 @@ def point_in_polygon(points: DataFrame, edges: DataFrame, point: str, polygon: s
 
     A point is inside where the edges to its right are odd in number; one on a
     left or lower border counts as inside, on a right or upper one as outside.
-    Points meet polygons in cells. A cell that no edge passes through is inside
-    or outside as a whole, which is told once; in the others a point meets the
-    edges of its polygon's row of cells.
+    Points meet polygons in cells, and there only the edges that pass through
+    the cell: how often others pass to its right is told once for all points.
     """
     placed = points.select(point, "x", "y", geo.cell(F.col("x"), size).alias("_cx"), geo.cell(F.col("y"), size).alias("_cy"))
-    met = placed.join(_cells(edges, polygon, size), ["_cx", "_cy"])
-    return met.where(F.col("_edges").isNull() | _odd(F.col("x"), F.col("y"))).select(point, polygon)
+    met = placed.join(polygon_cells(edges, polygon, size), ["_cx", "_cy"])
+    crossed = F.size(F.filter("_edges", lambda e: _crosses(e, F.col("x"), F.col("y")))) + F.size(F.filter("_turns", lambda y: y > F.col("y")))
+    return met.where((crossed + F.col("_odd")) % 2 == 1).select(point, polygon)
 
 
 def overlay(a: DataFrame, b: DataFrame, size: float) -> DataFrame:

@@ -402,7 +402,8 @@ def nearest_zone_rings(spark, sf_dir):
     district = spark.createDataFrame([(0, [[{"x": float(x), "y": float(y)} for x, y in DISTRICT[1]]])], f"d int, {shapes.RINGS}")
     zones = voronoi.nearest_zones(points, "facility", "kind", spatial.rings_to_edges(district, "d"), (0.0, 0.0, 10010.0, 10010.0), 500.0, SIDE)
     places = entity(spark, sf_dir, "development").select("development", "units", (F.col("x") + 0.137).alias("x"), (F.col("y") + 0.291).alias("y"))
-    held = spatial.point_in_polygon(places, spatial.rings_to_edges(zones, "kind"), "development", "kind")
+    edges = cut(spatial.spread(spatial.rings_to_edges(zones, "kind")))
+    held = spatial.point_in_polygon(places, edges, "development", "kind", spatial.small_cells(edges, 250.0))
     return held.join(places, "development").groupBy("kind").agg(F.count("*").alias("n"), F.sum("units").alias("units"))
 
 

@@ -254,3 +254,70 @@ def test_a_corner_that_rounding_made_two_stays(turn):
     """Two corners at a distance of rounding are both flat; one of them has to stay, wherever the ring begins."""
     ring = [(10.0, 51.7), (11.532410999999998, 55.387466), (11.532411, 55.387466), (20.0, 58.0), (10.0, 60.0)]
     assert area([shapes._plain(ring[turn:] + ring[:turn])]) == pytest.approx(area([ring]), abs=1e-9)
+
+
+@pytest.mark.parametrize("size", [1.0, 2.5, 100.0])
+def test_points_meet_only_the_edges_of_their_cell(spark, size):
+    """A winding border, holes, edges and corners on lines of cells, and a ring with an edge missing: as even-odd of all edges, and a cell holds only what passes through it."""
+    rng = np.random.default_rng(3)
+    teeth = [(float(x), float(y)) for x, y in zip(np.arange(120) / 3, rng.choice([1.0, 2.0, 2.25, 4.75, 6.0, 9.5], 120), strict=True)]
+    rows = [(1, [[(-1, -3), *teeth, (41, -3)], [(3, -2), (3, 0), (9, 0), (9, -2)]]), (2, [[(0, 0), (40, 0), (40, 10), (30, 5), (20, 10), (10, 5), (0, 10)]]), (3, [rng.uniform(0, 10, (40, 2)).tolist()])]
+    edges = polygons(spark, rows).where("NOT (k = 3 AND x1 < 2)")
+    # A missing edge leaves a ring open; one without a place counts as missing.
+    edges = edges.withColumn("x2", F.when(~((F.col("k") == 3) & (F.col("x1") > 9)), F.col("x2")))
+    g = np.concatenate([grid(-4, 44, 40), np.array(list(itertools.product(range(-3, 42, 2), range(-3, 11)))), np.array(teeth), rng.uniform(0, 10, (300, 2))])
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(g)], "p long, x double, y double")
+    found = {(r.p, r.k) for r in spatial.point_in_polygon(points, edges, "p", "k", size).collect()}
+    for k in (1, 2, 3):
+        odd = np.zeros(len(g), bool)
+        for e in edges.where((F.col("k") == k) & F.col("x2").isNotNull() & (F.col("y1") != F.col("y2"))).collect():
+            odd ^= ((e.y1 > g[:, 1]) != (e.y2 > g[:, 1])) & (g[:, 0] < (e.x2 - e.x1) * (g[:, 1] - e.y1) / (e.y2 - e.y1) + e.x1)
+        if k == 3:  # an open ring has nothing to the left of the first cell of its row that an edge passes through
+            own = np.array([(e.x1, e.y1, e.x2, e.y2) for e in edges.where("k = 3 AND x2 IS NOT NULL").collect()])
+            low = np.floor(g[:, 1:] / size) * size
+            y = np.clip(np.stack([low, low + size], 2), np.minimum(own[:, 1], own[:, 3])[:, None], np.maximum(own[:, 1], own[:, 3])[:, None])
+            least = (own[:, [0]] + (own[:, [2]] - own[:, [0]]) * (y - own[:, [1]]) / (own[:, [3]] - own[:, [1]])).min(2)
+            passes = (np.minimum(own[:, 1], own[:, 3]) < low + size) & (np.maximum(own[:, 1], own[:, 3]) >= low)
+            odd &= np.floor(g[:, 0] / size) >= np.floor(np.where(passes, least, np.inf).min(1) / size)
+        assert {i for i, j in found if j == k} == set(np.flatnonzero(odd).tolist())
+    most = spatial.polygon_cells(edges.where("k = 1"), "k", size).agg(F.max(F.size("_edges")), F.max(F.size("_turns"))).first()
+    assert max(most) <= 3 * size + 8
+
+
+def test_only_cells_at_the_border_are_cut(spark, monkeypatch):
+    """Of 3,600 cells those inside the district come as they are; the zones are whole, whatever the size of the cells they are cut in."""
+    rng = np.random.default_rng(4)
+    rows = [(i, f"l{i % 3}", float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 100, (3600, 2)))]
+    points, made, cut_up = spark.createDataFrame(rows, "p long, label string, x double, y double"), [], shapes.trapezoids
+    monkeypatch.setattr(shapes, "trapezoids", lambda edges, key, size: made.append(edges.select(key).distinct().count()) or cut_up(edges, key, size))
+    district = [(10, 10), (90, 10), (90, 50), (50, 50), (50, 90), (10, 90)]
+    found = plain(voronoi.nearest_zones(points, "p", "label", polygons(spark, [(1, [district])]), (0.0, 0.0, 100.0, 100.0), 50.0, 21.0), "label")
+    assert sum(map(area, found.values())) == pytest.approx(80 * 80 - 40 * 40, rel=1e-9)
+    assert sorted(made)[0] == 1 and sorted(made)[1] < 700
+    g, xy = rng.uniform(0, 100, (2000, 2)), np.array([r[2:] for r in rows])
+    nearest = np.array([np.hypot(*(xy - q).T).argmin() for q in g])
+    within = inside([district], g)
+    for (label,), rings in found.items():
+        assert (inside(rings, g) == (within & (nearest % 3 == int(label[1])))).all()
+
+
+def test_a_key_in_several_places_has_all_of_their_cells(spark):
+    places = [(1, 2.0, 2.0), (1, 4.0, 2.0), (2, 8.0, 8.0), (1, 9.0, 1.0)]
+    points = spark.createDataFrame([(k, f"l{k}", x, y) for k, x, y in places], "p long, label string, x double, y double")
+    box = (0.0, 0.0, 10.0, 10.0)
+    cells = [(r.p, r.x1 * r.y2 - r.x2 * r.y1) for r in voronoi.nearest_cells(points, "p", box, 3.0).collect()]
+    assert sum(a for _, a in cells) / 2 == pytest.approx(100)
+    whole = polygons(spark, [(1, [[(0, 0), (10, 0), (10, 10), (0, 10)]])])
+    zones = plain(voronoi.nearest_zones(points, "p", "label", whole, box, 3.0, 4.0), "label")
+    assert {k: area(r) for (k,), r in zones.items()} == pytest.approx({f"l{k}": sum(a for p, a in cells if p == k) / 2 for k in (1, 2)})
+
+
+def test_rings_that_touch_are_kept_apart():
+    """Squares that meet at corners, with a hole that does, as one label's edges: each is a ring of its own, whatever order its edges come in."""
+    rng = np.random.default_rng(6)
+    squares = [[(x, y), (x + 1, y), (x + 1, y + 1), (x, y + 1)] for x, y in ((0, 0), (1, 1), (2, 0), (2, 2), (0, 2))]
+    edges = np.array([(*p, *q) for r in squares for p, q in zip(r, r[1:] + r[:1], strict=True)], float)
+    for _ in range(5):
+        p, n = shapes._straightened(*shapes._linked(rng.permutation(edges)))
+        assert n.tolist() == [4] * 5 and len(p) == 20
+        assert sorted(area([r.tolist()]) for r in np.split(p, np.cumsum(n)[:-1])) == [1.0] * 5
